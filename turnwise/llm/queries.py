@@ -30,6 +30,14 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from turnwise.llm.quality import quality_rules
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = quality_rules(docs.select("doc_id", "text"), labels)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio")
+
+
 def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     from turnwise.llm.tokenbin import token_binary
 
@@ -38,6 +46,7 @@ def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op5_quality_rules": op5_quality_rules,
     "op7_token_binary": op7_token_binary,
 }
 
