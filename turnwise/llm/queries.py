@@ -44,10 +44,17 @@ def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from turnwise.llm.lm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op5_quality_rules": op5_quality_rules,
     "op7_token_binary": op7_token_binary,
+    "op8_lm_scoring": op8_lm_scoring,
 }
 
 ORACLE_SQL: dict[str, str] = {}
