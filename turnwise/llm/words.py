@@ -144,8 +144,8 @@ def shingles(words: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     plain[begin[short]] = False
     out[plain] = full[at[plain]]
     for r in short.tolist():
-        x = U64(int(count[r]))
-        for v in h[first[r] : first[r + 1]]:
-            x = mix(np.array([x * mult[0] + v], dtype=np.uint64))[0]
-        out[begin[r]] = x
+        x = np.array([count[r]], dtype=np.uint64)
+        for k in range(first[r], first[r + 1]):
+            x = mix(x * mult[0] + h[k : k + 1])
+        out[begin[r]] = x[0]
     return out, begin
