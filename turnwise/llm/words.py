@@ -25,6 +25,8 @@ _LOWER_TABLE = _TABLE.copy()
 _LOWER_TABLE[65:91] = _TABLE[97:123]
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: All ASCII but letters and digits.
+_MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -81,12 +83,13 @@ class Words:
     ``start``/``end`` are byte positions in ``data``; ``row`` is the text a
     word is from; ``hash`` its 64-bit identity (A-Z folded when ``lower``);
     ``first`` gives, per text, the index of its first word (length rows + 1).
+    With ``letters`` every ASCII mark separates words as white space does.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True, letters: bool = False):
         n, rows = len(data), len(offsets) - 1
         self.data, self.offsets = data, offsets
-        space = _SPACE[data]
+        space = (_MARKS if letters else _SPACE)[data]
         cut = np.zeros(n + 1, dtype=bool)
         cut[offsets] = True
         inside = ~space
