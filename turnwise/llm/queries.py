@@ -36,6 +36,23 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from turnwise.llm import chat
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "<|im_end|><|im_start|>assistant ok"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    segments = shared.save(chat.fold(chat.event_log(turns.unionByName(extra))), "chat")
+    return chat.read_back(segments)
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from turnwise.llm import warc
+
+    path = shared.fresh(spark, "warc")
+    return warc.read_bundles(warc.write_bundles(table(spark, sf_dir, "pages"), path), path)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from turnwise.llm.quality import quality_rules
 
@@ -68,13 +85,22 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from turnwise.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_decontamination": op2_decontamination,
+    "op3_chat": op3_chat,
+    "op4_warc": op4_warc,
     "op5_quality_rules": op5_quality_rules,
     "op6_toxicity": op6_toxicity,
     "op7_token_binary": op7_token_binary,
     "op8_lm_scoring": op8_lm_scoring,
+    "op9_licenses": op9_licenses,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
