@@ -18,7 +18,10 @@ trie is rooted at the predicted word and sharded by it:
 * a shard builds its trie (words, pointers, contexts coded relative to the range
   of their word, gains quantised to 8 bits), writes the levels to a file in the
   shared folder, maps it, and looks up every bigram of its blobs by successor
-  search in the range of its word. It returns partial sums a document.
+  search in the range of its word. It returns one row of packed partial sums a batch of
+  documents, which a last shuffle adds up batch by batch. These rows hold a sum
+  for each document and shard task that share a word: they grow with the number
+  of shard tasks until a document has one word a task.
 
 Words are identified by 64-bit hashes, contexts within a word by 40 bits of
 them. ``base_score`` is exact up to floating point; ``score`` carries the
@@ -54,7 +57,8 @@ FLUSH_TOKENS, FLUSH_DOCS = 2_500_000, 60_000
 #: Documents whose partial sums a shard task keeps before it returns them.
 FLUSH_SUMS = 1_000_000
 BLOB = "shard int, base long, docs int, train binary, words binary, runs binary, context binary, doc binary, ids binary, sizes binary"
-SUMS = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
+SUMS = "base long, docs int, at binary, sums binary, ids binary, sizes binary"
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
 NULL_ID = -(2**63)
 
 
@@ -228,7 +232,7 @@ class Trie:
         return out
 
 
-def _shard(model_dir: str, mu: float, total: int, distinct: int, hot: dict[int, int], modulus: int, remainder: int):
+def _shard(model_dir: str, mu: float, total: int, distinct: int, hot: dict[int, int]):
     norm = total + 0.5 * (distinct + 1)
     hot_keys = np.array(sorted(hot), dtype=np.uint64)
     hot_counts = np.array([hot[k] for k in sorted(hot)], dtype=np.int64)
@@ -273,24 +277,21 @@ def _shard(model_dir: str, mu: float, total: int, distinct: int, hot: dict[int,
                 held[r] += np.bincount(d, weights=x[a : a + k], minlength=b["docs"])
             a += k
 
+    def table(base, docs, at=None, sums=None, ids=None, sizes=None):
+        cols = [pa.array([base], pa.int64()), pa.array([docs], pa.int32()), *(pa.array([x], pa.binary()) for x in (at, sums, ids, sizes))]
+        return pa.RecordBatch.from_arrays(cols, [f.split()[0] for f in SUMS.split(", ")])
+
     def partial(sums):
         for base, held in sums.items():
             at = np.flatnonzero(held.any(axis=0))
-            if len(at):
-                none = pa.nulls(len(at), pa.int64())
-                yield pa.RecordBatch.from_pydict({"rid": pa.array(base + at), "doc_id": none, "held_out": pa.nulls(len(at), pa.bool_()), "n_tokens": pa.array(np.zeros(len(at), np.int64)), "n_known": pa.array(held[0][at].astype(np.int64)), "base": pa.array(held[1][at]), "score": pa.array(held[2][at])})
-
-    def meta(b):
-        ids, sizes = np.frombuffer(b["ids"], "<i8"), np.frombuffer(b["sizes"], "<u4").astype(np.int64)
-        zero = np.zeros(len(ids))
-        return pa.RecordBatch.from_pydict({"rid": pa.array(b["base"] + np.arange(len(ids))), "doc_id": pa.array(ids), "held_out": pa.array(held_out_ids(ids, modulus, remainder)), "n_tokens": pa.array(sizes), "n_known": pa.array(zero.astype(np.int64)), "base": pa.array(zero), "score": pa.array(zero)})
+            yield table(base, held.shape[1], at.astype("<u2").tobytes(), held[:, at].tobytes())
 
     def run(batches):
         now, blobs, sums = None, [], {}
         for batch in batches:
             for b in batch.to_pylist():
                 if b["ids"] is not None:
-                    yield meta(b)
+                    yield table(b["base"], b["docs"], ids=b["ids"], sizes=b["sizes"])
                     continue
                 if b["shard"] != now and blobs:
                     score(now, blobs, sums)
@@ -307,6 +308,32 @@ def _shard(model_dir: str, mu: float, total: int, distinct: int, hot: dict[int,
     return run
 
 
+def _combine(modulus: int, remainder: int):
+    """Sums the partial sums of each batch of documents."""
+
+    def table(ids, sizes, held):
+        cols = [pa.array(ids, mask=ids == NULL_ID), pa.array(held_out_ids(ids, modulus, remainder)), pa.array(sizes), pa.array(held[0].astype(np.int64)), pa.array(held[1]), pa.array(held[2])]
+        return pa.RecordBatch.from_arrays(cols, [f.split()[0] for f in SCORED.split(", ")])
+
+    def run(batches):
+        now = ids = sizes = held = None
+        for batch in batches:
+            for b in batch.to_pylist():
+                if b["base"] != now:
+                    if now is not None:
+                        yield table(ids, sizes, held)
+                    now, held = b["base"], np.zeros((3, b["docs"]))
+                if b["ids"] is not None:
+                    ids, sizes = np.frombuffer(b["ids"], "<i8"), np.frombuffer(b["sizes"], "<u4").astype(np.int64)
+                else:
+                    at = np.frombuffer(b["at"], "<u2")
+                    held[:, at] += np.frombuffer(b["sums"]).reshape(3, -1)
+        if now is not None:
+            yield table(ids, sizes, held)
+
+    return run
+
+
 def score_documents(docs: DataFrame, mu: float = 100.0, modulus: int = 5, remainder: int = 1, tasks: int | None = None, model_dir: str | None = None) -> DataFrame:
     """Score every text of ``docs``; rows of remainder ``remainder`` don't train.
 
@@ -327,12 +354,12 @@ def score_documents(docs: DataFrame, mu: float = 100.0, modulus: int = 5, remain
 
     hot_keys = np.array(sorted(hot), dtype=np.uint64)
     blobs = texts.mapInArrow(_blobs(shards, hot_keys, modulus, remainder), BLOB)
-    sums = blobs.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(_shard(model_dir, mu, total, distinct, hot, modulus, remainder), SUMS)
-    out = sums.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base"), F.sum("score").alias("score"))
+    sums = blobs.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(_shard(model_dir, mu, total, distinct, hot), SUMS)
+    out = sums.repartition(tasks, "base").sortWithinPartitions("base").mapInArrow(_combine(modulus, remainder), SCORED)
     per_token = math.log10(total + 0.5 * (distinct + 1))
     starts = _training_starts(texts, modulus, remainder)
     return out.select(
-        F.nullif("doc_id", F.lit(NULL_ID)).alias("doc_id"),
+        "doc_id",
         "held_out",
         "n_tokens",
         "n_known",
