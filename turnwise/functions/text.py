@@ -11,11 +11,12 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 HANGUL = "가-힣ㄱ-ㅎㅏ-ㅣ"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Unicode normal form C."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
