@@ -135,7 +135,7 @@ def shingles(words: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     n = len(h)
     full = np.zeros(max(n - size + 1, 0), dtype=np.uint64)
     for k in range(size):
-        full += h[k : n - size + 1 + k] * mult[k]
+        full += h[k : k + len(full)] * mult[k]
     full = mix(full)
     windows = np.where(count >= size, count - size + 1, (count > 0).astype(np.int64))
     begin = np.zeros(len(count) + 1, dtype=np.int64)
