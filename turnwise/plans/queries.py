@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnwise.functions import text as T
-from turnwise.operators import arrays, corpus, filters, manifest, metrics, segments, speakers, tokens, windows
+from turnwise.operators import arrays, corpus, filters, manifest, metrics, segments, speakers, statistics, synthesis, tokens, windows
 from turnwise.plans.views import UTTERANCES_SQL, WORDS_SQL, read, utterances, words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -799,3 +799,128 @@ def json_fields(spark, d):
 @query("SELECT doc_id, CASE WHEN n_chars / 10.0 < 60 THEN printf('%.1fs', n_chars / 10.0) WHEN n_chars / 10.0 < 3600 THEN printf('%.1fm', n_chars / 10.0 / 60) ELSE printf('%.1fh', n_chars / 10.0 / 3600) END AS duration FROM documents WHERE n_chars < 600")
 def formatted_durations(spark, d):
     return read(spark, d, "documents").filter("n_chars < 600").select("doc_id", T.format_duration(F.col("n_chars") / 10.0).alias("duration"))
+
+
+# statistics and synthesis --------------------------------------------------------------------------------
+
+
+def _outcomes(spark, d):
+    u = utterances(spark, d)
+    v = speakers.validate(speakers.conversation_totals(u), 30.0, 150.0, 4, 3)
+    return v.join(speakers.role_totals(speakers.assign_roles(u)).select("conv_id", "main_ms", "user_ms"), "conv_id")
+
+
+OUTCOMES_SQL = (
+    ROLES_SQL
+    + """,
+v AS (SELECT conv_id, max(end_ms) AS duration_ms, count(*) AS n_turns, count(DISTINCT speaker) AS n FROM utterances GROUP BY conv_id),
+x AS (SELECT *, CASE WHEN duration_ms / 1000.0 < 30 OR duration_ms / 1000.0 > 150 OR n_turns < 4 THEN 'skipped' WHEN n < 3 THEN 'failed' ELSE 'valid' END AS outcome FROM v),
+rt AS (SELECT conv_id, sum(CASE WHEN role = 'main' THEN total_ms ELSE 0 END) AS main_ms, sum(CASE WHEN role = 'main' THEN 0 ELSE total_ms END) AS user_ms FROM roles GROUP BY conv_id)"""
+)
+
+
+@query(
+    f"""WITH {OUTCOMES_SQL}, a AS (SELECT count(*) AS total, count(*) FILTER (outcome = 'valid') AS processed, count(*) FILTER (outcome = 'skipped') AS skipped, count(*) FILTER (outcome = 'failed') AS failed,
+    round(coalesce(sum(duration_ms) FILTER (outcome = 'valid'), 0) / 3600000.0, 4) AS hours, round(coalesce(sum(main_ms) FILTER (outcome = 'valid'), 0) / 3600000.0, 4) AS main_hours, round(coalesce(sum(user_ms) FILTER (outcome = 'valid'), 0) / 3600000.0, 4) AS user_hours, 10.0 AS seconds FROM x JOIN rt ON x.conv_id = rt.conv_id)
+    SELECT *, round(hours * 3600 / 10.0, 4) AS speed FROM a"""
+)
+def phase_statistics(spark, d):
+    return statistics.phase_statistics(_outcomes(spark, d), 10.0)
+
+
+@query(
+    f"""WITH {OUTCOMES_SQL}, p AS (SELECT x.conv_id % 3 AS m, count(*) AS total, count(*) FILTER (outcome = 'valid') AS processed, count(*) FILTER (outcome = 'skipped') AS skipped, count(*) FILTER (outcome = 'failed') AS failed,
+    round(coalesce(sum(duration_ms) FILTER (outcome = 'valid'), 0) / 3600000.0, 4) AS hours, round(coalesce(sum(main_ms) FILTER (outcome = 'valid'), 0) / 3600000.0, 4) AS main_hours, round(coalesce(sum(user_ms) FILTER (outcome = 'valid'), 0) / 3600000.0, 4) AS user_hours, max(x.conv_id % 3) + 1.0 AS seconds FROM x JOIN rt ON x.conv_id = rt.conv_id GROUP BY 1)
+    SELECT CAST(sum(total) AS BIGINT) AS total, CAST(sum(processed) AS BIGINT) AS processed, CAST(sum(skipped) AS BIGINT) AS skipped, CAST(sum(failed) AS BIGINT) AS failed, round(sum(hours), 4) AS hours, round(sum(main_hours), 4) AS main_hours, round(sum(user_hours), 4) AS user_hours, max(seconds) AS seconds, round(round(sum(hours), 4) * 3600 / 3.0, 3) AS speed FROM p"""
+)
+def merged_statistics(spark, d):
+    o = _outcomes(spark, d)
+    parts = None
+    for m in range(3):
+        p = statistics.phase_statistics(o.filter(F.col("conv_id") % 3 == m), m + 1.0)
+        parts = p if parts is None else parts.unionByName(p)
+    out = statistics.merge(parts)
+    return out.select("total", "processed", "skipped", "failed", *(F.round(c, 4).alias(c) for c in ("hours", "main_hours", "user_hours")), "seconds", F.round(F.round("hours", 4) * 3600 / 3.0, 3).alias("speed"))
+
+
+@query()
+def migration_statistics(spark, d):
+    u = utterances(spark, d)
+    return statistics.migration_statistics(segments.tolerance_join(u.select("conv_id", "pos", "start_ms", "end_ms"), _diarized(u)))
+
+
+@query(
+    f"""WITH {WORDS_SQL}, {ROLES_SQL.removeprefix(UTTERANCES_SQL + ',')} SELECT w.conv_id, w.speaker, count(*) AS n_words, CAST(sum(w_end_ms - w_start_ms) AS BIGINT) AS speech_ms, min(role) AS first_role
+    FROM words w JOIN roles r ON w.conv_id = r.conv_id AND w.speaker = r.speaker GROUP BY ALL"""
+)
+def speaker_word_statistics(spark, d):
+    u = utterances(spark, d)
+    w = words(u).join(speakers.assign_roles(u).select("conv_id", "speaker", "role"), ["conv_id", "speaker"]).withColumnRenamed("speaker", "original")
+    return statistics.speaker_word_statistics(w)
+
+
+@query("WITH k AS (SELECT l_returnflag AS speaker, l_linestatus AS kind, avg(l_discount) AS mean FROM lineitem GROUP BY ALL) SELECT speaker, round(sum(CASE kind WHEN 'O' THEN 2.0 WHEN 'F' THEN 0.5 ELSE 0 END * mean), 6) AS loss FROM k GROUP BY speaker")
+def two_speaker_loss(spark, d):
+    rows = read(spark, d, "lineitem").select(F.col("l_returnflag").alias("speaker"), F.col("l_linestatus").alias("kind"), F.col("l_discount").alias("loss"))
+    out = statistics.two_speaker_loss(rows, {"O": 2.0, "F": 0.5})
+    return out.select("speaker", F.round("loss", 6).alias("loss"))
+
+
+@query(
+    f"""WITH {WORDS_SQL}, l AS (SELECT conv_id, turn, count(*) * 4 AS n_tokens, CAST(ceil((max(w_end_ms) - min(w_start_ms)) / 1000.0 * 12.5) AS BIGINT) AS n_frames FROM words GROUP BY ALL)
+    SELECT count(*) AS windows, count(*) FILTER (n_tokens > n_frames) AS overflowing, CAST(sum(greatest(n_tokens - n_frames, 0)) AS BIGINT) AS lost_tokens, max(greatest(n_tokens - n_frames, 0)) AS most_lost FROM l"""
+)
+def overflow_statistics(spark, d):
+    w = words(utterances(spark, d)).groupBy("conv_id", "turn").agg((F.count("*") * 4).alias("n_tokens"), F.ceil((F.max("w_end_ms") - F.min("w_start_ms")) / 1000.0 * 12.5).alias("n_frames"))
+    return statistics.overflow_statistics(w)
+
+
+@query("SELECT event_id, round((event_id % 80) / greatest(event_id % 100, 1), 6) AS real_share, round(100.0 * event_id / 1000, 6) AS percent_done, round(event_id * 1048576.0 / 1073741824.0, 6) AS gb FROM events")
+def training_columns(spark, d):
+    e = read(spark, d, "events").select("event_id", (F.col("event_id") % 80).alias("real_tokens"), (F.col("event_id") % 100).alias("tokens"), F.col("event_id").alias("step"), F.lit(1000).alias("max_steps"), (F.col("event_id") * 1048576).alias("bytes"))
+    return statistics.training_columns(e).select("event_id", *(F.round(c, 6).alias(c) for c in ("real_share", "percent_done", "gb")))
+
+
+@query("SELECT count(*) AS duplicates, (SELECT list(t ORDER BY t) FROM (SELECT substr(text, 1, 20) AS t FROM (SELECT text, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1 ORDER BY n DESC, text LIMIT 5))) AS examples FROM (SELECT text FROM documents GROUP BY text HAVING count(*) > 1)")
+def duplicate_report(spark, d):
+    out = statistics.duplicate_report(read(spark, d, "documents"), "text")
+    return out.select("duplicates", F.array_sort(F.transform("examples", lambda t: F.substring(t, 1, 20))).alias("examples"))
+
+
+@query(
+    f"""WITH {PAIRS_SQL}, t AS (SELECT id // 1000 AS item, id AS take, round(levenshtein(ref, hyp) / greatest(length(ref), 1), 6) AS wer FROM pairs), r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY wer, take) AS r FROM t)
+    SELECT item, take, wer FROM r WHERE r = 1 AND wer <= 0.75"""
+)
+def best_takes(spark, d):
+    t = _pairs(spark, d).select(F.expr("id div 1000").alias("item"), F.col("id").alias("take"), F.round(F.levenshtein("ref", "hyp") / F.greatest(F.length("ref"), F.lit(1)), 6).alias("wer"))
+    return synthesis.best_take(t, F.lit(0.75))
+
+
+def _timed(spark, d):
+    return synthesis.turn_times(utterances(spark, d).select("conv_id", F.col("turn").alias("pos"), "speaker", (F.col("dur_ms") / 1000.0).alias("dur")), 21)
+
+
+@query()
+def synthetic_turn_times(spark, d):
+    return _timed(spark, d).select("conv_id", "pos", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
+
+
+@query()
+def synthetic_backchannels(spark, d):
+    return synthesis.backchannels(_timed(spark, d), {"yes": 3.0, "mm": 2.0, "right": 1.0}, 31)
+
+
+@query(
+    f"""WITH {UTTERANCES_SQL}, b AS (SELECT a.conv_id, count(*) FILTER (a.speaker = 'assistant') AS det, count(*) FILTER (a.speaker = 'user') AS tru FROM utterances a GROUP BY a.conv_id),
+    m AS (SELECT a.conv_id, count(*) AS hit FROM utterances a WHERE speaker = 'assistant' AND EXISTS (SELECT 1 FROM utterances b WHERE b.speaker = 'user' AND b.conv_id = a.conv_id AND (abs(a.start_ms - b.start_ms) <= 4000 OR abs(a.end_ms - b.end_ms) <= 4000 OR (b.start_ms <= a.start_ms AND a.end_ms <= b.end_ms))) GROUP BY a.conv_id),
+    s AS (SELECT CASE WHEN det > 0 THEN coalesce(hit, 0) / det ELSE 0 END AS p, CASE WHEN tru > 0 THEN coalesce(hit, 0) / tru ELSE 0 END AS r FROM b LEFT JOIN m ON b.conv_id = m.conv_id), a AS (SELECT avg(p) AS p, avg(r) AS r FROM s)
+    SELECT round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM a"""
+)
+def alignment_monitor(spark, d):
+    u = utterances(spark, d)
+    a, b = u.filter("speaker = 'assistant'"), u.filter("speaker = 'user'")
+    n = u.groupBy("conv_id").agg(F.count_if(F.col("speaker") == "assistant").alias("det"), F.count_if(F.col("speaker") == "user").alias("tru"))
+    hit = segments.boundary_matches(a, b, 4000).groupBy("conv_id").agg(F.count("*").alias("hit"))
+    j = n.join(hit, "conv_id", "left").na.fill({"hit": 0})
+    p, r, _ = metrics.match_scores(F.col("hit"), F.col("det"), F.col("tru"))
+    return statistics.monitor_summary(j.select(p.alias("precision"), r.alias("recall")))
