@@ -71,10 +71,15 @@ def next_response(asks: DataFrame, answers: DataFrame) -> DataFrame:
     return both.filter("kind = 1").select("conv_id", "pos", F.col("t").alias("end_ms"), "next_ms", (F.col("next_ms") - F.col("t")).alias("latency_ms"))
 
 
-def interruptions(main: DataFrame, user: DataFrame) -> DataFrame:
-    """Segments of ``main`` that begin inside one of ``user``."""
-    m, u = main.alias("m"), user.alias("u")
-    return m.join(u, (F.col("m.conv_id") == F.col("u.conv_id")) & (F.col("u.start_ms") < F.col("m.start_ms")) & (F.col("m.start_ms") < F.col("u.end_ms")), "left_semi")
+def interruptions(main: DataFrame, user: DataFrame, slot_ms: int = 60_000) -> DataFrame:
+    """Segments of ``main`` that begin inside one of ``user``.
+
+    Joined on conversation and the slot of time of the beginning.
+    """
+    from turnwise.operators.speakers import by_time_slot
+
+    m, u = main.alias("m"), by_time_slot(user.select("conv_id", "start_ms", "end_ms"), slot_ms).alias("u")
+    return m.join(u, (F.col("m.conv_id") == F.col("u.conv_id")) & (F.floor(F.col("m.start_ms") / slot_ms) == F.col("u.slot")) & (F.col("u.start_ms") < F.col("m.start_ms")) & (F.col("m.start_ms") < F.col("u.end_ms")), "left_semi")
 
 
 def boundary_matches(a: DataFrame, b: DataFrame, tolerance_ms: int) -> DataFrame:

@@ -73,12 +73,25 @@ def validate(convs: DataFrame, shortest: float = 10.0, longest: float = 7200.0,
     return convs.withColumn("reason", reason).withColumn("outcome", outcome)
 
 
-def overlap_pairs(utts: DataFrame) -> DataFrame:
-    """Overlapping pairs of utterances of different speakers, first before second."""
-    a, b = utts.alias("a"), utts.alias("b")
-    on = (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("a.pos") < F.col("b.pos")) & (F.col("b.start_ms") < F.col("a.end_ms")) & (F.col("a.speaker") != F.col("b.speaker"))
+def by_time_slot(rows: DataFrame, slot_ms: int, name: str = "slot") -> DataFrame:
+    """A row for each slot of time that an interval touches."""
+    first, last = (F.floor(F.col(c) / slot_ms) for c in ("start_ms", "end_ms"))
+    return rows.withColumn(name, F.explode(F.sequence(first, F.greatest(first, last))))
+
+
+def overlap_pairs(utts: DataFrame, slot_ms: int = 60_000) -> DataFrame:
+    """Overlapping pairs of utterances of different speakers, first before second.
+
+    Joined on conversation and slot of time, so a conversation of any length
+    costs in proportion to its overlaps; a pair counts in the slot where its
+    overlap begins.
+    """
+    cols = ["conv_id", "pos", "speaker", "start_ms", "end_ms"]
+    slots = by_time_slot(utts.select(cols), slot_ms)
+    a, b = slots.alias("a"), slots.alias("b")
     start, end = F.greatest("a.start_ms", "b.start_ms"), F.least("a.end_ms", "b.end_ms")
-    out = a.join(b, on).select(F.col("a.conv_id").alias("conv_id"), F.col("a.pos").alias("pos_a"), F.col("b.pos").alias("pos_b"), start.alias("start_ms"), end.alias("end_ms"))
+    on = (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("a.slot") == F.col("b.slot")) & (F.col("a.pos") < F.col("b.pos")) & (F.col("b.start_ms") < F.col("a.end_ms")) & (F.col("a.speaker") != F.col("b.speaker"))
+    out = a.join(b, on & (F.floor(start / slot_ms) == F.col("a.slot"))).select(F.col("a.conv_id").alias("conv_id"), F.col("a.pos").alias("pos_a"), F.col("b.pos").alias("pos_b"), start.alias("start_ms"), end.alias("end_ms"))
     return out.filter("end_ms > start_ms").withColumn("overlap_ms", F.col("end_ms") - F.col("start_ms"))
 
 
