@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from turnwise.llm import words as W
 
-SAMPLE = 9000
+SAMPLE = 6000
 WINDOW = 96
 BODY, EXTRA = 32_000, 16_000
 CUT = 0.7
@@ -149,20 +150,29 @@ def _column(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return W.text_buffers(pa.array(texts, pa.large_string()))
 
 
+def _parts(texts: list[str], n: int = 100) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Columns of a few texts each, to bound what is in memory at once."""
+    for k in range(0, len(texts), n):
+        yield _column(texts[k : k + n])
+
+
+def _vocabulary(texts: list[str]) -> np.ndarray:
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.unique(W.Words(*c, letters=True).hash) for c in _parts(texts))]))
+
+
 def _own_words(texts: list[str], other: np.ndarray, contexts: int) -> list[bytes]:
     """Words that ``other`` lacks, by number of different words before them."""
-    data, offsets = _column(texts)
-    w = W.Words(data, offsets, letters=True)
-    new = np.flatnonzero(~np.isin(w.hash, other))
     before: dict[int, set[int]] = defaultdict(set)
-    span: dict[int, int] = {}
-    for k in new.tolist():
-        h = int(w.hash[k])
-        before[h].add(int(w.hash[k - 1]) if k else 0)
-        span[h] = k
+    said: dict[int, bytes] = {}
+    for c in _parts(texts):
+        w = W.Words(*c, letters=True)
+        raw = w.data.tobytes().lower()
+        for k in np.flatnonzero(~np.isin(w.hash, other)).tolist():
+            h = int(w.hash[k])
+            before[h].add(int(w.hash[k - 1]) if k else 0)
+            said.setdefault(h, raw[w.start[k] : w.end[k]])
     found = sorted((len(b), h) for h, b in before.items() if len(b) >= contexts)
-    raw = data.tobytes().lower()
-    return [b" " + raw[w.start[span[h]] : w.end[span[h]]] for _, h in found]
+    return [b" " + said[h] for _, h in found]
 
 
 def train(toxic: list[str], ordinary: list[str]) -> Model:
@@ -171,15 +181,15 @@ def train(toxic: list[str], ordinary: list[str]) -> Model:
         return Model(b"", b"")
     tox_fit, tox_cal = toxic[: -(-2 * len(toxic) // 3)], toxic[-(-2 * len(toxic) // 3) :] or toxic
     ord_fit, ord_cal = ordinary[: -(-2 * len(ordinary) // 3)], ordinary[-(-2 * len(ordinary) // 3) :] or ordinary
-    vocab = [np.unique(W.Words(*_column(t), letters=True).hash) for t in (tox_fit, ord_fit)]
+    vocab = [_vocabulary(t) for t in (tox_fit, ord_fit)]
     least = max(3, len(tox_fit) // 60)
-    body = _trained(BODY, windows(*_column(ord_fit[:2000]))[1][:60_000])
+    body = _trained(BODY, [p for c in _parts(ord_fit[:2000]) for p in windows(*c)[1]][:60_000])
     own = [_own_words(tox_fit, vocab[1], least), _own_words(ord_fit, vocab[0], least)]
     toxic_part, ordinary_part = (b" " + b"".join(x)[-EXTRA:] + b" " for x in own)
     size = len(toxic_part)
     end = body[:32]  # the last bytes of a dictionary are never found
     model = Model(body + (b" " * size + ordinary_part)[-size:] + end, body + toxic_part + end, len(body))
-    stat = [model.statistics(*_column(t)) for t in (tox_cal, ord_cal)]
+    stat = [np.concatenate([model.statistics(*c) for c in _parts(t)]) for t in (tox_cal, ord_cal)]
     model.threshold, model.slope = calibrate(*stat)
     return model
 
