@@ -68,9 +68,22 @@ def test_ordered_rules(spark):
     assert [r[0] for r in df.select(T.apply_rules("t", rules)).collect()] == ["확인하겠어요", "가능해요"]
 
 
+def test_spoken_korean(spark):
+    df = spark.createDataFrame([("그것은 가능합니다",), ("확인하겠습니다",), (" ",)], "t string")
+    assert [r[0] for r in df.select(T.spoken("t")).collect()] == ["그건 가능해요", "확인하겠어요", " "]
+    one = T.code_switch("t", {"서버": "server"}, 1.0, 0, "t")
+    assert spark.createDataFrame([("서버 서버",)], "t string").select(one).first()[0] == "server 서버"
+
+
+def test_unknown_speakers(spark):
+    rows = spark.createDataFrame([(x,) for x in (None, " Unknown ", "?", "N/A", "ann")], "speaker string")
+    assert [r[0] for r in rows.select(filters.is_unknown()).collect()] == [True, True, True, True, False]
+
+
 def test_case_table(spark):
     df = spark.createDataFrame([(a, t, u) for a in (0, 1) for t in (0, 1) for u in (0, 1)], "a int, t int, u int")
     got = {(r.a, r.t, r.u): r.c for r in df.withColumn("c", filters.case_number(F.col("a") == 1, F.col("t") == 1, F.col("u") == 1)).collect()}
+    assert got[0, 1, 1] == 4 and got[1, 0, 1] == 5 and got[0, 0, 1] == 3 and got[0, 1, 0] == 0
     assert got[1, 1, 1] == 1 and got[1, 1, 0] == 2 and got[1, 0, 0] == 5 and got[0, 0, 0] == 0
 
 

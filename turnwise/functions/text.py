@@ -129,7 +129,7 @@ def with_filler(c: str | Column, fillers: list[str], p: float, seed: int, *keys:
     """A filler put in front with probability ``p``."""
     u = seeded_share(seed, *keys)
     pick = F.element_at(F.array(*map(F.lit, fillers)), (F.floor(seeded_share(seed + 1, *keys) * len(fillers)) + 1).cast("int"))
-    return F.when(u < p, F.concat(pick, F.lit(" "), _col(c))).otherwise(_col(c))
+    return F.when(u < p, F.concat(pick, F.lit(", "), _col(c))).otherwise(_col(c))
 
 
 def format_duration(seconds: str | Column) -> Column:
@@ -139,7 +139,13 @@ def format_duration(seconds: str | Column) -> Column:
 
 def format_size(size: str | Column) -> Column:
     b = _col(size).cast("double")
-    out = F.format_string("%.1fPB", b / 1024.0**5)
-    for k, unit in reversed(list(enumerate(["B", "KB", "MB", "GB", "TB"]))):
-        out = F.when(b < 1024.0 ** (k + 1), F.format_string(f"%.1f{unit}", b / 1024.0**k)).otherwise(out)
-    return out
+    mb, gb = 1024.0**2, 1024.0**3
+    whole = F.concat(_col(size).cast("string"), F.lit("B"))
+    return F.when(b < 1024, whole).when(b < mb, F.format_string("%.1fKB", b / 1024)).when(b < gb, F.format_string("%.1fMB", b / mb)).otherwise(F.format_string("%.1fGB", b / gb))
+
+
+def spoken(c: str | Column) -> Column:
+    """Written Korean to spoken, blank texts as they are."""
+    from turnwise.functions.korean import SPOKEN_RULES
+
+    return F.when(F.trim(_col(c)) == "", _col(c)).otherwise(apply_rules(c, SPOKEN_RULES))

@@ -35,14 +35,27 @@ def active_ratio(a: Column, frame: int = 1600, threshold: float = 0.01) -> Colum
     return F.when(F.size(e) > 0, share).otherwise(F.when(rms(a) > threshold, 1.0).otherwise(0.0))
 
 
-def signal_to_noise(a: Column, quantile: float = 0.05) -> Column:
-    """dB of the RMS over a low quantile of magnitudes; 100 without noise, 0 without signal."""
+def estimated_snr(a: Column, quantile: float = 0.05) -> Column:
+    """dB of the RMS over a low quantile of magnitudes (the noise floor)."""
     mags = F.array_sort(F.transform(a, lambda x: F.abs(x.cast("double"))))
     at = (F.size(a) - 1) * quantile
     low = F.floor(at).cast("int")
-    noise = mags[low] + (F.coalesce(mags[low + 1], mags[low]) - mags[low]) * (at - low)
-    level = rms(a)
-    return F.when(noise < 1e-10, 100.0).when(level < 1e-10, 0.0).otherwise(20 * F.log10(level / noise))
+    noise = mags[low] + (F.coalesce(F.get(mags, low + 1), mags[low]) - mags[low]) * (at - low)
+    return 20 * F.log10(rms(a) / (noise + 1e-8))
+
+
+def signal_to_noise(signal: Column, noise: Column) -> Column:
+    """dB of two signals' powers; 100 without noise, 0 without signal."""
+    power = lambda a: _sum(a, lambda x: x * x.cast("double")) / F.greatest(F.size(a), F.lit(1))
+    s, n = power(signal), power(noise)
+    return F.when(n < 1e-10, 100.0).when(s < 1e-10, 0.0).otherwise(10 * F.log10(s / n))
+
+
+def silence_ratio(a: Column, threshold_db: float = -40.0, frame: int = 1024, hop: int = 512) -> Column:
+    """Share of overlapping frames whose RMS is below the threshold; 0 for short signals."""
+    n = F.ceil((F.size(a) - frame) / hop).cast("int")
+    quiet = F.filter(F.sequence(F.lit(0), n - 1), lambda k: rms(F.slice(a, k * hop + 1, frame)) < 10 ** (threshold_db / 20))
+    return F.when(n > 0, F.size(quiet) / n).otherwise(0.0)
 
 
 def clip_ratio(a: Column, limit: float = 0.99) -> Column:
@@ -50,7 +63,7 @@ def clip_ratio(a: Column, limit: float = 0.99) -> Column:
 
 
 def dbfs(a: Column) -> Column:
-    return 20 * F.log10(F.greatest(rms(a), F.lit(1e-10)))
+    return 20 * F.log10(rms(a) + 1e-8)
 
 
 def loudness_normalised(a: Column, target_db: float = -23.0, peak: float = 0.95) -> Column:
@@ -76,12 +89,19 @@ def fingerprint(a: Column) -> Column:
     return F.struct(total.alias("sum"), (total / F.greatest(F.size(a), F.lit(1))).alias("mean"), F.slice(a, 1, 3).alias("first"), F.slice(a, -3, 3).alias("last"))
 
 
-def quality_issues(snr: Column, silence: Column, clipped: Column, level: Column) -> Column:
+def quality_issues(snr: Column, clipped: Column, level: Column, least_snr: float = 20.0) -> Column:
     """Names of the limits that a reference voice misses."""
-    rules = [(snr < 20, "low_snr"), (silence > 0.3, "too_much_silence"), (clipped > 0.001, "clipping"), (level < -35, "too_quiet"), (level > -10, "too_loud")]
+    rules = [(snr < least_snr, "low_snr"), (clipped > 0.001, "clipping"), (level < -40, "too_quiet"), (level > -10, "too_loud")]
     return F.array_compact(F.array(*(F.when(c, F.lit(n)) for c, n in rules)))
 
 
+def quality_advice(issues: Column, silence: Column, most_silence: float = 0.3) -> Column:
+    """What to do about the issues, and about much silence."""
+    advice = {"low_snr": "record_quieter", "clipping": "lower_input", "too_quiet": "raise_level", "too_loud": "reduce_level"}
+    todo = [F.when(F.array_contains(issues, k), F.lit(v)) for k, v in advice.items()]
+    return F.array_compact(F.array(*todo, F.when(silence > most_silence, F.lit("trim_silence"))))
+
+
 def span(a: Column, seconds: float, rate: float, mode: str = "start") -> Column:
     """The first or last frames of a fixed duration."""
     n = int(seconds * rate)

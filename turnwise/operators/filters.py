@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from turnwise.functions.text import seeded_share
 
 #: Spellings of a speaker that isn't known. Fixed values.
-UNKNOWN_SPEAKERS = ["", "unknown", "none", "null", "nan", "n/a", "na", "undefined", "unk"]
+UNKNOWN_SPEAKERS = ["?", "", "unknown", "n/a", "none", "null", "-", "speaker_unknown", "unidentified"]
 
 
 def is_unknown(speaker: str = "speaker") -> Column:
@@ -55,14 +55,8 @@ def frame_bounds(words: DataFrame, rate: float) -> DataFrame:
 
 def case_number(main_audio: Column, main_text: Column, user_audio: Column) -> Column:
     """Which of the cases of presence a window is; 0 is never allowed."""
-    return (
-        F.when(main_audio & main_text & user_audio, 1)
-        .when(main_audio & main_text & ~user_audio, 2)
-        .when(~main_audio & ~main_text & user_audio, 3)
-        .when(main_audio & ~main_text & user_audio, 4)
-        .when(main_audio & ~main_text & ~user_audio, 5)
-        .otherwise(0)
-    )
+    one_side = F.when(main_audio & main_text & ~user_audio, 2).when(~main_audio & ~main_text & user_audio, 3)
+    return F.when(main_audio & main_text & user_audio, 1).otherwise(one_side.when(~main_audio & main_text & user_audio, 4).when(main_audio & ~main_text, 5).otherwise(0))
 
 
 def case_control(stats: DataFrame, allowed: tuple[int, ...] = (1, 2)) -> DataFrame:

@@ -117,7 +117,7 @@ def word_diagnostics(words: DataFrame) -> DataFrame:
     d, c = F.col("w_end_ms") - F.col("w_start_ms"), F.col("confidence")
     n = F.count("*")
     out = words.agg(n.alias("n"), F.count_if(c < 0.5).alias("low"), F.count_if(c < 0.3).alias("very_low"), F.count_if(d <= 0).alias("zero"), F.count_if(d < 0).alias("negative"))
-    bad = F.col("very_low") + F.col("zero") + F.col("negative")
+    bad = F.col("low") + F.col("very_low") + F.col("zero") + F.col("negative")
     return out.withColumn("quality", F.when(F.col("n") > 0, F.round(F.greatest(F.lit(0.0), 1 - bad / F.col("n")), 6)).otherwise(0.0))
 
 
@@ -128,17 +128,30 @@ def match_scores(matched: Column, detected: Column, truth: Column) -> tuple[Colu
     return p, r, F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
 
 
-def sync_score(timing: Column, f1: Column, coverage: Column) -> Column:
-    """0.4 timing + 0.4 F1 + 0.2 coverage, coverage best at 0.4."""
-    best = F.when(coverage <= 0.4, coverage / 0.4).otherwise(F.greatest(F.lit(0.0), 1 - (coverage - 0.4) / 0.6))
-    return 0.4 * timing + 0.4 * f1 + 0.2 * best
+def sync_score(timing_error: Column, f1: Column, coverage: Column, worst: float = 10.0) -> Column:
+    """0.4 timing + 0.4 F1 + 0.2 coverage; errors in frames, coverage best at 0.4."""
+    timing = F.greatest(F.lit(0.0), 1 - timing_error / worst)
+    return 0.4 * timing + 0.4 * f1 + 0.2 * F.greatest(F.lit(0.0), 1 - F.abs(coverage - 0.4) * 2)
 
 
-def turn_taking_score(overlap: Column, silence: Column, latency: Column, balance: Column) -> Column:
-    """Mean of the piecewise-linear components that are known."""
-    down = lambda x, a, b: F.when(x <= a, 1.0).when(x >= b, 0.0).otherwise((b - x) / (b - a))
-    parts = F.filter(F.array(down(overlap, 0.05, 0.3), down(silence, 0.2, 0.6), down(latency, 0.5, 2.0), 1 - F.abs(balance - 0.5) * 2), lambda x: x.isNotNull())
-    return F.aggregate(parts, F.lit(0.0), lambda a, x: a + x) / F.greatest(F.size(parts), F.lit(1))
+def turn_taking_score(overlap: Column, silence: Column, latency: Column, main_turns: Column, user_turns: Column, interruptions: Column, natural: tuple[float, float] = (2, 8)) -> Column:
+    """Mean of the piecewise-linear components that apply.
+
+    Overlap is best at 0.1, silence from 0.2 to 0.4, latency (frames) in the
+    natural range, turns shared evenly, few of the main turns interruptions.
+    """
+    low, high = natural
+    total = main_turns + user_turns
+    floor0 = lambda c: F.greatest(F.lit(0.0), c)
+    parts = [
+        1 - F.least(F.abs(overlap - 0.1), F.lit(0.3)) / 0.3,
+        F.when(silence < 0.2, silence / 0.2).when(silence <= 0.4, 1.0).otherwise(floor0(1 - (silence - 0.4) / 0.4)),
+        F.when(latency > 0, F.when(latency < low, latency / low).when(latency <= high, 1.0).otherwise(floor0(1 - (latency - high) / high))),
+        F.when(total > 0, floor0(1 - F.abs(main_turns / total - 0.5) * 2)),
+        F.when(main_turns > 0, 1 - F.least(interruptions / main_turns, F.lit(0.5)) * 2),
+    ]
+    known = F.filter(F.array(*(p.cast("double") for p in parts)), lambda x: x.isNotNull())
+    return F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.size(known)
 
 
 def activity(frames: DataFrame, keys: list[str], mask: Column, least: int) -> DataFrame:

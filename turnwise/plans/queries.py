@@ -257,7 +257,7 @@ ws0 AS (SELECT conv_id, CAST(win AS INTEGER) AS win, CAST(sum(CASE WHEN role = '
 ws AS (SELECT *, CASE WHEN main_ms + user_ms > 0 THEN round(main_ms / (main_ms + user_ms), 6) ELSE 0 END AS main_ratio FROM ws0),
 wc AS (SELECT conv_id, max(end_ms) AS duration_ms FROM utterances GROUP BY conv_id),
 k0 AS (SELECT ws.*, least({WINDOW_MS}, duration_ms - win * {WINDOW_MS}) AS segment_ms, CASE WHEN main_ms > 0 AND main_words > 0 AND user_ms > 0 THEN 1 WHEN main_ms > 0 AND main_words > 0 THEN 2 WHEN main_ms <= 0 AND main_words <= 0 AND user_ms > 0 THEN 3
-  WHEN main_ms > 0 AND user_ms > 0 THEN 4 WHEN main_ms > 0 THEN 5 ELSE 0 END AS kase FROM ws JOIN wc ON ws.conv_id = wc.conv_id),
+  WHEN main_ms <= 0 AND main_words > 0 AND user_ms > 0 THEN 4 WHEN main_ms > 0 AND main_words <= 0 THEN 5 ELSE 0 END AS kase FROM ws JOIN wc ON ws.conv_id = wc.conv_id),
 k1 AS (SELECT *, CASE WHEN main_ms <= 0 THEN 'no_main_speech' WHEN main_words < 3 THEN 'few_words' WHEN main_ms < 3000 THEN 'short_speech' WHEN main_ms + user_ms > 0 AND main_ratio < 0.1 THEN 'low_ratio' WHEN user_words < 0 THEN 'few_user_words' WHEN segment_ms < 10000 THEN 'short_segment' END AS quality FROM k0),
 cascade AS (SELECT *, CASE WHEN kase NOT IN (1, 2) THEN 'case' WHEN quality IS NOT NULL THEN 'quality' ELSE 'kept' END AS layer, CASE WHEN kase NOT IN (1, 2) THEN printf('case_%d', kase) ELSE quality END AS reason FROM k1)"""
 )
@@ -371,7 +371,7 @@ def confident_words(spark, d):
     return filters.good_words(_confident(spark, d), 0.5, 300).select("conv_id", "turn", "k")
 
 
-@query(f"WITH {CONFIDENCE_SQL}, a AS (SELECT count(*) AS n, count(*) FILTER (confidence < 0.5) AS low, count(*) FILTER (confidence < 0.3) AS very_low, count(*) FILTER (w_end_ms <= w_start_ms) AS zero, count(*) FILTER (w_end_ms < w_start_ms) AS negative FROM cw) SELECT *, round(greatest(0.0, 1 - (very_low + zero + negative) / n), 6) AS quality FROM a")
+@query(f"WITH {CONFIDENCE_SQL}, a AS (SELECT count(*) AS n, count(*) FILTER (confidence < 0.5) AS low, count(*) FILTER (confidence < 0.3) AS very_low, count(*) FILTER (w_end_ms <= w_start_ms) AS zero, count(*) FILTER (w_end_ms < w_start_ms) AS negative FROM cw) SELECT *, round(greatest(0.0, 1 - (low + very_low + zero + negative) / n), 6) AS quality FROM a")
 def word_diagnostics(spark, d):
     return metrics.word_diagnostics(_confident(spark, d))
 
@@ -588,7 +588,7 @@ def code_switching(spark, d):
 
 
 @query(
-    f"SELECT doc_id, CASE WHEN {SHARE_SQL.format(chr(39) + '5:' + chr(39) + ' || doc_id')} < 0.1 THEN ['um', 'well', 'so'][CAST(floor({SHARE_SQL.format(chr(39) + '6:' + chr(39) + ' || doc_id')} * 3) AS BIGINT) + 1] || ' ' || text ELSE text END AS said FROM documents"
+    f"SELECT doc_id, CASE WHEN {SHARE_SQL.format(chr(39) + '5:' + chr(39) + ' || doc_id')} < 0.1 THEN ['um', 'well', 'so'][CAST(floor({SHARE_SQL.format(chr(39) + '6:' + chr(39) + ' || doc_id')} * 3) AS BIGINT) + 1] || ', ' || text ELSE text END AS said FROM documents"
 )
 def fillers(spark, d):
     return read(spark, d, "documents").select("doc_id", T.with_filler("text", ["um", "well", "so"], 0.1, 5, "doc_id").alias("said"))
@@ -633,7 +633,7 @@ def alternating_speakers(spark, d):
     return corpus.alternate_speakers(utterances(spark, d), swap=F.col("conv_id") % 2 == 1).select("conv_id", "pos", "speaker")
 
 
-@query("SELECT doc_id, CASE WHEN source IS NULL OR lower(trim(source)) IN ('', 'unknown', 'src1') THEN 'UNKNOWN_SPEAKER' ELSE trim(source) END AS speaker FROM documents WHERE lower(trim(source)) <> 'src1'")
+@query("SELECT doc_id, CASE WHEN source IS NULL OR lower(trim(source)) IN ('?', '', 'unknown', 'n/a', 'none', 'null', '-', 'speaker_unknown', 'unidentified', 'src1') THEN 'UNKNOWN_SPEAKER' ELSE trim(source) END AS speaker FROM documents WHERE lower(trim(source)) <> 'src1'")
 def normalized_speakers(spark, d):
     return read(spark, d, "documents").filter("lower(trim(source)) <> 'src1'").select("doc_id", filters.normalize_speaker("source").alias("speaker"))
 
@@ -765,8 +765,9 @@ def signal_levels(spark, d):
 @query()
 def signal_quality(spark, d):
     a = F.col("embedding")
-    e = read(spark, d, "embeddings").select("vec_id", F.round(arrays.signal_to_noise(a), 4).alias("snr"), F.round(arrays.active_ratio(a, 8, 0.1), 6).alias("active"), F.round(arrays.dbfs(a), 4).alias("dbfs"), filters.audio_error("embedding", 100).alias("error"))
-    return e.withColumn("issues", arrays.quality_issues(F.col("snr"), 1 - F.col("active"), F.lit(0.0), F.col("dbfs")))
+    e = read(spark, d, "embeddings").select("vec_id", F.round(arrays.estimated_snr(a), 4).alias("snr"), F.round(arrays.active_ratio(a, 8, 0.1), 6).alias("active"), F.round(arrays.dbfs(a), 4).alias("dbfs"), filters.audio_error("embedding", 100).alias("error"))
+    e = e.withColumn("issues", arrays.quality_issues(F.col("snr"), F.lit(0.0), F.col("dbfs")))
+    return e.withColumn("advice", arrays.quality_advice(F.col("issues"), 1 - F.col("active")))
 
 
 @query("SELECT vec_id, embedding[1:8] AS head, embedding[len(embedding) - 7:] AS tail FROM embeddings")
@@ -924,3 +925,18 @@ def alignment_monitor(spark, d):
     j = n.join(hit, "conv_id", "left").na.fill({"hit": 0})
     p, r, _ = metrics.match_scores(F.col("hit"), F.col("det"), F.col("tru"))
     return statistics.monitor_summary(j.select(p.alias("precision"), r.alias("recall")))
+
+
+@query(
+    f"""WITH {UTTERANCES_SQL}, g AS (SELECT conv_id, count(*) FILTER (speaker = 'assistant') AS m, count(*) FILTER (speaker = 'user') AS u, max(end_ms) AS d, sum(dur_ms) AS s FROM utterances GROUP BY conv_id),
+    o AS (SELECT a.conv_id, sum(least(a.end_ms, b.end_ms) - greatest(a.start_ms, b.start_ms)) AS ov FROM utterances a JOIN utterances b ON a.conv_id = b.conv_id AND a.pos < b.pos AND b.start_ms < a.end_ms AND a.speaker <> b.speaker WHERE least(a.end_ms, b.end_ms) > greatest(a.start_ms, b.start_ms) GROUP BY a.conv_id),
+    r AS (SELECT g.conv_id, m, u, coalesce(ov, 0) / d AS o, greatest(0.0, (d - s + coalesce(ov, 0)) / d) AS q FROM g LEFT JOIN o ON g.conv_id = o.conv_id)
+    SELECT conv_id, round(list_avg(list_filter([1 - least(abs(o - 0.1), 0.3) / 0.3, CASE WHEN q < 0.2 THEN q / 0.2 WHEN q <= 0.4 THEN 1.0 ELSE greatest(0.0, 1 - (q - 0.4) / 0.4) END, CASE WHEN m + u > 0 THEN greatest(0.0, 1 - abs(m / (m + u) - 0.5) * 2) END, CASE WHEN m > 0 THEN 1.0 END], lambda x: x IS NOT NULL)), 6) AS score FROM r"""
+)
+def turn_taking_scores(spark, d):
+    u = utterances(spark, d)
+    g = u.groupBy("conv_id").agg(F.count_if(F.col("speaker") == "assistant").alias("m"), F.count_if(F.col("speaker") == "user").alias("u"), F.max("end_ms").alias("d"), F.sum("dur_ms").alias("s"))
+    j = g.join(speakers.overlap_summary(speakers.overlap_pairs(u)).select("conv_id", "overlap_ms"), "conv_id", "left").na.fill({"overlap_ms": 0})
+    silence = F.greatest(F.lit(0.0), (F.col("d") - F.col("s") + F.col("overlap_ms")) / F.col("d"))
+    score = metrics.turn_taking_score(F.col("overlap_ms") / F.col("d"), silence, F.lit(None).cast("double"), F.col("m"), F.col("u"), F.lit(0))
+    return j.select("conv_id", F.round(score, 6).alias("score"))
