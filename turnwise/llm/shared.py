@@ -104,14 +104,20 @@ def mapped(uri: str) -> np.ndarray:
 
 
 _shipped: set[str] = set()
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python, once a session."""
+    """Send this package to the executors' Python, once a session.
+
+    Arrow batches are made smaller unless the session has set their size.
+    """
     import shutil
     from pathlib import Path
 
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH) == "10000":  # the default; texts and sets of shingles are long rows
+        spark.conf.set(_BATCH, "2000")
     if sc.applicationId not in _shipped:
         package = Path(__file__).resolve().parents[1]
         made = shutil.make_archive(f"{tempfile.mkdtemp(prefix='turnwise-')}/turnwise", "zip", package.parent, package.name)
