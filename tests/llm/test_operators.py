@@ -144,6 +144,14 @@ def test_one_of_each(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == [(False, 1), (False, 3), (False, 4), (True, 0)]
 
 
+def test_rows_of_one_doc_id_and_null_ids(spark):
+    a, b = " ".join("abcdefghij"), " ".join("klmnopqrst")
+    rows = [(1, a), (1, b), (5, a), (6, b), (None, "zz yy"), (None, None)]
+    got = [(r.doc_id, r.component_id) for r in ngram_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(got) == len(rows) and {c for i, c in got if i is None} == {None}
+    assert {c for i, c in got if i is not None} == {1}
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(50)] + [(k, k + 1) for k in range(200, 240)] + [(5, 5), (None, 3)]
@@ -213,8 +221,10 @@ def test_quality(spark, docs, texts, empty):
         r = got[i]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
         assert r.base_failed == (len(w) < 50 or 100 * len(covered) > 50 * len(w)) and not (r.base_failed and r.kept)
-        assert r.lang == "en" and r.key == "k"
     assert quality.quality_rules(empty, labels).collect() == []
+    clash = both.withColumnRenamed("lang", "kept").withColumnRenamed("part", "n_words").withColumnRenamed("key", "_w")
+    kept = quality.quality_filter(clash, labels, buckets=64)
+    assert kept.schema == clash.schema and {(r.doc_id, r.kept, r.n_words) for r in kept.collect()} == {(i, "en", "p") for i, r in got.items() if r.kept}
     none = quality.quality_rules(docs, labels.limit(0))
     assert none.filter("ratio <> 0").isEmpty()
 

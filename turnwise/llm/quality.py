@@ -16,7 +16,7 @@ Defined cases: a null text has no words and fails the base rule; repeated rows
 are separate documents; a doc_id labelled more than once is trusted if any of
 its labels is 1; without any trusted document the ratio is 0 everywhere; an
 empty table gives no rows; other columns are carried along untouched by
-``quality_filter`` and ignored by ``quality_rules``.
+``quality_filter``, whatever their names, and ignored by ``quality_rules``.
 """
 
 from __future__ import annotations
@@ -99,14 +99,29 @@ def ratio_score(weights: str, buckets: int, text: str = "text"):
     return add
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = 10_000, smoothing: float = 1.0, threshold: float = -0.4) -> DataFrame:
-    """``docs`` with the base counts, base_failed, ratio and kept."""
+def _judged(rows: DataFrame, docs: DataFrame, labels: DataFrame, buckets: int = 10_000, smoothing: float = 1.0, threshold: float = -0.4) -> DataFrame:
+    """``rows`` (of ``docs``) with the base counts, base_failed, ratio and kept."""
     weights = ratio_weights(docs, labels, buckets, smoothing)
-    out = ratio_score(weights, buckets)(base_columns(docs))
+    out = ratio_score(weights, buckets)(base_columns(rows))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("ratio") >= threshold))
 
 
+def quality_rules(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
+    """doc_id, base counts, base_failed, ratio and kept of every document.
+
+    ``parameters``: buckets, smoothing, threshold.
+    """
+    return _judged(docs.select("doc_id", "text"), docs, labels, **parameters).drop("text")
+
+
 def quality_filter(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
-    """The documents that are kept, with their own columns."""
-    return quality_rules(docs, labels, **parameters).filter("kept").select(docs.columns)
+    """The documents that are kept, with their own columns.
+
+    Rows travel as one struct, so no column of theirs meets one of ours. The
+    filter looks at a column that isn't deterministic, which keeps the optimizer
+    from substituting the whole chain of counts into it many times.
+    """
+    rows = docs.select(F.struct("*").alias("_doc"), F.col("text"))
+    judged = _judged(rows, docs, labels, **parameters).withColumn("_row", F.monotonically_increasing_id())
+    return judged.filter("_row >= 0 AND kept").select("_doc.*")
