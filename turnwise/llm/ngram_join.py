@@ -19,7 +19,8 @@ Only components are wanted, so the members of a list are first compared with
 one centre of the list (a candidate a member, however long the list is). Members
 that are still in different components afterwards are compared with each other:
 no link between different components is lost. Equal sets are one class from the
-start. Candidates are verified on whole sets.
+start. Parity bitmaps bound the symmetric difference of two sets from below and
+drop pairs that can't link; the other candidates are verified on whole sets.
 
 Shingles are 64-bit hashes. Defined cases: a null or wordless text has an empty
 set, links with nothing and is its own component; texts of fewer than ``size``
@@ -43,6 +44,9 @@ from turnwise.llm import words as W
 from turnwise.llm.components import components
 
 U64 = np.uint64
+#: 64-bit words of the parity bitmap of a set.
+PARITY = 16
+_BITS = "bits struct<" + ", ".join(f"b{k}: bigint" for k in range(PARITY)) + ">"
 #: Share of the hash range in which shingles are counted to order them.
 COUNTED = 0.25
 #: Most shingles that are ordered last (8 bytes each are sent to the workers).
@@ -69,19 +73,38 @@ def smallest_partner(x, percent: int):
     return -(-(percent * x) // 100)
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """Bit k is whether an odd number of shingles falls on k.
+
+    Each shingle that only one of two sets has flips one bit, so the bits in
+    which two bitmaps differ are at most the size of the symmetric difference.
+    """
+    odd = np.bincount((s % U64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _may_link(a: str, b: str, percent: int) -> str:
+    """SQL: the bitmaps allow the overlap that linking takes."""
+    differ = " + ".join(f"bit_count({a}.bits.b{k} ^ {b}.bits.b{k})" for k in range(PARITY))
+    return f"{100 + percent} * ({differ}) <= {100 - percent} * ({a}.n + {b}.n)"
+
+
 def _scan(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, number of shingles and signature of the set of every text."""
+    """doc_id, number of shingles, signature and bitmap of the set of every text."""
 
     def run(batches):
         for batch in batches:
             data, offsets = W.text_buffers(batch.column(1))
-            n, sig = [], []
+            n, sig, bits = [], [], []
             for s in sets(data, offsets, size):
                 n.append(len(s))
                 sig.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n": pa.array(n, pa.int64()), "sig": pa.array(sig, pa.binary())})
+                bits.append(parity(s))
+            words = np.array(bits, dtype=np.int64).reshape(-1, PARITY)
+            packed = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(words[:, k])) for k in range(PARITY)], [f"b{k}" for k in range(PARITY)])
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n": pa.array(n, pa.int64()), "sig": pa.array(sig, pa.binary()), "bits": packed})
 
-    return docs.mapInArrow(run, "doc_id long, n long, sig binary")
+    return docs.mapInArrow(run, f"doc_id long, n long, sig binary, {_BITS}")
 
 
 def _counts(docs: DataFrame, size: int) -> DataFrame:
@@ -246,7 +269,7 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = shared.save(_scan(texts, size), "sets")
-    classes = shared.save(rows.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n")), "classes")
+    classes = shared.save(rows.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "classes")
     ided = rows.join(classes.select("sig", "class_id"), "sig", "left")
 
     counts = shared.save(_counts(texts, size).filter("c > 1"), "counts")
@@ -265,31 +288,32 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         a = pairs.join(class_of.select(F.col("x").alias("a"), F.col("class_id").alias("ca")), "a")
         return a.join(class_of.select(F.col("x").alias("b"), F.col("class_id").alias("cb")), "b")
 
-    def merge(edges: DataFrame) -> DataFrame:
-        return components(edges)
-
     star = lists.filter("doc_id <> c_id").select(F.struct("n", "pos").alias("p"), F.struct(F.col("c_n").alias("n"), F.col("c_pos").alias("pos")).alias("q"), F.col("doc_id").alias("a"), F.col("c_id").alias("b"))
     star = star.filter(_fits("p", "q", percent)).select("a", "b").distinct()
-    star = shared.save(classed(star).filter("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), "star")
+    star = classed(star).filter("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
+    maps = classes.select("class_id", F.struct("n", "bits").alias("s"))
+    known = star.join(maps.select(F.col("class_id").alias("a"), F.col("s").alias("p")), "a").join(maps.select(F.col("class_id").alias("b"), F.col("s").alias("q")), "b")
+    star = shared.save(known.filter(_may_link("p", "q", percent)).select("a", "b").distinct(), "star")
     first = _verify(star, texts, size, percent)
-    part = merge(first)
+    part = components(first)
 
     # members of one list in different components: compare them with each other
     named = lists.select("key", "doc_id", "n", "pos", (F.col("doc_id") == F.col("c_id")).alias("centre")).join(class_of.withColumnRenamed("x", "doc_id"), "doc_id")
     named = named.join(part.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
     mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).filter("lo <> hi AND m > 2").select("key")
     rest = shared.save(named.filter("NOT centre").join(mixed, "key", "left_semi").groupBy("key", "class_id", "component").agg(F.min("n").alias("n"), F.min("pos").alias("pos")), "rest")
-    p, q = rest.alias("p"), rest.alias("q")
-    more = p.join(q, (F.col("p.key") == F.col("q.key")) & F.expr("p.class_id < q.class_id AND p.component <> q.component AND " + _fits("p", "q", percent)))
+    mapped = rest.join(classes.select("class_id", "bits"), "class_id")
+    p, q = mapped.alias("p"), mapped.alias("q")
+    more = p.join(q, (F.col("p.key") == F.col("q.key")) & F.expr("p.class_id < q.class_id AND p.component <> q.component AND " + _fits("p", "q", percent) + " AND " + _may_link("p", "q", percent)))
     more = shared.save(more.select(F.col("p.class_id").alias("a"), F.col("q.class_id").alias("b")).distinct(), "more")
     second = _verify(more.join(star, ["a", "b"], "left_anti"), texts, size, percent)
     if second.isEmpty():
         final = part
     else:
-        final = merge(first.unionAll(second))
+        final = components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(second))
     shared.drop(lists, star, rest, more)
     out = ided.join(final.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id", "doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
