@@ -28,12 +28,12 @@ def duck(sf):
 
 @pytest.mark.parametrize("name", sorted(Q.QUERIES))
 def test_query(spark, duck, sf, name):
+    if name not in Q.ORACLE_SQL:  # rows alone; the smallest tables have no match for some
+        assert Q.QUERIES[name](spark, sf.replace("sf0.001", "sf0.01")).collect()
+        return
     df = Q.QUERIES[name](spark, sf)
     cols = sorted(df.columns)
     rows = [tuple(plain(r[c]) for c in cols) for r in df.collect()]
-    if name not in Q.ORACLE_SQL:
-        assert rows
-        return
     found = duck.execute(Q.ORACLE_SQL[name])
     names = [x[0] for x in found.description]
     assert sorted(names) == cols
