@@ -519,7 +519,7 @@ def _pairs(spark, d):
     t = F.trim(F.regexp_replace(F.regexp_replace(F.lower("text"), "[^a-z0-9 ]", ""), " +", " "))
     a = utterances(spark, d).select("conv_id", "turn", t.alias("t"))
     b = a.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("t").alias("h"))
-    return a.join(b, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.substring("t", 1, 120).alias("ref"), F.substring("h", 1, 120).alias("hyp"))
+    return a.join(b, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("t").alias("ref"), F.col("h").alias("hyp"))
 
 
 @query(f"WITH {PAIRS_SQL} SELECT id, round(CASE WHEN length(replace(ref, ' ', '')) > 0 THEN levenshtein(replace(ref, ' ', ''), replace(hyp, ' ', '')) / length(replace(ref, ' ', '')) WHEN length(hyp) > 0 THEN 1 ELSE 0 END, 6) AS cer FROM pairs")
