@@ -56,3 +56,21 @@ def test_word_errors_of_whole_turns(spark, sf, tmp_path):
     kinds = {r.id: r for r in Q.QUERIES["word_error_kinds"](spark, str(tmp_path)).collect()}
     assert {k: round(r.wer, 6) for k, r in kinds.items()} == rate
     assert all(r.substitutions + r.deletions + r.insertions == distance(*want[k]) for k, r in kinds.items())
+
+
+def test_char_times_of_all_turns(spark, sf):
+    got, want = whole(spark, sf, "char_times", (" WHERE turn = 0", ""), ("SELECT conv_id, k, CAST", "SELECT conv_id, turn, k, CAST"))
+    assert want and got == want
+
+
+def test_token_frames_of_all_turns(spark, sf):
+    from turnwise.operators.tokens import place
+    from turnwise.plans.views import utterances, words
+
+    said = {}
+    for r in words(utterances(spark, sf)).filter("conv_id < 20").collect():
+        ids = [ord(r.word[0]) + i for i in range(int(min(len(r.word) / 3, 3)) + 1)]
+        said.setdefault(r.conv_id, []).append((r.w_start_ms / 1000, r.w_end_ms / 1000, ids))
+    want = {c: (max(e for _, e, _ in w), place([(i, s, e) for s, e, i in sorted(w)], max(e for _, e, _ in w), 12.5, 3, 0)) for c, w in said.items()}
+    got = {r.conv_id: (r.duration, list(r.codes)) for r in Q.QUERIES["token_frames"](spark, sf).filter("conv_id < 20").collect()}
+    assert got == want

@@ -207,8 +207,7 @@ def word_times(spark, d):
     SELECT conv_id, k, CAST(i AS BIGINT) AS i, substr(word, CAST(i + 1 AS BIGINT), 1) AS char, round(w_start_ms + i * ((w_end_ms - w_start_ms) / n), 4) AS c_start FROM c"""
 )
 def char_times(spark, d):
-    w = words(utterances(spark, d)).filter("turn = 0")
-    return segments.split_chars(w).select("conv_id", "k", F.col("i").cast("long").alias("i"), "char", F.round("c_start", 4).alias("c_start"))
+    return segments.split_chars(words(utterances(spark, d))).select("conv_id", "turn", "k", F.col("i").cast("long").alias("i"), "char", F.round("c_start", 4).alias("c_start"))
 
 
 SIGNAL_SQL = "s AS (SELECT vec_id, unnest(embedding) AS v, unnest(range(len(embedding))) AS frame FROM embeddings)"
@@ -785,7 +784,7 @@ def prompted_codes(spark, d):
 
 @query()
 def token_frames(spark, d):
-    w = words(utterances(spark, d)).filter("turn = 0")
+    w = words(utterances(spark, d))
     ids = F.transform(F.sequence(F.lit(0), F.least(F.length("word") / 3, F.lit(3)).cast("int")), lambda i: (F.ascii("word") + i).cast("int"))
     rows = w.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct((F.col("w_start_ms") / 1000.0).alias("start"), (F.col("w_end_ms") / 1000.0).alias("end"), ids.alias("ids")))).alias("words"), (F.max("w_end_ms") / 1000.0).alias("duration"))
     return tokens.frame_layout(rows, 12.5, 3, 0)
