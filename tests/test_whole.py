@@ -1,5 +1,7 @@
 """Queries over whole texts and tables; their registered SQL still has cuts, which are taken out here."""
 
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -18,7 +20,8 @@ def whole(spark, sf, name, *cuts):
         sql = sql.replace(old, new)
     c = duckdb.connect()
     for t in TABLES:
-        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+        if Path(sf, f"{t}.parquet").exists():
+            c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet{'/*.parquet' * Path(sf, f'{t}.parquet').is_dir()}'")
     found = c.execute(sql)
     want = rows_of([x[0] for x in found.description], found.fetchall())
     df = Q.QUERIES[name](spark, sf)
@@ -74,3 +77,21 @@ def test_token_frames_of_all_turns(spark, sf):
     want = {c: (max(e for _, e, _ in w), place([(i, s, e) for s, e, i in sorted(w)], max(e for _, e, _ in w), 12.5, 3, 0)) for c, w in said.items()}
     got = {r.conv_id: (r.duration, list(r.codes)) for r in Q.QUERIES["token_frames"](spark, sf).filter("conv_id < 20").collect()}
     assert got == want
+
+
+def test_durations_of_all_lengths(spark, sf, tmp_path):
+    spark.range(150_000).selectExpr("id AS doc_id", "id AS n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    for d in (sf, str(tmp_path)):
+        got, want = whole(spark, d, "formatted_durations", (" WHERE n_chars < 600", ""))
+        assert want and got == want
+    assert {x[1][-1] for x in got} == set("smh") and len(got) == 150_000
+
+
+def test_speakers_of_all_rows(spark, sf, tmp_path):
+    names = [None, "src1", " SRC1 ", "Unknown", " ann ", "", "n/a", "speaker_unknown"]
+    spark.createDataFrame(list(enumerate(names)), "doc_id long, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.speaker for r in Q.QUERIES["normalized_speakers"](spark, str(tmp_path)).collect()}
+    none = "UNKNOWN_SPEAKER"
+    assert [got.get(i) for i in range(len(names))] == [none, "src1", "SRC1", none, "ann", none, none, none]
+    got, want = whole(spark, sf, "normalized_speakers", (" WHERE lower(trim(source)) <> 'src1'", ""), (", 'src1')", ")"))
+    assert want and got == want

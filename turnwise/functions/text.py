@@ -133,8 +133,10 @@ def with_filler(c: str | Column, fillers: list[str], p: float, seed: int, *keys:
 
 
 def format_duration(seconds: str | Column) -> Column:
-    s = _col(seconds)
-    return F.when(s < 60, F.format_string("%.1fs", s.cast("double"))).when(s < 3600, F.format_string("%.1fm", s / 60)).otherwise(F.format_string("%.1fh", s / 3600))
+    """One decimal, rounded as printf does: the double's own value, ties to even."""
+    s = _col(seconds).cast("double")
+    shown = lambda x, unit: F.concat(F.call_function("format_number", x, F.lit("0.0")), F.lit(unit))
+    return F.when(s < 60, shown(s, "s")).when(s < 3600, shown(s / 60, "m")).otherwise(shown(s / 3600, "h"))
 
 
 def format_size(size: str | Column) -> Column:

@@ -634,7 +634,7 @@ def alternating_speakers(spark, d):
 
 @query("SELECT doc_id, CASE WHEN source IS NULL OR lower(trim(source)) IN ('?', '', 'unknown', 'n/a', 'none', 'null', '-', 'speaker_unknown', 'unidentified', 'src1') THEN 'UNKNOWN_SPEAKER' ELSE trim(source) END AS speaker FROM documents WHERE lower(trim(source)) <> 'src1'")
 def normalized_speakers(spark, d):
-    return read(spark, d, "documents").filter("lower(trim(source)) <> 'src1'").select("doc_id", filters.normalize_speaker("source").alias("speaker"))
+    return read(spark, d, "documents").select("doc_id", filters.normalize_speaker("source").alias("speaker"))
 
 
 @query(
@@ -798,7 +798,7 @@ def json_fields(spark, d):
 
 @query("SELECT doc_id, CASE WHEN n_chars / 10.0 < 60 THEN printf('%.1fs', n_chars / 10.0) WHEN n_chars / 10.0 < 3600 THEN printf('%.1fm', n_chars / 10.0 / 60) ELSE printf('%.1fh', n_chars / 10.0 / 3600) END AS duration FROM documents WHERE n_chars < 600")
 def formatted_durations(spark, d):
-    return read(spark, d, "documents").filter("n_chars < 600").select("doc_id", T.format_duration(F.col("n_chars") / 10.0).alias("duration"))
+    return read(spark, d, "documents").select("doc_id", T.format_duration(F.col("n_chars") / 10.0).alias("duration"))
 
 
 # statistics and synthesis --------------------------------------------------------------------------------
