@@ -24,7 +24,7 @@ def whole(spark, sf, name, *cuts):
             c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet{'/*.parquet' * Path(sf, f'{t}.parquet').is_dir()}'")
     found = c.execute(sql)
     want = rows_of([x[0] for x in found.description], found.fetchall())
-    df = Q.QUERIES[name](spark, sf)
+    df = Q.QUERIES[name](spark, sf).select(*(x[0] for x in found.description))
     return rows_of(df.columns, [tuple(r) for r in df.collect()]), want
 
 
@@ -95,3 +95,17 @@ def test_speakers_of_all_rows(spark, sf, tmp_path):
     assert [got.get(i) for i in range(len(names))] == [none, "src1", "SRC1", none, "ann", none, none, none]
     got, want = whole(spark, sf, "normalized_speakers", (" WHERE lower(trim(source)) <> 'src1'", ""), (", 'src1')", ")"))
     assert want and got == want
+
+
+def test_bleu_of_order_4(spark, sf):
+    import math
+    from collections import Counter
+
+    pairs = [(r.ref.split(), r.hyp.split()) for r in Q._pairs(spark, sf).collect()]
+    grams = lambda w, n: Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+    hit = [sum((grams(r, n) & grams(h, n)).total() for r, h in pairs) for n in range(1, 5)]
+    logs = [math.log(hit[n - 1] / sum(grams(h, n).total() for _, h in pairs)) for n in range(1, 5)]
+    shorter = sum(len(r) for r, _ in pairs) / sum(len(h) for _, h in pairs)
+    want = [min(1, math.exp(1 - shorter)) * math.exp(sum(logs[:n]) / n) for n in range(1, 5)]
+    r = Q.QUERIES["corpus_bleu"](spark, sf).first()
+    assert [r[f"bleu{n}"] for n in range(1, 5)] == pytest.approx(want, abs=1e-6)

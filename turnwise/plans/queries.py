@@ -559,7 +559,7 @@ def _ngram_sql(n: int) -> str:
 )
 def corpus_bleu(spark, d):
     p = _pairs(spark, d).select("id", T.word_array("ref").alias("ref"), T.word_array("hyp").alias("hyp"))
-    return metrics.corpus_bleu(p, 2)
+    return metrics.corpus_bleu(p, 4)
 
 
 RULES = [("\\bthe\\b", "da"), ("ing\\b", "in"), ("tion\\b", "shun"), ("\\band\\b", "n")]
