@@ -357,3 +357,14 @@ def test_licenses(spark, docs, texts, empty):
     assert set(got) == {(400, "MIT-notice"), (401, "MIT-notice"), (402, "MIT"), (402, "CC-BY-NC-4.0")}
     assert got[400, "MIT-notice"] == 1 and 0.95 < got[401, "MIT-notice"] < 1
     assert licenses.scan_licenses(empty).collect() == []
+
+
+def test_toxicity_body_takes_all_ordinary_windows(monkeypatch):
+    seen = []
+    trained = toxicity._trained
+    monkeypatch.setattr(toxicity, "_trained", lambda size, samples: seen.append(len(samples)) or trained(size, samples))
+    long = " ".join(f"w{k % 977}" for k in range(600))
+    ordinary = [long] * 3300
+    toxicity.train(["vile words here"] * 9, ordinary)
+    data, offsets = toxicity._column(ordinary[:2200])
+    assert seen == [len(toxicity.windows(data, offsets)[1])] and seen[0] > 60_000

@@ -183,7 +183,7 @@ def train(toxic: list[str], ordinary: list[str]) -> Model:
     ord_fit, ord_cal = ordinary[: -(-2 * len(ordinary) // 3)], ordinary[-(-2 * len(ordinary) // 3) :] or ordinary
     vocab = [_vocabulary(t) for t in (tox_fit, ord_fit)]
     least = max(3, len(tox_fit) // 60)
-    body = _trained(BODY, [p for c in _parts(ord_fit[:2000]) for p in windows(*c)[1]][:60_000])
+    body = _trained(BODY, [p for c in _parts(ord_fit) for p in windows(*c)[1]])
     own = [_own_words(tox_fit, vocab[1], least), _own_words(ord_fit, vocab[0], least)]
     toxic_part, ordinary_part = (b" " + b"".join(x)[-EXTRA:] + b" " for x in own)
     size = len(toxic_part)
