@@ -368,3 +368,17 @@ def test_toxicity_body_takes_all_ordinary_windows(monkeypatch):
     toxicity.train(["vile words here"] * 9, ordinary)
     data, offsets = toxicity._column(ordinary[:2200])
     assert seen == [len(toxicity.windows(data, offsets)[1])] and seen[0] > 60_000
+
+
+def test_license_versions_and_whole_texts():
+    scanner = licenses.Scanner(licenses.TEMPLATES, 0.8, licenses.PHRASES)
+
+    def names(text):
+        data, offsets = toxicity._column([text])
+        return [x[1] for x in scanner.scan(data, offsets)]
+
+    assert {n: names("before " + t + " after") for n, t in licenses.TEMPLATES.items()} == {n: [n] for n in licenses.TEMPLATES}
+    line = "This work is licensed under the GNU {}Public License, version {}"
+    assert names("Licensed under CC BY-SA 4.0") == ["CC-BY-SA-4.0-short"] and names("Licensed under CC BY 4.0") == ["CC-BY-4.0-short"]
+    assert names(line.format("General ", 2)) == ["GPL-2.0"] and names(line.format("Lesser General ", 3)) == ["LGPL-3.0"]
+    assert names(line.format("General ", 4)) == [] and names("Licensed under CC BY-XX 4.0") == []
