@@ -382,3 +382,21 @@ def test_license_versions_and_whole_texts():
     assert names("Licensed under CC BY-SA 4.0") == ["CC-BY-SA-4.0-short"] and names("Licensed under CC BY 4.0") == ["CC-BY-4.0-short"]
     assert names(line.format("General ", 2)) == ["GPL-2.0"] and names(line.format("Lesser General ", 3)) == ["LGPL-3.0"]
     assert names(line.format("General ", 4)) == [] and names("Licensed under CC BY-XX 4.0") == []
+
+
+def test_shards_of_the_benchmark_do_not_matter(spark, monkeypatch):
+    rng = random.Random(5)
+    vocab = [f"w{k}" for k in range(80)]
+    items = [(i, " ".join(rng.choices(vocab, k=rng.randint(8, 30))) + ".") for i in range(60)]
+    docs = []
+    for i, text in items:
+        said = text[:-1].split()
+        docs.append((i, " ".join(rng.choices(vocab, k=40) + said[: len(said) - i % 5] + rng.choices(vocab, k=40))))
+    docs, table = (spark.createDataFrame(x, s) for x, s in ((docs, "doc_id long, text string"), (items, "item_id long, text string")))
+
+    def leaks():
+        return sorted((r.doc_id, r.item_id, round(r.score, 9), r.question_overlap, r.answer_overlap) for r in decontam.find_leaks(docs, table, 0.6, 0.3, 0.3).collect())
+
+    one = leaks()
+    monkeypatch.setattr(decontam, "SHARD_ITEMS", 9)
+    assert one and leaks() == one

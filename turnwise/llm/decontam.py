@@ -17,7 +17,8 @@ single sentence the last third) are in the passage.
 
 The index is made in shards of at most ``SHARD_ITEMS`` items, one pass over the
 documents each, so what a worker holds stays bounded however many items there
-are.
+are. Document frequencies, the number of items and their mean and greatest length
+are those of the whole benchmark in every shard, so shards don't change results.
 
 Defined cases: null or wordless items match nothing; repeated items match each
 under its own item_id; null and wordless documents have no passages; repeated
@@ -68,24 +69,48 @@ def _grams(h: np.ndarray) -> np.ndarray:
     return np.unique(out)
 
 
+class Totals:
+    """Statistics of a whole benchmark, gathered shard by shard."""
+
+    def __init__(self):
+        self.items = self.words = self.longest = 0
+        self.terms, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, hashes: list[np.ndarray]) -> Totals:
+        used = [h for h in hashes if len(h)]
+        if used:
+            self.items += len(used)
+            self.words += sum(map(len, used))
+            self.longest = max(self.longest, *map(len, used))
+            terms, counts = np.unique(np.concatenate([np.unique(h) for h in used]), return_counts=True)
+            self.terms, inv = np.unique(np.concatenate([self.terms, terms]), return_inverse=True)
+            self.counts = np.bincount(inv, weights=np.concatenate([self.counts, counts])).astype(np.int64)
+        return self
+
+    def frequencies(self, terms: np.ndarray) -> np.ndarray:
+        return self.counts[np.searchsorted(self.terms, terms)]
+
+
 class Index:
     """Inverted index of test items with block maxima."""
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float):
+    def __init__(self, items: list[tuple[int, str]], threshold: float, whole: Totals | None = None):
         self.threshold = threshold
         hashes = [_hashes(text or "") for _, text in items]
         used = [k for k, h in enumerate(hashes) if len(h)]
         self.item_ids = [items[k][0] for k in used]
         hashes = [hashes[k] for k in used]
         self.parts = [tuple((_grams(h), min(NGRAM, len(h))) for h in map(_hashes, split_item(items[k][1]))) for k in used]
-        self.longest = max(map(len, hashes), default=1)
         n = len(hashes)
-        mean = sum(map(len, hashes)) / max(n, 1)
+        whole = whole or Totals().add(hashes)
+        self.longest = max(whole.longest, 1)
+        mean = whole.words / max(whole.items, 1)
         self.terms = np.unique(np.concatenate(hashes)) if n else np.zeros(0, np.uint64)
         t = len(self.terms)
         pairs = [np.unique(np.searchsorted(self.terms, h), return_counts=True) for h in hashes]
         df = np.bincount(np.concatenate([p[0] for p in pairs]), minlength=t) if n else np.zeros(0)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
+        every = whole.frequencies(self.terms)
+        idf = np.log1p((whole.items - every + 0.5) / (every + 0.5))
         term, item, impact = [], [], []
         for k, (ids, tf) in enumerate(pairs):
             w = idf[ids] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(hashes[k]) / mean))
@@ -224,9 +249,14 @@ def _shards(benchmark: DataFrame, threshold: float):
     """Indexes of at most about SHARD_ITEMS items each."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text IS NOT NULL")
     shards = -(-items.count() // SHARD_ITEMS)
+    part = lambda k: sorted((r.item_id, r.text) for r in items.filter(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k).collect())
+    whole = None
+    if shards > 1:
+        whole = Totals()
+        for k in range(shards):
+            whole.add([_hashes(text) for _, text in part(k)])
     for k in range(shards):
-        rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k).collect()
-        yield Index(sorted((r.item_id, r.text) for r in rows), threshold)
+        yield Index(part(k), threshold, whole)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, question: float = 0.7, answer: float = 0.7) -> DataFrame:
