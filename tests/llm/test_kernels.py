@@ -100,3 +100,32 @@ def test_patience():
     assert patience([], [1]) == [] and patience([1], []) == []
     got = patience([7, 1, 8, 2, 9, 3], [1, 2, 3])
     assert got == [(1, 0), (3, 1), (5, 2)]
+
+
+def thue_morse(n=10):
+    """Two words of 2 ** n letters that every linear polynomial hash modulo 2 ** 64 takes for one."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_repetitive_words_differ():
+    a, b = thue_morse()
+    w = W.Words(*W.text_buffers(pa.array([f"{a} {b}", a[:64], b[:64]])))
+    assert len(set(w.hash.tolist())) == 4
+
+
+@pytest.mark.parametrize(("name", "mode"), [("word_bpe_49k.json", "words"), ("byte_bpe_50k.json", "spaces")])
+def test_ids_of_colliding_words(name, mode, monkeypatch):
+    a, b = thue_morse()
+    enc = toks.Encoder(vocabulary(name), mode)
+    docs = [f"x {a}", f"x {b}", "", "x" * 3000 + " y", "y " + "x" * 3000]
+    want = sum((enc._whole(t).tolist() for t in docs), [])
+    assert enc.encode(*W.text_buffers(pa.array(docs)))[0].tolist() == want
+    full = W.span_hash
+    monkeypatch.setattr(W, "span_hash", lambda *x: full(*x) & np.uint64(3))  # nearly all units collide
+    enc = toks.Encoder(vocabulary(name), mode)
+    assert enc.mode == mode
+    for _ in range(2):
+        assert enc.encode(*W.text_buffers(pa.array(docs)))[0].tolist() == want

@@ -5,7 +5,9 @@ ids of a text are those of its units in order: words where white space is
 dropped ("words"), a run of white space with the word behind it where it is
 kept ("spaces"). Each distinct unit is encoded by the library once and kept in
 a bounded cache of the Python worker; the ids of all texts are then gathered by
-numpy. Texts holding other Unicode white space go through the library whole.
+numpy. The cache is found by a hash of the unit, and the bytes of every unit are
+compared with those of its entry: texts with a unit that differs go through the
+library whole, as do texts that hold other Unicode white space.
 """
 
 from __future__ import annotations
@@ -54,6 +56,9 @@ class Encoder:
         self.begin = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
+        self.bytes = np.zeros(0, np.uint8)  # of all units, one after another
+        self.at = np.zeros(0, np.int64)
+        self.length = np.zeros(0, np.int64)
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
@@ -67,10 +72,30 @@ class Encoder:
             sizes.append(np.bincount(of, minlength=len(units[i : i + 2000])))
         flat, sizes = np.concatenate(flat), np.concatenate(sizes)
         begin = np.cumsum(sizes) - sizes + len(self.flat)
+        raw = [u.encode() for u in units]
+        length = np.array([len(r) for r in raw], dtype=np.int64)
+        spot = np.cumsum(length) - length + len(self.bytes)
+        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(raw), np.uint8)])
         at = np.searchsorted(self.keys, keys)
-        self.keys, self.begin, self.size = (np.insert(a, at, b) for a, b in ((self.keys, keys), (self.begin, begin), (self.size, sizes)))
+        more = {"keys": keys, "begin": begin, "size": sizes, "at": spot, "length": length}
+        for name, values in more.items():
+            setattr(self, name, np.insert(getattr(self, name), at, values))
         self.flat = np.concatenate([self.flat, flat])
 
+    def _differ(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """Units whose bytes aren't those of the entries ``found``."""
+        size, spot = end - start, self.at[found]
+        wrong = size != self.length[found]
+        mine, kept = W.lanes(data), W.lanes(self.bytes)
+        some, k = np.flatnonzero(~wrong & (size <= W.LONG)), 0
+        while len(some):
+            wrong[some] = W.lane(mine, start[some], size[some], k) != W.lane(kept, spot[some], size[some], k)
+            k += 1
+            some = some[~wrong[some] & (size[some] > 8 * k)]
+        for i in np.flatnonzero(~wrong & (size > W.LONG)).tolist():
+            wrong[i] = not np.array_equal(data[start[i] : end[i]], self.bytes[spot[i] : spot[i] + size[i]])
+        return np.flatnonzero(wrong)
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts one after another, and per text their number."""
         rows = len(offsets) - 1
@@ -104,12 +129,12 @@ class Encoder:
         if new.any():
             at = where[new]
             self._learn(keys[new], [raw[a:b].decode() for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)])
-        found = np.searchsorted(self.keys, keys)
-        size, begin = self.size[found][inv], self.begin[found][inv]
+        found = np.searchsorted(self.keys, keys)[inv]
+        size, begin = self.size[found], self.begin[found]
         done = np.cumsum(size)
         ids = self.flat[np.repeat(begin - (done - size), size) + np.arange(done[-1] if len(done) else 0)]
         counts = np.bincount(row, weights=size, minlength=rows).astype(np.int64)
-        odd = self._odd(raw, offsets)
+        odd = sorted({*self._odd(raw, offsets), *row[self._differ(data, start, end, found)].tolist()})
         if odd:
             ends = np.cumsum(counts)
             parts, at = [], 0
@@ -122,9 +147,9 @@ class Encoder:
         return ids, counts
 
     @staticmethod
-    def _odd(raw: bytes, offsets: np.ndarray) -> list[int]:
+    def _odd(raw: bytes, offsets: np.ndarray) -> set[int]:
         """Texts with white space that isn't ASCII."""
         rows: set[int] = set()
         for m in _ODD_BYTES.finditer(raw):
             rows.add(int(np.searchsorted(offsets, m.start(), side="right")) - 1)
-        return sorted(r for r in rows if _OTHER_SPACE.search(raw[offsets[r] : offsets[r + 1]].decode()))
+        return {r for r in rows if _OTHER_SPACE.search(raw[offsets[r] : offsets[r + 1]].decode())}

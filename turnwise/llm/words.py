@@ -2,8 +2,10 @@
 
 A word is a maximal run of bytes outside ``\\x20 \\x09-\\x0D``, which is the
 regular expression ``[^\\x20\\x09-\\x0D]+`` on the decoded text. Words are
-identified by a 64-bit polynomial hash over a random byte table; the hash of
-every word of a chunk costs a few numpy passes and no Python per word.
+identified by a 64-bit hash of their bytes: eight bytes at a time go through a
+mixer that isn't linear, so repetitive words don't collide by construction. The
+hashes of a chunk cost a few numpy passes; only spans above ``LONG`` bytes are
+hashed one by one, by xxh3.
 Arrays over the bytes of a chunk stay bounded by ``CHUNK`` (or by the longest
 single text).
 """
@@ -14,32 +16,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Bytes of text handled at once, at least one whole text.
 CHUNK = 2_000_000
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
-_TABLE = np.random.default_rng(20240229).integers(1, 2**62, 256, dtype=np.uint64) * U64(2) + U64(1)
-_LOWER_TABLE = _TABLE.copy()
-_LOWER_TABLE[65:91] = _TABLE[97:123]
+#: Spans above this many bytes are hashed by xxh3.
+LONG = 128
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: All ASCII but letters and digits.
 _MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(name: str, base: int, n: int) -> np.ndarray:
-    have = _powers.get(name)
-    if have is None or len(have) < n:
-        have = np.empty(max(n, 1024), dtype=np.uint64)
-        have[0] = 1
-        have[1:] = U64(base)
-        np.cumprod(have, out=have)
-        if n <= 4 * CHUNK:
-            _powers[name] = have
-    return have[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -114,13 +105,36 @@ class Words:
         return self.data[self.start[i] : self.end[i]].tobytes().decode("utf-8", "replace")
 
 
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every byte of ``data`` on, as little-endian integers."""
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+
+
+def lane(at: np.ndarray, start: np.ndarray, size: np.ndarray, k: int) -> np.ndarray:
+    """Lane k of spans of ``size`` bytes, those behind the span's end cleared."""
+    cut = U64(8) * np.maximum(8 * (k + 1) - size, 0).astype(np.uint64)
+    return (at[start + 8 * k] << cut) >> cut
+
+
 def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
     """64-bit hashes of byte spans, equal for equal bytes."""
-    n = len(data)
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((_LOWER_TABLE if lower else _TABLE)[data] * _power("up", _BASE, n), out=total[1:])
-    down = _power("down", pow(_BASE, -1, 1 << 64), n + 1)
-    return mix((total[end] - total[start]) * down[start])
+    if lower:
+        data = _LOWER[data]
+    size = end - start
+    out = mix(size.astype(np.uint64) + U64(1))
+    at = lanes(data)
+    some = np.flatnonzero((size > 0) & (size <= LONG))
+    k = 0
+    while len(some):
+        x = lane(at, start[some], size[some], k)
+        out[some] = mix((out[some] ^ x) * U64(_BASE) + (x >> U64(29)))
+        k += 1
+        some = some[size[some] > 8 * k]
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes())
+    return out
 
 
 def shingles(words: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
