@@ -171,40 +171,99 @@ def test_components(spark):
     assert all(got.get(x, x) == find(x) for e in edges if e[0] is not None for x in e)
 
 
-def test_lm(docs, texts, empty):
-    got = {r.doc_id: r for r in lm.score_documents(docs, tasks=3).collect()}
+def plain_lm(texts, mu=100.0, tau=0.02):
+    """Per document: held out, tokens, known tokens, training tokens, base score, score."""
     tokens = {i: WORD.findall((t or "").translate(LOW)) + [None] for i, t in texts.items()}
     train = [i for i in tokens if zlib.crc32(str(i).encode()) % 5 != 1]
-    c, pair, ahead = collections.Counter(), collections.Counter(), collections.Counter()
+    c, c2, c3 = collections.Counter(), collections.Counter(), collections.Counter()
     for i in train:
-        h = 0
-        for t in tokens[i]:
-            c[t] += 1
-            pair[h, t] += 1
-            ahead[h] += 1
-            h = t
+        w = [0, 0, *tokens[i]]
+        c.update(tokens[i])
+        c2.update(zip(w[1:], w[2:]))
+        c3.update(zip(w, w[1:], w[2:]))
     z = sum(c.values()) + 0.5 * (len(c) + 1)
-    for i, w in tokens.items():
-        r, h, score = got[i], 0, 0.0
-        for t in w:
-            score += math.log10((pair[h, t] + 100 * (c[t] + 0.5) / z) / (ahead[h] + 100))
-            h = t
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (i not in train, len(w), sum(c[t] > 0 for t in w), sum(c.values()))
-        assert r.base_score == pytest.approx(sum(math.log10((c[t] + 0.5) / z) for t in w), rel=1e-9)
-        assert r.score == pytest.approx(score, rel=2e-2)
+    c[0] = c2[0, 0] = len(train)
+    out = {}
+    for i, words in tokens.items():
+        w = [0, 0, *words]
+        p = {t: (c[t] + 0.5) / z for t in words}
+        score = sum(math.log10((c3[u, v, t] + tau * (c2[v, t] + mu * p[t])) / (c2[u, v] + tau * (c[v] + mu))) for u, v, t in zip(w, w[1:], w[2:]))
+        out[i] = (i not in train, len(words), sum(c[t] > 0 for t in words), sum(c.values()) - c[0], sum(math.log10(x) for x in map(p.get, words)), score)
+    return out
+
+
+def same_scores(got, want, rel):
+    assert (got.held_out, got.n_tokens, got.n_known, got.train_tokens) == want[:4]
+    assert got.base_score == pytest.approx(want[4], rel=1e-9)
+    assert got.score == pytest.approx(want[5], rel=rel)
+
+
+@pytest.mark.parametrize("tasks", [1, 3, 30])  # with many shards most n-grams are frequent ones, dealt over all of them
+def test_lm(docs, texts, empty, tasks, tmp_path):
+    got = {r.doc_id: r for r in lm.score_documents(docs, tasks=tasks, model_dir=str(tmp_path)).collect()}
+    want = plain_lm(texts)
+    assert got.keys() == want.keys()
+    for i, w in want.items():
+        same_scores(got[i], w, 2e-3)
+    model = lm.Model(str(tmp_path), keep=5)  # from the files alone: the same scores, and new texts
+    for i, r in zip(texts, model.score([t or "" for t in texts.values()])):
+        assert r[:2] == (got[i].n_tokens, got[i].n_known) and r[2:] == pytest.approx((got[i].base_score, got[i].score), rel=1e-9)
+    new = "one two three four one two unseen " + texts[0]
+    i = next(i for i in range(1000, 2000) if zlib.crc32(b"%d" % i) % 5 == 1)
+    fresh = plain_lm(texts | {i: new})[i]
+    assert fresh[0] and model.score([new])[0][3] == pytest.approx(fresh[5], rel=2e-3)
     assert lm.score_documents(empty).collect() == []
 
 
-def test_trie():
-    rng = np.random.default_rng(0)
-    word = np.sort(rng.integers(0, 2**64, 500, dtype=np.uint64)[rng.integers(0, 500, 3000)])
-    context = rng.integers(0, 300, 3000, dtype=np.uint64) * np.uint64(7)
-    both = np.unique(np.stack([word, context], axis=1), axis=0)
-    gain = rng.random(len(both))
-    raw = np.frombuffer(lm.build_trie(both[:, 0].copy(), both[:, 1].copy(), gain), np.uint8)
-    t = lm.Trie(raw)
-    assert np.abs(t.gain(both[:, 0], both[:, 1]) - gain).max() < 0.01
-    assert not t.gain(both[:, 0], both[:, 1] + np.uint64(1)).any()
+def test_lm_probabilities_sum_to_one(docs, texts, tmp_path):
+    lm.score_documents(docs, tasks=1, model_dir=str(tmp_path)).count()
+    model, head = lm.Model(str(tmp_path)), " ".join(texts[0].split()[:2])
+    words = sorted({w for i, t in texts.items() if zlib.crc32(str(i).encode()) % 5 != 1 for w in WORD.findall((t or "").translate(LOW))})
+    token, v, u, doc = lm._tokens(*lm.W.text_buffers(lm.pa.array([head, *(f"{head} {w}" for w in words), f"{head} unseenword"])))
+    third = np.flatnonzero(np.arange(len(doc)) - np.searchsorted(doc, doc) == 2)  # the end, every word, an unknown one
+    token, v, u, shard = token[third], v[third], u[third], model.par.shard(token, v, u, doc)[third]
+    whole = 0.0
+    for s in np.unique(shard).tolist():
+        at = shard == s
+        count, gain, _ = model._trie(s).lookup(token[at], v[at], u[at], model.par)
+        whole += ((count + 0.5) / model.par.norm * 10**gain).sum() * model.par.tau * model.par.mu
+    two, one = plain_counts(texts, head.split())
+    assert two and whole == pytest.approx(two + model.par.tau * (one + model.par.mu), rel=1e-2)
+
+
+def plain_counts(texts, head):
+    """How often the two words of ``head`` stand in training texts, and the second alone."""
+    two = one = 0
+    for i, t in texts.items():
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            w = WORD.findall((t or "").translate(LOW))
+            one += w.count(head[1])
+            two += sum(p == tuple(head) for p in zip(w, w[1:]))
+    return two, one
+
+
+def test_lm_wide_batches(spark):
+    rows = spark.range(70_000).selectExpr("id AS doc_id", "if(id % 7 = 0, 'a b c', if(id % 7 < 3, 'a b', '')) AS text").coalesce(1)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
+    try:
+        got = lm.score_documents(rows, tasks=2).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    want = plain_lm({i: "a b c" if i % 7 == 0 else "a b" if i % 7 < 3 else "" for i in range(70_000)})
+    assert len(got) == 70_000
+    for r in got:
+        same_scores(r, want[r.doc_id], 1e-6)
+
+
+def test_lm_of_a_hot_word(spark, tmp_path):
+    """One word, one pair and one triple are nearly all tokens: they are dealt over the shards."""
+    texts = {i: "the cat sat " * 30 + f"w{i}" for i in range(80)} | {100: "the " * 900, 101: "", 102: "sat the cat"}
+    got = lm.score_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), tasks=2, model_dir=str(tmp_path)).collect()
+    want = plain_lm(texts)
+    for r in got:
+        same_scores(r, want[r.doc_id], 1e-3)
+    assert all(len(k) for k in lm.Model(str(tmp_path)).par.keys)
 
 
 def test_quality(spark, docs, texts, empty):

@@ -1,43 +1,59 @@
 """Language-model scoring by a sharded Elias-Fano n-gram trie.
 
-The model is a bigram model with Dirichlet smoothing towards the smoothed
-unigrams: p(w | h) = (c(h w) + mu p(w)) / (c(h) + mu) with
-p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)). Tokens are words and one end a text;
-the context of a first token is the start of text. Nothing is pruned: every
-training bigram is in the model, which grows with the corpus.
-
-log10 p(w | h) = log10 p(w) + log10 mu - log10(c(h) + mu) + gain(h, w), where
-gain = log10(1 + c(h w) / (mu p(w))) is 0 for bigrams not seen in training. All
-of these terms but global constants belong to single words or bigrams, so the
-trie is rooted at the predicted word and sharded by it:
-
-* pass 1 counts training words (partial counts a task): N, V and the words too
-  frequent for one shard, at most ``4 * shards`` of them;
-* pass 2 packs every token as (word, context, document) into one blob a shard
-  and batch. Frequent words are dealt over all shards by their context;
-* a shard builds its trie (words, pointers, contexts coded relative to the range
-  of their word, gains quantised to 8 bits), writes the levels to a file in the
-  shared folder, maps it, and looks up every bigram of its blobs by successor
-  search in the range of its word. It returns one row of packed partial sums a batch of
-  documents, which a last shuffle adds up batch by batch. These rows hold a sum
-  for each document and shard task that share a word: they grow with the number
-  of shard tasks until a document has one word a task.
-
-Words are identified by 64-bit hashes, contexts within a word by 40 bits of
-them. ``base_score`` is exact up to floating point; ``score`` carries the
-quantisation (each gain is replaced by the mean of its bin).
-
-Defined cases: a null text is empty, its tokens are the end alone; repeated rows
-are separate documents and train as often as they occur; a null doc_id belongs
-to the training part (its checksum is taken as remainder 0) and is returned as
-null; without training documents all counts are 0; an empty table gives no
-rows; other columns are ignored.
+The model is a trigram model by count merging: shorter n-grams are added as pseudo
+counts. With p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)),
+
+    p(w | u v) = (c(u v w) + tau (c(v w) + mu p(w))) / (c(u v) + tau (c(v) + mu)),
+
+which sums to 1 over the vocabulary and one unknown word. Tokens are words and one
+end a text; before the first token stand two starts. Nothing is pruned: every
+training trigram is in the model, which grows with the corpus.
+
+The numerator needs counts of n-grams that end in w alone, the denominator those
+of n-grams that end in v, the token before. So the trie is rooted at the predicted
+word, its contexts go from right to left (w, then v, then u), and a shard holds all
+that its words need: each token brings its own numerator and, for the token behind
+it, the denominator.
+
+* Pass 1 counts words (partial counts a task): N, V, the number of shards, and the
+  words too frequent for one shard. Pass 2 counts pairs and triples of such words.
+  Of each kind at most ``4 * shards`` are frequent.
+* Every token goes to its word's shard as (word, v, u, document), packed in one
+  blob a shard and batch. Frequent words are dealt over all shards by v, frequent
+  pairs by u, frequent triples by document.
+* A shard first writes its trie to a file from the training tokens, then maps the
+  file and looks up every token in it. What is looked up comes from the files and
+  the manifest alone, as it does in ``Model``, which scores other texts.
+* Partial sums of each batch of documents are added up by a last shuffle. A batch
+  gets a sum for each document and shard task that share a word, so that shuffle
+  grows with the number of shard tasks until a document has one word a task.
+
+A file holds, Elias-Fano coded: the words; the contexts of the shard; sums of the
+words' counts; pointers from words to their pairs and from pairs to their triples;
+contexts as places among those of the shard, relative to the last of the range
+before. A search is a successor search within the range of the parent. Gains
+log10(numerator / (tau mu p(w))) and pairs' log10 denominators are quantised to 256
+bins, each by its mean. ``manifest.json`` has the totals, the parameters and the
+counts of frequent words, pairs and triples. A file's name is its shard, so another
+attempt of a task replaces the file by the same content.
+
+Words are identified by 64-bit hashes, contexts by 40 bits of them. ``base_score``
+is exact up to floating point; ``score`` carries the quantisation.
+
+Defined cases: a null text is empty, its tokens are the end alone; texts of any
+length are taken whole, a batch holds one text at least; repeated rows are separate
+documents and train as often as they occur; a null doc_id belongs to the training
+part (its checksum is taken as remainder 0) and is returned as null; equal texts
+get equal scores; without training documents all counts are 0; an empty table gives
+no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import zlib
+from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
@@ -50,14 +66,18 @@ from turnwise.llm import words as W
 from turnwise.llm.eliasfano import EliasFano, encode
 
 U64 = np.uint64
-END, START = U64(0x1D), U64(0x2D)
+#: Hashes of the end and the start of a text.
+END, START = U64(0xA24BAED4963EE407), U64(0x9FB21C651E98DF25)
 CONTEXT_BITS = 40
+_DROP = U64(64 - CONTEXT_BITS)
+#: Tokens a shard holds on average at most.
+SHARD_TOKENS = 1_000_000
 #: Tokens and documents gathered before they are packed into blobs.
-FLUSH_TOKENS, FLUSH_DOCS = 2_500_000, 60_000
+FLUSH_TOKENS, FLUSH_DOCS = 2_500_000, 500_000
 #: Documents whose partial sums a shard task keeps before it returns them.
 FLUSH_SUMS = 1_000_000
-BLOB = "shard int, base long, docs int, train binary, words binary, runs binary, context binary, doc binary, ids binary, sizes binary"
-SUMS = "base long, docs int, at binary, sums binary, ids binary, sizes binary"
+BLOB = "shard int, base long, docs int, train binary, words binary, runs binary, contexts binary, v binary, u binary, doc binary, ids binary, sizes binary"
+SUMS = "base long, docs int, at binary, known binary, sums binary, ids binary, sizes binary"
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
 NULL_ID = -(2**63)
 
@@ -71,220 +91,428 @@ def _ids(column: pa.Array) -> np.ndarray:
     return column.cast(pa.int64()).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
 
 
-def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token and context hashes and the document of each, ends included."""
+def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of every token, ends included, its contexts v and u (40 bits), its document."""
     w = W.Words(data, offsets)
-    rows = len(offsets) - 1
-    at = w.first[1:]
-    token = np.insert(w.hash, at, END)
-    doc = np.insert(w.row, at, np.arange(rows))
-    context = np.empty_like(token)
-    context[1:] = token[:-1]
-    context[w.first[:-1] + np.arange(rows)] = START
-    return token, context, doc
+    rows = np.arange(len(offsets) - 1)
+    token = np.insert(w.hash, w.first[1:], END)
+    doc = np.insert(w.row, w.first[1:], rows)
+    first = w.first[:-1] + rows
+    short = token >> _DROP
+    v, u = np.empty_like(token), np.empty_like(token)
+    v[1:], u[2:] = short[:-1], short[:-2]
+    v[first] = u[first] = START >> _DROP
+    second = first + 1
+    second = second[second < np.append(first[1:], len(token))]
+    u[second] = START >> _DROP
+    return token, v, u, doc
+
+
+def _pair(token: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return W.mix(token ^ (v * U64(0x9E3779B97F4A7C15)))
+
+
+def _triple(pair: np.ndarray, u: np.ndarray) -> np.ndarray:
+    return W.mix(pair ^ (u * U64(0xC2B2AE3D27D4EB4F)))
+
+
+def _find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each x is among the sorted ``keys``, and where."""
+    if not len(keys):
+        return np.zeros(len(x), dtype=bool), np.zeros(len(x), dtype=np.int64)
+    at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+    return keys[at] == x, at
+
+
+def _counted(chunks, kinds: int):
+    """Partial counts of (kind, key) over tokens: ``c`` in training, ``a`` in all documents."""
+    held, n = [[] for _ in range(kinds)], 0
+
+    def flush():
+        for kind, parts in enumerate(held):
+            if parts:
+                keys, inv = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+                train = np.concatenate([t for _, t in parts])
+                every = np.bincount(inv, minlength=len(keys))
+                c = np.bincount(inv, weights=train, minlength=len(keys)).astype(np.int64)
+                yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(keys), kind), pa.int32()), "key": pa.array(keys.view(np.int64)), "c": pa.array(c), "a": pa.array(every)})
+                parts.clear()
+
+    for kind, keys, train in chunks:
+        held[kind].append((keys, train))
+        n += len(keys)
+        if n > 4_000_000:
+            yield from flush()
+            n = 0
+    yield from flush()
+
+
+def _chunks(batches, modulus: int, remainder: int):
+    for batch in batches:
+        data, offsets = W.text_buffers(batch.column(1))
+        ids = _ids(batch.column(0))
+        for i, j in W.chunked(offsets):
+            yield ids[i:j], _tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
 
-def _count(modulus: int, remainder: int):
+def _count_words(modulus: int, remainder: int):
     def run(batches):
-        keys, counts, n = [], [], 0
+        def chunks():
+            for ids, (token, _, _, doc) in _chunks(batches, modulus, remainder):
+                yield 0, token, ~held_out_ids(ids, modulus, remainder)[doc]
 
-        def merged():
-            k, inv = np.unique(np.concatenate(keys), return_inverse=True)
-            return k, np.bincount(inv, weights=np.concatenate(counts)).astype(np.int64)
+        yield from _counted(chunks(), 1)
 
-        for batch in batches:
-            data, offsets = W.text_buffers(batch.column(1))
-            train = ~held_out_ids(_ids(batch.column(0)), modulus, remainder)
-            for i, j in W.chunked(offsets):
-                token, _, doc = _tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                k, c = np.unique(token[train[i:j][doc]], return_counts=True)
-                keys.append(k)
-                counts.append(c)
-                n += len(k)
-            if n > 3_000_000:
-                k, c = merged()
-                yield pa.RecordBatch.from_pydict({"word": pa.array(k.view(np.int64)), "c": pa.array(c)})
-                keys, counts, n = [], [], 0
-        if keys:
-            k, c = merged()
-            yield pa.RecordBatch.from_pydict({"word": pa.array(k.view(np.int64)), "c": pa.array(c)})
+    return run
+
+
+def _count_frequent(words: np.ndarray, modulus: int, remainder: int):
+    """Pairs (kind 0) and triples (kind 1) of frequent words; starts count as frequent."""
+    short = np.unique(np.append(words >> _DROP, START >> _DROP))
+
+    def run(batches):
+        def chunks():
+            for ids, (token, v, u, doc) in _chunks(batches, modulus, remainder):
+                some = np.flatnonzero(_find(words, token)[0] & _find(short, v)[0])
+                train = ~held_out_ids(ids, modulus, remainder)[doc[some]]
+                pair = _pair(token[some], v[some])
+                yield 0, pair, train
+                more = _find(short, u[some])[0]
+                yield 1, _triple(pair[more], u[some][more]), train[more]
+
+        yield from _counted(chunks(), 2)
 
     return run
 
 
-def _blobs(shards: int, hot: np.ndarray, modulus: int, remainder: int):
-    bits = U64(64 - (shards - 1).bit_length())
+class Parameters:
+    """What all shards share: totals, parameters and the counts of frequent n-grams."""
+
+    def __init__(self, mu: float, tau: float, shards: int, total: int, distinct: int, starts: int, frequent: list[dict[int, int]]):
+        self.mu, self.tau, self.shards, self.total, self.distinct, self.starts = mu, tau, shards, total, distinct, starts
+        self.keys = [np.array(sorted(f), dtype=np.uint64) for f in frequent]
+        self.counts = [np.array([f[k] for k in sorted(f)], dtype=np.int64) for f in frequent]
+        self.norm = total + 0.5 * (distinct + 1)
+
+    def manifest(self) -> str:
+        own = {k: getattr(self, k) for k in ("mu", "tau", "shards", "total", "distinct", "starts")}
+        return json.dumps(own | {"frequent": [list(map(list, zip(k.tolist(), c.tolist(), strict=True))) for k, c in zip(self.keys, self.counts, strict=True)]})
+
+    @staticmethod
+    def read(text: str) -> Parameters:
+        d = json.loads(text)
+        return Parameters(**{k: v for k, v in d.items() if k != "frequent"}, frequent=[dict(x) for x in d["frequent"]])
+
+    def frequent(self, kind: int, x: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``counts`` with those of frequent n-grams put in, and where they are."""
+        hit, at = _find(self.keys[kind], x)
+        return (np.where(hit, self.counts[kind][at], counts), hit) if len(self.keys[kind]) else (counts, hit)
+
+    def shard(self, token: np.ndarray, v: np.ndarray, u: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """The shard of every token; ``doc`` tells documents apart."""
+        key = token.copy()
+        some = np.flatnonzero(_find(self.keys[0], token)[0])
+        key[some] = _pair(token[some], v[some])
+        some = some[_find(self.keys[1], key[some])[0]]
+        key[some] = _triple(key[some], u[some])
+        some = some[_find(self.keys[2], key[some])[0]]
+        key[some] = W.mix(key[some] ^ doc[some].astype(np.uint64))
+        return (key >> U64(65 - self.shards.bit_length())).astype(np.int64)
+
+    def gain2(self, c1, c2):
+        return np.log10(1 + c2 * self.norm / (self.mu * (c1 + 0.5)))
+
+    def gain3(self, c1, c2, c3):
+        return np.log10(1 + (c2 + c3 / self.tau) * self.norm / (self.mu * (c1 + 0.5)))
+
+    def ahead(self, c1, c2):
+        """log10 of the denominator behind a word of count c1 whose pair has count c2."""
+        return np.log10(c2 + self.tau * (c1 + self.mu))
+
+    def finish(self, tokens, base, score):
+        """(base_score, score) of texts from their sums over tokens."""
+        norm = math.log10(self.norm)
+        first = math.log10(self.starts + self.tau * (self.starts + self.mu))
+        return base - tokens * norm, score + tokens * (math.log10(self.tau * self.mu) - norm) - first
+
+
+def _file(model_dir: str, shard: int) -> str:
+    return f"{model_dir}/trie-{shard:07d}.ef"
+
+
+def _book(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """256 values and the code of each of ``values``: bins of equally many, by their means."""
+    levels = np.unique(values)
+    if len(levels) <= 256:
+        return np.append(levels, np.zeros(256 - len(levels))), np.searchsorted(levels, values).astype(np.uint8)
+    order = np.argsort(values, kind="stable")
+    code = np.empty(len(values), dtype=np.uint8)
+    code[order] = np.arange(len(values)) * 256 // len(values)
+    return np.bincount(code, weights=values, minlength=256) / np.maximum(np.bincount(code, minlength=256), 1), code
+
+
+def _relative(place: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Increasing code of places that increase within ranges starting at ``begin``."""
+    n = len(place)
+    if not n:
+        return place
+    size = np.diff(np.append(begin, n))
+    last = place[np.append(begin[1:], n) - 1] + U64(1)
+    before = np.cumsum(last, dtype=np.uint64) - last
+    return np.repeat(before, size) + place + U64(1)
+
+
+def build_trie(word: np.ndarray, v: np.ndarray, u: np.ndarray, par: Parameters) -> bytes:
+    """The file of a shard from its training tokens sorted by (word, v, u)."""
+    n = len(word)
+    edge = np.ones(min(n, 1), dtype=bool)
+    new_w = np.append(edge, word[1:] != word[:-1])
+    new_p = new_w | np.append(edge, v[1:] != v[:-1])
+    new_t = new_p | np.append(edge, u[1:] != u[:-1])
+    w_at, p_at, t_at = (np.flatnonzero(x) for x in (new_w, new_p, new_t))
+    c1, c2, c3 = (np.diff(np.append(x, n)) for x in (w_at, p_at, t_at))
+    words, (pw, pv), (tp, tu) = word[w_at], (word[p_at], v[p_at]), (_pair(word[t_at], v[t_at]), u[t_at])
+    c1 = par.frequent(0, words, c1)[0]
+    c2 = par.frequent(1, _pair(pw, pv), c2)[0]
+    c3 = par.frequent(2, _triple(tp, tu), c3)[0]
+    p_in, t_in = np.cumsum(new_w)[p_at] - 1, np.cumsum(new_p)[t_at] - 1  # parents
+    contexts = np.unique(np.concatenate([pv, tu]))
+    first2, first3 = np.searchsorted(p_in, np.arange(len(words) + 1)), np.searchsorted(t_in, np.arange(len(pv) + 1))
+    place = lambda x: np.searchsorted(contexts, x).astype(np.uint64)
+    c1p = c1[p_in]
+    books = [_book(x) for x in (par.gain2(c1p, c2), par.ahead(c1p, c2), par.gain3(c1p[t_in], c2[t_in], c3))]
+    levels = [words, contexts, np.append(0, np.cumsum(c1)), first2, _relative(place(pv), first2[:-1]), first3, _relative(place(tu), first3[:-1])]
+    return b"".join([*(encode(x) for x in levels), *(b.astype("<f8").tobytes() for b, _ in books), *(c.tobytes() + bytes(-len(c) % 8) for _, c in books)])
 
-    def pack(base, ids, sizes, token, context, doc):
-        train = ~held_out_ids(ids, modulus, remainder)
-        split = np.isin(token, hot)
-        shard = np.where(split, W.mix(token + context * U64(3)) >> bits, token >> bits).astype(np.int64)
-        order = np.lexsort((context >> U64(64 - CONTEXT_BITS), token, shard))
-        token, context, doc, shard = token[order], context[order], doc[order], shard[order]
-        flags = np.packbits(train).tobytes()
-        cut = np.append(np.searchsorted(shard, np.arange(shards)), len(shard))
-        fields = {f.split()[0]: [] for f in BLOB.split(", ")}
 
-        def row(**x):
-            for k, v in fields.items():
-                v.append(x.get(k))
+class Trie:
+    """A shard's trie in a memory-mapped file."""
+
+    def __init__(self, raw: np.ndarray):
+        body, at, levels = raw.view("<u8"), 0, []
+        for _ in range(7):
+            levels.append(EliasFano(body[at:]))
+            at += levels[-1].size
+        self.words, self.contexts, self.counts, self.first2, self.pairs, self.first3, self.triples = levels
+        self.books = body[at : at + 768].view("<f8").reshape(3, 256)
+        at = 8 * (at + 768)
+        self.codes = []
+        for level in (self.pairs, self.pairs, self.triples):
+            self.codes.append(raw[at : at + level.n])
+            at += level.n + -level.n % 8
+
+    def _child(self, level: EliasFano, first: EliasFano, parent: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Place in ``level`` of each (parent, context), -1 if there is none."""
+        begin, end = first.access(parent).astype(np.int64), first.access(parent + 1).astype(np.int64)
+        last = np.where(begin > 0, level.access(np.maximum(begin - 1, 0)), U64(0))
+        want = last + place.astype(np.uint64) + U64(1)
+        at = level.successor(want)
+        ok = np.flatnonzero(at < end)
+        out = np.full(len(parent), -1)
+        good = ok[level.access(at[ok]) == want[ok]]
+        out[good] = at[good]
+        return out
+
+    def _context(self, x: np.ndarray) -> np.ndarray:
+        at = self.contexts.successor(x)
+        ok = np.flatnonzero(at < self.contexts.n)
+        out = np.full(len(x), -1)
+        good = ok[self.contexts.access(at[ok]) == x[ok]]
+        out[good] = at[good]
+        return out
+
+    def lookup(self, word: np.ndarray, v: np.ndarray, u: np.ndarray, par: Parameters) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Count of each word, gain of its trigram, log10 denominator behind it.
+
+        Equal neighbours are looked up once.
+        """
+        n = len(word)
+        edge = np.ones(min(n, 1), dtype=bool)
+        new_w = np.append(edge, word[1:] != word[:-1])
+        new_p = new_w | np.append(edge, v[1:] != v[:-1])
+        of_w, of_p = np.cumsum(new_w) - 1, np.cumsum(new_p) - 1
+        # words
+        w = word[new_w]
+        k = self.words.successor(w)
+        some = np.flatnonzero(k < self.words.n)
+        some = some[self.words.access(k[some]) == w[some]]
+        c1 = np.zeros(len(w), dtype=np.int64)
+        c1[some] = (self.counts.access(k[some] + 1) - self.counts.access(k[some])).astype(np.int64)
+        parent = np.full(len(w), -1)
+        parent[some] = k[some]
+        c1 = par.frequent(0, w, c1)[0]
+        # pairs
+        in_w = of_w[new_p]
+        pv, pc1 = v[new_p], c1[in_w]
+        pair = np.full(len(pv), -1)
+        some = np.flatnonzero(parent[in_w] >= 0)
+        place = self._context(pv[some])
+        some, place = some[place >= 0], place[place >= 0]
+        pair[some] = self._child(self.pairs, self.first2, parent[in_w[some]], place)
+        seen = pair >= 0
+        gain2, ahead = np.zeros(len(pv)), par.ahead(pc1, 0)
+        gain2[seen], ahead[seen] = self.books[0][self.codes[0][pair[seen]]], self.books[1][self.codes[1][pair[seen]]]
+        pkey = _pair(w[in_w], pv)
+        c2, often = par.frequent(1, pkey, np.zeros(len(pv), dtype=np.int64))
+        gain2[often], ahead[often] = par.gain2(pc1[often], c2[often]), par.ahead(pc1[often], c2[often])
+        # triples
+        gain = gain2[of_p]
+        some = np.flatnonzero(pair[of_p] >= 0)
+        place = self._context(u[some])
+        some, place = some[place >= 0], place[place >= 0]
+        at = self._child(self.triples, self.first3, pair[of_p[some]], place)
+        some, at = some[at >= 0], at[at >= 0]
+        gain[some] = self.books[2][self.codes[2][at]]
+        c3, often = par.frequent(2, _triple(pkey[of_p], u), np.zeros(n, dtype=np.int64))
+        gain[often] = par.gain3(c1[of_w][often], c2[of_p][often], c3[often])
+        return c1[of_w], gain, np.where(word == END, 0.0, ahead[of_p])
+
+
+def _terms(trie: Trie | None, word, v, u, par: Parameters) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether each token is known, its base term and its share of the score."""
+    count, gain, ahead = trie.lookup(word, v, u, par)
+    base = np.log10(count + 0.5)
+    return count > 0, base, base + gain - ahead
+
+
+class Model:
+    """A saved model; scores texts from its files and manifest alone."""
+
+    def __init__(self, model_dir: str, keep: int = 64):
+        self.dir, self.keep = model_dir, keep
+        self.par = Parameters.read(shared.read_bytes(f"{model_dir}/manifest.json").decode())
+        self.open: OrderedDict[int, Trie] = OrderedDict()
+        self.empty = Trie(np.frombuffer(build_trie(*(np.zeros(0, np.uint64) for _ in range(3)), self.par), np.uint8))
+
+    def _trie(self, shard: int) -> Trie:
+        if shard not in self.open:
+            path = _file(self.dir, shard)
+            self.open[shard] = Trie(shared.mapped(path)) if shared.exists(path) else self.empty
+            if len(self.open) > self.keep:
+                self.open.popitem(last=False)
+        self.open.move_to_end(shard)
+        return self.open[shard]
+
+    def score(self, texts: list[str]) -> list[tuple[int, int, float, float]]:
+        """(n_tokens, n_known, base_score, score) of each text."""
+        token, v, u, doc = _tokens(*W.text_buffers(pa.array(texts, pa.large_string())))
+        shard = self.par.shard(token, v, u, doc)
+        sums = np.zeros((3, len(texts)))
+        for s in np.unique(shard).tolist():
+            at = np.flatnonzero(shard == s)
+            for r, x in enumerate(_terms(self._trie(s), token[at], v[at], u[at], self.par)):
+                sums[r] += np.bincount(doc[at], weights=x, minlength=len(texts))
+        n = np.bincount(doc, minlength=len(texts))
+        base, score = self.par.finish(n, sums[1], sums[2])
+        return list(zip(n.tolist(), sums[0].astype(int).tolist(), base.tolist(), score.tolist(), strict=True))
+
+
+def _packed(x: np.ndarray, most: int) -> bytes:
+    return x.astype("<u2" if most < 1 << 16 else "<u4").tobytes()
+
+
+def _unpacked(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{len(raw) // n}").astype(np.int64)
+
+
+def _blobs(par: Parameters, modulus: int, remainder: int):
+    kinds = {"shard": pa.int32(), "base": pa.int64(), "docs": pa.int32()}
+    names = [f.split()[0] for f in BLOB.split(", ")]
+
+    def pack(base, ids, sizes, token, v, u, doc):
+        flags = np.packbits(~held_out_ids(ids, modulus, remainder)).tobytes()
+        shard = par.shard(token, v, u, doc + base)
+        order = np.lexsort((token, shard))
+        token, v, u, doc, shard = (x[order] for x in (token, v, u, doc, shard))
+        cut = np.append(np.searchsorted(shard, np.arange(par.shards)), len(shard))
+        rows = [{"shard": base % par.shards, "base": base, "docs": len(ids), "ids": ids.tobytes(), "sizes": sizes.astype("<u4").tobytes()}]
 
         def table():
-            kinds = {"shard": pa.int32(), "base": pa.int64(), "docs": pa.int32()}
-            return pa.RecordBatch.from_pydict({k: pa.array(v, kinds.get(k, pa.binary())) for k, v in fields.items()})
+            out = pa.RecordBatch.from_pydict({k: pa.array([r.get(k) for r in rows], kinds.get(k, pa.binary())) for k in names})
+            rows.clear()
+            return out
 
-        row(shard=int(base & 0x7FFF) % shards, base=base, docs=len(ids), train=flags, ids=ids.tobytes(), sizes=sizes.astype("<u4").tobytes())
-        for s in range(shards):
+        for s in range(par.shards):
             a, b = cut[s], cut[s + 1]
             if a == b:
                 continue
             t = token[a:b]
             first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
-            c = context[a:b] >> U64(64 - CONTEXT_BITS)
-            five = c.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-            row(shard=s, base=base, docs=len(ids), train=flags, words=t[first].tobytes(), runs=np.diff(np.append(first, b - a)).astype("<u4").tobytes(), context=five.T.tobytes(), doc=doc[a:b].astype("<u2").tobytes())
-            if len(fields["shard"]) >= 64:
+            contexts, at = np.unique(np.concatenate([v[a:b], u[a:b]]), return_inverse=True)
+            five = contexts.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+            coded = {"contexts": five.T.tobytes(), "v": _packed(at[: b - a], len(contexts)), "u": _packed(at[b - a :], len(contexts))}
+            rows.append({"shard": s, "base": base, "docs": len(ids), "train": flags, "words": t[first].tobytes(), "runs": np.diff(np.append(first, b - a)).astype("<u4").tobytes(), "doc": _packed(doc[a:b], len(ids))} | coded)
+            if len(rows) >= 64:
                 yield table()
-                for v in fields.values():
-                    v.clear()
-
-        if fields["shard"]:
+        if rows:
             yield table()
 
     def run(batches):
-        rid = TaskContext.get().partitionId() << 33
+        base = TaskContext.get().partitionId() << 33
         held: list[tuple] = []
         n_tokens = n_docs = 0
 
         def flush():
             shift = np.cumsum([0, *(len(x[0]) for x in held)])
-            doc = np.concatenate([x[3] + s for x, s in zip(held, shift[:-1], strict=True)])
+            doc = np.concatenate([x[1][3] + s for x, s in zip(held, shift[:-1], strict=True)])
             ids = np.concatenate([x[0] for x in held])
-            return pack(rid, ids, np.bincount(doc, minlength=len(ids)), np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held]), doc)
-
-        for batch in batches:
-            data, offsets = W.text_buffers(batch.column(1))
-            ids = _ids(batch.column(0))
-            for i, j in W.chunked(offsets):
-                token, context, doc = _tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                held.append((ids[i:j], token, context, doc))
-                n_tokens += len(token)
-                n_docs += j - i
-                if n_tokens > FLUSH_TOKENS or n_docs > FLUSH_DOCS - 10_000:
-                    yield from flush()
-                    rid += n_docs
-                    held, n_tokens, n_docs = [], 0, 0
+            return pack(base, ids, np.bincount(doc, minlength=len(ids)), *(np.concatenate([x[1][k] for x in held]) for k in range(3)), doc)
+
+        for ids, tokens in _chunks(batches, modulus, remainder):
+            held.append((ids, tokens))
+            n_tokens += len(tokens[0])
+            n_docs += len(ids)
+            if n_tokens > FLUSH_TOKENS or n_docs > FLUSH_DOCS:
+                yield from flush()
+                base += n_docs
+                held, n_tokens, n_docs = [], 0, 0
         if held:
             yield from flush()
 
     return run
 
 
-def build_trie(word: np.ndarray, context: np.ndarray, gain: np.ndarray) -> bytes:
-    """Levels of a trie of bigrams sorted by (word, context)."""
-    words, first = np.unique(word, return_index=True)
-    contexts, cid = np.unique(context, return_inverse=True)
-    m = U64(max(len(contexts), 1))
-    group = np.repeat(np.arange(len(words), dtype=np.uint64), np.diff(np.append(first, len(word))))
-    levels = sorted(set(gain.tolist()))
-    if len(levels) > 256:  # bins of equally many gains
-        order = np.argsort(gain, kind="stable")
-        bins = np.array_split(order, 256)
-        book = np.array([gain[b].mean() for b in bins])
-        code = np.empty(len(gain), dtype=np.uint8)
-        for k, b in enumerate(bins):
-            code[b] = k
-    else:
-        book = np.array(levels + [0.0] * (256 - len(levels)))
-        code = np.searchsorted(np.array(levels), gain).astype(np.uint8)
-    parts = [encode(words), encode(contexts), encode(np.append(first, len(word)).astype(np.uint64)), encode(group * m + cid.astype(np.uint64))]
-    return b"".join([*parts, book.astype("<f8").tobytes(), code.tobytes(), bytes(-len(code) % 8)])
-
-
-class Trie:
-    """A trie of bigrams in a memory-mapped file."""
-
-    def __init__(self, raw: np.ndarray):
-        body, at, levels = raw.view("<u8"), 0, []
-        for _ in range(4):
-            levels.append(EliasFano(body[at:]))
-            at += levels[-1].size
-        self.words, self.contexts, self.pointers, self.successors = levels
-        self.book = raw[8 * at : 8 * at + 2048].view("<f8")
-        self.code = raw[8 * at + 2048 : 8 * at + 2048 + self.successors.n]
-
-    def gain(self, word: np.ndarray, context: np.ndarray) -> np.ndarray:
-        """The gain of each bigram, 0 where it isn't in the trie."""
-        out = np.zeros(len(word))
-        if not self.successors.n or not len(word):
-            return out
-        k = self.words.successor(word)
-        c = self.contexts.successor(context)
-        ok = np.flatnonzero((k < self.words.n) & (c < self.contexts.n))
-        ok = ok[(self.words.access(k[ok]) == word[ok]) & (self.contexts.access(c[ok]) == context[ok])]
-        k, c = k[ok], c[ok]
-        key = k.astype(np.uint64) * U64(max(self.contexts.n, 1)) + c.astype(np.uint64)
-        at = self.successors.successor(key)  # within the range of its word, or past it
-        begin, end = self.pointers.access(k).astype(np.int64), self.pointers.access(k + 1).astype(np.int64)
-        hit = np.flatnonzero((at >= begin) & (at < end))
-        hit = hit[self.successors.access(at[hit]) == key[hit]]
-        out[ok[hit]] = self.book[self.code[at[hit]]]
-        return out
-
+def _tokens_of(blob: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """word, v, u, document and training flag of the tokens of a blob."""
+    word = np.repeat(np.frombuffer(blob["words"], "<u8"), np.frombuffer(blob["runs"], "<u4"))
+    n = len(word)
+    contexts = np.zeros((len(blob["contexts"]) // 5, 8), dtype=np.uint8)
+    contexts[:, :5] = np.frombuffer(blob["contexts"], np.uint8).reshape(5, -1).T
+    contexts = contexts.view("<u8").ravel()
+    doc = _unpacked(blob["doc"], n)
+    train = np.unpackbits(np.frombuffer(blob["train"], np.uint8)).astype(bool)[doc]
+    return word, contexts[_unpacked(blob["v"], n)], contexts[_unpacked(blob["u"], n)], doc, train
 
-def _shard(model_dir: str, mu: float, total: int, distinct: int, hot: dict[int, int]):
-    norm = total + 0.5 * (distinct + 1)
-    hot_keys = np.array(sorted(hot), dtype=np.uint64)
-    hot_counts = np.array([hot[k] for k in sorted(hot)], dtype=np.int64)
 
+def _shard(model_dir: str, par: Parameters):
     def score(shard, blobs, sums):
-        word = np.concatenate([np.repeat(np.frombuffer(b["words"], "<u8"), np.frombuffer(b["runs"], "<u4")) for b in blobs])
-        n = [len(b["doc"]) // 2 for b in blobs]
-        context = np.zeros((len(word), 8), dtype=np.uint8)
-        context[:, :5] = np.concatenate([np.frombuffer(b["context"], np.uint8).reshape(5, -1).T for b in blobs])
-        context = context.view("<u8").ravel()
-        doc = [np.frombuffer(b["doc"], "<u2") for b in blobs]
-        train = np.concatenate([np.unpackbits(np.frombuffer(b["train"], np.uint8))[d] for b, d in zip(blobs, doc, strict=True)]).astype(bool)
-        order = np.lexsort((context, word))
-        sw, sc, st = word[order], context[order], train[order]
-        new_w = np.append(True, sw[1:] != sw[:-1])
-        new = new_w | np.append(True, sc[1:] != sc[:-1])
-        of_w, of = np.cumsum(new_w) - 1, np.cumsum(new) - 1
-        cw = np.bincount(of_w, weights=st).astype(np.int64)
-        uw, uc = sw[new], sc[new]
-        if len(hot_keys):
-            known = sw[new_w]
-            at = np.minimum(np.searchsorted(hot_keys, known), len(hot_keys) - 1)
-            cw = np.where(hot_keys[at] == known, hot_counts[at], cw)
-        c = np.bincount(of, weights=st)
-        pair_cw = cw[of_w[new]]
-        seen = c > 0
-        path = f"{model_dir}/trie-{shard:06d}-{TaskContext.get().taskAttemptId()}.ef"
-        out = shared.Writer(path)
-        out.write(build_trie(uw[seen], uc[seen], np.log10(1 + c[seen] * norm / (mu * (pair_cw[seen] + 0.5)))))
+        parts = [_tokens_of(b) for b in blobs]
+        word, v, u = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        order = np.lexsort((u, v, word))
+        word, v, u = word[order], v[order], u[order]
+        train = np.concatenate([p[4] for p in parts])[order]
+        out = shared.Writer(_file(model_dir, shard))
+        out.write(build_trie(word[train], v[train], u[train], par))
         out.close()
-        gain = Trie(shared.mapped(path)).gain(uw, uc)
-        unigram = np.log10(cw + 0.5)
-        ahead = np.where(sw[new_w] == END, 0.0, -np.log10(cw + mu))  # as the context of the next token
-        base, known, full = np.empty(len(word)), np.empty(len(word)), np.empty(len(word))
-        base[order] = unigram[of_w]
-        known[order] = (cw > 0)[of_w]
-        full[order] = unigram[of_w] + ahead[of_w] + gain[of]
+        new = np.append(True, (word[1:] != word[:-1]) | (v[1:] != v[:-1]) | (u[1:] != u[:-1]))
+        terms = _terms(Trie(shared.mapped(_file(model_dir, shard))), word[new], v[new], u[new], par)
+        back = np.empty(len(order), dtype=np.int64)
+        back[order] = np.cumsum(new) - 1
         a = 0
-        for b, d, k in zip(blobs, doc, n, strict=True):
+        for b, p in zip(blobs, parts, strict=True):
             held = sums.setdefault(b["base"], np.zeros((3, b["docs"])))
-            for r, x in enumerate((known, base, full)):
-                held[r] += np.bincount(d, weights=x[a : a + k], minlength=b["docs"])
-            a += k
+            for r, x in enumerate(terms):
+                held[r] += np.bincount(p[3], weights=x[back[a : a + len(p[3])]], minlength=b["docs"])
+            a += len(p[3])
 
-    def table(base, docs, at=None, sums=None, ids=None, sizes=None):
-        cols = [pa.array([base], pa.int64()), pa.array([docs], pa.int32()), *(pa.array([x], pa.binary()) for x in (at, sums, ids, sizes))]
+    def table(base, docs, at=None, known=None, sums=None, ids=None, sizes=None):
+        cols = [pa.array([base], pa.int64()), pa.array([docs], pa.int32()), *(pa.array([x], pa.binary()) for x in (at, known, sums, ids, sizes))]
         return pa.RecordBatch.from_arrays(cols, [f.split()[0] for f in SUMS.split(", ")])
 
     def partial(sums):
         for base, held in sums.items():
             at = np.flatnonzero(held.any(axis=0))
-            yield table(base, held.shape[1], at.astype("<u2").tobytes(), held[:, at].tobytes())
+            yield table(base, held.shape[1], at.astype("<u4").tobytes(), held[0, at].astype("<u4").tobytes(), held[1:, at].tobytes())
 
     def run(batches):
         now, blobs, sums = None, [], {}
@@ -309,7 +537,7 @@ def _shard(model_dir: str, mu: float, total: int, distinct: int, hot: dict[int,
 
 
 def _combine(modulus: int, remainder: int):
-    """Sums the partial sums of each batch of documents."""
+    """Adds up the partial sums of each batch of documents."""
 
     def table(ids, sizes, held):
         cols = [pa.array(ids, mask=ids == NULL_ID), pa.array(held_out_ids(ids, modulus, remainder)), pa.array(sizes), pa.array(held[0].astype(np.int64)), pa.array(held[1]), pa.array(held[2])]
@@ -326,50 +554,52 @@ def _combine(modulus: int, remainder: int):
                 if b["ids"] is not None:
                     ids, sizes = np.frombuffer(b["ids"], "<i8"), np.frombuffer(b["sizes"], "<u4").astype(np.int64)
                 else:
-                    at = np.frombuffer(b["at"], "<u2")
-                    held[:, at] += np.frombuffer(b["sums"]).reshape(3, -1)
+                    at = np.frombuffer(b["at"], "<u4")
+                    held[0, at] += np.frombuffer(b["known"], "<u4")
+                    held[1:, at] += np.frombuffer(b["sums"]).reshape(2, -1)
         if now is not None:
             yield table(ids, sizes, held)
 
     return run
 
 
-def score_documents(docs: DataFrame, mu: float = 100.0, modulus: int = 5, remainder: int = 1, tasks: int | None = None, model_dir: str | None = None) -> DataFrame:
+def score_documents(docs: DataFrame, mu: float = 100.0, tau: float = 0.02, modulus: int = 5, remainder: int = 1, tasks: int | None = None, model_dir: str | None = None) -> DataFrame:
     """Score every text of ``docs``; rows of remainder ``remainder`` don't train.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score and
-    score (log10). The model's levels stay below ``model_dir``.
+    score (log10). The model stays below ``model_dir`` for ``Model``: its manifest
+    at once, its tries when the rows have been read.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = 1 << max(3, (6 * tasks - 1).bit_length())
     model_dir = model_dir or shared.fresh(spark, "trie")
     shared.make_dir(model_dir)
 
-    counts = shared.save(texts.mapInArrow(_count(modulus, remainder), "word long, c long").groupBy("word").agg(F.sum("c").alias("c")), "words")
-    total, distinct = (int(x or 0) for x in counts.agg(F.sum("c"), F.count("*")).first())
-    hot = {r.word % (1 << 64): r.c for r in counts.filter(F.col("c") > max(total // (4 * shards), 1)).collect()}  # 4 * shards words at most
-    shared.drop(counts)
+    def counted(run, name):
+        return shared.save(texts.mapInArrow(run, "kind int, key long, c long, a long").groupBy("kind", "key").agg(F.sum("c").alias("c"), F.sum("a").alias("a")), name)
 
-    hot_keys = np.array(sorted(hot), dtype=np.uint64)
-    blobs = texts.mapInArrow(_blobs(shards, hot_keys, modulus, remainder), BLOB)
-    sums = blobs.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(_shard(model_dir, mu, total, distinct, hot), SUMS)
-    out = sums.repartition(tasks, "base").sortWithinPartitions("base").mapInArrow(_combine(modulus, remainder), SCORED)
-    per_token = math.log10(total + 0.5 * (distinct + 1))
-    starts = _training_starts(texts, modulus, remainder)
-    return out.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        "n_known",
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") - F.col("n_tokens") * per_token).alias("base_score"),
-        (F.col("score") + F.col("n_tokens") * (math.log10(mu) - per_token) - math.log10(starts + mu)).alias("score"),
-    )
-
-
-def _training_starts(texts: DataFrame, modulus: int, remainder: int) -> int:
-    """Training documents, each of which has one start."""
-    crc = F.crc32(F.col("doc_id").cast("string"))
-    return texts.filter(F.coalesce(crc % modulus != remainder, F.lit(True))).count()
+    counts = counted(_count_words(modulus, remainder), "words")
+    end = int(END.astype(np.int64))
+    r = counts.agg(F.sum("c"), F.sum((F.col("c") > 0).cast("int")), F.sum("a"), F.sum(F.when(F.col("key") == end, F.col("c")))).first()
+    total, distinct, every, starts = (int(x or 0) for x in r)
+    shards = 1 << max(3, (max(6 * tasks, every // SHARD_TOKENS) - 1).bit_length())
+    often = F.col("a") > max(every // (4 * shards), 1)  # 4 * shards at most hold for this
+    frequent: list[dict[int, int]] = [{x.key % (1 << 64): x.c for x in counts.filter(often).collect()}, {}, {}]
+    shared.drop(counts)
+    if frequent[0]:
+        counts = counted(_count_frequent(np.array(sorted(frequent[0]), dtype=np.uint64), modulus, remainder), "pairs")
+        for x in counts.filter(often).collect():  # 8 * shards
+            frequent[1 + x.kind][x.key % (1 << 64)] = x.c
+        shared.drop(counts)
+    par = Parameters(mu, tau, shards, total, distinct, starts, frequent)
+    out = shared.Writer(f"{model_dir}/manifest.json")
+    out.write(par.manifest().encode())
+    out.close()
+
+    tasks = max(tasks, shards // 64)
+    blobs = texts.mapInArrow(_blobs(par, modulus, remainder), BLOB)
+    sums = blobs.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(_shard(model_dir, par), SUMS)
+    rows = sums.repartition(tasks, "base").sortWithinPartitions("base").mapInArrow(_combine(modulus, remainder), SCORED)
+    base, score = par.finish(F.col("n_tokens"), F.col("base"), F.col("score"))
+    return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"))

@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
         at = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = at.get() if at.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="turnwise-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -81,8 +83,19 @@ class Writer:
         self.size += memoryview(data).nbytes
 
     def close(self) -> None:
+        """Give the file its name; another attempt may have done so with the same content."""
         self.out.close()
-        self.fs.move(self.temp, self.path)
+        try:
+            self.fs.move(self.temp, self.path)
+        except OSError:
+            if self.fs.get_file_info(self.path).type == pafs.FileType.NotFound:
+                raise
+            self.fs.delete_file(self.temp)
+
+
+def exists(uri: str) -> bool:
+    fs, path = _at(uri)
+    return fs.get_file_info(path).type != pafs.FileType.NotFound
 
 
 def read_bytes(uri: str, start: int = 0, length: int | None = None) -> bytes:
