@@ -171,7 +171,7 @@ def test_components(spark):
     assert all(got.get(x, x) == find(x) for e in edges if e[0] is not None for x in e)
 
 
-def plain_lm(texts, mu=100.0, tau=0.02):
+def plain_lm(texts, mu=1000.0, tau=0.002):
     """Per document: held out, tokens, known tokens, training tokens, base score, score."""
     tokens = {i: WORD.findall((t or "").translate(LOW)) + [None] for i, t in texts.items()}
     train = [i for i in tokens if zlib.crc32(str(i).encode()) % 5 != 1]

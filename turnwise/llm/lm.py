@@ -563,7 +563,7 @@ def _combine(modulus: int, remainder: int):
     return run
 
 
-def score_documents(docs: DataFrame, mu: float = 100.0, tau: float = 0.02, modulus: int = 5, remainder: int = 1, tasks: int | None = None, model_dir: str | None = None) -> DataFrame:
+def score_documents(docs: DataFrame, mu: float = 1000.0, tau: float = 0.002, modulus: int = 5, remainder: int = 1, tasks: int | None = None, model_dir: str | None = None) -> DataFrame:
     """Score every text of ``docs``; rows of remainder ``remainder`` don't train.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score and
