@@ -57,6 +57,7 @@ from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
+import zstandard as zstd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -76,7 +77,7 @@ SHARD_TOKENS = 1_000_000
 FLUSH_TOKENS, FLUSH_DOCS = 2_500_000, 500_000
 #: Documents whose partial sums a shard task keeps before it returns them.
 FLUSH_SUMS = 1_000_000
-BLOB = "shard int, base long, docs int, train binary, words binary, runs binary, contexts binary, v binary, u binary, doc binary, ids binary, sizes binary"
+BLOB = "shard int, base long, docs int, tokens int, train binary, words binary, contexts binary, coded binary, ids binary, sizes binary"
 SUMS = "base long, docs int, at binary, known binary, sums binary, ids binary, sizes binary"
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
 NULL_ID = -(2**63)
@@ -407,24 +408,36 @@ class Model:
         return list(zip(n.tolist(), sums[0].astype(int).tolist(), base.tolist(), score.tolist(), strict=True))
 
 
-def _packed(x: np.ndarray, most: int) -> bytes:
-    return x.astype("<u2" if most < 1 << 16 else "<u4").tobytes()
+def _ranked(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, frequent ones first, and the place of each of ``x`` among them."""
+    values, at, count = np.unique(x, return_inverse=True, return_counts=True)
+    order = np.argsort(-count, kind="stable")
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    return values[order], rank[at]
 
 
-def _unpacked(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, f"<u{len(raw) // n}").astype(np.int64)
+def _planes(columns: list[np.ndarray]) -> bytes:
+    """Columns of 32-bit integers byte plane by byte plane, compressed: most high bytes are 0."""
+    return zstd.ZstdCompressor(level=1).compress(b"".join(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for x in columns))
+
+
+def _columns(raw: bytes, n: int) -> np.ndarray:
+    """The columns back, one a row."""
+    planes = np.frombuffer(zstd.ZstdDecompressor().decompress(raw), np.uint8).reshape(-1, 4, n)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<u4")[:, :, 0].astype(np.int64)
 
 
 def _blobs(par: Parameters, modulus: int, remainder: int):
-    kinds = {"shard": pa.int32(), "base": pa.int64(), "docs": pa.int32()}
+    kinds = {"shard": pa.int32(), "base": pa.int64(), "docs": pa.int32(), "tokens": pa.int32()}
     names = [f.split()[0] for f in BLOB.split(", ")]
 
     def pack(base, ids, sizes, token, v, u, doc):
         flags = np.packbits(~held_out_ids(ids, modulus, remainder)).tobytes()
         shard = par.shard(token, v, u, doc + base)
-        order = np.lexsort((token, shard))
-        token, v, u, doc, shard = (x[order] for x in (token, v, u, doc, shard))
-        cut = np.append(np.searchsorted(shard, np.arange(par.shards)), len(shard))
+        order = np.argsort(shard.astype(np.uint16) if par.shards <= 1 << 16 else shard, kind="stable")
+        token, v, u, doc = (x[order] for x in (token, v, u, doc))
+        cut = np.append(0, np.cumsum(np.bincount(shard, minlength=par.shards)))
         rows = [{"shard": base % par.shards, "base": base, "docs": len(ids), "ids": ids.tobytes(), "sizes": sizes.astype("<u4").tobytes()}]
 
         def table():
@@ -432,16 +445,13 @@ def _blobs(par: Parameters, modulus: int, remainder: int):
             rows.clear()
             return out
 
-        for s in range(par.shards):
+        for s in np.flatnonzero(np.diff(cut)).tolist():
             a, b = cut[s], cut[s + 1]
-            if a == b:
-                continue
-            t = token[a:b]
-            first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
-            contexts, at = np.unique(np.concatenate([v[a:b], u[a:b]]), return_inverse=True)
+            words, of_word = _ranked(token[a:b])
+            contexts, at = _ranked(np.concatenate([v[a:b], u[a:b]]))
             five = contexts.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-            coded = {"contexts": five.T.tobytes(), "v": _packed(at[: b - a], len(contexts)), "u": _packed(at[b - a :], len(contexts))}
-            rows.append({"shard": s, "base": base, "docs": len(ids), "train": flags, "words": t[first].tobytes(), "runs": np.diff(np.append(first, b - a)).astype("<u4").tobytes(), "doc": _packed(doc[a:b], len(ids))} | coded)
+            coded = _planes([of_word, at[: b - a], at[b - a :], np.diff(doc[a:b], prepend=0)])
+            rows.append({"shard": s, "base": base, "docs": len(ids), "tokens": b - a, "train": flags, "words": words.tobytes(), "contexts": five.T.tobytes(), "coded": coded})
             if len(rows) >= 64:
                 yield table()
         if rows:
@@ -474,14 +484,13 @@ def _blobs(par: Parameters, modulus: int, remainder: int):
 
 def _tokens_of(blob: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """word, v, u, document and training flag of the tokens of a blob."""
-    word = np.repeat(np.frombuffer(blob["words"], "<u8"), np.frombuffer(blob["runs"], "<u4"))
-    n = len(word)
+    word, v, u, step = _columns(blob["coded"], blob["tokens"])
     contexts = np.zeros((len(blob["contexts"]) // 5, 8), dtype=np.uint8)
     contexts[:, :5] = np.frombuffer(blob["contexts"], np.uint8).reshape(5, -1).T
     contexts = contexts.view("<u8").ravel()
-    doc = _unpacked(blob["doc"], n)
+    doc = np.cumsum(step)
     train = np.unpackbits(np.frombuffer(blob["train"], np.uint8)).astype(bool)[doc]
-    return word, contexts[_unpacked(blob["v"], n)], contexts[_unpacked(blob["u"], n)], doc, train
+    return np.frombuffer(blob["words"], "<u8")[word], contexts[v], contexts[u], doc, train
 
 
 def _shard(model_dir: str, par: Parameters):
@@ -583,7 +592,7 @@ def score_documents(docs: DataFrame, mu: float = 1000.0, tau: float = 0.002, mod
     end = int(END.astype(np.int64))
     r = counts.agg(F.sum("c"), F.sum((F.col("c") > 0).cast("int")), F.sum("a"), F.sum(F.when(F.col("key") == end, F.col("c")))).first()
     total, distinct, every, starts = (int(x or 0) for x in r)
-    shards = 1 << max(3, (max(6 * tasks, every // SHARD_TOKENS) - 1).bit_length())
+    shards = 1 << max(3, (max(2 * tasks, every // SHARD_TOKENS) - 1).bit_length())
     often = F.col("a") > max(every // (4 * shards), 1)  # 4 * shards at most hold for this
     frequent: list[dict[int, int]] = [{x.key % (1 << 64): x.c for x in counts.filter(often).collect()}, {}, {}]
     shared.drop(counts)
