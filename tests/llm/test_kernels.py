@@ -129,3 +129,13 @@ def test_ids_of_colliding_words(name, mode, monkeypatch):
     assert enc.mode == mode
     for _ in range(2):
         assert enc.encode(*W.text_buffers(pa.array(docs)))[0].tolist() == want
+
+
+@pytest.mark.parametrize("histogram", [{3000: 200_000, 900: 200_000}, {2500: 10**9, 1500: 10**9, 90: 10**9, 7: 3}, {k: 10**9 + k for k in range(1400, 4097)}, {k: 10**9 - k for k in range(1, 4097)}])
+def test_plan_of_large_counts(histogram):
+    plan = packing.make_plan(dict(histogram), 4096)
+    t = plan.table()
+    assert len(t) < 60_000 and t["count"].sum() == sum(histogram.values())
+    assert plan.sequences >= -(-sum(k * n for k, n in histogram.items()) // 4096)
+    small = packing.make_plan({k: max(n // 10**7, 1) for k, n in histogram.items()}, 4096)
+    assert len(t) < 20 * len(small.runs) + 100

@@ -10,18 +10,21 @@ made over that histogram on the driver, for all pieces of a length at once:
    the piece with the largest partner when no two pieces fit beside it; the
    piece with its largest partner when that is as long as the best two together;
    the piece with the best two when their larger one is the largest partner and
-   every smaller pair is dominated too.
+   every smaller pair is dominated too. A set stays dominating until one of its
+   lengths runs out, so it is fixed for that many pieces at once.
 2. What no rule settles is packed best-fit decreasing, whole runs of equal bins
    at a time.
 
 A plan is a list of runs "the r-th .. piece of this length go to these
-consecutive sequences at this offset". Its size depends on the capacity, not on
-the documents. Pieces then look up their rank within their length; ranks come
+consecutive sequences at this offset". Its size and the time to make it depend on
+the capacity, not on the documents. Pieces then look up their rank within their length; ranks come
 from counts per partition and length, prefix-summed, so no length is gathered in
 one task.
 
-Defined cases: a null text is empty (its end id alone is packed); repeated rows
-are separate documents; an empty table gives no rows; other columns are ignored.
+Defined cases: a null text is empty (its end id alone is packed); a text of any
+length is cut into pieces of the capacity; repeated rows are separate documents;
+pieces of equal length are placed in the order of partitions and rows; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -77,65 +80,51 @@ def reduce_instance(left: np.ndarray, plan: Plan) -> None:
         found = np.flatnonzero(free)
         return int(found[0]) if len(found) else 0
 
+    def fix(lengths: list[int]) -> None:
+        """As many such sets as there are pieces for: what is used up only shrinks the alternatives."""
+        n = min(int(left[x]) // lengths.count(x) for x in lengths)
+        for x in lengths:
+            left[x] -= n
+        plan.fix(lengths, n)
+
     for w in range(cap, 0, -1):
         while left[w]:
-            left[w] -= 1  # the piece itself
             room = cap - w
-            a = largest(room, left)
+            others = left.copy()
+            others[w] -= 1
+            a = largest(room, others)
             if not a:  # nothing fits beside it
-                left[w] += 1
-                n = int(left[w]) if 2 * w > cap else 1
-                left[w] -= n
-                plan.fix([w], n)
+                fix([w])
                 continue
-            s1 = smallest(left)
-            left[s1] -= 1
-            s2 = smallest(left)
-            left[s1] += 1
-            two = s2 and s1 + s2 <= room
-            if a == room or not two:
-                left[w] += 1
-                n = int(left[w] // 2 if a == w else min(left[w], left[a])) if a == room else 1
-                left[w] -= n
-                left[a] -= n
-                plan.fix([w, a], n)
+            s1 = smallest(others)
+            others[s1] -= 1
+            s2 = smallest(others)
+            if a == room or not (s2 and s1 + s2 <= room):
+                fix([w, a])
                 continue
-            s = [s1, s2]
-            left[s1] -= 1
-            left[s2] -= 1
-            s3 = smallest(left)
-            left[s1] += 1
-            left[s2] += 1
-            if s3 and sum(s) + s3 <= room:  # three fit: no set of two or three is proven
-                left[w] += 1
+            others[s2] -= 1
+            s3 = smallest(others)
+            others[s1] += 1
+            others[s2] += 1
+            if s3 and s1 + s2 + s3 <= room:  # three fit: no set of two or three is proven
                 break
             best, pair = 0, (0, 0)
-            for x in np.flatnonzero(left[1 : room + 1])[::-1] + 1:
+            for x in np.flatnonzero(others[1 : room + 1])[::-1] + 1:
                 if 2 * x < best:
                     break
-                left[x] -= 1
-                y = largest(min(room - int(x), int(x)), left)
-                left[x] += 1
+                others[x] -= 1
+                y = largest(min(room - int(x), int(x)), others)
+                others[x] += 1
                 if y and x + y > best:
                     best, pair = int(x + y), (int(x), int(y))
             if a >= best:
-                chosen = [w, a]
-            elif pair[0] == a:  # the best two hold the largest partner
-                left[a] -= 1
-                y = pair[1]
-                between = [int(v) for v in np.flatnonzero(left[y + 1 : room - s1 + 1]) + y + 1]
-                left[a] += 1
-                if [v for v in between if v != a and v + s1 <= room]:  # another pair holds one longer than y
-                    left[w] += 1
-                    break
-                chosen = [w, a, y]
-            else:
-                left[w] += 1
+                fix([w, a])
+                continue
+            y = pair[1]
+            longer = np.flatnonzero(others[y + 1 : room - s1 + 1]) + y + 1
+            if pair[0] != a or (longer != a).any():  # another pair holds one longer than y
                 break
-            for x in chosen[1:]:
-                left[x] -= 1
-            plan.fix(chosen, 1)
-    return
+            fix([w, a, y])
 
 
 def best_fit(left: np.ndarray, plan: Plan) -> None:
