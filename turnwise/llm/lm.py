@@ -19,7 +19,7 @@ it, the denominator.
   words too frequent for one shard. Pass 2 counts pairs and triples of such words.
   Of each kind at most ``4 * shards`` are frequent.
 * Every token goes to its word's shard as (word, v, u, document), packed in one
-  blob a shard and batch. Frequent words are dealt over all shards by v, frequent
+  blob a shard and batch; the most frequent words have short codes there. Frequent words are dealt over all shards by v, frequent
   pairs by u, frequent triples by document.
 * A shard first writes its trie to a file from the training tokens, then maps the
   file and looks up every token in it. What is looked up comes from the files and
@@ -75,10 +75,12 @@ _DROP = U64(64 - CONTEXT_BITS)
 SHARD_TOKENS = 1_000_000
 #: Tokens and documents gathered before they are packed into blobs.
 FLUSH_TOKENS, FLUSH_DOCS = 2_500_000, 500_000
+#: Most words with a short code in blobs (8 bytes each are sent to the workers); others are spelt out.
+VOCABULARY = 400_000
 #: Documents whose partial sums a shard task keeps before it returns them.
 FLUSH_SUMS = 1_000_000
 BLOB = "shard int, base long, docs int, tokens int, train binary, words binary, contexts binary, coded binary, ids binary, sizes binary"
-SUMS = "base long, docs int, at binary, known binary, sums binary, ids binary, sizes binary"
+SUMS = "base long, docs int, held int, known binary, sums binary, ids binary, sizes binary"
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
 NULL_ID = -(2**63)
 
@@ -408,13 +410,25 @@ class Model:
         return list(zip(n.tolist(), sums[0].astype(int).tolist(), base.tolist(), score.tolist(), strict=True))
 
 
-def _ranked(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values, frequent ones first, and the place of each of ``x`` among them."""
-    values, at, count = np.unique(x, return_inverse=True, return_counts=True)
-    order = np.argsort(-count, kind="stable")
-    rank = np.empty_like(order)
-    rank[order] = np.arange(len(order))
-    return values[order], rank[at]
+class Vocabulary:
+    """Short codes of the most frequent words: 1, 2, .. by count, 0 for all others."""
+
+    def __init__(self, words: np.ndarray):
+        self.words, self.short = words, words >> _DROP
+        self.order, self.short_order = np.argsort(words), np.argsort(self.short)
+
+    def code(self, x: np.ndarray, short: bool) -> np.ndarray:
+        keys, order = (self.short, self.short_order) if short else (self.words, self.order)
+        hit, at = _find(keys[order], x)
+        return np.where(hit, order[at] + 1, 0) if len(keys) else np.zeros(len(x), dtype=np.int64)
+
+    def decode(self, code: np.ndarray, others: np.ndarray, short: bool) -> np.ndarray:
+        """The values of ``code``; ``others`` are those of the zeros, in order."""
+        out = np.empty(len(code), dtype=np.uint64)
+        rare = code == 0
+        out[rare] = others
+        out[~rare] = (self.short if short else self.words)[code[~rare] - 1]
+        return out
 
 
 def _planes(columns: list[np.ndarray]) -> bytes:
@@ -428,15 +442,27 @@ def _columns(raw: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<u4")[:, :, 0].astype(np.int64)
 
 
-def _blobs(par: Parameters, modulus: int, remainder: int):
+def _five(x: np.ndarray) -> bytes:
+    """The five bytes of contexts, plane by plane."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].T.tobytes()
+
+
+def _from_five(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), dtype=np.uint8)
+    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(5, -1).T
+    return out.view("<u8").ravel()
+
+
+def _blobs(par: Parameters, often: np.ndarray, modulus: int, remainder: int):
     kinds = {"shard": pa.int32(), "base": pa.int64(), "docs": pa.int32(), "tokens": pa.int32()}
     names = [f.split()[0] for f in BLOB.split(", ")]
 
-    def pack(base, ids, sizes, token, v, u, doc):
+    def pack(vocabulary, base, ids, sizes, token, v, u, doc):
         flags = np.packbits(~held_out_ids(ids, modulus, remainder)).tobytes()
         shard = par.shard(token, v, u, doc + base)
         order = np.argsort(shard.astype(np.uint16) if par.shards <= 1 << 16 else shard, kind="stable")
         token, v, u, doc = (x[order] for x in (token, v, u, doc))
+        codes = [vocabulary.code(x, short) for x, short in ((token, False), (v, True), (u, True))]
         cut = np.append(0, np.cumsum(np.bincount(shard, minlength=par.shards)))
         rows = [{"shard": base % par.shards, "base": base, "docs": len(ids), "ids": ids.tobytes(), "sizes": sizes.astype("<u4").tobytes()}]
 
@@ -447,18 +473,16 @@ def _blobs(par: Parameters, modulus: int, remainder: int):
 
         for s in np.flatnonzero(np.diff(cut)).tolist():
             a, b = cut[s], cut[s + 1]
-            words, of_word = _ranked(token[a:b])
-            contexts, at = _ranked(np.concatenate([v[a:b], u[a:b]]))
-            five = contexts.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-            coded = _planes([of_word, at[: b - a], at[b - a :], np.diff(doc[a:b], prepend=0)])
-            rows.append({"shard": s, "base": base, "docs": len(ids), "tokens": b - a, "train": flags, "words": words.tobytes(), "contexts": five.T.tobytes(), "coded": coded})
+            w, cv, cu = (x[a:b] for x in codes)
+            rare = {"words": token[a:b][w == 0].tobytes(), "contexts": _five(np.concatenate([v[a:b][cv == 0], u[a:b][cu == 0]]))}
+            rows.append({"shard": s, "base": base, "docs": len(ids), "tokens": b - a, "train": flags, "coded": _planes([w, cv, cu, np.diff(doc[a:b], prepend=0)])} | rare)
             if len(rows) >= 64:
                 yield table()
         if rows:
             yield table()
 
     def run(batches):
-        base = TaskContext.get().partitionId() << 33
+        base, vocabulary = TaskContext.get().partitionId() << 33, Vocabulary(often)
         held: list[tuple] = []
         n_tokens = n_docs = 0
 
@@ -466,7 +490,7 @@ def _blobs(par: Parameters, modulus: int, remainder: int):
             shift = np.cumsum([0, *(len(x[0]) for x in held)])
             doc = np.concatenate([x[1][3] + s for x, s in zip(held, shift[:-1], strict=True)])
             ids = np.concatenate([x[0] for x in held])
-            return pack(base, ids, np.bincount(doc, minlength=len(ids)), *(np.concatenate([x[1][k] for x in held]) for k in range(3)), doc)
+            return pack(vocabulary, base, ids, np.bincount(doc, minlength=len(ids)), *(np.concatenate([x[1][k] for x in held]) for k in range(3)), doc)
 
         for ids, tokens in _chunks(batches, modulus, remainder):
             held.append((ids, tokens))
@@ -482,20 +506,19 @@ def _blobs(par: Parameters, modulus: int, remainder: int):
     return run
 
 
-def _tokens_of(blob: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _tokens_of(blob: dict, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """word, v, u, document and training flag of the tokens of a blob."""
-    word, v, u, step = _columns(blob["coded"], blob["tokens"])
-    contexts = np.zeros((len(blob["contexts"]) // 5, 8), dtype=np.uint8)
-    contexts[:, :5] = np.frombuffer(blob["contexts"], np.uint8).reshape(5, -1).T
-    contexts = contexts.view("<u8").ravel()
+    w, v, u, step = _columns(blob["coded"], blob["tokens"])
+    others, n = _from_five(blob["contexts"]), int(np.count_nonzero(v == 0))
     doc = np.cumsum(step)
     train = np.unpackbits(np.frombuffer(blob["train"], np.uint8)).astype(bool)[doc]
-    return np.frombuffer(blob["words"], "<u8")[word], contexts[v], contexts[u], doc, train
+    word = vocabulary.decode(w, np.frombuffer(blob["words"], "<u8"), False)
+    return word, vocabulary.decode(v, others[:n], True), vocabulary.decode(u, others[n:], True), doc, train
 
 
-def _shard(model_dir: str, par: Parameters):
-    def score(shard, blobs, sums):
-        parts = [_tokens_of(b) for b in blobs]
+def _shard(model_dir: str, par: Parameters, often: np.ndarray):
+    def score(vocabulary, shard, blobs, sums):
+        parts = [_tokens_of(b, vocabulary) for b in blobs]
         word, v, u = (np.concatenate([p[k] for p in parts]) for k in range(3))
         order = np.lexsort((u, v, word))
         word, v, u = word[order], v[order], u[order]
@@ -514,24 +537,24 @@ def _shard(model_dir: str, par: Parameters):
                 held[r] += np.bincount(p[3], weights=x[back[a : a + len(p[3])]], minlength=b["docs"])
             a += len(p[3])
 
-    def table(base, docs, at=None, known=None, sums=None, ids=None, sizes=None):
-        cols = [pa.array([base], pa.int64()), pa.array([docs], pa.int32()), *(pa.array([x], pa.binary()) for x in (at, known, sums, ids, sizes))]
+    def table(base, docs, held=None, known=None, sums=None, ids=None, sizes=None):
+        cols = [pa.array([base], pa.int64()), pa.array([docs], pa.int32()), pa.array([held], pa.int32()), *(pa.array([x], pa.binary()) for x in (known, sums, ids, sizes))]
         return pa.RecordBatch.from_arrays(cols, [f.split()[0] for f in SUMS.split(", ")])
 
     def partial(sums):
         for base, held in sums.items():
             at = np.flatnonzero(held.any(axis=0))
-            yield table(base, held.shape[1], at.astype("<u4").tobytes(), held[0, at].astype("<u4").tobytes(), held[1:, at].tobytes())
+            yield table(base, held.shape[1], len(at), _planes([np.diff(at, prepend=0), held[0, at]]), held[1:, at].tobytes())
 
     def run(batches):
-        now, blobs, sums = None, [], {}
+        now, blobs, sums, vocabulary = None, [], {}, Vocabulary(often)
         for batch in batches:
             for b in batch.to_pylist():
                 if b["ids"] is not None:
                     yield table(b["base"], b["docs"], ids=b["ids"], sizes=b["sizes"])
                     continue
                 if b["shard"] != now and blobs:
-                    score(now, blobs, sums)
+                    score(vocabulary, now, blobs, sums)
                     blobs = []
                     if sum(x.shape[1] for x in sums.values()) > FLUSH_SUMS:
                         yield from partial(sums)
@@ -539,7 +562,7 @@ def _shard(model_dir: str, par: Parameters):
                 now = b["shard"]
                 blobs.append(b)
         if blobs:
-            score(now, blobs, sums)
+            score(vocabulary, now, blobs, sums)
         yield from partial(sums)
 
     return run
@@ -562,9 +585,10 @@ def _combine(modulus: int, remainder: int):
                     now, held = b["base"], np.zeros((3, b["docs"]))
                 if b["ids"] is not None:
                     ids, sizes = np.frombuffer(b["ids"], "<i8"), np.frombuffer(b["sizes"], "<u4").astype(np.int64)
-                else:
-                    at = np.frombuffer(b["at"], "<u4")
-                    held[0, at] += np.frombuffer(b["known"], "<u4")
+                elif b["held"]:
+                    step, known = _columns(b["known"], b["held"])
+                    at = np.cumsum(step)
+                    held[0, at] += known
                     held[1:, at] += np.frombuffer(b["sums"]).reshape(2, -1)
         if now is not None:
             yield table(ids, sizes, held)
@@ -572,6 +596,20 @@ def _combine(modulus: int, remainder: int):
     return run
 
 
+def _often(counts: DataFrame) -> np.ndarray:
+    """The words that get short codes: those above a count, VOCABULARY at most."""
+    step = F.floor(F.log2("a") * 8)
+    kept = low = 0
+    for r in sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True):  # 8 * 64 rows at most
+        kept += r[1]
+        if kept > VOCABULARY:
+            low = r.step + 1
+            break
+    t = counts.filter(step >= low).select("key", "a").toArrow()
+    key, a = (t[c].to_numpy() for c in ("key", "a"))
+    return key.view(np.uint64)[np.lexsort((key, -a))]
+
+
 def score_documents(docs: DataFrame, mu: float = 1000.0, tau: float = 0.002, modulus: int = 5, remainder: int = 1, tasks: int | None = None, model_dir: str | None = None) -> DataFrame:
     """Score every text of ``docs``; rows of remainder ``remainder`` don't train.
 
@@ -593,12 +631,13 @@ def score_documents(docs: DataFrame, mu: float = 1000.0, tau: float = 0.002, mod
     r = counts.agg(F.sum("c"), F.sum((F.col("c") > 0).cast("int")), F.sum("a"), F.sum(F.when(F.col("key") == end, F.col("c")))).first()
     total, distinct, every, starts = (int(x or 0) for x in r)
     shards = 1 << max(3, (max(2 * tasks, every // SHARD_TOKENS) - 1).bit_length())
-    often = F.col("a") > max(every // (4 * shards), 1)  # 4 * shards at most hold for this
-    frequent: list[dict[int, int]] = [{x.key % (1 << 64): x.c for x in counts.filter(often).collect()}, {}, {}]
+    heavy = F.col("a") > max(every // (4 * shards), 1)  # 4 * shards at most hold for this
+    frequent: list[dict[int, int]] = [{x.key % (1 << 64): x.c for x in counts.filter(heavy).collect()}, {}, {}]
+    often = _often(counts)
     shared.drop(counts)
     if frequent[0]:
         counts = counted(_count_frequent(np.array(sorted(frequent[0]), dtype=np.uint64), modulus, remainder), "pairs")
-        for x in counts.filter(often).collect():  # 8 * shards
+        for x in counts.filter(heavy).collect():  # 8 * shards
             frequent[1 + x.kind][x.key % (1 << 64)] = x.c
         shared.drop(counts)
     par = Parameters(mu, tau, shards, total, distinct, starts, frequent)
@@ -607,8 +646,8 @@ def score_documents(docs: DataFrame, mu: float = 1000.0, tau: float = 0.002, mod
     out.close()
 
     tasks = max(tasks, shards // 64)
-    blobs = texts.mapInArrow(_blobs(par, modulus, remainder), BLOB)
-    sums = blobs.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(_shard(model_dir, par), SUMS)
+    blobs = texts.mapInArrow(_blobs(par, often, modulus, remainder), BLOB)
+    sums = blobs.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(_shard(model_dir, par, often), SUMS)
     rows = sums.repartition(tasks, "base").sortWithinPartitions("base").mapInArrow(_combine(modulus, remainder), SCORED)
     base, score = par.finish(F.col("n_tokens"), F.col("base"), F.col("score"))
     return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"))
