@@ -58,8 +58,11 @@ def test_word_errors(spark, ref, hyp, want):
 
 
 def test_frame_layout():
-    assert tokens.place([([7, 8], 1, 4)], 6, 1, pad=9, end_of_text=0, in_word=5) == [0, 7, 8, 5, 9, 9]
-    assert tokens.place_adaptive([1, 2, 3, 4], 2, 0) == [1, 2] or tokens.place_adaptive([1, 2, 3, 4], 2, 0)[0] == 1
+    assert tokens.place([([7, 8], 1, 4)], 6, 1, pad=9, end_of_text=0, in_word=5) == [0, 7, 8, 5, 5, 9]
+    assert tokens.place([], 2, 1, pad=9, end_of_text=0, zero=3) == [3, 3]
+    assert tokens.place([([7], 1, 1)], 4, 1, pad=9, end_of_text=0, in_word=5, zero=3, delay=-2) == [3, 3, 9, 9]
+    assert tokens.place([([], 1, 2), ([7], 3, 3)], 4, 1, pad=9, end_of_text=0, in_word=5) == [9, 5, 0, 7]
+    assert tokens.place([([1, 2], 0, 1), ([3], 1, 1)], 4, 1, pad=9, end_of_text=0, replace=False) == [1, 2, 3, 9]
 
 
 def test_ordered_rules(spark):

@@ -1,40 +1,15 @@
-"""Queries over whole texts and tables; their registered SQL still has cuts, which are taken out here."""
+"""Sequential queries, which have no SQL, against plain Python over whole tables."""
 
-from pathlib import Path
+import math
+import re
+from collections import Counter
 
-import duckdb
 import pytest
 
-from test_queries import TABLES, plain
+from turnwise.functions import text as T
+from turnwise.operators import metrics, tokens
 from turnwise.plans import queries as Q
-
-
-def rows_of(names, rows):
-    return sorted((tuple(plain(r[names.index(c)]) for c in sorted(names)) for r in rows), key=lambda r: tuple(map(str, r)))
-
-
-def whole(spark, sf, name, *cuts):
-    """Rows of a query, and of its SQL with each (old, new) of ``cuts`` replaced."""
-    sql = Q.ORACLE_SQL[name]
-    for old, new in cuts:
-        sql = sql.replace(old, new)
-    c = duckdb.connect()
-    for t in TABLES:
-        if Path(sf, f"{t}.parquet").exists():
-            c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet{'/*.parquet' * Path(sf, f'{t}.parquet').is_dir()}'")
-    found = c.execute(sql)
-    want = rows_of([x[0] for x in found.description], found.fetchall())
-    df = Q.QUERIES[name](spark, sf).select(*(x[0] for x in found.description))
-    return rows_of(df.columns, [tuple(r) for r in df.collect()]), want
-
-
-PREFIXES = [("substr(x.t, 1, 120)", "x.t"), ("substr(y.t, 1, 120)", "y.t")]
-
-
-@pytest.mark.parametrize("name", ["character_errors", "character_coverage", "corpus_bleu", "best_takes"])
-def test_whole_turns(spark, sf, name):
-    got, want = whole(spark, sf, name, *PREFIXES)
-    assert want and got == want
+from turnwise.plans.views import utterances, words
 
 
 def distance(a, b):
@@ -46,66 +21,111 @@ def distance(a, b):
     return row[-1]
 
 
-def test_word_errors_of_whole_turns(spark, sf, tmp_path):
-    import re
-
-    turns = spark.read.parquet(f"{sf}/conversations.parquet").filter("conv_id < 12")
-    turns.write.parquet(f"{tmp_path}/conversations.parquet")
+def test_word_errors(spark, sf):
+    turns = spark.read.parquet(f"{sf}/conversations.parquet")
     text = {(r.conv_id, r.turn): re.sub(" +", " ", re.sub("[^a-z0-9 ]", "", r.text.lower())).split() for r in turns.collect()}
     want = {c * 1000 + t: (text[c, t], text[c, t + 1]) for c, t in text if (c, t + 1) in text}
-    assert max(len(" ".join(x)) for p in want.values() for x in p) > 120
-    rate = {k: round(distance(r, h) / len(r) if r else float(bool(h)), 6) for k, (r, h) in want.items()}
-    assert {r.id: r.wer for r in Q.QUERIES["word_errors"](spark, str(tmp_path)).collect()} == rate
-    kinds = {r.id: r for r in Q.QUERIES["word_error_kinds"](spark, str(tmp_path)).collect()}
+    far = {k: distance(*p) for k, p in want.items()}
+    rate = {k: round(far[k] / len(r) if r else float(bool(h)), 6) for k, (r, h) in want.items()}
+    assert {r.id: r.wer for r in Q.QUERIES["word_errors"](spark, sf).collect()} == rate
+    kinds = {r.id: r for r in Q.QUERIES["word_error_kinds"](spark, sf).collect()}
     assert {k: round(r.wer, 6) for k, r in kinds.items()} == rate
-    assert all(r.substitutions + r.deletions + r.insertions == distance(*want[k]) for k, r in kinds.items())
-
-
-def test_char_times_of_all_turns(spark, sf):
-    got, want = whole(spark, sf, "char_times", (" WHERE turn = 0", ""), ("SELECT conv_id, k, CAST", "SELECT conv_id, turn, k, CAST"))
+    for k, (r, h) in want.items():  # counts explain the distance and both lengths
+        x = kinds[k]
+        assert x.substitutions + x.deletions + x.insertions == far[k] and len(r) - x.deletions + x.insertions == len(h)
+
+
+def test_edit_table_of_long_texts():
+    a = [str(i * i % 97) for i in range(3000)]
+    b = a[:100] + ["new"] * 7 + a[105:2000] + a[2003:]
+    s, d, i, rate = tokens._edits(a, b)
+    assert (s, d, i) == (5, 3, 2) and rate == pytest.approx(10 / 3000)
+    for x, y in (("kitten", "sitting"), ("", "ab"), ("ab", ""), ("abc", "abc"), ("flaw", "lawn")):
+        assert list(T.edit_rows(list(x), list(y)))[-1][-1] == distance(x, y)
+
+
+def fold(said, duration, rate, pad, end_of_text, in_word, zero):
+    """Frame by frame, as the rule is written."""
+    frames = math.ceil(duration * rate)
+    if not said:
+        return [zero] * frames
+    out, queue, last, left = [], [], -1, sorted(said, key=lambda w: w[1])
+    for t in range(frames):
+        for w in [w for w in left if w[1] * rate < t + 1]:
+            queue, last = list(w[0]), int(w[2] * rate)
+            left.remove(w)
+        if queue:
+            if out and out[-1] in (pad, in_word):
+                out[-1] = end_of_text
+            out.append(queue.pop(0))
+        else:
+            out.append(in_word if t <= last else pad)
+    return out
+
+
+def test_token_frames(spark, sf):
+    said = {}
+    for r in words(utterances(spark, sf)).collect():
+        ids = [ord(r.word[0]) + i for i in range(int(min(len(r.word) / 3, 3)) + 1)]
+        said.setdefault(r.conv_id, []).append((ids, r.w_start_ms / 1000, r.w_end_ms / 1000))
+    got = {r.conv_id: (r.duration, list(r.codes)) for r in Q.QUERIES["token_frames"](spark, sf).collect()}
+    assert got.keys() == said.keys()
+    for c, w in said.items():
+        end = max(e for _, _, e in w)
+        assert got[c] == (end, fold(sorted(w, key=lambda x: (x[1], x[2], x[0])), end, 12.5, 3, 0, 4, 5))
+
+
+def test_adaptive_frames():
+    three = [([1, 2], 0, 0.5), ([4, 5], 1, 1.5)]
+    assert tokens.place_adaptive(three, 2, 1, pad=9, end_of_text=0) == [1, 2]  # the others find no free frame
+    assert tokens.place_adaptive(three, 10, 1, pad=9, end_of_text=0) == tokens.place(three, 10, 1, pad=9, end_of_text=0)
+    assert tokens.place_adaptive([([9, 9, 9, 7], 0, 1)], 3, 1, pad=9, end_of_text=0) == [0, 0, 7]
+
+
+def test_greedy_matches(spark, sf):
+    rows = utterances(spark, sf).select("conv_id", "pos", "speaker", "start_ms", "end_ms").orderBy("start_ms", "pos").collect()
+    want = set()
+    for c in {r.conv_id for r in rows}:
+        free = {r.pos: (r.start_ms + r.end_ms) / 2 for r in rows if r.conv_id == c and r.speaker == "user"}
+        for r in (r for r in rows if r.conv_id == c and r.speaker == "assistant"):
+            near = min(((abs((r.start_ms + r.end_ms) / 2 - m), k) for k, m in free.items()), default=(math.inf, None))
+            if near[0] <= 20_000:
+                del free[near[1]]
+                want.add((c, r.pos, near[1], near[0]))
+    got = {(r.conv_id, r.pos, r.matched_pos, r.distance_ms) for r in Q.QUERIES["greedy_matches"](spark, sf).collect()}
     assert want and got == want
 
 
-def test_token_frames_of_all_turns(spark, sf):
-    from turnwise.operators.tokens import place
-    from turnwise.plans.views import utterances, words
+def test_next_fit_batches(spark, sf):
+    by = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("source", "doc_id", "n_chars").collect():
+        by.setdefault(r.source, []).append((r.n_chars, r.doc_id))
+    want = {}
+    for items in by.values():
+        batch, load, size = 0, 0, 0
+        for n, doc in sorted(items):
+            if size and (load + n > 20_000 or size >= 32):
+                batch, load, size = batch + 1, 0, 0
+            want[doc], load, size = batch, load + n, size + 1
+    assert {r.doc_id: r.batch for r in Q.QUERIES["next_fit_batches"](spark, sf).collect()} == want
 
-    said = {}
-    for r in words(utterances(spark, sf)).filter("conv_id < 20").collect():
-        ids = [ord(r.word[0]) + i for i in range(int(min(len(r.word) / 3, 3)) + 1)]
-        said.setdefault(r.conv_id, []).append((r.w_start_ms / 1000, r.w_end_ms / 1000, ids))
-    want = {c: (max(e for _, e, _ in w), place([(i, s, e) for s, e, i in sorted(w)], max(e for _, e, _ in w), 12.5, 3, 0)) for c, w in said.items()}
-    got = {r.conv_id: (r.duration, list(r.codes)) for r in Q.QUERIES["token_frames"](spark, sf).filter("conv_id < 20").collect()}
-    assert got == want
-
-
-def test_durations_of_all_lengths(spark, sf, tmp_path):
-    spark.range(150_000).selectExpr("id AS doc_id", "id AS n_chars").write.parquet(f"{tmp_path}/documents.parquet")
-    for d in (sf, str(tmp_path)):
-        got, want = whole(spark, d, "formatted_durations", (" WHERE n_chars < 600", ""))
-        assert want and got == want
-    assert {x[1][-1] for x in got} == set("smh") and len(got) == 150_000
-
-
-def test_speakers_of_all_rows(spark, sf, tmp_path):
-    names = [None, "src1", " SRC1 ", "Unknown", " ann ", "", "n/a", "speaker_unknown"]
-    spark.createDataFrame(list(enumerate(names)), "doc_id long, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.speaker for r in Q.QUERIES["normalized_speakers"](spark, str(tmp_path)).collect()}
-    none = "UNKNOWN_SPEAKER"
-    assert [got.get(i) for i in range(len(names))] == [none, "src1", "SRC1", none, "ann", none, none, none]
-    got, want = whole(spark, sf, "normalized_speakers", (" WHERE lower(trim(source)) <> 'src1'", ""), (", 'src1')", ")"))
-    assert want and got == want
 
+def test_queries_tell_rows_apart(spark, sf):
+    n = utterances(spark, sf).filter("speaker = 'assistant'").count()
+    assert 0 < Q.QUERIES["boundary_matches"](spark, sf).count() < n
+    assert Q.QUERIES["migration_statistics"](spark, sf).first().updated > 0
 
-def test_bleu_of_order_4(spark, sf):
-    import math
-    from collections import Counter
 
-    pairs = [(r.ref.split(), r.hyp.split()) for r in Q._pairs(spark, sf).collect()]
+def test_sentence_bleu(spark):
+    pairs = [("the cat sat on the mat", "the cat sat on the mat"), ("the cat sat on the mat today", "the cat on the mat"), ("a b", "c d"), ("a b c", "a x"), ("", "a"), ("a", "")]
+    df = spark.createDataFrame([(i, r.split(), h.split()) for i, (r, h) in enumerate(pairs)], "id long, ref array<string>, hyp array<string>")
     grams = lambda w, n: Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
-    hit = [sum((grams(r, n) & grams(h, n)).total() for r, h in pairs) for n in range(1, 5)]
-    logs = [math.log(hit[n - 1] / sum(grams(h, n).total() for _, h in pairs)) for n in range(1, 5)]
-    shorter = sum(len(r) for r, _ in pairs) / sum(len(h) for _, h in pairs)
-    want = [min(1, math.exp(1 - shorter)) * math.exp(sum(logs[:n]) / n) for n in range(1, 5)]
-    r = Q.QUERIES["corpus_bleu"](spark, sf).first()
-    assert [r[f"bleu{n}"] for n in range(1, 5)] == pytest.approx(want, abs=1e-6)
+    for row in metrics.sentence_bleu(df).collect():
+        r, h = (x.split() for x in pairs[row.id])
+        logs, half = [], 1.0
+        for n in range(1, min(4, len(h)) + 1):
+            hit, every = (grams(r, n) & grams(h, n)).total(), len(h) - n + 1
+            half = half / 2 if not hit else half
+            logs.append(math.log(hit / every if hit else half / every))
+        want = 0.0 if not set(r) & set(h) else 100 * min(1, math.exp(1 - len(r) / len(h))) * math.exp(sum(logs) / len(logs))
+        assert row.bleu == pytest.approx(want, abs=1e-9)

@@ -1,17 +1,19 @@
 """Text functions as columns: normalisation, error rates, rewriting rules.
 
-Everything is built in but NFC, which Spark lacks: ``nfc`` is an Arrow UDF and
-optional in ``normalize_text``.
+Everything is built in but NFC (optional in ``normalize_text``) and the edit
+distance of arrays, which Spark lacks: these are Arrow UDFs.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import IntegerType, StringType
 
 HANGUL = "가-힣ㄱ-ㅎㅏ-ㅣ"
 
@@ -55,21 +57,32 @@ def compact_text(c: str | Column) -> Column:
     return F.regexp_replace(display_text(c), r"(?<=[가-힣])\s+(?=[가-힣])", "")
 
 
-def edit_distance(ref: Column, hyp: Column) -> Column:
-    """Levenshtein distance of two arrays, a fold over rows of the table."""
-    first = F.sequence(F.lit(0), F.size(ref))
+def edit_rows(ref: list, hyp: list) -> Iterator[np.ndarray]:
+    """The rows of the Levenshtein table, a numpy pass each."""
+    code: dict = {}
+    r, h = (np.array([code.setdefault(x, len(code)) for x in side], dtype=np.int64) for side in (ref, hyp))
+    step = np.arange(len(h) + 1)
+    row = step
+    yield row
+    for i, x in enumerate(r):
+        best = np.minimum(row[:-1] + (h != x), row[1:] + 1)
+        # an insertion costs 1 a place: the least of (value - place) so far, plus the place
+        row = np.minimum.accumulate(np.append(i + 1, best) - step) + step
+        yield row
 
-    def row(prev: Column, h: Column) -> Column:
-        start = F.array(prev[0] + 1)
 
-        def cell(acc: Column, i: Column) -> Column:
-            keep = prev[i] + F.when(ref[i] == h, 0).otherwise(1)
-            return F.concat(acc, F.array(F.least(keep, prev[i + 1] + 1, acc[F.size(acc) - 1] + 1)))
+@F.pandas_udf(IntegerType())
+def edit_distance(ref: pd.Series, hyp: pd.Series) -> pd.Series:
+    """Levenshtein distance of two arrays."""
 
-        return F.when(F.size(ref) > 0, F.aggregate(F.sequence(F.lit(0), F.size(ref) - 1), start, cell)).otherwise(start)
+    def one(r, h):
+        if r is None or h is None:
+            return None
+        for row in edit_rows(list(r), list(h)):
+            pass
+        return int(row[-1])
 
-    table = F.aggregate(hyp, first, row)
-    return table[F.size(table) - 1]
+    return pd.Series([one(r, h) for r, h in zip(ref, hyp, strict=True)], dtype="Int32")
 
 
 def word_error_rate(ref: Column, hyp: Column) -> Column:
@@ -118,10 +131,17 @@ def replace_first(c: str | Column, term: str, to: str) -> Column:
 
 
 def code_switch(c: str | Column, terms: dict[str, str], p: float, seed: int, *keys: str) -> Column:
-    """Each term's first occurrence replaced with probability ``p``."""
+    """Each term's first occurrence replaced with probability ``p``.
+
+    Where a term isn't drawn its pattern matches nothing, so the text is named
+    once a term and the expression stays as long as the list.
+    """
+    import re
+
     out = _col(c)
     for k, (term, to) in enumerate(terms.items()):
-        out = F.when(seeded_share(seed, *keys, F.lit(k)) < p, replace_first(out, term, to)).otherwise(out)
+        pattern = F.when(seeded_share(seed, *keys, F.lit(k)) < p, F.lit(rf"(?s)^(.*?){re.escape(term)}")).otherwise(F.lit("(?!)"))
+        out = F.regexp_replace(out, pattern, F.lit("$1" + to))
     return out
 
 

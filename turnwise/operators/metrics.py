@@ -22,12 +22,14 @@ def moving_average(log: DataFrame, keys: list[str], step: str, value: str, width
 def ema(log: DataFrame, keys: list[str], step: str, value: str, alpha: float = 0.1) -> DataFrame:
     """Exponential moving average, seeded by the first value.
 
-    Closed form: a weighted running sum, scaled by the row's place; blocks keep
-    the powers in range.
+    Closed form: a value weighs alpha (1 - alpha)^k where k rows follow it (the
+    first one has no alpha), so a key is a sorted window and a sum, never an array.
     """
-    rows = F.array_sort(F.collect_list(F.struct(F.col(step).alias("s"), F.col(value).cast("double").alias("v"))))
-    folded = F.aggregate(rows, F.lit(None).cast("double"), lambda acc, x: F.when(acc.isNull(), x["v"]).otherwise(alpha * x["v"] + (1 - alpha) * acc))
-    return log.groupBy(*keys).agg(folded.alias("ema"))
+    w = Window.partitionBy(*keys)
+    later = F.row_number().over(w.orderBy(F.col(step).desc())) - 1
+    first = later == F.count("*").over(w) - 1
+    weight = F.pow(F.lit(1 - alpha), later) * F.when(first, 1.0).otherwise(alpha)
+    return log.withColumn("_x", weight * F.col(value).cast("double")).groupBy(*keys).agg(F.sum("_x").alias("ema"))
 
 
 def training_summary(log: DataFrame, keys: list[str], step: str, value: str) -> DataFrame:
@@ -182,6 +184,31 @@ def _ngrams(words: str, n: int) -> Column:
     return F.when(F.size(words) >= n, made).otherwise(F.array().cast("array<string>"))
 
 
+def sentence_bleu(pairs: DataFrame, order: int = 4) -> DataFrame:
+    """BLEU of each (id, ref words, hyp words), 0..100: exponential smoothing, orders up to the hypothesis's length.
+
+    The k-th order in a row without a hit counts 1 / 2^k of a hit.
+    """
+
+    def matched(n: int) -> Column:
+        r, h = _ngrams("ref", n), _ngrams("hyp", n)
+        count = lambda a, g: F.size(F.filter(a, lambda x: x == g))
+        return F.aggregate(F.array_distinct(h), F.lit(0), lambda acc, g: acc + F.least(count(h, g), count(r, g)))
+
+    out = pairs
+    for n in range(1, order + 1):
+        out = out.withColumn(f"_m{n}", matched(n)).withColumn(f"_n{n}", F.greatest(F.size("hyp") - n + 1, F.lit(0)))
+    missed, logs, used = F.lit(0), F.lit(0.0), F.lit(0)
+    for n in range(1, order + 1):
+        here = F.col(f"_n{n}") > 0
+        missed = missed + F.when(here & (F.col(f"_m{n}") == 0), 1).otherwise(0)
+        share = F.when(F.col(f"_m{n}") > 0, F.col(f"_m{n}") / F.col(f"_n{n}")).otherwise(1 / (F.pow(F.lit(2.0), missed) * F.col(f"_n{n}")))
+        logs, used = logs + F.when(here, F.log(share)).otherwise(0.0), used + here.cast("int")
+    bp = F.when(F.size("hyp") >= F.size("ref"), 1.0).otherwise(F.exp(1 - F.size("ref") / F.size("hyp")))
+    score = F.when((F.size("hyp") > 0) & (F.col("_m1") > 0), 100 * bp * F.exp(logs / used)).otherwise(0.0)
+    return out.select("id", score.alias("bleu"))
+
+
 def corpus_bleu(pairs: DataFrame, order: int = 4) -> DataFrame:
     """Corpus BLEU 1..order of (id, ref words, hyp words), with brevity penalty."""
     grams = None

@@ -82,24 +82,43 @@ def interruptions(main: DataFrame, user: DataFrame, slot_ms: int = 60_000) -> Da
     return m.join(u, (F.col("m.conv_id") == F.col("u.conv_id")) & (F.floor(F.col("m.start_ms") / slot_ms) == F.col("u.slot")) & (F.col("u.start_ms") < F.col("m.start_ms")) & (F.col("m.start_ms") < F.col("u.end_ms")), "left_semi")
 
 
-def boundary_matches(a: DataFrame, b: DataFrame, tolerance_ms: int) -> DataFrame:
-    """Rows of ``a`` with a segment of ``b`` near either end, or within one."""
-    x, y = a.alias("x"), b.alias("y")
-    near = (F.abs(F.col("x.start_ms") - F.col("y.start_ms")) <= tolerance_ms) | (F.abs(F.col("x.end_ms") - F.col("y.end_ms")) <= tolerance_ms) | ((F.col("y.start_ms") <= F.col("x.start_ms")) & (F.col("x.end_ms") <= F.col("y.end_ms")))
-    return x.join(y, (F.col("x.conv_id") == F.col("y.conv_id")) & near, "left_semi")
+def _slots(at: Column, width: int) -> Column:
+    """The slots of width ``width`` in which a time at most ``width`` away lies."""
+    k = F.floor(at / width)
+    return F.array(k - 1, k, k + 1)
+
+
+def boundary_matches(a: DataFrame, b: DataFrame, tolerance_ms: int, slot_ms: int = 60_000) -> DataFrame:
+    """Rows of ``a`` (by conv_id, pos) with a segment of ``b`` near either end, or around it.
+
+    Each case joins on a slot of time, so a long conversation isn't paired with itself.
+    """
+    from turnwise.operators.speakers import by_time_slot
+
+    width = max(tolerance_ms, 1)
+    hits = None
+    for end in ("start_ms", "end_ms"):
+        y = b.select("conv_id", F.col(end).alias("t"), F.explode(_slots(F.col(end), width)).alias("slot"))
+        x = a.select("conv_id", "pos", F.col(end).alias("s"), F.floor(F.col(end) / width).alias("slot"))
+        near = x.join(y, ["conv_id", "slot"]).filter(F.abs(F.col("s") - F.col("t")) <= tolerance_ms).select("conv_id", "pos")
+        hits = near if hits is None else hits.unionAll(near)
+    y = by_time_slot(b.select("conv_id", "start_ms", "end_ms"), slot_ms).select("conv_id", "slot", F.col("start_ms").alias("y0"), F.col("end_ms").alias("y1"))
+    x = a.withColumn("slot", F.floor(F.col("start_ms") / slot_ms))
+    around = x.join(y, ["conv_id", "slot"]).filter("y0 <= start_ms AND end_ms <= y1").select("conv_id", "pos")
+    return a.join(hits.unionAll(around).distinct(), ["conv_id", "pos"], "left_semi")
 
 
 def tolerance_join(segments: DataFrame, diarized: DataFrame, nearest: bool = False) -> DataFrame:
     """Speaker of each segment: equal times (to the ms), else both ends within 50 ms, else 100 ms.
 
     Among matches of the best level the first diarised time, or the nearest;
-    within it the first known speaker.
+    within it the first known speaker. Joins on slots of 100 ms of the start.
     """
-    s = segments.alias("s")
-    d = diarized.select("conv_id", F.col("start_ms").alias("d0"), F.col("end_ms").alias("d1"), F.col("speaker").alias("d_speaker"), F.col("pos").alias("d_pos"), F.col("unknown").alias("d_unknown")).alias("d")
+    s = segments.withColumn("slot", F.floor(F.col("start_ms") / 100)).alias("s")
+    d = diarized.select(F.explode(_slots(F.col("start_ms"), 100)).alias("slot"), "conv_id", F.col("start_ms").alias("d0"), F.col("end_ms").alias("d1"), F.col("speaker").alias("d_speaker"), F.col("pos").alias("d_pos"), F.col("unknown").alias("d_unknown")).alias("d")
     off = F.greatest(F.abs(F.col("s.start_ms") - F.col("d.d0")), F.abs(F.col("s.end_ms") - F.col("d.d1")))
     level = F.when(off == 0, 1).when(off < 50, 2).when(off < 100, 3)
-    j = s.join(d, (F.col("s.conv_id") == F.col("d.conv_id")) & (off < 100), "left").select("s.*", level.alias("level"), off.alias("off"), "d_speaker", "d_pos", "d_unknown", "d0", "d1")
+    j = s.join(d, (F.col("s.conv_id") == F.col("d.conv_id")) & (F.col("s.slot") == F.col("d.slot")) & (off < 100), "left").select("s.*", level.alias("level"), off.alias("off"), "d_speaker", "d_pos", "d_unknown", "d0", "d1")
     first = F.min("d_pos").over(Window.partitionBy("conv_id", "pos", "level", "d0", "d1"))
     j = j.withColumn("_key", first)
     order = ["level", *(["off"] if nearest else []), "_key", F.col("d_unknown").cast("int"), "d_pos"]

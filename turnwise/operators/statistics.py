@@ -30,11 +30,30 @@ def alignment_statistics(results: DataFrame) -> DataFrame:
 
 
 def migration_statistics(matched: DataFrame) -> DataFrame:
-    """Segments by level of match, rates and speakers a file, one row."""
-    per = matched.groupBy("conv_id").agg(F.count_distinct("matched_speaker").alias("s"), F.count("*").alias("n"), F.count_if(F.col("level") == 1).alias("l1"), F.count_if(F.col("level") == 2).alias("l2"), F.count_if(F.col("level") == 3).alias("l3"))
-    out = per.agg(F.count("*").alias("files"), F.sum("n").alias("segments"), F.sum("l1").alias("exact"), F.sum("l2").alias("near"), F.sum("l3").alias("far"), F.max("s").alias("max_speakers"), F.count_if(F.col("s") > 1).alias("multi_speaker"))
-    hit = F.col("exact") + F.col("near") + F.col("far")
-    return out.withColumn("match_rate", F.when(F.col("segments") > 0, F.round(100 * hit / F.col("segments"), 4)).otherwise(100.0))
+    """Files and segments by level of match, rates and speakers a file, one row.
+
+    ``matched`` has conv_id, level (null: no match), matched_speaker and, where it
+    is known, ``speaker`` as it was: a match that differs from it is an update.
+    """
+    was = F.col("speaker") if "speaker" in matched.columns else F.lit(None).cast("string")
+    hit, changed = F.col("level").isNotNull(), F.col("level").isNotNull() & ~F.col("matched_speaker").eqNullSafe(was)
+    levels = [F.count_if(F.col("level") == k).alias(f"l{k}") for k in (1, 2, 3)]
+    per = matched.groupBy("conv_id").agg(F.count_distinct("matched_speaker").alias("s"), F.count("*").alias("n"), *levels, F.count_if(hit).alias("hit"), F.count_if(changed).alias("updated"), F.count_if(hit & F.col("matched_speaker").isNull()).alias("unnamed"))
+    out = per.agg(
+        F.count("*").alias("files"),
+        F.count_if(F.col("updated") > 0).alias("files_updated"),
+        F.count_if(F.col("hit") == F.col("n")).alias("files_whole"),
+        F.count_if(F.col("hit") == 0).alias("files_unmatched"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("segments"),
+        *(F.coalesce(F.sum(f"l{k}"), F.lit(0)).alias(name) for k, name in ((1, "exact"), (2, "near"), (3, "far"))),
+        F.coalesce(F.sum(F.col("n") - F.col("hit")), F.lit(0)).alias("unmatched"),
+        F.coalesce(F.sum("updated"), F.lit(0)).alias("updated"),
+        F.coalesce(F.sum("unnamed"), F.lit(0)).alias("unnamed"),
+        F.coalesce(F.max("s"), F.lit(0)).alias("max_speakers"),
+        F.count_if(F.col("s") > 1).alias("multi_speaker"),
+    )
+    share = lambda x, empty: F.when(F.col("segments") > 0, F.round(100 * x / F.col("segments"), 4)).otherwise(empty)
+    return out.withColumn("match_rate", share(F.col("segments") - F.col("unmatched"), 100.0)).withColumn("update_rate", share(F.col("updated"), 0.0))
 
 
 def overflow_statistics(layout: DataFrame) -> DataFrame:

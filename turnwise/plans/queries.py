@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from turnwise.functions import korean as K
 from turnwise.functions import text as T
 from turnwise.operators import arrays, corpus, filters, manifest, metrics, segments, speakers, statistics, synthesis, tokens, windows
 from turnwise.plans.views import UTTERANCES_SQL, WORDS_SQL, read, utterances, words
@@ -97,15 +99,29 @@ def turn_statistics(spark, d):
     return speakers.turn_statistics(utterances(spark, d))
 
 
-@query()
+@query(
+    f"""WITH {ROLES_SQL}, k AS (SELECT conv_id, count(*) AS num_speakers, string_agg(rank || ' ' || speaker || ' ' || role || ' ' || total_ms || ' ' || turns, ',' ORDER BY rank) AS ranked, round(max(score), 4) AS top_score FROM roles GROUP BY conv_id),
+    o AS (SELECT a.conv_id, sum(least(a.end_ms, b.end_ms) - greatest(a.start_ms, b.start_ms)) AS ov FROM utterances a JOIN utterances b ON a.conv_id = b.conv_id AND a.pos < b.pos AND b.start_ms < a.end_ms AND a.speaker <> b.speaker WHERE least(a.end_ms, b.end_ms) > greatest(a.start_ms, b.start_ms) GROUP BY a.conv_id),
+    l AS (SELECT *, lag(speaker) OVER (PARTITION BY conv_id ORDER BY pos) AS before FROM utterances),
+    s AS (SELECT conv_id, count(*) AS n_turns, round(avg(dur_ms) / 1000.0, 3) AS mean_turn, count(*) FILTER (speaker <> before) AS transitions, max(end_ms) AS duration_ms FROM l GROUP BY conv_id)
+    SELECT k.conv_id, num_speakers, ranked, top_score, round(coalesce(ov, 0) / greatest(duration_ms, 1), 4) AS overlap_ratio, n_turns, mean_turn, transitions FROM k JOIN s ON k.conv_id = s.conv_id LEFT JOIN o ON k.conv_id = o.conv_id"""
+)
 def diarization_documents(spark, d):
-    return speakers.diarization_document(utterances(spark, d))
+    schema = "num_speakers bigint, speakers array<struct<rank int, speaker string, role string, score double, total_ms bigint, turns bigint>>, overlap_ratio double, n_turns bigint, mean_turn double, transitions bigint"
+    doc = speakers.diarization_document(utterances(spark, d)).select("conv_id", F.from_json("document", schema).alias("x")).select("conv_id", "x.*")
+    one = lambda r: F.concat_ws(" ", r["rank"].cast("string"), r["speaker"], r["role"], r["total_ms"].cast("string"), r["turns"].cast("string"))
+    return doc.select("conv_id", "num_speakers", F.array_join(F.transform("speakers", one), ",").alias("ranked"), F.array_max(F.transform("speakers", lambda r: r["score"])).alias("top_score"), "overlap_ratio", "n_turns", "mean_turn", "transitions")
 
 
-@query()
+@query(
+    f"""WITH {ROLES_SQL}, n AS (SELECT conv_id, coalesce(string_agg(speaker, ',' ORDER BY speaker) FILTER (role = 'user'), '') AS user_speakers FROM roles GROUP BY conv_id)
+    SELECT u.conv_id, n.user_speakers, string_agg(r.role || ' ' || u.speaker || ' ' || u.start_ms || ': ' || u.text, chr(10) ORDER BY u.start_ms, u.pos) AS lines
+    FROM utterances u JOIN roles r ON u.conv_id = r.conv_id AND u.speaker = r.speaker JOIN n ON n.conv_id = u.conv_id GROUP BY ALL"""
+)
 def role_tagged_utterances(spark, d):
     u = utterances(spark, d)
-    return speakers.role_utterances(u, speakers.assign_roles(u))
+    line = lambda x: F.concat(x["role"], F.lit(" "), x["speaker"], F.lit(" "), x["start_ms"].cast("string"), F.lit(": "), x["text"])
+    return speakers.role_utterances(u, speakers.assign_roles(u)).select("conv_id", "user_speakers", F.array_join(F.transform("segments", line), "\n").alias("lines"))
 
 
 # segments ------------------------------------------------------------------------------------------------
@@ -157,17 +173,17 @@ def interruptions(spark, d):
 
 @query(
     f"""WITH {UTTERANCES_SQL} SELECT conv_id, pos FROM utterances a WHERE speaker = 'assistant' AND EXISTS (SELECT 1 FROM utterances b WHERE b.speaker = 'user' AND b.conv_id = a.conv_id AND
-    (abs(a.start_ms - b.start_ms) <= 400 OR abs(a.end_ms - b.end_ms) <= 400 OR (b.start_ms <= a.start_ms AND a.end_ms <= b.end_ms)))"""
+    (abs(a.start_ms - b.start_ms) <= 3000 OR abs(a.end_ms - b.end_ms) <= 3000 OR (b.start_ms <= a.start_ms AND a.end_ms <= b.end_ms)))"""
 )
 def boundary_matches(spark, d):
     u = utterances(spark, d)
-    return segments.boundary_matches(u.filter("speaker = 'assistant'"), u.filter("speaker = 'user'"), 400).select("conv_id", "pos")
+    return segments.boundary_matches(u.filter("speaker = 'assistant'"), u.filter("speaker = 'user'"), 3000).select("conv_id", "pos")
 
 
 @query()
 def greedy_matches(spark, d):
     u = utterances(spark, d)
-    return segments.greedy_match(u.filter("speaker = 'assistant'"), u.filter("speaker = 'user'"), 5000)
+    return segments.greedy_match(u.filter("speaker = 'assistant'"), u.filter("speaker = 'user'"), 20_000)
 
 
 def _diarized(u):
@@ -175,13 +191,17 @@ def _diarized(u):
     return u.withColumn("start_ms", F.col("start_ms") + F.when(off < 40, 0).otherwise(off - 20)).withColumn("unknown", filters.is_unknown("speaker"))
 
 
-@query(
-    f"""WITH {UTTERANCES_SQL}, o AS (SELECT *, (conv_id * 31 + turn * 17) % 130 AS off FROM utterances), d AS (SELECT conv_id, pos, speaker, end_ms, start_ms + CASE WHEN off < 40 THEN 0 ELSE off - 20 END AS start_ms FROM o),
+MIGRATION_SQL = (
+    UTTERANCES_SQL
+    + """, o AS (SELECT *, (conv_id * 31 + turn * 17) % 130 AS off FROM utterances), d AS (SELECT conv_id, pos, speaker, end_ms, start_ms + CASE WHEN off < 40 THEN 0 ELSE off - 20 END AS start_ms FROM o),
     j AS (SELECT s.conv_id, s.pos, s.start_ms, s.end_ms, d.speaker AS m, d.pos AS dp, greatest(abs(s.start_ms - d.start_ms), abs(s.end_ms - d.end_ms)) AS off FROM utterances s LEFT JOIN d ON s.conv_id = d.conv_id AND abs(s.start_ms - d.start_ms) < 100 AND abs(s.end_ms - d.end_ms) < 100),
     l AS (SELECT *, CASE WHEN off = 0 THEN 1 WHEN off < 50 THEN 2 WHEN off < 100 THEN 3 END AS level FROM j),
-    r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, pos ORDER BY level NULLS LAST, dp NULLS LAST) AS r FROM l)
-    SELECT conv_id, pos, start_ms, end_ms, level, m AS matched_speaker FROM r WHERE r = 1"""
+    r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, pos ORDER BY level NULLS LAST, dp NULLS LAST) AS r FROM l),
+    migrated AS (SELECT conv_id, pos, start_ms, end_ms, level, m AS matched_speaker FROM r WHERE r = 1)"""
 )
+
+
+@query(f"WITH {MIGRATION_SQL} SELECT * FROM migrated")
 def speaker_migration(spark, d):
     u = utterances(spark, d)
     return segments.tolerance_join(u.select("conv_id", "pos", "start_ms", "end_ms"), _diarized(u))
@@ -203,8 +223,8 @@ def word_times(spark, d):
 
 
 @query(
-    f"""WITH {WORDS_SQL}, c AS (SELECT conv_id, turn, k, w_start_ms, w_end_ms, length(word) AS n, unnest(range(length(word))) AS i, word FROM words WHERE turn = 0)
-    SELECT conv_id, k, CAST(i AS BIGINT) AS i, substr(word, CAST(i + 1 AS BIGINT), 1) AS char, round(w_start_ms + i * ((w_end_ms - w_start_ms) / n), 4) AS c_start FROM c"""
+    f"""WITH {WORDS_SQL}, c AS (SELECT conv_id, turn, k, w_start_ms, w_end_ms, length(word) AS n, unnest(range(length(word))) AS i, word FROM words)
+    SELECT conv_id, turn, k, CAST(i AS BIGINT) AS i, substr(word, CAST(i + 1 AS BIGINT), 1) AS char, round(w_start_ms + i * ((w_end_ms - w_start_ms) / n), 4) AS c_start FROM c"""
 )
 def char_times(spark, d):
     return segments.split_chars(words(utterances(spark, d))).select("conv_id", "turn", "k", F.col("i").cast("long").alias("i"), "char", F.round("c_start", 4).alias("c_start"))
@@ -510,7 +530,7 @@ PAIRS_SQL = (
     UTTERANCES_SQL
     + """,
 a AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g')) AS t FROM utterances),
-pairs AS (SELECT x.conv_id * 1000 + x.turn AS id, substr(x.t, 1, 120) AS ref, substr(y.t, 1, 120) AS hyp FROM a x JOIN a y ON x.conv_id = y.conv_id AND y.turn = x.turn + 1)"""
+pairs AS (SELECT x.conv_id * 1000 + x.turn AS id, x.t AS ref, y.t AS hyp FROM a x JOIN a y ON x.conv_id = y.conv_id AND y.turn = x.turn + 1)"""
 )
 
 
@@ -553,37 +573,55 @@ def _ngram_sql(n: int) -> str:
 @query(
     f"""WITH {PAIRS_SQL}, p AS (SELECT id, list_filter(string_split(ref, ' '), lambda x: x <> '') AS r, list_filter(string_split(hyp, ' '), lambda x: x <> '') AS h FROM pairs), g AS ({_ngram_sql(4)}),
     e AS (SELECT id, n, gram, count(*) FILTER (side = 'r') AS r, count(*) FILTER (side = 'h') AS h FROM g GROUP BY ALL), b AS (SELECT n, sum(least(r, h)) AS hit, sum(h) AS al FROM e GROUP BY n),
-    l AS (SELECT sum(CASE WHEN n = 1 THEN ln(hit / al) END) AS p1, sum(CASE WHEN n = 2 THEN ln(hit / al) END) AS p2 FROM b WHERE n <= 2), z AS (SELECT sum(len(r)) AS rl, sum(len(h)) AS hl FROM p),
+    l AS (SELECT {', '.join(f'sum(CASE WHEN n = {n} THEN ln(hit / al) END) AS p{n}' for n in range(1, 5))} FROM b), z AS (SELECT sum(len(r)) AS rl, sum(len(h)) AS hl FROM p),
     f AS (SELECT *, CASE WHEN hl >= rl THEN 1.0 ELSE exp(1 - rl / hl) END AS bp FROM l, z)
-    SELECT round(bp * exp(p1), 6) AS bleu1, round(bp * exp((p1 + p2) / 2), 6) AS bleu2, round(bp, 6) AS brevity, round(hl / rl, 6) AS length_ratio FROM f"""
+    SELECT {', '.join(f"round(bp * exp(({' + '.join(f'p{k}' for k in range(1, n + 1))}) / {n}), 6) AS bleu{n}" for n in range(1, 5))}, round(bp, 6) AS brevity, round(hl / rl, 6) AS length_ratio FROM f"""
 )
 def corpus_bleu(spark, d):
     p = _pairs(spark, d).select("id", T.word_array("ref").alias("ref"), T.word_array("hyp").alias("hyp"))
     return metrics.corpus_bleu(p, 4)
 
 
-RULES = [("\\bthe\\b", "da"), ("ing\\b", "in"), ("tion\\b", "shun"), ("\\band\\b", "n")]
+#: A written phrase for every rule and term, one of them put behind each document's text.
+_WRITTEN = [re.sub(r"\\\\|\\$", "", p) for p, _ in K.SPOKEN_RULES]
+_Q = lambda x: "'" + x.replace("'", "''") + "'"
 
 
-@query(
-    """WITH d AS (SELECT doc_id, lower(text) AS t FROM documents WHERE lang = 'en')
-    SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\\bthe\\b', 'da', 'g'), 'ing\\b', 'in', 'g'), 'tion\\b', 'shun', 'g'), '\\band\\b', 'n', 'g') AS spoken,
-    round(least(0.7 + 0.05 * (CAST(regexp_matches(t, '\\bthe\\b') AS INTEGER) + CAST(regexp_matches(t, 'ing\\b') AS INTEGER) + CAST(regexp_matches(t, 'tion\\b') AS INTEGER) + CAST(regexp_matches(t, '\\band\\b') AS INTEGER)), 0.9), 6) AS confidence FROM d"""
-)
+def _with_phrase(spark, d, phrases):
+    pick = F.element_at(F.array(*map(F.lit, phrases)), (F.col("doc_id") % len(phrases) + 1).cast("int"))
+    return read(spark, d, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" "), pick).alias("t"))
+
+
+def _with_phrase_sql(phrases):
+    return f"d AS (SELECT doc_id, coalesce(text, '') || ' ' || [{', '.join(map(_Q, phrases))}][doc_id % {len(phrases)} + 1] AS t FROM documents)"
+
+
+def _rules_sql():
+    out = "t"
+    for pattern, to in K.SPOKEN_RULES:
+        out = f"regexp_replace({out}, {_Q(pattern)}, {_Q(to)}, 'g')"
+    hits = " + ".join(f"CAST(regexp_matches(t, {_Q(p)}) AS INTEGER)" for p, _ in K.SPOKEN_RULES)
+    return f"WITH {_with_phrase_sql(_WRITTEN)} SELECT doc_id, {out} AS spoken, round(least(0.7 + 0.05 * ({hits}), 0.9), 6) AS confidence FROM d"
+
+
+@query(_rules_sql())
 def spoken_rules(spark, d):
-    t = read(spark, d, "documents").filter("lang = 'en'").select("doc_id", F.lower("text").alias("t"))
-    return t.select("doc_id", T.apply_rules("t", RULES).alias("spoken"), F.round(T.rule_confidence("t", RULES), 6).alias("confidence"))
+    t = _with_phrase(spark, d, _WRITTEN)
+    return t.select("doc_id", T.spoken("t").alias("spoken"), F.round(T.rule_confidence("t", K.SPOKEN_RULES), 6).alias("confidence"))
 
 
-TERMS = {"the": "le", "and": "und", "of": "de"}
+def _switch_sql():
+    steps, now = [_with_phrase_sql(list(K.TECH_TERMS))], "d"
+    for k, (term, to) in enumerate(K.TECH_TERMS.items()):
+        share = SHARE_SQL.format(f"'11:' || doc_id || ':{k}'")
+        steps.append(f"s{k} AS (SELECT doc_id, CASE WHEN {share} < 0.3 THEN regexp_replace(t, {_Q(f'(?s)^(.*?){term}')}, {_Q(chr(92) + '1' + to)}) ELSE t END AS t FROM {now})")
+        now = f"s{k}"
+    return f"WITH {', '.join(steps)} SELECT doc_id, t AS switched FROM {now}"
 
 
-@query(
-    "SELECT doc_id, CASE WHEN s2 < 0.3 THEN regexp_replace(t2, '(?s)^(.*?)of', '\\1de') ELSE t2 END AS switched FROM (SELECT *, CASE WHEN s1 < 0.3 THEN regexp_replace(t1, '(?s)^(.*?)and', '\\1und') ELSE t1 END AS t2 FROM (SELECT *, CASE WHEN s0 < 0.3 THEN regexp_replace(text, '(?s)^(.*?)the', '\\1le') ELSE text END AS t1 FROM "
-    + f"(SELECT doc_id, text, {', '.join(SHARE_SQL.format(f"'11:' || doc_id || ':{k}'") + f' AS s{k}' for k in range(3))} FROM documents)))"
-)
+@query(_switch_sql())
 def code_switching(spark, d):
-    return read(spark, d, "documents").select("doc_id", T.code_switch("text", TERMS, 0.3, 11, "doc_id").alias("switched"))
+    return _with_phrase(spark, d, list(K.TECH_TERMS)).select("doc_id", T.code_switch("t", K.TECH_TERMS, 0.3, 11, "doc_id").alias("switched"))
 
 
 @query(
@@ -632,7 +670,7 @@ def alternating_speakers(spark, d):
     return corpus.alternate_speakers(utterances(spark, d), swap=F.col("conv_id") % 2 == 1).select("conv_id", "pos", "speaker")
 
 
-@query("SELECT doc_id, CASE WHEN source IS NULL OR lower(trim(source)) IN ('?', '', 'unknown', 'n/a', 'none', 'null', '-', 'speaker_unknown', 'unidentified', 'src1') THEN 'UNKNOWN_SPEAKER' ELSE trim(source) END AS speaker FROM documents WHERE lower(trim(source)) <> 'src1'")
+@query("SELECT doc_id, CASE WHEN source IS NULL OR lower(trim(source)) IN ('?', '', 'unknown', 'n/a', 'none', 'null', '-', 'speaker_unknown', 'unidentified') THEN 'UNKNOWN_SPEAKER' ELSE trim(source) END AS speaker FROM documents")
 def normalized_speakers(spark, d):
     return read(spark, d, "documents").select("doc_id", filters.normalize_speaker("source").alias("speaker"))
 
@@ -761,12 +799,21 @@ def signal_levels(spark, d):
     return read(spark, d, "embeddings").select("vec_id", F.round(arrays.rms(a), 5).alias("rms"), F.round(arrays.clip_ratio(a, 0.2), 6).alias("clipped"), arrays.fingerprint(a)["first"].alias("first"))
 
 
-@query()
+@query(
+    """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS a FROM embeddings), f AS (SELECT vec_id, a, unnest(range(len(a) // 8)) AS k FROM e),
+    n AS (SELECT vec_id, avg(CASE WHEN sqrt(list_sum(list_transform(a[8 * k + 1:8 * k + 8], lambda x: x * x)) / 8) > 0.1 THEN 1.0 ELSE 0 END) AS active FROM f GROUP BY vec_id),
+    q AS (SELECT vec_id, quantile_cont(abs(v), 0.05) AS noise FROM (SELECT vec_id, unnest(a) AS v FROM e) GROUP BY vec_id),
+    r AS (SELECT e.vec_id, sqrt(list_sum(list_transform(a, lambda x: x * x)) / len(a)) AS rms, active, noise, len(a) AS n, list_max(list_transform(a, lambda x: abs(x))) AS top FROM e JOIN n ON e.vec_id = n.vec_id JOIN q ON q.vec_id = e.vec_id),
+    s AS (SELECT vec_id, round(20 * log10(rms / (noise + 1e-8)), 4) AS snr, round(active, 6) AS active, round(20 * log10(rms + 1e-8), 4) AS dbfs, CASE WHEN top < 1e-10 THEN 'silent' WHEN n < 10 THEN 'short' END AS error FROM r)
+    SELECT *, concat_ws(',', CASE WHEN snr < 20 THEN 'low_snr' END, CASE WHEN dbfs < -40 THEN 'too_quiet' END, CASE WHEN dbfs > -10 THEN 'too_loud' END) AS issues,
+    concat_ws(',', CASE WHEN snr < 20 THEN 'record_quieter' END, CASE WHEN dbfs < -40 THEN 'raise_level' END, CASE WHEN dbfs > -10 THEN 'reduce_level' END, CASE WHEN 1 - active > 0.3 THEN 'trim_silence' END) AS advice FROM s"""
+)
 def signal_quality(spark, d):
     a = F.col("embedding")
     e = read(spark, d, "embeddings").select("vec_id", F.round(arrays.estimated_snr(a), 4).alias("snr"), F.round(arrays.active_ratio(a, 8, 0.1), 6).alias("active"), F.round(arrays.dbfs(a), 4).alias("dbfs"), filters.audio_error("embedding", 100).alias("error"))
     e = e.withColumn("issues", arrays.quality_issues(F.col("snr"), F.lit(0.0), F.col("dbfs")))
-    return e.withColumn("advice", arrays.quality_advice(F.col("issues"), 1 - F.col("active")))
+    e = e.withColumn("advice", arrays.quality_advice(F.col("issues"), 1 - F.col("active")))
+    return e.withColumn("issues", F.array_join("issues", ",")).withColumn("advice", F.array_join("advice", ","))
 
 
 @query("SELECT vec_id, embedding[1:8] AS head, embedding[len(embedding) - 7:] AS tail FROM embeddings")
@@ -775,11 +822,16 @@ def deterministic_spans(spark, d):
     return read(spark, d, "embeddings").select("vec_id", arrays.span(a, 0.64, 12.5).alias("head"), arrays.span(a, 0.64, 12.5, "end").alias("tail"))
 
 
-@query()
+@query(
+    """WITH c AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(trunc(abs(x) * 1000) AS INTEGER)) AS c FROM embeddings),
+    w AS (SELECT *, list_filter(range(len(c)), lambda i: c[i + 1] <> 0) AS ix FROM c)
+    SELECT vec_id, array_to_string(c[1:8] || c[9:64], ',') AS codes, repeat('f', len(c[1:8])) || repeat('t', len(c[9:64])) AS mask,
+    CAST(CASE WHEN len(ix) <= 3 OR len(ix) < 5 THEN 0 ELSE greatest(ix[3] - 2, 0) END AS INTEGER) AS span_start, CAST(CASE WHEN len(ix) <= 3 OR len(ix) < 5 THEN len(c) ELSE least(ix[5] + 3, len(c)) END AS INTEGER) AS span_end FROM w"""
+)
 def prompted_codes(spark, d):
     codes = F.transform("embedding", lambda x: (F.abs(x) * 1000).cast("int"))
     e = read(spark, d, "embeddings").select("vec_id", codes.alias("codes"))
-    return e.select("vec_id", arrays.with_prompt(F.slice("codes", 9, 56), F.slice("codes", 1, 8)).alias("p"), arrays.word_span(F.col("codes"), 0, 2, 3).alias("span")).select("vec_id", "p.codes", "p.mask", F.col("span.start").alias("span_start"), F.col("span.end").alias("span_end"))
+    return e.select("vec_id", arrays.with_prompt(F.slice("codes", 9, 56), F.slice("codes", 1, 8)).alias("p"), arrays.word_span(F.col("codes"), 0, 2, 3).alias("span")).select("vec_id", F.array_join(F.col("p.codes").cast("array<string>"), ",").alias("codes"), F.array_join(F.transform("p.mask", lambda x: F.when(x, "t").otherwise("f")), "").alias("mask"), F.col("span.start").alias("span_start"), F.col("span.end").alias("span_end"))
 
 
 @query()
@@ -787,7 +839,7 @@ def token_frames(spark, d):
     w = words(utterances(spark, d))
     ids = F.transform(F.sequence(F.lit(0), F.least(F.length("word") / 3, F.lit(3)).cast("int")), lambda i: (F.ascii("word") + i).cast("int"))
     rows = w.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct((F.col("w_start_ms") / 1000.0).alias("start"), (F.col("w_end_ms") / 1000.0).alias("end"), ids.alias("ids")))).alias("words"), (F.max("w_end_ms") / 1000.0).alias("duration"))
-    return tokens.frame_layout(rows, 12.5, 3, 0)
+    return tokens.frame_layout(rows, 12.5, 3, 0, in_word=4, zero=5)
 
 
 @query("SELECT event_id, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k, len(props) > 2 AS filled FROM events")
@@ -796,7 +848,7 @@ def json_fields(spark, d):
     return e.select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"), (F.length("props") > 2).alias("filled"))
 
 
-@query("SELECT doc_id, CASE WHEN n_chars / 10.0 < 60 THEN printf('%.1fs', n_chars / 10.0) WHEN n_chars / 10.0 < 3600 THEN printf('%.1fm', n_chars / 10.0 / 60) ELSE printf('%.1fh', n_chars / 10.0 / 3600) END AS duration FROM documents WHERE n_chars < 600")
+@query("SELECT doc_id, CASE WHEN n_chars / 10.0 < 60 THEN printf('%.1fs', n_chars / 10.0) WHEN n_chars / 10.0 < 3600 THEN printf('%.1fm', n_chars / 10.0 / 60) ELSE printf('%.1fh', n_chars / 10.0 / 3600) END AS duration FROM documents")
 def formatted_durations(spark, d):
     return read(spark, d, "documents").select("doc_id", T.format_duration(F.col("n_chars") / 10.0).alias("duration"))
 
@@ -843,10 +895,17 @@ def merged_statistics(spark, d):
     return out.select("total", "processed", "skipped", "failed", *(F.round(c, 4).alias(c) for c in ("hours", "main_hours", "user_hours")), "seconds", F.round(F.round("hours", 4) * 3600 / 3.0, 3).alias("speed"))
 
 
-@query()
+@query(
+    f"""WITH {MIGRATION_SQL}, p AS (SELECT conv_id, count(*) AS n, count(level) AS hit, count(*) FILTER (level = 1) AS l1, count(*) FILTER (level = 2) AS l2, count(*) FILTER (level = 3) AS l3, count(DISTINCT matched_speaker) AS s,
+      count(*) FILTER (level IS NOT NULL AND matched_speaker IS DISTINCT FROM was) AS up, count(*) FILTER (level IS NOT NULL AND matched_speaker IS NULL) AS un FROM (SELECT m.*, CASE WHEN pos % 3 = 0 THEN 'old' ELSE matched_speaker END AS was FROM migrated m) GROUP BY conv_id),
+    t AS (SELECT count(*) AS files, count(*) FILTER (up > 0) AS files_updated, count(*) FILTER (hit = n) AS files_whole, count(*) FILTER (hit = 0) AS files_unmatched, CAST(sum(n) AS BIGINT) AS segments, CAST(sum(l1) AS BIGINT) AS exact, CAST(sum(l2) AS BIGINT) AS near,
+      CAST(sum(l3) AS BIGINT) AS far, CAST(sum(n - hit) AS BIGINT) AS unmatched, CAST(sum(up) AS BIGINT) AS updated, CAST(sum(un) AS BIGINT) AS unnamed, max(s) AS max_speakers, count(*) FILTER (s > 1) AS multi_speaker FROM p)
+    SELECT *, round(100 * (segments - unmatched) / segments, 4) AS match_rate, round(100 * updated / segments, 4) AS update_rate FROM t"""
+)
 def migration_statistics(spark, d):
     u = utterances(spark, d)
-    return statistics.migration_statistics(segments.tolerance_join(u.select("conv_id", "pos", "start_ms", "end_ms"), _diarized(u)))
+    m = segments.tolerance_join(u.select("conv_id", "pos", "start_ms", "end_ms"), _diarized(u))
+    return statistics.migration_statistics(m.withColumn("speaker", F.when(F.col("pos") % 3 == 0, "old").otherwise(F.col("matched_speaker"))))
 
 
 @query(
@@ -900,14 +959,31 @@ def _timed(spark, d):
     return synthesis.turn_times(utterances(spark, d).select("conv_id", F.col("turn").alias("pos"), "speaker", (F.col("dur_ms") / 1000.0).alias("dur")), 21)
 
 
-@query()
+def _share(seed: int, more: str = "pos") -> str:
+    return SHARE_SQL.format(f"'{seed}:' || conv_id || ':' || {more}")
+
+
+def _normal(seed: int, mean: float, deviation: float) -> str:
+    return f"({mean} + {deviation} * sqrt(-2 * ln(greatest({_share(seed)}, 1 / 8589934592.0))) * cos(2 * pi() * {_share(seed + 1)}))"
+
+
+TIMED_SQL = f"""t0 AS (SELECT conv_id, turn AS pos, role AS speaker, CAST((200 + 40 * length(text)) AS DOUBLE) / 1000.0 AS dur FROM conversations),
+t1 AS (SELECT *, lag(speaker) OVER (PARTITION BY conv_id ORDER BY pos) = speaker AS same FROM t0),
+t2 AS (SELECT *, CASE WHEN pos = 0 THEN 0.0 WHEN same THEN abs({_normal(27, 0.3, 0.1)}) WHEN {_share(21)} < 0.35 THEN -abs({_normal(23, 0.3, 0.15)}) ELSE exp({_normal(25, -0.9, 0.4)}) END AS gap FROM t1),
+t3 AS (SELECT *, sum(gap + dur) OVER (PARTITION BY conv_id ORDER BY pos) AS e FROM t2), timed AS (SELECT conv_id, pos, dur, greatest(e - dur, 0.0) AS s, greatest(e - dur, 0.0) + dur AS e FROM t3)"""
+
+
+@query(f'WITH {TIMED_SQL} SELECT conv_id, pos, round(s, 6) AS start, round(e, 6) AS "end" FROM timed')
 def synthetic_turn_times(spark, d):
     return _timed(spark, d).select("conv_id", "pos", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
 
 
-@query()
+@query(
+    f"""WITH {TIMED_SQL}, b AS (SELECT conv_id, pos, e, s + 0.5 + 1.5 * {_share(32)} AS t, CASE WHEN {_share(33)} < 3 / 6.0 THEN 'yes' WHEN {_share(33)} < 5 / 6.0 THEN 'mm' ELSE 'right' END AS token FROM timed WHERE dur >= 2.0 AND {_share(31)} < 0.25)
+    SELECT conv_id, pos, round(t, 6) AS "at", token FROM b WHERE t < e - 0.5"""
+)
 def synthetic_backchannels(spark, d):
-    return synthesis.backchannels(_timed(spark, d), {"yes": 3.0, "mm": 2.0, "right": 1.0}, 31)
+    return synthesis.backchannels(_timed(spark, d), {"yes": 3.0, "mm": 2.0, "right": 1.0}, 31).withColumn("at", F.round("at", 6))
 
 
 @query(
