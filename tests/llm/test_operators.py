@@ -459,3 +459,28 @@ def test_shards_of_the_benchmark_do_not_matter(spark, monkeypatch):
     one = leaks()
     monkeypatch.setattr(decontam, "SHARD_ITEMS", 9)
     assert one and leaks() == one
+
+
+@pytest.mark.parametrize("block", [2, 7])
+def test_lists_in_blocks(docs, texts, block, monkeypatch):
+    """Lists parted into many blocks give the components that whole lists give."""
+    want = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_classes(docs).collect()}
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_classes(docs).collect()} == want
+
+
+def test_lists_stream(spark):
+    """Centres of lists that run over several batches."""
+    rng = random.Random(5)
+    rows = sorted({(rng.choice([1, 1, 1, 2, 3, 4, 5, *range(10, 60)]), 0, rng.randrange(500)) for _ in range(900)})
+    df = spark.createDataFrame([(k, b, d, 9, d % 5) for k, b, d in rows], "key long, block long, doc_id long, n int, pos int")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = sorted((r.key, r.doc_id, r.pos, r.c_id, r.c_pos) for r in ngram_join._in_lists(df, 2).collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    by = collections.defaultdict(list)
+    for k, _, d in rows:
+        by[k].append(d)
+    assert got == sorted((k, d, d % 5, min(v), min(v) % 5) for k, v in by.items() if len(v) > 1 for d in v)

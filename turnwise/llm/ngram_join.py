@@ -16,16 +16,19 @@ The order puts shingles in long lists last, so that a passage which many
 documents share is looked up by nobody who has rarer shingles.
 
 Only components are wanted, so the members of a list are first compared with
-one centre of the list (a candidate a member, however long the list is). Members
-that are still in different components afterwards are compared with each other:
-no link between different components is lost. Equal sets are one class from the
+one centre of the list (a candidate a member, however long the list is). A task
+that adds more than ``BLOCK`` rows to a list puts the others in blocks of their own,
+which go to other tasks and have a centre each, so no task gets a long list whole.
+Members that are still in different components afterwards are compared with each
+other, by bands of size: no link between different components is lost. Equal sets are one class from the
 start. Parity bitmaps bound the symmetric difference of two sets from below and
 drop pairs that can't link; the other candidates are verified on whole sets.
 
 Shingles are 64-bit hashes. Defined cases: a null or wordless text has an empty
 set, links with nothing and is its own component; texts of fewer than ``size``
-words have one shingle, their sequence; rows with the same doc_id are one node
-(their sets each take part); an empty table gives no rows; other columns are
+words have one shingle, their sequence; texts of any length are taken whole; of
+equal sizes and frequencies the order of hashes decides; rows with the same doc_id
+are one node (their sets each take part); an empty table gives no rows; other columns are
 ignored; rows with a null doc_id are returned with a null component.
 """
 
@@ -36,6 +39,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +55,10 @@ _BITS = "bits struct<" + ", ".join(f"b{k}: bigint" for k in range(PARITY)) + ">"
 COUNTED = 0.25
 #: Most shingles that are ordered last (8 bytes each are sent to the workers).
 FREQUENT = 1_000_000
+#: Rows of a list in one task after which a new block of the list is begun.
+BLOCK = 10_000
+#: Counters of rows by key that a task keeps (4 bytes each).
+COUNTERS = 1 << 20
 #: Candidate documents up to which their ids are broadcast to fetch the texts.
 BROADCAST_IDS = 1_000_000
 
@@ -156,11 +164,29 @@ def _keys(docs: DataFrame, size: int, percent: int, boundary: int, frequent: np.
     def run(batches):
         frequent, seen = sent.value, set()
         out: list[list[np.ndarray]] = [[], [], [], []]
-        n = 0
+        n, counters, part = 0, np.zeros(COUNTERS, dtype=np.int32), TaskContext.get().partitionId() + 1
+
+        def blocks(key):
+            """0, or a block of its own for the rows of a list that this task makes too long."""
+            slot = (key % U64(COUNTERS)).astype(np.int64)
+            order = np.argsort(slot, kind="stable")
+            first = np.flatnonzero(np.append(True, np.diff(slot[order]) != 0))
+            size = np.diff(np.append(first, len(order)))
+            place = np.empty(len(order), dtype=np.int64)
+            place[order] = np.arange(len(order)) - np.repeat(first, size)
+            block = (counters[slot] + place) // BLOCK
+            counters[slot[order[first]]] += size.astype(np.int32)
+            return np.where(block > 0, (part << 32) + block, 0)
 
         def table():
             key, doc, length, place = (np.concatenate(x) for x in out)
-            return pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "doc_id": pa.array(doc), "n": pa.array(length, pa.int32()), "pos": pa.array(place, pa.int32())})
+            block = blocks(key)
+            apart = np.flatnonzero(block)
+            if len(apart):  # the first of each block stands in the list itself too
+                _, first = np.unique(np.stack([key[apart].view(np.int64), block[apart]]), axis=1, return_index=True)
+                key, doc, length, place = (np.append(x, x[apart[first]]) for x in (key, doc, length, place))
+                block = np.append(block, np.zeros(len(first), dtype=np.int64))
+            return pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "block": pa.array(block), "doc_id": pa.array(doc), "n": pa.array(length, pa.int32()), "pos": pa.array(place, pa.int32())})
 
         for batch in batches:
             data, offsets = W.text_buffers(batch.column(1))
@@ -197,7 +223,7 @@ def _keys(docs: DataFrame, size: int, percent: int, boundary: int, frequent: np.
         if n:
             yield table()
 
-    return docs.mapInArrow(run, "key long, doc_id long, n int, pos int")
+    return docs.mapInArrow(run, "key long, block long, doc_id long, n int, pos int")
 
 
 def _fits(a: str, b: str, percent: int) -> str:
@@ -207,30 +233,38 @@ def _fits(a: str, b: str, percent: int) -> str:
 
 
 def _in_lists(keys: DataFrame, parts: int) -> DataFrame:
-    """Rows whose key more than one document has, with the list's centre.
+    """Rows whose key more than one document has, with the centre of their block.
 
-    The centre is the document with the least mixed id. Works on sorted columns
-    of a partition; a list of any length costs memory in proportion only.
+    The centre is the document with the least id. Rows come sorted from Spark and
+    are passed on batch by batch; of the open block only its centre is kept.
     """
+    names = ["key", "block", "doc_id", "n", "pos"]
 
     def run(batches):
-        batches = [b for b in batches if b.num_rows]
-        if not batches:
-            return
-        t = pa.Table.from_batches(batches)
-        key, doc, n, pos = (t[c].to_numpy() for c in ("key", "doc_id", "n", "pos"))
-        order = np.lexsort((W.mix(doc.view(np.uint64)), key))
-        k = key[order]
-        first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-        count = np.diff(np.append(first, len(k)))
-        many = np.repeat(count, count) > 1
-        head = np.repeat(order[first], count)[many]
-        order = order[many]
-        for a in range(0, len(order), 200_000):
-            o, h = order[a : a + 200_000], head[a : a + 200_000]
-            yield pa.RecordBatch.from_pydict({"key": pa.array(key[o]), "doc_id": pa.array(doc[o]), "n": pa.array(n[o]), "pos": pa.array(pos[o]), "c_id": pa.array(doc[h]), "c_n": pa.array(n[h]), "c_pos": pa.array(pos[h])})
-
-    return keys.repartition(parts, "key").mapInArrow(run, "key long, doc_id long, n int, pos int, c_id long, c_n int, c_pos int")
+        held = None  # the open block: its centre's row, and whether that is still unsent
+        unsent = False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(k).to_numpy() for k in range(5)]
+            if held is not None:  # the centre goes in front, so that its block is whole here
+                cols = [np.append(h, c).astype(c.dtype) for h, c in zip(held, cols, strict=True)]
+            key, block = cols[0], cols[1]
+            first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (block[1:] != block[:-1])))
+            size = np.diff(np.append(first, len(key)))
+            send = np.repeat(size > 1, size)
+            if held is not None:
+                send[0] &= unsent
+            unsent = bool(size[-1] == 1 and (unsent or held is None or len(first) > 1))
+            held = [c[first[-1]] for c in cols]
+            rows, head = np.flatnonzero(send), np.repeat(first, size)[send]
+            for a in range(0, len(rows), 200_000):
+                r, h = rows[a : a + 200_000], head[a : a + 200_000]
+                centre = {f"c_{k}": pa.array(c[h]) for k, c in zip(("id", "n", "pos"), cols[2:], strict=True)}
+                yield pa.RecordBatch.from_pydict({k: pa.array(c[r]) for k, c in zip(names, cols, strict=True)} | centre)
+
+    ordered = keys.repartition(parts, "key", "block").sortWithinPartitions("key", "block", "doc_id")
+    return ordered.mapInArrow(run, "key long, block long, doc_id long, n int, pos int, c_id long, c_n int, c_pos int")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -298,13 +332,16 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     part = components(first)
 
     # members of one list in different components: compare them with each other
-    named = lists.select("key", "doc_id", "n", "pos", (F.col("doc_id") == F.col("c_id")).alias("centre")).join(class_of.withColumnRenamed("x", "doc_id"), "doc_id")
+    named = lists.select("key", "block", "doc_id", "n", "pos", (F.col("doc_id") == F.col("c_id")).alias("centre")).join(class_of.withColumnRenamed("x", "doc_id"), "doc_id")
     named = named.join(part.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).filter("lo <> hi AND m > 2").select("key")
-    rest = shared.save(named.filter("NOT centre").join(mixed, "key", "left_semi").groupBy("key", "class_id", "component").agg(F.min("n").alias("n"), F.min("pos").alias("pos")), "rest")
-    mapped = rest.join(classes.select("class_id", "bits"), "class_id")
-    p, q = mapped.alias("p"), mapped.alias("q")
-    more = p.join(q, (F.col("p.key") == F.col("q.key")) & F.expr("p.class_id < q.class_id AND p.component <> q.component AND " + _fits("p", "q", percent) + " AND " + _may_link("p", "q", percent)))
+    mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"), (F.max("block") > 0).alias("split")).filter("lo <> hi AND (m > 2 OR split)").select("key", "split")
+    rest = shared.save(named.join(mixed, "key").filter("split OR NOT centre")  # all of a list in one block met its centre
+    .groupBy("key", "class_id", "component").agg(F.min("n").alias("n"), F.min("pos").alias("pos")), "rest")
+    # sizes that can link lie in the same or in neighbouring bands, which parts long lists
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9)
+    mapped = rest.join(classes.select("class_id", "bits"), "class_id").withColumn("band", band)
+    p, q = mapped.alias("p"), mapped.withColumn("band", F.explode(F.array(*(F.col("band") + k for k in (-1, 0, 1))))).alias("q")
+    more = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.band") == F.col("q.band")) & F.expr("p.class_id < q.class_id AND p.component <> q.component AND " + _fits("p", "q", percent) + " AND " + _may_link("p", "q", percent)))
     more = shared.save(more.select(F.col("p.class_id").alias("a"), F.col("q.class_id").alias("b")).distinct(), "more")
     second = _verify(more.join(star, ["a", "b"], "left_anti"), texts, size, percent)
     if second.isEmpty():
@@ -319,11 +356,15 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The document of each component that gives it its name, all columns kept.
 
-    Rows that repeat a kept doc_id are dropped but for one; null doc_ids stay.
+    Of rows that repeat a kept doc_id that with the least text stays (of equal
+    texts, the least hash of the row); null doc_ids all stay.
     """
     keep = jaccard_classes(docs, size, percent).filter("doc_id = component_id").select("doc_id").distinct()
     named = docs.join(keep, "doc_id", "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id IS NULL")) if _repeats(docs) else named
+    if not _repeats(docs):
+        return named
+    one = named.select("doc_id", F.struct("*").alias("r")).groupBy("doc_id").agg(F.min_by("r", F.struct("r.text", F.to_json("r"))).alias("r")).select("r.*")
+    return one.unionByName(docs.filter("doc_id IS NULL"))
 
 
 def _repeats(docs: DataFrame) -> bool:
