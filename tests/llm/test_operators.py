@@ -484,3 +484,32 @@ def test_lists_stream(spark):
     for k, _, d in rows:
         by[k].append(d)
     assert got == sorted((k, d, d % 5, min(v), min(v) % 5) for k, v in by.items() if len(v) > 1 for d in v)
+
+
+def test_warc_without_broadcast(spark, tmp_path, monkeypatch):
+    """The join by shuffle, with payloads that repeat often and seldom, gives what the broadcast gives."""
+    pages = spark.createDataFrame([(i, f"u{i}", None if i % 5 == 0 else ("x" * (900 if i % 3 else 1500)) + str(i % 4 if i < 60 else i)) for i in range(90)], "page_id long, url string, html string")
+    want = sorted(map(tuple, warc.typed(pages).collect()), key=str)
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    for often in (0, 3, 1000):
+        monkeypatch.setattr(warc, "OFTEN", often)
+        assert sorted(map(tuple, warc.typed(pages).collect()), key=str) == sorted(want, key=str)
+    assert any(r[3] is not None for r in want)
+
+
+def test_toxic_sample_is_bounded(spark):
+    """Repeated rows of a labelled document count once, and long texts don't pass the bound."""
+    rows = [(i, "plain words here " * 20) for i in range(40)] + [(i, "some vile gunk here " * 20) for i in range(40, 80)] + [(3, "z " * 50_000)] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i >= 40)) for i in range(80)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, labels, sample_bytes=8_000)
+    assert model.toxic
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity_scores(docs, labels).collect()}
+    assert set(got) == set(range(80))
+
+
+def test_chat_ties(spark):
+    """Events of equal seq are folded in one order, whatever the order of rows."""
+    log = [(1, 0, 5, 0, "start", "user", None), (1, 0, 5, 1, "delta", None, "b"), (1, 0, 5, 1, "delta", None, "a"), (1, 0, 5, 1, "edit", None, "c")]
+    got = {chat.fold(spark.createDataFrame(p, "conv_id long, turn long, message long, seq int, event string, role string, text string")).first().segment for p in itertools.permutations(log)}
+    assert len(got) == 1

@@ -22,7 +22,8 @@ backslashes, ``|`` gets one backslash more before the ``|``, so no text forms a
 control string; dropping one restores it. Line feeds and backslashes of a role
 are escaped as well. The loss mask covers the text of each assistant turn.
 
-Defined cases: null roles and texts are empty; a null conv_id is a conversation
+Defined cases: events of equal seq are folded in order of event, role and text;
+a text of any length is folded in memory by one task; null roles and texts are empty; a null conv_id is a conversation
 of its own; repeated events apply again; an empty log gives no rows; other
 columns are ignored.
 """
@@ -116,7 +117,7 @@ def fold(events: DataFrame) -> DataFrame:
             yield table(rows)
 
     log = events.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "message", "event", "role", "text", "seq")
-    ordered = log.repartition("conv_id", "message").sortWithinPartitions("conv_id", "message", "seq")
+    ordered = log.repartition("conv_id", "message").sortWithinPartitions("conv_id", "message", "seq", "event", "role", "text")
     return ordered.drop("seq").mapInArrow(run, SEGMENTS)
 
 

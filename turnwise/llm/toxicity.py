@@ -13,11 +13,12 @@ documents that the dictionaries haven't seen, and mapped to the score 0.7; score
 rise with the statistic.
 
 Labels are read of rows whose crc32(doc_id as text) mod 3 is not 1, from a sample
-of at most ``SAMPLE`` documents a class (those of the least hashes). Scores use
-the text alone.
+of at most ``sample`` documents and ``sample_bytes`` of text a class (those of the
+least hashes, as far as they fit). Scores use the text alone, and all of it.
 
 Defined cases: null, empty and wordless texts have no window and the least
-score; repeated rows are scored alike; a doc_id labelled more than once is toxic
+score; texts of any length are scored whole; of rows with one labelled doc_id the
+least text is read; equal texts have equal scores; repeated rows are scored alike; a doc_id labelled more than once is toxic
 if any label is 1; null labels are ignored; without both classes in the sample
 every score is 0; an empty table gives no rows; other columns are ignored, or
 carried along by ``drop_toxic``.
@@ -32,12 +33,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard as zstd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnwise.llm import words as W
 
-SAMPLE = 6000
+#: Defaults of the sample's bounds, documents and bytes a class.
+SAMPLE, SAMPLE_BYTES = 6000, 24_000_000
 WINDOW = 96
 BODY, EXTRA = 32_000, 16_000
 CUT = 0.7
@@ -206,15 +208,17 @@ def calibrate(toxic: np.ndarray, ordinary: np.ndarray) -> tuple[float, float]:
     return float(cuts[best]), float(2 / max(spread, 0.5))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model from the labelled rows of ``docs`` that aren't held out."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """A model from a bounded sample of the labelled rows of ``docs`` that aren't held out."""
     marks = labels.filter("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
     marks = marks.filter(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
     chosen = None
     for value in (1, 0):
-        part = marks.filter(F.col("_toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+        part = marks.filter(F.col("_toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         chosen = part if chosen is None else chosen.unionAll(part)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter("text IS NOT NULL").collect()  # 2 * SAMPLE labelled documents
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter("text IS NOT NULL").groupBy("doc_id", "_toxic").agg(F.min("text").alias("text"))
+    before = F.sum(F.octet_length("text")).over(Window.partitionBy("_toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    rows = rows.withColumn("_sum", before).filter(F.col("_sum") <= sample_bytes).collect()  # 2 * sample_bytes of text
     order = sorted(((r._toxic, hash_of(r.doc_id), r.text) for r in rows))
     return train([t for k, _, t in order if k == 1], [t for k, _, t in order if k == 0])
 

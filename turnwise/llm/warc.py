@@ -12,7 +12,7 @@ smaller payloads are responses. Payload digests are made by Spark; what is
 shuffled is (page_id, digest, size), and pages are joined with the payloads that
 occur more than once, by broadcast behind a check of their number.
 
-Defined cases: a null html is an empty payload, a null url an empty one; rows
+Defined cases: payloads of any length are one record, whole in one frame; a null html is an empty payload, a null url an empty one; rows
 with the same page_id and payload are all responses if that is the largest
 page_id; a null page_id is less than all others, written as -2**63; control
 characters of urls are percent-encoded; an empty table gives no bundle; other
@@ -39,6 +39,8 @@ from turnwise.llm import shared
 FRAME_BYTES = 1 << 20
 LEAST = 1000
 BROADCAST_ROWS = 1_000_000
+#: Copies from which on a payload is joined by broadcast where not all are: at most one in so many pages.
+OFTEN = 10_000
 DATE = "2024-01-01T00:00:00Z"
 NULL_ID = -(2**63)
 #: Of the zstd seekable format. Fixed values.
@@ -117,9 +119,15 @@ def typed(pages: DataFrame) -> DataFrame:
     """page_id, url, html and ``refers_to`` (null for responses)."""
     rows = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(NULL_ID)).alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("_d", F.when(F.octet_length("html") >= LEAST, F.sha1("html")))
-    many = rows.filter("_d IS NOT NULL").groupBy("_d").agg(F.max("page_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").select("_d", "_first")
+    many = rows.filter("_d IS NOT NULL").groupBy("_d").agg(F.max("page_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
     many = shared.save(many, "payloads")
-    joined = rows.join(F.broadcast(many) if many.count() <= BROADCAST_ROWS else many, "_d", "left")
+    if many.count() <= BROADCAST_ROWS:
+        joined = rows.join(F.broadcast(many), "_d", "left")
+    else:  # pages that can't repeat stay where they are; few payloads repeat often, so these are broadcast
+        often = many.filter(F.col("_n") > OFTEN)
+        rest = rows.filter("_d IS NOT NULL").join(F.broadcast(often), "_d", "left")
+        known = rest.filter("_first IS NOT NULL").unionByName(rows.filter("_d IS NULL").withColumn("_first", F.lit(None).cast("long")).withColumn("_n", F.lit(None).cast("long")))
+        joined = known.unionByName(rest.filter("_first IS NULL").drop("_first", "_n").join(many.filter(F.col("_n") <= OFTEN), "_d", "left"))
     return joined.select("page_id", "url", "html", F.when(F.col("_first") != F.col("page_id"), F.col("_first")).alias("refers_to"))
 
 
