@@ -513,3 +513,92 @@ def test_chat_ties(spark):
     log = [(1, 0, 5, 0, "start", "user", None), (1, 0, 5, 1, "delta", None, "b"), (1, 0, 5, 1, "delta", None, "a"), (1, 0, 5, 1, "edit", None, "c")]
     got = {chat.fold(spark.createDataFrame(p, "conv_id long, turn long, message long, seq int, event string, role string, text string")).first().segment for p in itertools.permutations(log)}
     assert len(got) == 1
+
+
+def plain_leaks(texts, items, threshold=0.6, question=0.7, answer=0.7):
+    """Every passage of every text against every item: BM25 over words of letters and digits, then overlaps."""
+    split = lambda t: re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", (t or "").translate(LOW))
+    words = {i: split(t) for i, t in items.items() if split(t)}
+    df = collections.Counter(w for ws in words.values() for w in set(ws))
+    mean, longest = sum(map(len, words.values())) / len(words), max(map(len, words.values()))
+    weight = {}
+    for i, ws in words.items():
+        tf = collections.Counter(ws)
+        raw = {w: math.log1p((len(words) - df[w] + 0.5) / (df[w] + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(ws) / mean)) for w, n in tf.items()}
+        weight[i] = {w: x / sum(raw.values()) for w, x in raw.items()}
+    grams = lambda ws, n: {tuple(ws[k : k + n]) for k in range(len(ws) - n + 1)}
+    out = {}
+    for d, t in texts.items():
+        ws = split(t)
+        for a in range(-longest, len(ws), longest):
+            passage = ws[max(a, 0) : a + 2 * longest]
+            for i in words:
+                score = sum(weight[i].get(w, 0.0) for w in set(passage))
+                over = []
+                for part in map(split, decontam.split_item(items[i])):
+                    n = min(5, len(part))
+                    over.append(len(grams(part, n) & grams(passage, n)) / len(grams(part, n)) if n else 1.0)
+                if score >= threshold - 1e-9 and over[0] >= question and over[1] >= answer:
+                    out[d, i] = max(out.get((d, i), 0.0), score)
+    return out
+
+
+@pytest.mark.parametrize("shard", [20_000, 7])
+def test_leaks_of_all_passages(spark, monkeypatch, shard):
+    monkeypatch.setattr(decontam, "SHARD_ITEMS", shard)
+    rng = random.Random(11)
+    vocab = [f"w{k}" for k in range(60)] + ["the", "of", "a"] * 8
+    make = lambda n: " ".join(rng.choices(vocab, k=n))
+    items = {i: f"{make(rng.randint(6, 14)).capitalize()}? {make(rng.randint(2, 7)).capitalize()}." for i in range(30)} | {30: None, 31: "", 32: "The"}
+    texts = {}
+    for d in range(60):
+        w = make(rng.randint(0, 90)).split()
+        if d % 2:
+            copy = items[rng.randrange(30)].split()
+            for _ in range(rng.randrange(4)):  # edits around the thresholds
+                copy[rng.randrange(len(copy))] = rng.choice(vocab)
+            at = rng.randint(0, len(w))
+            w[at:at] = copy
+        texts[d] = " ".join(w)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontam.find_leaks(docs, bench).collect()}
+    want = plain_leaks(texts, items)
+    assert got.keys() == want.keys() and len(want) > 10
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
+    left = {r.doc_id for r in decontam.decontaminate(docs, bench).collect()}
+    assert left == texts.keys() - {d for d, _ in want}
+
+
+def plain_patience(a, b):
+    """Words unique to both sides, longest increasing run of them by trying all, gaps alike."""
+    once = [x for x in a if a.count(x) == 1 and b.count(x) == 1]
+    if not once:  # no anchor: equal ends only
+        k = 0
+        while k < min(len(a), len(b)) and a[k] == b[k]:
+            k += 1
+        m = 0
+        while m < min(len(a), len(b)) - k and a[-1 - m] == b[-1 - m]:
+            m += 1
+        return k + m
+    best = 0
+    for n in range(len(once), 0, -1):
+        if any([b.index(x) for x in c] == sorted(b.index(x) for x in c) for c in itertools.combinations(once, n)):
+            best = n
+            break
+    return best
+
+
+def test_patience_on_random_texts():
+    rng = random.Random(2)
+    for _ in range(400):
+        a, b = ([rng.randrange(9) for _ in range(rng.randint(0, 9))] for _ in range(2))
+        pairs = licenses.patience(a, b)
+        assert all(a[i] == b[j] for i, j in pairs)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in itertools.pairwise(pairs))
+        assert len(pairs) >= plain_patience(a, b)  # every anchor of a longest run is kept, gaps may add more
+        lcs = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                lcs[i + 1][j + 1] = lcs[i][j] + 1 if x == y else max(lcs[i][j + 1], lcs[i + 1][j])
+        assert len(pairs) <= lcs[-1][-1]

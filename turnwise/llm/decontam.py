@@ -15,12 +15,13 @@ time, by block-max WAND. A retrieved item leaks if enough 5-word windows of its
 question (all sentences but the last) and of its answer (the last sentence; of a
 single sentence the last third) are in the passage.
 
-The index is made in shards of at most ``SHARD_ITEMS`` items, one pass over the
-documents each, so what a worker holds stays bounded however many items there
-are. Document frequencies, the number of items and their mean and greatest length
+The index is made in shards of at most ``SHARD_ITEMS`` items, saved in the shared
+folder. One pass over the documents takes every run of texts through all shards, of
+which a worker keeps ``OPEN`` in memory, however many items there are. Document frequencies, the number of items and their mean and greatest length
 are those of the whole benchmark in every shard, so shards don't change results.
 
-Defined cases: null or wordless items match nothing; repeated items match each
+Defined cases: texts of any length are passages throughout; equal scores are all
+leaks; null or wordless items match nothing; repeated items match each
 under its own item_id; null and wordless documents have no passages; repeated
 documents are judged each; an empty table on either side gives no leaks; other
 columns are ignored, or carried along by ``decontaminate``.
@@ -29,16 +30,21 @@ columns are ignored, or carried along by ``decontaminate``.
 from __future__ import annotations
 
 import math
+import pickle
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnwise.llm import shared
 from turnwise.llm import words as W
 
-SHARD_ITEMS = 20_000
+SHARD_ITEMS, OPEN = 20_000, 4
+#: Bytes of texts that go through the shards at once.
+RUN = 16_000_000
 BLOCK = 8
 K1, B = 1.2, 0.75
 NGRAM = 5
@@ -195,12 +201,11 @@ class Index:
             cursors = alive
         return out
 
-    def leaks(self, data: np.ndarray, offsets: np.ndarray, question: float, answer: float):
-        """(row, item, score, question overlap, answer overlap) of a run of texts."""
+    def leaks(self, w: W.Words, question: float, answer: float):
+        """(row, item, score, question overlap, answer overlap) of the words of a run of texts."""
         best: dict[tuple[int, int], tuple] = {}
         if not len(self.terms):
             return []
-        w = W.Words(data, offsets, letters=True)
         at = np.minimum(np.searchsorted(self.terms, w.hash), len(self.terms) - 1)
         hit = self.terms[at] == w.hash
         rare = np.flatnonzero(hit & ~self.common[at])
@@ -245,8 +250,8 @@ def _grams_of(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _shards(benchmark: DataFrame, threshold: float):
-    """Indexes of at most about SHARD_ITEMS items each."""
+def _shards(benchmark: DataFrame, threshold: float) -> list[str]:
+    """Files of indexes of at most about SHARD_ITEMS items each."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text IS NOT NULL")
     shards = -(-items.count() // SHARD_ITEMS)
     part = lambda k: sorted((r.item_id, r.text) for r in items.filter(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k).collect())
@@ -255,46 +260,54 @@ def _shards(benchmark: DataFrame, threshold: float):
         whole = Totals()
         for k in range(shards):
             whole.add([_hashes(text) for _, text in part(k)])
+    path, files = shared.fresh(benchmark.sparkSession, "bm25"), []
+    shared.make_dir(path)
     for k in range(shards):
-        yield Index(part(k), threshold, whole)
+        out = shared.Writer(f"{path}/shard-{k:05d}")
+        out.write(pickle.dumps(Index(part(k), threshold, whole)))
+        out.close()
+        files.append(f"{path}/shard-{k:05d}")
+    return files
+
+
+@lru_cache(maxsize=OPEN)
+def _opened(uri: str) -> Index:
+    return pickle.loads(shared.read_bytes(uri))
+
+
+def _found(files: list[str], texts: pa.Array, question: float, answer: float):
+    """Leaks of a column of texts, by row, over all shards."""
+    data, offsets = W.text_buffers(texts)
+    for i, j in W.chunked(offsets, RUN):
+        w = W.Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], letters=True)
+        for uri in files:
+            for row, *rest in _opened(uri).leaks(w, question, answer):
+                yield i + row, *rest
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, question: float = 0.7, answer: float = 0.7) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap) of all leaks."""
-    spark = docs.sparkSession
-    schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
-    out = None
-    for index in _shards(benchmark, threshold):
-        sent = spark.sparkContext.broadcast(index)
-
-        def run(batches, sent=sent):
-            for batch in batches:
-                data, offsets = W.text_buffers(batch.column(1))
-                ids = batch.column(0)
-                for i, j in W.chunked(offsets):
-                    found = sent.value.leaks(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], question, answer)
-                    if found:
-                        row, item, *rest = zip(*found, strict=True)
-                        yield pa.RecordBatch.from_arrays([ids.slice(i, j - i).take(pa.array(row)), pa.array(item, pa.int64()), *(pa.array(x) for x in rest)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
-
-        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
-        out = part if out is None else out.unionAll(part)
-    return spark.createDataFrame([], schema) if out is None else out
+    files = _shards(benchmark, threshold)
+
+    def run(batches):
+        for batch in batches:
+            found = list(_found(files, batch.column(1), question, answer))
+            if found:
+                row, item, *rest = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(item, pa.int64()), *(pa.array(x) for x in rest)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, question: float = 0.7, answer: float = 0.7) -> DataFrame:
     """The documents of ``docs`` without a leak, with all of their columns."""
-    for index in _shards(benchmark, threshold):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
-
-        def run(batches, sent=sent):
-            for batch in batches:
-                data, offsets = W.text_buffers(batch.column(batch.schema.get_field_index("text")))
-                keep = np.ones(batch.num_rows, dtype=bool)
-                for i, j in W.chunked(offsets):
-                    for row, *_ in sent.value.leaks(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], question, answer):
-                        keep[i + row] = False
-                yield batch.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    files = _shards(benchmark, threshold)
+
+    def run(batches):
+        for batch in batches:
+            keep = np.ones(batch.num_rows, dtype=bool)
+            for row, *_ in _found(files, batch.column(batch.schema.get_field_index("text")), question, answer):
+                keep[row] = False
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
