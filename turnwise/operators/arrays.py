@@ -138,3 +138,17 @@ def pad_codebooks(codes: Column, rows: int, pad: int) -> Column:
     """An array of codebooks padded to ``rows`` of them."""
     empty = F.transform(codes[0], lambda _: F.lit(pad).cast("int"))
     return F.concat(codes, F.array_repeat(empty, F.greatest(F.lit(rows) - F.size(codes), F.lit(0))))
+
+
+def stereo(left: Column, right: Column, rate: int) -> Column:
+    """Two sides as one signal of pairs, the shorter one padded with zeros, and totals of each side."""
+    n = F.greatest(F.size(left), F.size(right))
+    padded = [F.concat(x.cast("array<double>"), F.array_repeat(F.lit(0.0), n - F.size(x))) for x in (left, right)]
+    seconds = lambda x: F.round(F.size(F.filter(x, lambda v: F.abs(v) > 0)) / F.lit(float(rate)), 6)
+    frames = F.zip_with(*padded, lambda a, b: F.array(a, b))
+    return F.struct(frames.alias("samples"), (n / F.lit(float(rate))).alias("duration"), seconds(left).alias("left_seconds"), seconds(right).alias("right_seconds"), rms(left).alias("left_rms"), rms(right).alias("right_rms"))
+
+
+def pad_window(samples: Column, length: int) -> Column:
+    """Samples of a window, the last one filled up with zeros."""
+    return F.concat(samples.cast("array<double>"), F.array_repeat(F.lit(0.0), F.greatest(F.lit(length) - F.size(samples), F.lit(0))))

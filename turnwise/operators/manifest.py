@@ -166,3 +166,79 @@ def retention(dirs: DataFrame, key: str, keep: int) -> DataFrame:
 def writer_inventory(files: DataFrame) -> DataFrame:
     """Files by output folder."""
     return files.groupBy(F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("folder")).agg(F.count("*").alias("n_files"))
+
+
+def own_lines(lines: DataFrame, order: str, world: int, rank: int) -> DataFrame:
+    """The rows of one of ``world`` readers: those whose place ``order`` is ``rank`` modulo ``world``."""
+    return lines.filter(F.pmod(F.col(order), F.lit(world)) == rank)
+
+
+def unify(manifests: list[DataFrame], names: list[str], sort_by: list[str] | None = None, seed: int | None = None) -> DataFrame:
+    """Manifests one after another under their dataset's name, with a place ``n``.
+
+    In the given order of datasets and of their column ``line``; sorted by
+    ``sort_by``, or shuffled by md5 of seed, dataset and line, if asked for.
+    """
+    every = None
+    for k, (m, name) in enumerate(zip(manifests, names, strict=True)):
+        part = m.withColumn("dataset", F.lit(name)).withColumn("_d", F.lit(k))
+        every = part if every is None else every.unionByName(part, allowMissingColumns=True)
+    order = [F.col(c).asc_nulls_last() for c in sort_by or []]
+    if seed is not None:
+        order = [F.md5(F.concat_ws(":", F.lit(str(seed)), "dataset", F.col("line").cast("string"))).asc()]
+    return global_rank(every, [*order, F.col("_d").asc(), F.col("line").asc()]).withColumnRenamed("rank", "n").drop("_d")
+
+
+def first_rows(rows: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first ``n`` rows in order, as a smoke check reads them."""
+    return rows.orderBy(*order).limit(n)
+
+
+def smoke_checks(entries: DataFrame, files: DataFrame, order: list[str], n_paths: int = 100, n_documents: int = 3) -> DataFrame:
+    """Per check how many of the first entries were looked at, failed, and which.
+
+    The first ``n_paths`` entries' audio_path must be among ``files`` (path), the
+    first ``n_documents`` entries' alignment must be well formed.
+    """
+    ids = lambda bad: F.array_sort(F.array_compact(F.collect_list(F.when(bad, F.col("id"))))).alias("failed_ids")
+    there = files.select(F.col("path").alias("audio_path"), F.lit(True).alias("_there")).distinct()
+    paths = first_rows(entries, order, n_paths).join(there, "audio_path", "left")
+    lost, wrong = F.col("_there").isNull(), alignment_error("alignment").isNotNull()
+    a = paths.agg(F.lit("paths").alias("check"), F.count("*").alias("looked_at"), F.count_if(lost).alias("failed"), ids(lost))
+    b = first_rows(entries, order, n_documents).agg(F.lit("alignments").alias("check"), F.count("*").alias("looked_at"), F.count_if(wrong).alias("failed"), ids(wrong))
+    return a.unionByName(b)
+
+
+def training_entry_error(entries: DataFrame, files: DataFrame) -> DataFrame:
+    """Adds ``error``: the first reason why an entry can't be trained on.
+
+    In order: no path, audio that isn't among ``files`` (path), no alignment,
+    one that doesn't parse or lacks its key, an empty one.
+    """
+    there = files.select(F.col("path").alias("path"), F.lit(True).alias("_there")).distinct()
+    broken = alignment_error("alignment")
+    empty = F.size(F.from_json("alignment", "alignments array<string>")["alignments"]) <= 0
+    error = F.when(F.coalesce("path", F.lit("")) == "", "no_path").when(F.col("_there").isNull(), "missing_audio").when(F.col("alignment").isNull(), "missing_alignment").when(broken.isNotNull(), broken).when(empty, "empty_alignment")
+    return entries.join(there, "path", "left").withColumn("error", error).drop("_there")
+
+
+def speaker_files_error(entries: DataFrame, files: DataFrame, speakers: list[str]) -> DataFrame:
+    """Adds ``missing``: the speakers of ``speakers`` without a file (id, speaker) of an entry."""
+    have = files.groupBy("id").agg(F.collect_set("speaker").alias("_have"))
+    wanted = F.array(*map(F.lit, speakers)).cast("array<string>")
+    return entries.join(have, "id", "left").withColumn("missing", F.array_except(wanted, F.coalesce("_have", F.array().cast("array<string>")))).drop("_have")
+
+
+def validation_report(checked: DataFrame, most: int = 100) -> DataFrame:
+    """Counts of entries (id, error), and the first ids that repeat and of each error.
+
+    Lists end after ``most`` ids; the counts don't.
+    """
+    n = checked.groupBy("id").agg(F.count("*").alias("n"))
+    twice = n.filter("n > 1").select(F.lit("duplicate").alias("problem"), "id")
+    wrong = checked.filter("error IS NOT NULL").select(F.col("error").alias("problem"), "id")
+    both = twice.unionAll(wrong)
+    counts = both.groupBy("problem").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("problem").orderBy("id"))
+    first = both.withColumn("_r", place).filter(F.col("_r") <= most).groupBy("problem").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    return counts.join(first, "problem")

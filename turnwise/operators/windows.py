@@ -6,8 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def tumbling(convs: DataFrame, length_ms: int) -> DataFrame:
-    """Windows 0, d, 2d, .. that begin before the end; the last may be padded."""
+def tumbling(convs: DataFrame, length_ms: int, skip: int = 0, step: int = 1) -> DataFrame:
+    """Windows 0, d, 2d, .. that begin before the end; the last may be padded.
+
+    With ``step`` readers each takes every ``step``-th window after the first ``skip``.
+    """
+    if (skip, step) != (0, 1):
+        return tumbling(convs, length_ms).filter((F.col("window") >= skip) & ((F.col("window") - skip) % step == 0))
     n = F.greatest(F.ceil(F.col("duration_ms") / length_ms).cast("int"), F.lit(0))
     k = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     return convs.select("conv_id", "duration_ms", F.explode(k).alias("window")).withColumn("start_ms", F.col("window").cast("long") * length_ms)

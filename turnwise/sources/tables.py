@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Names of reports that lie beside metadata documents. Fixed values.
@@ -50,3 +50,21 @@ def vocabulary(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     left = F.coalesce(F.try_variant_get("m", "$[0]", "string"), F.split(text, " ")[0])
     right = F.coalesce(F.try_variant_get("m", "$[1]", "string"), F.get(F.split(text, " "), F.lit(1)))
     return pieces.select("id", "piece"), merges.select("rank", left.alias("left"), right.alias("right"))
+
+
+def shard_path(root: str, kind: str, shard: Column, name: Column, suffix: str) -> Column:
+    """root/kind/NNN/name.suffix with a shard number of three digits at least."""
+    return F.concat_ws("/", F.lit(root.rstrip("/")), F.lit(kind), F.format_string("%03d", shard), F.concat(name, F.lit("." + suffix)))
+
+
+def voice_profile(voices: DataFrame, root: str) -> DataFrame:
+    """One JSON document a voice (voice_id, speaker, duration, sample_rate, issues): its paths and validity.
+
+    A voice is valid when it has no issues and lasts at least three seconds.
+    """
+    issues = F.coalesce("issues", F.array().cast("array<string>"))
+    short = F.when(F.coalesce("duration", F.lit(0.0)) < 3.0, F.lit("too_short"))
+    every = F.array_compact(F.concat(issues, F.array(short)))
+    path = lambda suffix: F.concat_ws("/", F.lit(root.rstrip("/")), "voice_id", F.lit(suffix))
+    body = F.struct("voice_id", "speaker", "duration", "sample_rate", (F.size(every) == 0).alias("is_valid"), every.alias("issues"), F.struct(path("reference.wav").alias("audio"), path("embedding.npy").alias("embedding"), path("codes.npy").alias("codes")).alias("paths"))
+    return voices.select("voice_id", F.to_json(body).alias("document"))
