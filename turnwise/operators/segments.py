@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -143,13 +141,16 @@ def split_chars(words: DataFrame) -> DataFrame:
     return c.drop("c").withColumn("c_start", F.col("w_start_ms") + F.col("i") * step).withColumn("c_end", F.col("w_start_ms") + (F.col("i") + 1) * step)
 
 
-def token_times(chars: DataFrame, tokens: DataFrame, keys: list[str]) -> DataFrame:
-    """Times of tokens (keys, t, token) from those of the characters they cover."""
+def token_times(chars: DataFrame, tokens: DataFrame, keys: list[str], order: tuple[str, ...] = ("c_start", "i")) -> DataFrame:
+    """Times of tokens (keys, t, token) from those of the characters they cover, in ``order``.
+
+    Each token names the places of its characters, so the join is on equal places.
+    """
     w = Window.partitionBy(*keys).orderBy("t")
-    t = tokens.withColumn("_to", F.sum(F.length("token")).over(w)).withColumn("_from", F.col("_to") - F.length("token"))
-    at = chars.withColumn("_c", F.row_number().over(Window.partitionBy(*keys).orderBy("c_start", "i")) - 1)
-    j = t.join(at, keys).filter("_c >= _from AND _c < _to")
-    return j.groupBy(*keys, "t", "token").agg(F.min("c_start").alias("start"), F.max("c_end").alias("end"))
+    t = tokens.filter(F.length("token") > 0).withColumn("_to", F.sum(F.length("token")).over(w))
+    t = t.withColumn("_c", F.explode(F.sequence(F.col("_to") - F.length("token"), F.col("_to") - 1)))
+    at = chars.withColumn("_c", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+    return t.join(at, [*keys, "_c"]).groupBy(*keys, "t", "token").agg(F.min("c_start").alias("start"), F.max("c_end").alias("end"))
 
 
 def pad_intervals(df: DataFrame, keys: list[str], pad: int) -> DataFrame:
@@ -202,25 +203,46 @@ def greedy_match(detected: DataFrame, truth: DataFrame, tolerance_ms: int) -> Da
 
 
 def silence_points(frames: DataFrame, keys: list[str], share: float = 0.1, min_frames: int = 10) -> DataFrame:
-    """Centres of runs of frames quieter than a share of the loudest."""
+    """Centre frames of runs of frames quieter than a share of the loudest."""
     top = F.max("energy").over(Window.partitionBy(*keys))
     quiet = frames.withColumn("active", F.col("energy") < share * top)
-    return speech_runs(quiet, keys).filter(F.col("end") - F.col("start") >= min_frames).withColumn("centre", (F.col("start") + F.col("end")) / 2)
+    return speech_runs(quiet, keys).filter(F.col("end") - F.col("start") >= min_frames).withColumn("centre", F.floor((F.col("start") + F.col("end")) / 2))
 
 
-def split_points(cuts: DataFrame, max_length: float) -> DataFrame:
-    """Greedy choice of cut points at least 0.8 of the length apart (sequential)."""
+def split_points(cuts: Column, max_length: float) -> Column:
+    """Greedy choice of cut points at least 0.8 of the length apart, from 0."""
+    last = lambda chosen: F.coalesce(F.try_element_at(chosen, F.lit(-1)), F.lit(0.0))
+    step = lambda chosen, c: F.when(c - last(chosen) >= 0.8 * max_length, F.concat(chosen, F.array(c))).otherwise(chosen)
+    return F.aggregate(F.array_sort(cuts.cast("array<double>")), F.array().cast("array<double>"), step)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples():
-                chosen, last = [], 0.0
-                for c in sorted(r.cuts):
-                    if c - last >= 0.8 * max_length:
-                        chosen.append(float(c))
-                        last = c
-                rows.append((r.conv_id, chosen))
-            yield pd.DataFrame(rows, columns=["conv_id", "chosen"])
 
-    return cuts.mapInPandas(run, "conv_id long, chosen array<double>")
+def split_long(audio: DataFrame, keys: list[str], max_length: float) -> DataFrame:
+    """Parts (keys, k, start, end, words) of audio (keys, duration, cuts, words).
+
+    What lasts at most ``max_length`` stays whole. Other audio is cut at the chosen
+    silences, and a part still too long is dealt into equal ones. The i-th of n
+    parts takes words from the i-th n-th on, as many as its share of the time,
+    one at least. Without silences the parts are equal and take equally many
+    words, the last one the rest. Parts without words go, unless all would.
+    """
+    total, end = F.size("words"), F.col("duration").cast("double")
+    bounds = F.concat(F.array(F.lit(0.0)), split_points(F.coalesce("cuts", F.array().cast("array<double>")), max_length), F.array(end))
+    a = audio.withColumn("_b", F.when(end > max_length, bounds).otherwise(F.array(F.lit(0.0), end)))
+    equal = (F.coalesce(F.size(F.filter("cuts", lambda c: c.isNotNull())), F.lit(0)) <= 0) & (end > max_length)
+
+    def deal(b: Column, i: Column) -> Column:
+        length = F.col("_b")[i + 1] - b
+        n = F.greatest(F.ceil(length / max_length), F.lit(1)).cast("int")
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda j: b + length / n * j)
+
+    starts = F.flatten(F.transform(F.slice("_b", 1, F.size("_b") - 1), deal))
+    a = a.withColumn("_s", F.array_sort(F.array_distinct(F.concat(starts, F.array(end))))).withColumn("_n", F.size("_s") - 1).withColumn("_equal", equal)
+    p = a.select("*", F.posexplode(F.slice("_s", 1, F.col("_n"))).alias("k", "start")).withColumn("end", F.col("_s")[F.col("k") + 1])
+    each = F.greatest(F.floor(total / F.col("_n")), F.lit(1))
+    first = F.when(F.col("_equal"), F.col("k") * each).otherwise(F.floor(F.col("k") * total / F.col("_n")))
+    many = F.when(~F.col("_equal"), F.greatest(F.floor(total * ((F.col("end") - F.col("start")) / end)), F.lit(1))).when(F.col("k") == F.col("_n") - 1, total).otherwise(each)
+    p = p.withColumn("_w", F.when(F.col("_n") == 1, F.col("words")).otherwise(F.slice("words", first.cast("int") + 1, many.cast("int"))))
+    p = p.withColumn("_any", F.max((F.size("_w") > 0).cast("int")).over(Window.partitionBy(*keys)))
+    kept = p.filter((F.size("_w") > 0) | ((F.col("_any") == 0) & (F.col("k") == 0)))
+    whole = F.col("_any") == 0
+    return kept.select(*keys, "k", "start", F.when(whole, end).otherwise(F.col("end")).alias("end"), F.when(whole, F.col("words")).otherwise(F.col("_w")).alias("words"))

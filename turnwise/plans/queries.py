@@ -1015,3 +1015,154 @@ def turn_taking_scores(spark, d):
     silence = F.greatest(F.lit(0.0), (F.col("d") - F.col("s") + F.col("overlap_ms")) / F.col("d"))
     score = metrics.turn_taking_score(F.col("overlap_ms") / F.col("d"), silence, F.lit(None).cast("double"), F.col("m"), F.col("u"), F.lit(0))
     return j.select("conv_id", F.round(score, 6).alias("score"))
+
+
+# long audio, token times, tokenizer tables, voices -------------------------------------------------------
+
+
+@query(
+    f"""WITH RECURSIVE {WORDS_SQL}, a AS (SELECT conv_id, CAST(max(end_ms) AS DOUBLE) AS duration, list_sort(list(CAST(end_ms AS DOUBLE))) AS cuts FROM utterances GROUP BY conv_id),
+    t AS (SELECT conv_id, list(word ORDER BY turn, k) AS words FROM words GROUP BY conv_id),
+    c AS (SELECT conv_id, duration, cuts, 0.0::DOUBLE AS x0 FROM a UNION ALL SELECT conv_id, duration, cuts, list_min(list_filter(cuts, lambda x: x - x0 >= 0.8 * 20000)) FROM c WHERE duration > 20000 AND len(list_filter(cuts, lambda x: x - x0 >= 0.8 * 20000)) > 0),
+    b AS (SELECT conv_id, duration, x0 FROM c UNION SELECT conv_id, duration, duration FROM a),
+    g AS (SELECT conv_id, duration, x0, lead(x0) OVER (PARTITION BY conv_id ORDER BY x0) - x0 AS len FROM b),
+    h AS (SELECT conv_id, duration, x0, len, CAST(greatest(ceil(CASE WHEN duration > 20000 THEN len / 20000 ELSE 1 END), 1) AS BIGINT) AS n FROM g WHERE len IS NOT NULL),
+    p AS (SELECT conv_id, duration, x0 + len / n * j AS s FROM (SELECT *, unnest(range(n)) AS j FROM h)),
+    q AS (SELECT conv_id, duration, s, row_number() OVER w - 1 AS k, count(*) OVER (PARTITION BY conv_id) AS n, coalesce(lead(s) OVER w, duration) AS e FROM p WINDOW w AS (PARTITION BY conv_id ORDER BY s)),
+    r AS (SELECT q.conv_id, k, s, e, CASE WHEN n = 1 THEN words ELSE words[CAST(floor(k * len(words) / n) AS BIGINT) + 1:CAST(floor(k * len(words) / n) AS BIGINT) + CAST(greatest(floor(len(words) * ((e - s) / duration)), 1) AS BIGINT)] END AS w FROM q JOIN t ON q.conv_id = t.conv_id)
+    SELECT conv_id, k, round(s, 4) AS start, round(e, 4) AS "end", array_to_string(w, ' ') AS text FROM r WHERE len(w) > 0"""
+)
+def long_audio_parts(spark, d):
+    u = utterances(spark, d)
+    a = u.groupBy("conv_id").agg(F.max("end_ms").alias("duration"), F.collect_list("end_ms").alias("cuts"))
+    said = F.transform(F.array_sort(F.collect_list(F.struct("turn", "k", "word"))), lambda x: x["word"])
+    p = segments.split_long(a.join(words(u).groupBy("conv_id").agg(said.alias("words")), "conv_id"), ["conv_id"], 20_000)
+    return p.select("conv_id", F.col("k").cast("long").alias("k"), F.round("start", 4).alias("start"), F.round("end", 4).alias("end"), F.array_join("words", " ").alias("text"))
+
+
+@query(
+    f"""WITH {SIGNAL_SQL}, q AS (SELECT vec_id, frame, CAST(v AS DOUBLE) * v < 0.1 * max(CAST(v AS DOUBLE) * v) OVER (PARTITION BY vec_id) AS quiet FROM s), a AS (SELECT vec_id, frame, frame - row_number() OVER (PARTITION BY vec_id ORDER BY frame) AS g FROM q WHERE quiet)
+    SELECT vec_id, CAST((min(frame) + max(frame) + 1) // 2 AS BIGINT) AS centre FROM a GROUP BY vec_id, g HAVING count(*) >= 3"""
+)
+def silence_points(spark, d):
+    f = _frames(spark, d).withColumn("energy", F.col("v").cast("double") * F.col("v"))
+    return segments.silence_points(f, ["vec_id"], 0.1, 3).select("vec_id", "centre")
+
+
+@query(
+    f"""WITH {WORDS_SQL}, c AS (SELECT conv_id, turn, k, unnest(range(length(word))) AS i, length(word) AS n, w_start_ms, w_end_ms, word FROM words),
+    t AS (SELECT conv_id, turn, k, i // 3 AS part, string_agg(substr(word, CAST(i + 1 AS BIGINT), 1), '' ORDER BY i) AS token, min(w_start_ms + i * ((w_end_ms - w_start_ms) / n)) AS s, max(w_start_ms + (i + 1) * ((w_end_ms - w_start_ms) / n)) AS e FROM c GROUP BY ALL)
+    SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY k, part) AS t, token, round(s, 4) AS start, round(e, 4) AS "end" FROM t"""
+)
+def token_times(spark, d):
+    w = words(utterances(spark, d))
+    parts = w.select("conv_id", "turn", "k", F.posexplode(F.regexp_extract_all("word", F.lit("(?s).{1,3}"), F.lit(0))).alias("part", "token"))
+    t = parts.withColumn("t", F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("k", "part")).cast("long"))
+    out = segments.token_times(segments.split_chars(w), t.select("conv_id", "turn", "t", "token"), ["conv_id", "turn"], ("k", "i"))
+    return out.select("conv_id", "turn", "t", "token", F.round("start", 4).alias("start"), F.round("end", 4).alias("end"))
+
+
+@query(
+    f"""WITH {UTTERANCES_SQL}, b AS (SELECT conv_id, count(*) FILTER (speaker = 'assistant') AS det, count(*) FILTER (speaker = 'user') AS tru, max(end_ms) / 80.0 AS frames, avg(abs(gap)) / 80.0 AS error FROM (SELECT *, start_ms - lag(end_ms) OVER (PARTITION BY conv_id ORDER BY turn) AS gap FROM utterances) GROUP BY conv_id),
+    m AS (SELECT a.conv_id, count(*) AS hit FROM utterances a WHERE speaker = 'assistant' AND EXISTS (SELECT 1 FROM utterances b WHERE b.speaker = 'user' AND b.conv_id = a.conv_id AND (abs(a.start_ms - b.start_ms) <= 4000 OR abs(a.end_ms - b.end_ms) <= 4000 OR (b.start_ms <= a.start_ms AND a.end_ms <= b.end_ms))) GROUP BY a.conv_id),
+    n AS (SELECT conv_id, sum(len(list_filter(string_split(regexp_replace(trim(text, ' \t\r\n'), '[ \t\r\n]+', ' ', 'g'), ' '), lambda x: x <> ''))) AS words FROM utterances GROUP BY conv_id),
+    s AS (SELECT b.conv_id, coalesce(error, 0) AS error, words / frames AS cover, CASE WHEN det > 0 THEN coalesce(hit, 0) / det ELSE 0 END AS p, CASE WHEN tru > 0 THEN coalesce(hit, 0) / tru ELSE 0 END AS r FROM b LEFT JOIN m ON b.conv_id = m.conv_id JOIN n ON n.conv_id = b.conv_id)
+    SELECT conv_id, round(0.4 * greatest(0.0, 1 - error / 10) + 0.4 * CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END + 0.2 * greatest(0.0, 1 - abs(cover - 0.4) * 2), 6) AS sync FROM s"""
+)
+def sync_scores(spark, d):
+    """The timing error is the mean pause or overlap between turns, the coverage words a frame of 80 ms."""
+    u = utterances(spark, d)
+    said = u.withColumn("gap", F.col("start_ms") - F.lag("end_ms").over(Window.partitionBy("conv_id").orderBy("turn")))
+    n = said.groupBy("conv_id").agg(F.count_if(F.col("speaker") == "assistant").alias("det"), F.count_if(F.col("speaker") == "user").alias("tru"), (F.max("end_ms") / 80.0).alias("frames"), F.coalesce(F.avg(F.abs("gap")) / 80.0, F.lit(0.0)).alias("error"), F.sum(F.size(T.word_array("text"))).alias("words"))
+    hit = segments.boundary_matches(u.filter("speaker = 'assistant'"), u.filter("speaker = 'user'"), 4000).groupBy("conv_id").agg(F.count("*").alias("hit"))
+    j = n.join(hit, "conv_id", "left").na.fill({"hit": 0})
+    f1 = metrics.match_scores(F.col("hit"), F.col("det"), F.col("tru"))[2]
+    return j.select("conv_id", F.round(metrics.sync_score(F.col("error"), f1, F.col("words") / F.col("frames")), 6).alias("sync"))
+
+
+@query(
+    """WITH b AS (SELECT CAST(range AS BIGINT) AS byte, range BETWEEN 33 AND 126 OR range BETWEEN 161 AND 172 OR range BETWEEN 174 AND 255 AS own FROM range(256))
+    SELECT byte, CASE WHEN own THEN chr(CAST(byte AS INTEGER)) ELSE chr(CAST(255 + row_number() OVER (PARTITION BY own ORDER BY byte) AS INTEGER)) END AS letter, '<0x' || printf('%02X', byte) || '>' AS piece FROM b"""
+)
+def byte_letters(spark, d):
+    b = spark.range(256).select(F.col("id").alias("byte"), tokens.byte_letter(F.col("id")).alias("letter"))
+    return b.select("byte", "letter", tokens.letter_byte(F.col("letter")).alias("piece"))
+
+
+WORD_TABLE_SQL = "v AS (SELECT role, unnest(string_split(text, ' ')) AS w FROM conversations), n AS (SELECT w AS token, bool_or(role = 'assistant') AS merged FROM v GROUP BY w)"
+
+
+@query(
+    f"""WITH {WORD_TABLE_SQL}, o AS (SELECT token, row_number() OVER (ORDER BY token COLLATE "C") - 1 AS r FROM n WHERE merged AND length(token) > 1),
+    m AS (SELECT token, 2 * r + s AS rank FROM o, (SELECT unnest([0, 1]) AS s)), k AS (SELECT token, max(rank) AS rank FROM m GROUP BY token)
+    SELECT n.token, CASE WHEN rank IS NULL THEN 0.0 ELSE -CAST((SELECT count(*) FROM m) - rank AS DOUBLE) END AS score,
+    CASE WHEN regexp_full_match(n.token, '<0x[0-9A-Fa-f]{{2}}>') OR (length(n.token) = 1 AND (unicode(n.token) BETWEEN 33 AND 126 OR unicode(n.token) BETWEEN 161 AND 172 OR unicode(n.token) BETWEEN 174 AND 323)) THEN 'byte' WHEN regexp_matches(n.token, '^<.*>$') THEN 'special' WHEN regexp_matches(n.token, '^[▁Ġ]') THEN 'space' ELSE 'plain' END AS kind FROM n LEFT JOIN k ON n.token = k.token"""
+)
+def merge_scores(spark, d):
+    """Words as a vocabulary; those an assistant says have two merges each, the later of which counts."""
+    v = read(spark, d, "conversations").select("role", F.explode(F.split("text", " ")).alias("token"))
+    n = v.groupBy("token").agg(F.bool_or(F.col("role") == "assistant").alias("merged"))
+    ranked = manifest.global_rank(n.filter("merged AND length(token) > 1").select("token"), [F.col("token").asc()])
+    both = ranked.select("token", F.explode(F.array(F.lit(0), F.lit(1))).alias("s"), "rank")
+    cut = F.when(F.col("s") == 0, F.lit(1)).otherwise(F.length("token") - 1)
+    m = both.select(F.substr("token", F.lit(1), cut).alias("left"), F.substr("token", cut + 1).alias("right"), (2 * F.col("rank") + F.col("s")).alias("rank"))
+    return tokens.merge_scores(n.select("token"), m).select("token", "score", tokens.token_class().alias("kind"))
+
+
+@query("SELECT conv_id * 1000 + turn AS id, len(string_split(text, ' ')) AS n_a, length(text) AS n_b, len(string_split(text, ' ')) - length(text) AS difference FROM conversations")
+def tokenizer_comparison(spark, d):
+    c = read(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    out = tokens.compare_tokenizers(c.select("id", F.split("text", " ").alias("tokens")), c.select("id", F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0)).alias("tokens")))
+    return out.select("id", *(F.col(x).cast("long").alias(x) for x in ("n_a", "n_b", "difference")))
+
+
+@query(
+    """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS a FROM embeddings),
+    s AS (SELECT vec_id, a, list_max(list_transform(a, lambda x: abs(x))) AS top, sqrt(list_sum(list_transform(a, lambda x: x * x)) / len(a)) AS rms, list_sum(list_transform(a[1:32], lambda x: x * x)) / 32 AS p, list_sum(list_transform(a[33:], lambda x: x * x)) / (len(a) - 32) AS n FROM e)
+    SELECT vec_id, round(greatest(-1.0, least(1.0, a[1] * (0.95 / top) * (pow(10, -23.0 / 20) / (rms * 0.95 / top)))), 6) AS first, round(10 * log10(p / n), 4) AS snr,
+    round(list_sum(list_transform(range(len(a)), lambda i: CASE WHEN (i >= 4 AND i < 12) OR (i >= 40 AND i < 48) THEN a[i + 1] ELSE 0 END)), 6) AS kept,
+    round(list_sum(list_transform(range(32), lambda i: (a[i + 1] + a[i + 33]) / 2)), 6) AS mono_sum,
+    CAST(CASE WHEN vec_id % 20 > 8 THEN 1 ELSE 0 END + CASE WHEN len(a) - vec_id % 20 - 30 > 8 THEN 1 ELSE 0 END AS INTEGER) AS free FROM s"""
+)
+def prepared_voices(spark, d):
+    a = F.col("embedding").cast("array<double>")
+    spans = F.array(*(F.struct(F.lit(s).alias("start"), F.lit(e).alias("end")) for s, e in ((1.0, 3.0), (10.0, 12.0))))
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v.cast("double"))
+    start = (F.col("vec_id") % 20).cast("int")
+    free = arrays.free_regions(F.size(a), start, start + 30, 8)
+    return read(spark, d, "embeddings").select(
+        "vec_id",
+        F.round(arrays.loudness_normalised(a)[0], 6).alias("first"),
+        F.round(arrays.signal_to_noise(F.slice(a, 1, 32), F.slice(a, 33, 1000)), 4).alias("snr"),
+        F.round(total(arrays.masked(a, spans, 4.0)), 6).alias("kept"),
+        F.round(total(arrays.mono(F.slice(a, 1, 32), F.slice(a, 33, 32))), 6).alias("mono_sum"),
+        F.size(free).alias("free"),
+    )
+
+
+@query("SELECT vec_id, array_to_string(list_transform(embedding[1:3], lambda x: CAST(trunc(x * 1000) AS INTEGER)), ',') || ';' || array_to_string(list_transform(embedding[4:6], lambda x: CAST(trunc(x * 1000) AS INTEGER)), ',') || ';-1,-1,-1;-1,-1,-1' AS books FROM embeddings")
+def padded_codebooks(spark, d):
+    codes = F.transform("embedding", lambda x: (x * F.lit(1000)).cast("int"))
+    books = arrays.pad_codebooks(F.array(F.slice(codes, 1, 3), F.slice(codes, 4, 3)), 4, -1)
+    return read(spark, d, "embeddings").select("vec_id", F.array_join(F.transform(books, lambda b: F.array_join(b.cast("array<string>"), ",")), ";").alias("books"))
+
+
+@query("SELECT vec_id, round(-list_sum(list_transform(e, lambda x: x / s * ln(x / s + 1e-10))), 5) AS entropy FROM (SELECT vec_id, e, list_sum(e) AS s FROM (SELECT vec_id, list_transform(embedding, lambda x: exp(CAST(x AS DOUBLE))) AS e FROM embeddings))")
+def signal_entropy(spark, d):
+    return read(spark, d, "embeddings").select("vec_id", F.round(metrics.entropy(F.col("embedding").cast("array<double>")), 5).alias("entropy"))
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (value > 50) AS aligned, CAST(sum(event_id % 97) AS BIGINT) AS words, round(avg(value) FILTER (value > 50), 6) AS mean_quality FROM events")
+def alignment_statistics(spark, d):
+    return statistics.alignment_statistics(_log(spark, d).select((F.col("value") > 50).alias("aligned"), (F.col("event_id") % 97).alias("words"), F.col("value").alias("quality")))
+
+
+@query(f"WITH {UTTERANCES_SQL} SELECT conv_id, turn, CASE WHEN trim(text) = '' THEN 'no_text' WHEN end_ms <= start_ms THEN 'no_time' WHEN start_ms < 0 THEN 'negative' WHEN end_ms > 60000 THEN 'beyond_audio' END AS error FROM utterances")
+def segment_errors(spark, d):
+    return utterances(spark, d).select("conv_id", "turn", statistics.segment_error(F.lit(60_000), F.col("start_ms"), F.col("end_ms"), F.col("text")).alias("error"))
+
+
+@query("SELECT page_id, url FROM pages WHERE page_id % 3 <> 0 AND page_id % 5 <> 0 AND length(html) >= 1000")
+def pages_to_do(spark, d):
+    p = read(spark, d, "pages").select("page_id", "url", F.col("page_id").alias("path"), F.length("html").alias("size"))
+    return filters.skip_existing(p, p.filter("page_id % 3 = 0").select("path"), p.filter("page_id % 5 = 0").select("path")).select("page_id", "url")

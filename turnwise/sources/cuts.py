@@ -17,12 +17,14 @@ def shard_index(path: Column | None = None) -> Column:
     return F.expr("try_cast(nullif(s, '') AS int)") if isinstance(path, str) else F.regexp_extract(path, r"cuts\.(\d+)\.jsonl(?:\.gz)?$", 1).try_cast("int")
 
 
-def read_cuts(spark: SparkSession, folder: str, machine: int | None = None, machines: int = 1) -> DataFrame:
+def read_cuts(spark: SparkSession, folder: str, machine: int | None = None, machines: int = 1, skip_corrupt: bool = False) -> DataFrame:
     """Cuts of all shards, or of every ``machines``-th shard in order of number.
 
     Blank lines are skipped, damaged ones dropped; a compressed file is one task.
+    With ``skip_corrupt`` a shard that can't be decompressed ends where it breaks
+    and the job goes on. It is off by default: it hides errors of the storage too.
     """
-    reader = spark.read.schema(CUTS).option("mode", "DROPMALFORMED").option("pathGlobFilter", "cuts.*.jsonl*")
+    reader = spark.read.schema(CUTS).option("mode", "DROPMALFORMED").option("pathGlobFilter", "cuts.*.jsonl*").option("ignoreCorruptFiles", skip_corrupt)
     cuts = reader.json(folder).withColumn("shard", shard_index()).filter("shard IS NOT NULL")
     if machine is None:
         return cuts
@@ -55,10 +57,12 @@ def dataset_statistics(utts: DataFrame) -> DataFrame:
     return c.agg(F.count("*").alias("conversations"), F.coalesce(F.sum("n"), F.lit(0)).alias("utterances"), F.round(F.coalesce(F.sum("d"), F.lit(0.0)) / 3600, 2).alias("hours"), F.round(F.coalesce(F.avg("s"), F.lit(0.0)), 4).alias("mean_speakers"))
 
 
-def tar_members(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = (".wav", ".flac", ".mp3")) -> DataFrame:
+def tar_members(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = (".wav", ".flac", ".mp3"), wanted: DataFrame | None = None) -> DataFrame:
     """Audio members of recording.*.tar: shard, cut_id, ext, content.
 
-    An archive is one task's row; its members stream out of it one by one.
+    An archive is one task's row; its members stream out of it one by one. With
+    ``wanted`` (shard, cut_id) only those members leave their archive; the ids of
+    a shard travel as one array beside it.
     """
     import io
     import tarfile
@@ -66,20 +70,27 @@ def tar_members(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = ("
     import pyarrow as pa
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "recording.*.tar").load(folder)
+    if wanted is None:
+        files = files.select("path", "content", F.lit(None).cast("array<string>").alias("ids"))
+    else:
+        shard = F.regexp_extract("path", r"recording\.(\d+)\.tar$", 1).try_cast("int")
+        ids = wanted.groupBy("shard").agg(F.collect_set("cut_id").alias("ids"))
+        files = files.withColumn("shard", shard).join(ids, "shard").select("path", "content", "ids")
     names = ["shard", "cut_id", "ext", "content"]
 
     def run(batches):
         for batch in batches:
-            for path, content in zip(batch.column(0), batch.column(1), strict=True):
+            for path, content, ids in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                keep = None if ids.as_py() is None else set(ids.as_py())
                 shard = path.as_py().rsplit("/", 1)[-1].split(".")[1]
                 with tarfile.open(fileobj=io.BytesIO(content.as_py())) as tar:
                     for m in tar:
                         stem, dot, ext = m.name.rsplit("/", 1)[-1].rpartition(".")
-                        if m.isfile() and (dot + ext).lower() in suffixes:
+                        if m.isfile() and (dot + ext).lower() in suffixes and (keep is None or stem in keep):
                             row = [[int(shard) if shard.isdigit() else None], [stem], [ext], [tar.extractfile(m).read()]]
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int32(), pa.string(), pa.string(), pa.binary()), strict=True)], names)
 
-    return files.select("path", "content").mapInArrow(run, "shard int, cut_id string, ext string, content binary")
+    return files.mapInArrow(run, "shard int, cut_id string, ext string, content binary")
 
 
 def audio_of(cuts: DataFrame, members: DataFrame) -> DataFrame:

@@ -27,6 +27,31 @@ def alignment_documents(words: DataFrame) -> DataFrame:
     return words.groupBy("conv_id").agg(F.concat(F.lit('{"alignments":['), joined, F.lit("]}")).alias("document"))
 
 
+def extended_documents(words: DataFrame, quality: DataFrame, basic_key: str = "basic") -> DataFrame:
+    """Alignment documents of format 2.0 with the speakers' metadata, one a conversation.
+
+    ``words``: conv_id, k, word, start, end, confidence, role (main or user),
+    original (the speaker's id before roles, or null), channel, segment.
+    ``quality``: conv_id, quality. The plain items also lie under ``basic_key``.
+    Speakers are in order of their first word, words in order of start and k.
+    """
+    name = F.coalesce(F.nullif("original", F.lit("")), F.col("role"))
+    at = F.struct("start", "k")
+    r3 = lambda c: F.round(c, 3).alias(c)
+    per = words.withColumn("_id", name).groupBy("conv_id", "_id").agg(F.min(at).alias("_at"), F.count("*").alias("word_count"), F.round(F.sum(F.col("end") - F.col("start")), 6).alias("total_duration"), F.min_by("role", at).alias("role"), F.min_by("channel", at).alias("channel"))
+    stats = F.array_sort(F.collect_list(F.struct("_at", "_id", F.struct("word_count", "total_duration", "role", "channel").alias("s"))))
+    known = words.filter(F.coalesce("original", F.lit("")) != "").groupBy("conv_id", "original").agg(F.min(at).alias("_at")).groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "original"))), lambda x: x["original"]).alias("unique_original_speakers"))
+    by = per.groupBy("conv_id").agg(F.map_from_entries(F.transform(stats, lambda x: F.struct(x["_id"], x["s"]))).alias("speaker_statistics"))
+    item = F.struct("start", "k", F.struct("word", r3("start"), r3("end"), r3("confidence"), F.col("role").alias("speaker_role"), F.col("original").alias("original_speaker_id"), "channel", F.col("segment").alias("segment_index")).alias("w"))
+    main = F.count_if(F.col("role") == "main")
+    docs = words.groupBy("conv_id").agg(F.array_sort(F.collect_list(item)).alias("_w"), F.count("*").alias("total_words"), main.alias("main_speaker_words"), (F.count("*") - main).alias("user_speaker_words"))
+    docs = docs.join(by, "conv_id").join(known, "conv_id", "left").join(alignment_documents(words.withColumn("speaker", F.col("role"))), "conv_id").join(quality, "conv_id", "left")
+    meta = F.struct("total_words", "main_speaker_words", "user_speaker_words", F.coalesce("unique_original_speakers", F.array().cast("array<string>")).alias("unique_original_speakers"), "speaker_statistics", F.round("quality", 3).alias("quality_score"))
+    head = F.to_json(F.struct(F.col("conv_id").alias("conversation_id"), F.lit("2.0").alias("format_version"), meta.alias("metadata"), F.transform("_w", lambda x: x["w"]).alias("alignments")))
+    items = F.col("document").substr(F.lit(len('{"alignments":') + 1), F.length("document"))
+    return docs.select("conv_id", F.concat(head.substr(F.lit(1), F.length(head) - 1), F.lit(f',"{basic_key}":'), items).alias("document"))
+
+
 def write_metrics(rows: DataFrame, path: str, kind: str = "json") -> None:
     out = rows.write.mode("append")
     out.json(path) if kind == "json" else out.option("header", True).csv(path)
