@@ -10,6 +10,11 @@ def _sum(a: Column, f=lambda x: x) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + f(x).cast("double"))
 
 
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once a row, also where ``f`` uses it in a lambda."""
+    return F.transform(F.array(value), f)[0]
+
+
 def rms(a: Column) -> Column:
     return F.when(F.size(a) > 0, F.sqrt(_sum(a, lambda x: x * x) / F.size(a))).otherwise(0.0)
 
@@ -69,9 +74,10 @@ def dbfs(a: Column) -> Column:
 def loudness_normalised(a: Column, target_db: float = -23.0, peak: float = 0.95) -> Column:
     """Peak to 0.95, then RMS to the target, clipped to [-1, 1]."""
     top = F.array_max(F.transform(a, lambda x: F.abs(x.cast("double"))))
-    level = rms(a) * peak / F.when(top > 0, top)
-    gain = F.coalesce(peak / F.when(top > 0, top) * (10 ** (target_db / 20)) / F.when(level > 0, level), F.lit(1.0))
-    return F.transform(a, lambda x: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x.cast("double") * gain)))
+    scale = peak / F.when(top > 0, top)
+    level = rms(a) * scale
+    gain = F.coalesce(scale * (10 ** (target_db / 20)) / F.when(level > 0, level), F.lit(1.0))
+    return let(gain, lambda g: F.transform(a, lambda x: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x.cast("double") * g))))
 
 
 def masked(a: Column, spans: Column, rate: float) -> Column:

@@ -74,10 +74,12 @@ def codebook_loss(rows: DataFrame, mask: Column, loss: str) -> DataFrame:
 
 def entropy(values: Column) -> Column:
     """Entropy of the softmax of an array."""
-    top = F.array_max(values)
-    e = F.transform(values, lambda v: F.exp(v - top))
-    total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-    return F.aggregate(e, F.lit(0.0), lambda a, x: a - (x / total) * F.log(x / total + 1e-10))
+    from turnwise.operators.arrays import let
+
+    add = lambda e: F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
+    powers = let(F.array_max(values), lambda top: F.transform(values, lambda v: F.exp(v - top)))
+    shares = lambda e, total: F.aggregate(e, F.lit(0.0), lambda a, x: a - (x / total) * F.log(x / total + 1e-10))
+    return let(powers, lambda e: let(add(e), lambda total: shares(e, total)))
 
 
 def token_usage(tokens: DataFrame, top: int = 10) -> DataFrame:
