@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
 kept. ``run`` writes each result in the shared folder and rereads it as the next
 stage's ``docs``. All stages but the last return the columns of ``documents``.
+
+Defined cases of every stage: an empty table gives none; columns beyond doc_id and
+text may have any names and are carried along (packing leaves them out); texts of
+any length are read whole. Each stage says what it does with null and empty texts,
+with repeated rows and with ties.
 """
 
 from __future__ import annotations
@@ -23,28 +28,49 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep.
+
+    Null, empty and wordless texts go (they have under 50 words). Repeated rows are
+    judged alike and all stay or go. A ratio equal to the threshold stays.
+    """
     return quality_filter(docs, table(spark, sf_dir, "labels"))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't toxic."""
+    """Documents that aren't toxic.
+
+    Null, empty and wordless texts stay. Repeated rows are judged alike. A score
+    equal to 0.7 goes. Without labels of both classes all documents stay.
+    """
     return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates, that of the smallest doc_id."""
+    """One document of each component of near duplicates, that of the smallest doc_id.
+
+    Null, empty and wordless texts are linked with nothing and stay. Of rows with
+    one doc_id a fixed one stays, whatever the order of rows.
+    """
     shared.ship(spark)
     return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark.
+
+    Null, empty and wordless texts stay, and items without words match nothing.
+    Repeated rows are judged alike. A score or an overlap equal to its threshold
+    is a leak. Without a benchmark all documents stay.
+    """
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 4096 tokens."""
+    """The pieces of all documents in sequences of 4096 tokens.
+
+    Null and empty texts are a piece of the end id alone. Repeated rows are packed
+    each. Which of equally long pieces comes first has no meaning.
+    """
     shared.ship(spark)
     return best_fit_packing(docs, vocabulary("word_bpe_49k.json"))
 

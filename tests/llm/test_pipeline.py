@@ -3,6 +3,7 @@
 import collections
 import itertools
 import math
+import random
 import re
 
 import numpy as np
@@ -128,3 +129,31 @@ def test_stages(spark, sf):
         docs = out
     assert [n for n, _ in P.STAGES] == ["quality_rules", "toxicity", "ngram_jaccard", "decontamination", "packing"]
     assert P.ORACLE_SQL is None
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, component_id long, kept int, score double, length int, piece int, item_id long, _row int, _doc string, _q int, _toxic int"
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Null, empty and very long texts, repeated rows, ties, clashing names, empty tables."""
+    rng = random.Random(5)
+    make = lambda n: " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 7))) for _ in range(n))
+    good, long = make(90), make(60_000)
+    texts = [(1, None), (2, ""), (3, " \n\t "), (4, good), (5, good), (5, good), (6, long), (7, long + " x"), (8, None), (9, make(70))]
+    rows = [(i, t, None, "s", None, 7, 0, 0.5, 1, 2, 3, 4, "d", 5, 6) for i, t in texts]
+    docs = spark.createDataFrame(rows, ODD)
+    spark.createDataFrame([(4, 1, 0), (None, 1, None), (9, None, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, None), (2, ""), (3, "never said anywhere by any of these")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    shared.ship(spark)
+    every = [i for i, _ in texts]
+    want = {"quality_rules": [4, 5, 5, 6, 7, 9], "toxicity": every, "ngram_jaccard": [1, 2, 3, 4, 6, 8, 9], "decontamination": every}
+    for name, stage in P.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        if name == "packing":
+            got = collections.Counter(r.doc_id for r in out.filter("piece = 0").collect())
+            assert got == collections.Counter(every)
+        else:
+            assert out.columns == docs.columns
+            assert sorted(r.doc_id for r in out.collect()) == want[name], name
+            assert {r.text for r in out.collect()} <= {t for _, t in texts}
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name

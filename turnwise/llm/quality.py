@@ -10,13 +10,15 @@ are hashed into ``buckets`` buckets each. Two multinomials are estimated with
 additive smoothing, one over the trusted target (documents labelled quality 1),
 one over the raw corpus (all documents). The score of a text is the mean of
 ln(p_target / p_raw) over its n-grams; a document is kept when its base rules
-hold and the score is at least ``threshold``.
+hold and the score is at least ``threshold``. The threshold is a fixed number; its
+error rates on labels that the multinomials don't see are in the README.
 
 Defined cases: a null text has no words and fails the base rule; repeated rows
 are separate documents; a doc_id labelled more than once is trusted if any of
 its labels is 1; without any trusted document the ratio is 0 everywhere; an
 empty table gives no rows; other columns are carried along untouched by
-``quality_filter``, whatever their names, and ignored by ``quality_rules``.
+``quality_filter``, whatever their names, and ignored by ``quality_rules``; texts of
+any length are counted whole, but an array of all windows is held in the row's task.
 """
 
 from __future__ import annotations
@@ -33,7 +35,9 @@ def base_columns(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words.
 
     A 3-word window is found again by sorting (hash, position) packed in one
-    long; equal neighbours are compared word by word, so no hash decides.
+    long; neighbours of one hash are compared word by word, so different windows
+    never count as equal. Equal windows would be missed only if one of another
+    text had the same hash and stood between them (64 bits less the position's).
     """
     t = F.coalesce(F.col(text), F.lit(""))
     out = docs.withColumn("_w", F.split(F.btrim(t, F.lit(SPACES)), "[ \\x09-\\x0D]+"))

@@ -3,7 +3,8 @@
 One dictionary is trained on ordinary text, one on toxic text. Both begin with
 a body trained on ordinary windows; behind it each has the words that only its
 own class has (for the toxic one: words seen in several contexts, so that copies
-of one document don't count as evidence). A window is one word of letters and
+of one document don't count as evidence), those of most contexts last and at most
+``EXTRA`` bytes of them. A window is one word of letters and
 digits in a fixed ordinary frame, whose cost cancels; every word of the whole
 text is such a window. A window is compressed with both dictionaries, and its
 gain is the bytes that the toxic one saves; a worker does this once for each
@@ -41,6 +42,7 @@ from turnwise.llm import words as W
 #: Defaults of the sample's bounds, documents and bytes a class.
 SAMPLE, SAMPLE_BYTES = 6000, 24_000_000
 WINDOW = 96
+#: Bytes of the body that both dictionaries share, and of the words of one class behind it.
 BODY, EXTRA = 32_000, 16_000
 CUT = 0.7
 #: Distinct words whose gains a worker keeps before it starts anew.
