@@ -83,12 +83,12 @@ def entropy(values: Column) -> Column:
 
 
 def token_usage(tokens: DataFrame, top: int = 10) -> DataFrame:
-    """Distinct and total tokens of each codebook and its most frequent ones."""
+    """Distinct and total tokens of each codebook, the entropy of their shares and the most frequent ones."""
     n = tokens.groupBy("codebook", "token").agg(F.count("*").alias("n"))
     r = F.row_number().over(Window.partitionBy("codebook").orderBy(F.col("n").desc(), "token"))
     n = n.withColumn("_r", r)
     best = F.array_sort(F.collect_list(F.when(F.col("_r") <= top, F.struct("_r", "token"))))
-    return n.groupBy("codebook").agg(F.count("*").alias("distinct"), F.sum("n").alias("total"), F.transform(best, lambda x: x["token"]).alias("top"))
+    return n.groupBy("codebook").agg(F.count("*").alias("distinct"), F.sum("n").alias("total"), (F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")).alias("entropy"), F.transform(best, lambda x: x["token"]).alias("top"))
 
 
 def norm_summary(rows: DataFrame, value: str, high: float = 100.0, low: float = 1e-7) -> DataFrame:

@@ -749,11 +749,11 @@ def codebook_loss(spark, d):
 
 @query(
     """WITH n AS (SELECT l_linenumber AS codebook, l_partkey % 50 AS token, count(*) AS n FROM lineitem GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY codebook ORDER BY n DESC, token) AS r FROM n)
-    SELECT codebook, count(*) AS distinct_tokens, CAST(sum(n) AS BIGINT) AS total, array_to_string(list(token ORDER BY r) FILTER (r <= 10), ',') AS top FROM r GROUP BY codebook"""
+    SELECT codebook, count(*) AS distinct_tokens, CAST(sum(n) AS BIGINT) AS total, round(ln(sum(n)) - sum(n * ln(n)) / sum(n), 6) AS entropy, array_to_string(list(token ORDER BY r) FILTER (r <= 10), ',') AS top FROM r GROUP BY codebook"""
 )
 def codebook_usage(spark, d):
     t = read(spark, d, "lineitem").select(F.col("l_linenumber").alias("codebook"), (F.col("l_partkey") % 50).alias("token"))
-    return metrics.token_usage(t).select("codebook", F.col("distinct").alias("distinct_tokens"), "total", F.array_join(F.col("top").cast("array<string>"), ",").alias("top"))
+    return metrics.token_usage(t).select("codebook", F.col("distinct").alias("distinct_tokens"), "total", F.round("entropy", 6).alias("entropy"), F.array_join(F.col("top").cast("array<string>"), ",").alias("top"))
 
 
 @query("SELECT round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most, round(stddev_pop(value), 6) AS std, CAST(0 AS BIGINT) AS n_nan, CAST(0 AS BIGINT) AS n_inf, max(value) > 100 AS exploding, max(value) < 1e-7 AS vanishing FROM events")
