@@ -91,6 +91,24 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from turnwise.llm.lexical import rank_documents
+
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from turnwise.llm.sharding import shard_places
+
+    return shard_places(table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from turnwise.llm.resampling import resampling_scores
+
+    return resampling_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_decontamination": op2_decontamination,
@@ -102,10 +120,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_licenses": op9_licenses,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_sharding": op12_sharding,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 _SAID = "<|im_end|><|im_start|>assistant ok"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: One row: the table of the reflected polynomial of crc32, for list_reduce over bytes.
+_CRC_TABLE = "SELECT list_transform(range(256), lambda b: list_reduce(list_concat([b], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc"
+
+
+def _crc32(octets: str) -> str:
+    """SQL for the unsigned crc32 of bytes given in hex, beside a row of ``_CRC_TABLE``."""
+    each = f"list_transform(regexp_extract_all({octets}, '..'), lambda o: CAST('0x' || o AS BIGINT))"
+    return f"CAST(xor(list_reduce(list_concat([4294967295], {each}), lambda c, o: xor(c >> 8, crc[CAST(xor(c, o) & 255 AS BIGINT) + 1])), 4294967295) AS BIGINT)"
+
 
 #: The queries that DuckDB can express; the others need tokenizers, dictionaries, hashes or files.
 ORACLE_SQL: dict[str, str] = {
@@ -121,4 +151,25 @@ ORACLE_SQL: dict[str, str] = {
     l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
     r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
     SELECT w.doc_id, coalesce(n, 0) AS n_shingles, least(w.doc_id, coalesce((SELECT min(b) FROM r WHERE r.a = w.doc_id), w.doc_id)) AS component_id FROM w LEFT JOIN n ON n.doc_id = w.doc_id""",
+    "op11_lexical_search": rf"""WITH d AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM documents),
+    q AS (SELECT item_id, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+    p AS (SELECT doc_id, t, count(*) AS tf FROM d GROUP BY ALL), l AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id), g AS (SELECT count(*) AS N_, sum(n)::BIGINT AS L_ FROM l),
+    w AS (SELECT t, floor(1000 * ln((2 * N_ + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, g GROUP BY t, N_), m AS (SELECT doc_id, 75 + (25 * n * N_) // L_ AS m FROM l, g),
+    s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score FROM q JOIN p USING (t) JOIN w USING (t) JOIN m USING (doc_id) GROUP BY ALL)
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 20""",
+    "op12_sharding": f"""WITH RECURSIVE t AS ({_CRC_TABLE}), d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents),
+    n AS (SELECT n, a, (n + a - 1) // a AS b FROM (SELECT n, CASE WHEN r * r >= n THEN r ELSE r + 1 END AS a FROM (SELECT count(*) AS n, CAST(floor(sqrt(count(*))) AS BIGINT) AS r FROM documents))),
+    f AS (SELECT i, i % a AS l, i // a AS r, 0 AS j, n, a, b FROM d, n UNION ALL
+    SELECT i, r, (l + CAST('0x' || substr(md5('0:' || (j % 6) || ':' || r), 1, 15) AS BIGINT)) % (CASE WHEN j % 2 = 1 THEN b ELSE a END), j % 6 + 1, n, a, b FROM f WHERE j < 6 OR a * r + l >= n)
+    SELECT doc_id, CAST(length(x) // 2 + 1 AS BIGINT) AS size, {_crc32("x")} AS text_crc32, 'rows' AS law, CAST((a * r + l) % 16 AS INTEGER) AS shard, (a * r + l) // 16 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM f JOIN d USING (i), t WHERE j = 6 AND a * r + l < n""",
+    "op13_importance_resampling": rf"""WITH t AS ({_CRC_TABLE}), d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    f AS (SELECT doc_id, unnest(w) AS f FROM d), e AS (SELECT unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS f FROM benchmark),
+    h AS (SELECT f, {_crc32("x")} % 10000 AS b FROM (SELECT f, hex(encode(f)) AS x FROM (SELECT f FROM f UNION SELECT f FROM e)), t),
+    s AS (SELECT b, count(*) AS s FROM f JOIN h USING (f) GROUP BY b), u AS (SELECT b, count(*) AS t FROM e JOIN h USING (f) GROUP BY b),
+    g AS (SELECT b, floor(1000 * ln(CAST((coalesce(t, 0) + 1) * ((SELECT count(*) FROM f) + 10000) AS DOUBLE) / CAST((coalesce(s, 0) + 1) * ((SELECT count(*) FROM e) + 10000) AS DOUBLE)))::BIGINT AS g FROM s FULL JOIN u USING (b)),
+    w AS (SELECT doc_id, sum(g)::BIGINT AS total FROM f JOIN h USING (f) JOIN g USING (b) GROUP BY doc_id),
+    x AS (SELECT doc_id, len(w) AS n_features, coalesce((total - ((total % len(w)) + len(w)) % len(w)) // len(w), 0) AS weight, CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN w USING (doc_id)),
+    y AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM x),
+    z AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS r, count(*) FILTER (n_features >= 20) OVER () AS n FROM y)
+    SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND r <= (10 * n) // 100 THEN r END AS rank FROM z""",
 }
