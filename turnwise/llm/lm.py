@@ -17,7 +17,7 @@ it, the denominator.
 
 * Pass 1 counts words (partial counts a task): N, V, the number of shards, and the
   words too frequent for one shard. Pass 2 counts pairs and triples of such words.
-  Of each kind at most ``4 * shards`` are frequent.
+  Of each kind at most ``4 * shards`` are frequent; none of them pass the driver.
 * Every token goes to its word's shard as (word, v, u, document), packed in one
   blob a shard and batch; the most frequent words have short codes there. Frequent words are dealt over all shards by v, frequent
   pairs by u, frequent triples by document.
@@ -32,13 +32,16 @@ A file holds, Elias-Fano coded: the words; the contexts of the shard; sums of th
 words' counts; pointers from words to their pairs and from pairs to their triples;
 contexts as places among those of the shard, relative to the last of the range
 before. A search is a successor search within the range of the parent. Gains
-log10(numerator / (tau mu p(w))) and pairs' log10 denominators are quantised to 256
-bins, each by its mean. ``manifest.json`` has the totals, the parameters and the
-counts of frequent words, pairs and triples. A file's name is its shard, so another
-attempt of a task replaces the file by the same content.
+log10(numerator / (tau mu p(w))) and pairs' log10 denominators are stored in 12 bits, as
+multiples of one step for the whole model: each is off by at most half of ``STEP``, and
+the score of a text by at most ``STEP`` a token. ``manifest.json`` has the totals and
+parameters; sorted files, which tasks map, hold the counts of frequent words, pairs and
+triples. Shards and frequent n-grams follow from the number of tokens alone, so
+scores don't depend on the cluster. A file's name is its shard, so another attempt of a
+task replaces the file by the same content.
 
 Words are identified by 64-bit hashes, contexts by 40 bits of them. ``base_score``
-is exact up to floating point; ``score`` carries the quantisation.
+is exact up to floating point; ``score`` carries the quantisation (see above).
 
 Defined cases: a null text is empty, its tokens are the end alone; texts of any
 length are taken whole, a batch holds one text at least; repeated rows are separate
@@ -70,9 +73,13 @@ U64 = np.uint64
 #: Hashes of the end and the start of a text.
 END, START = U64(0xA24BAED4963EE407), U64(0x9FB21C651E98DF25)
 CONTEXT_BITS = 40
+#: Quantisation step of log10 values; 4096 of them reach 16, which no gain does below 10^15 tokens.
+STEP = 1 / 256
 _DROP = U64(64 - CONTEXT_BITS)
 #: Tokens a shard holds on average at most.
 SHARD_TOKENS = 1_000_000
+#: Shards of a small corpus, a power of two.
+LEAST_SHARDS = 16
 #: Tokens and documents gathered before they are packed into blobs.
 FLUSH_TOKENS, FLUSH_DOCS = 2_500_000, 500_000
 #: Most words with a short code in blobs (8 bytes each are sent to the workers); others are spelt out.
@@ -169,11 +176,13 @@ def _count_words(modulus: int, remainder: int):
     return run
 
 
-def _count_frequent(words: np.ndarray, modulus: int, remainder: int):
+def _count_frequent(often: Frequent, modulus: int, remainder: int):
     """Pairs (kind 0) and triples (kind 1) of frequent words; starts count as frequent."""
-    short = np.unique(np.append(words >> _DROP, START >> _DROP))
 
     def run(batches):
+        words = often.arrays()[0]
+        short = np.unique(np.append(words >> _DROP, START >> _DROP))
+
         def chunks():
             for ids, (token, v, u, doc) in _chunks(batches, modulus, remainder):
                 some = np.flatnonzero(_find(words, token)[0] & _find(short, v)[0])
@@ -188,37 +197,69 @@ def _count_frequent(words: np.ndarray, modulus: int, remainder: int):
     return run
 
 
+class Frequent:
+    """Sorted n-grams of a kind and their counts, in two files that are mapped where they are used."""
+
+    def __init__(self, path: str, size: int):
+        self.path, self.size, self.found = path, size, None
+
+    def __getstate__(self):
+        return self.__dict__ | {"found": None}
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.found is None:
+            self.found = (shared.mapped(f"{self.path}.keys").view("<u8"), shared.mapped(f"{self.path}.counts").view("<i8")) if self.size else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        return self.found
+
+    @staticmethod
+    def write(path: str, counts: DataFrame) -> Frequent:
+        """The files of ``counts`` (key, c), written by one task as rows come."""
+
+        def run(batches):
+            keys, values, n = shared.Writer(f"{path}.keys"), shared.Writer(f"{path}.counts"), 0
+            for batch in batches:
+                keys.write(batch.column(0).to_numpy().astype("<i8").tobytes())
+                values.write(batch.column(1).to_numpy().astype("<i8").tobytes())
+                n += batch.num_rows
+            keys.close()
+            values.close()
+            yield pa.RecordBatch.from_pydict({"n": [n]})
+
+        ordered = counts.select("key", "c").repartition(1).sortWithinPartitions(F.col("key") < 0, "key")  # as unsigned integers
+        return Frequent(path, sum(r.n for r in ordered.mapInArrow(run, "n long").collect()))
+
+
 class Parameters:
     """What all shards share: totals, parameters and the counts of frequent n-grams."""
 
-    def __init__(self, mu: float, tau: float, shards: int, total: int, distinct: int, starts: int, frequent: list[dict[int, int]]):
+    def __init__(self, mu: float, tau: float, shards: int, total: int, distinct: int, starts: int, often: list[Frequent]):
         self.mu, self.tau, self.shards, self.total, self.distinct, self.starts = mu, tau, shards, total, distinct, starts
-        self.keys = [np.array(sorted(f), dtype=np.uint64) for f in frequent]
-        self.counts = [np.array([f[k] for k in sorted(f)], dtype=np.int64) for f in frequent]
+        self.often = often
         self.norm = total + 0.5 * (distinct + 1)
 
     def manifest(self) -> str:
         own = {k: getattr(self, k) for k in ("mu", "tau", "shards", "total", "distinct", "starts")}
-        return json.dumps(own | {"frequent": [list(map(list, zip(k.tolist(), c.tolist(), strict=True))) for k, c in zip(self.keys, self.counts, strict=True)]})
+        return json.dumps(own | {"frequent": [f.size for f in self.often]})
 
     @staticmethod
-    def read(text: str) -> Parameters:
-        d = json.loads(text)
-        return Parameters(**{k: v for k, v in d.items() if k != "frequent"}, frequent=[dict(x) for x in d["frequent"]])
+    def read(model_dir: str) -> Parameters:
+        d = json.loads(shared.read_bytes(f"{model_dir}/manifest.json").decode())
+        return Parameters(**{k: v for k, v in d.items() if k != "frequent"}, often=[Frequent(_often_file(model_dir, k), n) for k, n in enumerate(d["frequent"])])
 
     def frequent(self, kind: int, x: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``counts`` with those of frequent n-grams put in, and where they are."""
-        hit, at = _find(self.keys[kind], x)
-        return (np.where(hit, self.counts[kind][at], counts), hit) if len(self.keys[kind]) else (counts, hit)
+        keys, values = self.often[kind].arrays()
+        hit, at = _find(keys, x)
+        return (np.where(hit, values[at], counts), hit) if len(keys) else (counts, hit)
 
     def shard(self, token: np.ndarray, v: np.ndarray, u: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """The shard of every token; ``doc`` tells documents apart."""
         key = token.copy()
-        some = np.flatnonzero(_find(self.keys[0], token)[0])
+        some = np.flatnonzero(_find(self.often[0].arrays()[0], token)[0])
         key[some] = _pair(token[some], v[some])
-        some = some[_find(self.keys[1], key[some])[0]]
+        some = some[_find(self.often[1].arrays()[0], key[some])[0]]
         key[some] = _triple(key[some], u[some])
-        some = some[_find(self.keys[2], key[some])[0]]
+        some = some[_find(self.often[2].arrays()[0], key[some])[0]]
         key[some] = W.mix(key[some] ^ doc[some].astype(np.uint64))
         return (key >> U64(65 - self.shards.bit_length())).astype(np.int64)
 
@@ -243,15 +284,28 @@ def _file(model_dir: str, shard: int) -> str:
     return f"{model_dir}/trie-{shard:07d}.ef"
 
 
-def _book(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """256 values and the code of each of ``values``: bins of equally many, by their means."""
-    levels = np.unique(values)
-    if len(levels) <= 256:
-        return np.append(levels, np.zeros(256 - len(levels))), np.searchsorted(levels, values).astype(np.uint8)
-    order = np.argsort(values, kind="stable")
-    code = np.empty(len(values), dtype=np.uint8)
-    code[order] = np.arange(len(values)) * 256 // len(values)
-    return np.bincount(code, weights=values, minlength=256) / np.maximum(np.bincount(code, minlength=256), 1), code
+def _often_file(model_dir: str, kind: int) -> str:
+    return f"{model_dir}/frequent-{kind}"
+
+
+def _coded(values: np.ndarray) -> bytes:
+    """Values in 12 bits: a plane of low bytes, then one of high halves, two a byte."""
+    code = np.clip(np.rint(values / STEP), 0, 4095).astype(np.uint16)
+    high = np.append(code >> 8, np.zeros(len(code) % 2, np.uint16)).astype(np.uint8)
+    raw = (code & 255).astype(np.uint8).tobytes() + (high[::2] | (high[1::2] << 4)).tobytes()
+    return raw + bytes(-len(raw) % 8)
+
+
+class Coded:
+    """The values of ``_coded`` by their place."""
+
+    def __init__(self, raw: np.ndarray, n: int):
+        self.low, self.high = raw[:n], raw[n : n + (n + 1) // 2]
+        self.size = n + (n + 1) // 2 + -(n + (n + 1) // 2) % 8
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        high = (self.high[at >> 1] >> ((at & 1) << 2).astype(np.uint8)) & np.uint8(15)
+        return STEP * (self.low[at] + 256.0 * high)
 
 
 def _relative(place: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -283,9 +337,9 @@ def build_trie(word: np.ndarray, v: np.ndarray, u: np.ndarray, par: Parameters)
     first2, first3 = np.searchsorted(p_in, np.arange(len(words) + 1)), np.searchsorted(t_in, np.arange(len(pv) + 1))
     place = lambda x: np.searchsorted(contexts, x).astype(np.uint64)
     c1p = c1[p_in]
-    books = [_book(x) for x in (par.gain2(c1p, c2), par.ahead(c1p, c2), par.gain3(c1p[t_in], c2[t_in], c3))]
+    values = par.gain2(c1p, c2), par.ahead(c1p, c2), par.gain3(c1p[t_in], c2[t_in], c3)
     levels = [words, contexts, np.append(0, np.cumsum(c1)), first2, _relative(place(pv), first2[:-1]), first3, _relative(place(tu), first3[:-1])]
-    return b"".join([*(encode(x) for x in levels), *(b.astype("<f8").tobytes() for b, _ in books), *(c.tobytes() + bytes(-len(c) % 8) for _, c in books)])
+    return b"".join([*(encode(x) for x in levels), *(_coded(x) for x in values)])
 
 
 class Trie:
@@ -297,12 +351,11 @@ class Trie:
             levels.append(EliasFano(body[at:]))
             at += levels[-1].size
         self.words, self.contexts, self.counts, self.first2, self.pairs, self.first3, self.triples = levels
-        self.books = body[at : at + 768].view("<f8").reshape(3, 256)
-        at = 8 * (at + 768)
-        self.codes = []
+        at *= 8
+        self.values = []  # gains of pairs, denominators behind pairs, gains of triples
         for level in (self.pairs, self.pairs, self.triples):
-            self.codes.append(raw[at : at + level.n])
-            at += level.n + -level.n % 8
+            self.values.append(Coded(raw[at:], level.n))
+            at += self.values[-1].size
 
     def _child(self, level: EliasFano, first: EliasFano, parent: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Place in ``level`` of each (parent, context), -1 if there is none."""
@@ -354,7 +407,7 @@ class Trie:
         pair[some] = self._child(self.pairs, self.first2, parent[in_w[some]], place)
         seen = pair >= 0
         gain2, ahead = np.zeros(len(pv)), par.ahead(pc1, 0)
-        gain2[seen], ahead[seen] = self.books[0][self.codes[0][pair[seen]]], self.books[1][self.codes[1][pair[seen]]]
+        gain2[seen], ahead[seen] = self.values[0][pair[seen]], self.values[1][pair[seen]]
         pkey = _pair(w[in_w], pv)
         c2, often = par.frequent(1, pkey, np.zeros(len(pv), dtype=np.int64))
         gain2[often], ahead[often] = par.gain2(pc1[often], c2[often]), par.ahead(pc1[often], c2[often])
@@ -365,7 +418,7 @@ class Trie:
         some, place = some[place >= 0], place[place >= 0]
         at = self._child(self.triples, self.first3, pair[of_p[some]], place)
         some, at = some[at >= 0], at[at >= 0]
-        gain[some] = self.books[2][self.codes[2][at]]
+        gain[some] = self.values[2][at]
         c3, often = par.frequent(2, _triple(pkey[of_p], u), np.zeros(n, dtype=np.int64))
         gain[often] = par.gain3(c1[of_w][often], c2[of_p][often], c3[often])
         return c1[of_w], gain, np.where(word == END, 0.0, ahead[of_p])
@@ -383,7 +436,7 @@ class Model:
 
     def __init__(self, model_dir: str, keep: int = 64):
         self.dir, self.keep = model_dir, keep
-        self.par = Parameters.read(shared.read_bytes(f"{model_dir}/manifest.json").decode())
+        self.par = Parameters.read(model_dir)
         self.open: OrderedDict[int, Trie] = OrderedDict()
         self.empty = Trie(np.frombuffer(build_trie(*(np.zeros(0, np.uint64) for _ in range(3)), self.par), np.uint8))
 
@@ -630,15 +683,15 @@ def score_documents(docs: DataFrame, mu: float = 1000.0, tau: float = 0.002, mod
     end = int(END.astype(np.int64))
     r = counts.agg(F.sum("c"), F.sum((F.col("c") > 0).cast("int")), F.sum("a"), F.sum(F.when(F.col("key") == end, F.col("c")))).first()
     total, distinct, every, starts = (int(x or 0) for x in r)
-    shards = 1 << max(3, (max(2 * tasks, every // SHARD_TOKENS) - 1).bit_length())
+    shards = 1 << max(LEAST_SHARDS.bit_length() - 1, (every // SHARD_TOKENS - 1).bit_length())
     heavy = F.col("a") > max(every // (4 * shards), 1)  # 4 * shards at most hold for this
-    frequent: list[dict[int, int]] = [{x.key % (1 << 64): x.c for x in counts.filter(heavy).collect()}, {}, {}]
+    frequent = [Frequent.write(_often_file(model_dir, 0), counts.filter(heavy)), Frequent("", 0), Frequent("", 0)]
     often = _often(counts)
     shared.drop(counts)
-    if frequent[0]:
-        counts = counted(_count_frequent(np.array(sorted(frequent[0]), dtype=np.uint64), modulus, remainder), "pairs")
-        for x in counts.filter(heavy).collect():  # 8 * shards
-            frequent[1 + x.kind][x.key % (1 << 64)] = x.c
+    if frequent[0].size:
+        counts = counted(_count_frequent(frequent[0], modulus, remainder), "pairs")
+        for kind in (0, 1):  # 4 * shards each
+            frequent[1 + kind] = Frequent.write(_often_file(model_dir, 1 + kind), counts.filter(heavy & (F.col("kind") == kind)))
         shared.drop(counts)
     par = Parameters(mu, tau, shards, total, distinct, starts, frequent)
     out = shared.Writer(f"{model_dir}/manifest.json")

@@ -21,7 +21,8 @@ def vocabulary(name: str) -> str:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     shared.ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    out = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return shared.spread(out) if name in ("documents", "pages") else out
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

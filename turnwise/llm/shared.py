@@ -54,6 +54,16 @@ def drop(*tables: DataFrame) -> None:
         remove(table._shared_path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table as it is read from files, dealt over all cores where its splits are fewer.
+
+    Such a table is small (a split a core at most), so this shuffle doesn't grow;
+    one file with one row group is a single task otherwise.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _at(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("/") else uri.replace("file:", "file://", 1))
 
