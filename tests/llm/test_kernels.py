@@ -50,14 +50,16 @@ def test_elias_fano(values, asked):
     assert e.successor(q).tolist() == np.searchsorted(v, q).tolist()
 
 
+@pytest.mark.parametrize("special", [False, True])
 @pytest.mark.parametrize(("name", "mode"), [("byte_bpe_50k.json", "spaces"), ("word_bpe_49k.json", "words")])
-def test_tokenizer_cache(name, mode):
+def test_tokenizer_cache(name, mode, special):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(vocabulary(name))
-    tok.encode_special_tokens = True
+    tok.encode_special_tokens = not special
     docs = ["Hello  world\n\n x", "", " ", "a b c \n d", "<|endoftext|> it's 12,5%", "tail \n", "\n\n\nlead", "é " * 50, "a\rb\x0bc", "Hello world hello world"]
-    enc = toks.Encoder(vocabulary(name), mode)
+    docs += [f"a {t.content} b{t.content}c \n{t.content}" for t in tok.get_added_tokens_decoder().values()] + ["<|ENDOFTEXT|> x", "a<|endof", "text|> b"]
+    enc = toks.Encoder(vocabulary(name), mode, special)
     assert enc.mode == mode
     for _ in range(2):
         data, offsets = W.text_buffers(pa.array(docs))
@@ -116,6 +118,19 @@ def test_repetitive_words_differ():
     assert len(set(w.hash.tolist())) == 4
 
 
+@pytest.mark.parametrize(("name", "mode"), [("word_bpe_49k.json", "words"), ("byte_bpe_50k.json", "spaces")])
+def test_cache_has_a_bound(name, mode, monkeypatch):
+    """Long units aren't kept, and many units start the cache anew; ids stay the library's."""
+    monkeypatch.setattr(toks, "CACHE_BYTES", 20_000)
+    enc, rng = toks.Encoder(vocabulary(name), mode), np.random.default_rng(4)
+    letters = np.array(list("abcdefgh"))
+    for k in range(12):
+        docs = ["".join(rng.choice(letters, 5000)) + " tail", " ".join("".join(x) for x in rng.choice(letters, (200, 6))), f"x{k}"]
+        ids, _ = enc.encode(*W.text_buffers(pa.array(docs)))
+        assert ids.tolist() == sum((enc._whole(t).tolist() for t in docs), [])
+        assert len(enc.bytes) + enc.flat.nbytes < 30_000 and (enc.length <= toks.UNIT).all()
+
+
 @pytest.mark.parametrize(("name", "mode"), [("word_bpe_49k.json", "words"), ("byte_bpe_50k.json", "spaces")])
 def test_ids_of_colliding_words(name, mode, monkeypatch):
     a, b = thue_morse()

@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import types
 import zlib
 
 import numpy as np
@@ -369,12 +370,26 @@ def test_decontamination(spark, docs, texts, bench, empty):
     assert decontam.decontaminate(both, table.limit(0)).count() == both.count()
 
 
+def test_items_are_judged_by_their_own_length(spark):
+    """A question and an answer far apart leak nothing, whatever other items there are."""
+    words = [f"q{k}" for k in range(14)], [f"a{k}" for k in range(6)]
+    item = " ".join(words[0]) + "? " + " ".join(words[1]) + "."
+    far = " ".join([*words[0], *(f"f{k}" for k in range(400)), *words[1]])
+    docs = spark.createDataFrame([(1, far), (2, far + " " + item)], "doc_id long, text string")
+    for more in ([], [(2, " ".join(f"z{k}" for k in range(1000)))], [(3, "one two"), (4, "three")]):
+        table = spark.createDataFrame([(1, item), *more], "item_id long, text string")
+        assert [(r.doc_id, r.item_id) for r in decontam.find_leaks(docs, table).collect()] == [(2, 1)]
+
+
 def test_wand_finds_all_above_threshold(bench):
     items = list(bench[1].items())
     rng = random.Random(2)
     vocab = [w for _, t in items for w in t.split()] + ["zz"] * 50
     mixed = [(i, " ".join(rng.choices(vocab, k=30))) for i in range(60)]
-    index = decontam.Index(mixed, 0.2)
+    hashes = [decontam._hashes(t) for _, t in mixed]
+    keys, counts = np.unique(np.concatenate([np.unique(h) for h in hashes]), return_counts=True)
+    whole = decontam.Totals(len(mixed), sum(map(len, hashes)), types.SimpleNamespace(arrays=lambda: (keys, counts)))
+    index = decontam.Index(mixed, 0.2, whole, 32)
     for _ in range(100):
         terms = sorted(set(rng.choices(range(len(index.terms)), k=40)))
         score = collections.Counter()
@@ -545,7 +560,7 @@ def plain_leaks(texts, items, threshold=0.6, question=0.7, answer=0.7):
     split = lambda t: re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", (t or "").translate(LOW))
     words = {i: split(t) for i, t in items.items() if split(t)}
     df = collections.Counter(w for ws in words.values() for w in set(ws))
-    mean, longest = sum(map(len, words.values())) / len(words), max(map(len, words.values()))
+    mean = sum(map(len, words.values())) / len(words)
     weight = {}
     for i, ws in words.items():
         tf = collections.Counter(ws)
@@ -555,9 +570,10 @@ def plain_leaks(texts, items, threshold=0.6, question=0.7, answer=0.7):
     out = {}
     for d, t in texts.items():
         ws = split(t)
-        for a in range(-longest, len(ws), longest):
-            passage = ws[max(a, 0) : a + 2 * longest]
-            for i in words:
+        for i in words:
+            span = max(16, 2 ** math.ceil(math.log2(len(words[i]))))
+            for a in range(-span, len(ws), span):
+                passage = ws[max(a, 0) : a + 2 * span]
                 score = sum(weight[i].get(w, 0.0) for w in set(passage))
                 over = []
                 for part in map(split, decontam.split_item(items[i])):
@@ -575,6 +591,7 @@ def test_leaks_of_all_passages(spark, monkeypatch, shard):
     vocab = [f"w{k}" for k in range(60)] + ["the", "of", "a"] * 8
     make = lambda n: " ".join(rng.choices(vocab, k=n))
     items = {i: f"{make(rng.randint(6, 14)).capitalize()}? {make(rng.randint(2, 7)).capitalize()}." for i in range(30)} | {30: None, 31: "", 32: "The"}
+    items |= {40 + i: f"{make(40 + 20 * i).capitalize()}? {make(9).capitalize()}." for i in range(5)}  # other classes of length
     texts = {}
     for d in range(60):
         w = make(rng.randint(0, 90)).split()

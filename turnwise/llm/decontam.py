@@ -3,9 +3,11 @@
 The test items form an inverted index over words of letters and digits in lower
 case, so marks glued to a passage don't hide it. An impact is the BM25 weight of a term in
 an item divided by the item's score for its own text, so 1 is a whole copy and
-one threshold serves all items. Every passage of every document (windows of
-twice the longest item, half overlapping, so that each span as long as an item
-lies within one) is a query for all items above the threshold.
+one threshold serves all items. Items are indexed by classes of length, up to 16, 32, 64,
+.. terms. Every passage of every document (windows of twice the class' length, half
+overlapping, so that each span as long as an item lies within one) is a query for
+all items of the class above the threshold: how far apart an item's words may
+stand depends on its own length, not on other items.
 
 A numpy pass bounds all passages of a batch first: terms of many items are set
 aside as long as they make up at most half of the threshold in any item; a
@@ -15,10 +17,12 @@ time, by block-max WAND. A retrieved item leaks if enough 5-word windows of its
 question (all sentences but the last) and of its answer (the last sentence; of a
 single sentence the last third) are in the passage.
 
-The index is made in shards of at most ``SHARD_ITEMS`` items, saved in the shared
-folder. One pass over the documents takes every run of texts through all shards, of
-which a worker keeps ``OPEN`` in memory, however many items there are. Document frequencies, the number of items and their mean and greatest length
-are those of the whole benchmark in every shard, so shards don't change results.
+The index is made by tasks, in shards of about ``SHARD_ITEMS`` items, saved in the
+shared folder. One pass over the documents takes every run of ``RUN`` bytes of texts
+through all shards, of which a worker keeps ``OPEN`` in memory, however many items
+there are. Document frequencies, the number of items and their mean length are those of
+the whole benchmark in every shard and class; the frequencies are a sorted file that
+tasks map. The driver holds the names of the shards alone.
 
 Defined cases: texts of any length are passages throughout; equal scores are all
 leaks; null or wordless items match nothing; repeated items match each
@@ -36,6 +40,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +48,8 @@ from turnwise.llm import shared
 from turnwise.llm import words as W
 
 SHARD_ITEMS, OPEN = 20_000, 4
+#: Items of fewer terms are in one class.
+SHORTEST = 16
 #: Bytes of texts that go through the shards at once.
 RUN = 16_000_000
 BLOCK = 8
@@ -76,40 +83,30 @@ def _grams(h: np.ndarray) -> np.ndarray:
 
 
 class Totals:
-    """Statistics of a whole benchmark, gathered shard by shard."""
-
-    def __init__(self):
-        self.items = self.words = self.longest = 0
-        self.terms, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-
-    def add(self, hashes: list[np.ndarray]) -> Totals:
-        used = [h for h in hashes if len(h)]
-        if used:
-            self.items += len(used)
-            self.words += sum(map(len, used))
-            self.longest = max(self.longest, *map(len, used))
-            terms, counts = np.unique(np.concatenate([np.unique(h) for h in used]), return_counts=True)
-            self.terms, inv = np.unique(np.concatenate([self.terms, terms]), return_inverse=True)
-            self.counts = np.bincount(inv, weights=np.concatenate([self.counts, counts])).astype(np.int64)
-        return self
+    """Statistics of a whole benchmark: items with terms, terms in all, document frequencies."""
+
+    def __init__(self, items: int, words: int, frequencies: shared.Counts):
+        self.items, self.words, self.counts = items, words, frequencies
 
     def frequencies(self, terms: np.ndarray) -> np.ndarray:
-        return self.counts[np.searchsorted(self.terms, terms)]
+        keys, counts = self.counts.arrays()
+        return counts[np.searchsorted(keys, terms)]
+
+
+def length_class(n: int) -> int:
+    """Terms up to which items are in one class with an item of ``n`` terms."""
+    return max(SHORTEST, 1 << (n - 1).bit_length())
 
 
 class Index:
-    """Inverted index of test items with block maxima."""
-
-    def __init__(self, items: list[tuple[int, str]], threshold: float, whole: Totals | None = None):
-        self.threshold = threshold
-        hashes = [_hashes(text or "") for _, text in items]
-        used = [k for k, h in enumerate(hashes) if len(h)]
-        self.item_ids = [items[k][0] for k in used]
-        hashes = [hashes[k] for k in used]
-        self.parts = [tuple((_grams(h), min(NGRAM, len(h))) for h in map(_hashes, split_item(items[k][1]))) for k in used]
+    """Inverted index of test items of one class of length, with block maxima."""
+
+    def __init__(self, items: list[tuple[int, str]], threshold: float, whole: Totals, stride: int):
+        self.threshold, self.stride = threshold, stride
+        self.item_ids = [item_id for item_id, _ in items]
+        hashes = [_hashes(text) for _, text in items]
+        self.parts = [tuple((_grams(h), min(NGRAM, len(h))) for h in map(_hashes, split_item(text))) for _, text in items]
         n = len(hashes)
-        whole = whole or Totals().add(hashes)
-        self.longest = max(whole.longest, 1)
         mean = whole.words / max(whole.items, 1)
         self.terms = np.unique(np.concatenate(hashes)) if n else np.zeros(0, np.uint64)
         t = len(self.terms)
@@ -209,7 +206,7 @@ class Index:
         at = np.minimum(np.searchsorted(self.terms, w.hash), len(self.terms) - 1)
         hit = self.terms[at] == w.hash
         rare = np.flatnonzero(hit & ~self.common[at])
-        stride = self.longest
+        stride = self.stride
         # word i of a text lies in its passages i // stride - 1 and i // stride; a text's passages are numbered apart
         local = np.arange(len(w)) - w.first[:-1][w.row]
         per = -(-np.diff(w.first) // stride) + 1
@@ -250,28 +247,59 @@ def _grams_of(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _term_counts(batches):
+    """(term, 1) of every term of an item, and (null, number of terms) of the item."""
+    for batch in batches:
+        terms, counts, sizes = [], [], []
+        for text in batch.column(0).to_pylist():
+            h = _hashes(text)
+            terms.append(np.unique(h))
+            sizes += [len(h)] * bool(len(h))
+        terms = np.concatenate([np.zeros(0, np.uint64), *terms])
+        counts = np.append(np.ones(len(terms), np.int64), np.array(sizes, np.int64))
+        mask = np.append(np.zeros(len(terms), bool), np.ones(len(sizes), bool))
+        yield pa.RecordBatch.from_pydict({"key": pa.array(np.append(terms.view(np.int64), np.zeros(len(sizes), np.int64)), mask=mask), "n": pa.array(counts)})
+
+
+def build_indexes(items: list[tuple[int, str]], threshold: float, whole: Totals) -> list[Index]:
+    """An index a class of length; items without terms match nothing."""
+    classes: dict[int, list] = {}
+    for item_id, text in items:
+        if n := len(_hashes(text or "")):
+            classes.setdefault(length_class(n), []).append((item_id, text))
+    return [Index(classes[stride], threshold, whole, stride) for stride in sorted(classes)]
+
+
 def _shards(benchmark: DataFrame, threshold: float) -> list[str]:
-    """Files of indexes of at most about SHARD_ITEMS items each."""
+    """Files of indexes of about SHARD_ITEMS items each."""
+    spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text IS NOT NULL")
-    shards = -(-items.count() // SHARD_ITEMS)
-    part = lambda k: sorted((r.item_id, r.text) for r in items.filter(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k).collect())
-    whole = None
-    if shards > 1:
-        whole = Totals()
-        for k in range(shards):
-            whole.add([_hashes(text) for _, text in part(k)])
-    path, files = shared.fresh(benchmark.sparkSession, "bm25"), []
+    path = shared.fresh(spark, "bm25")
     shared.make_dir(path)
-    for k in range(shards):
-        out = shared.Writer(f"{path}/shard-{k:05d}")
-        out.write(pickle.dumps(Index(part(k), threshold, whole)))
-        out.close()
-        files.append(f"{path}/shard-{k:05d}")
-    return files
+    counts = items.select("text").mapInArrow(_term_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("c"), F.count("*").alias("rows"))
+    counts = shared.save(counts, "terms")
+    total = counts.filter("key IS NULL").first()
+    if total is None:
+        return []
+    whole = Totals(total.rows, total.c, shared.Counts.write(f"{path}/frequencies", counts.filter("key IS NOT NULL")))
+    shared.drop(counts)
+
+    def build(batches):
+        part = sorted((i is not None, i or 0, t) for b in batches for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        if part:
+            uri = f"{path}/shard-{TaskContext.get().partitionId():05d}"
+            out = shared.Writer(uri)
+            out.write(pickle.dumps(build_indexes([(i if known else None, t) for known, i, t in part], threshold, whole)))
+            out.close()
+            yield pa.RecordBatch.from_pydict({"uri": [uri]})
+
+    shards = -(-whole.items // SHARD_ITEMS)
+    dealt = items.repartition(shards, F.xxhash64("item_id", "text"))
+    return sorted(r.uri for r in dealt.mapInArrow(build, "uri string").collect())  # a row a shard
 
 
 @lru_cache(maxsize=OPEN)
-def _opened(uri: str) -> Index:
+def _opened(uri: str) -> list[Index]:
     return pickle.loads(shared.read_bytes(uri))
 
 
@@ -281,33 +309,47 @@ def _found(files: list[str], texts: pa.Array, question: float, answer: float):
     for i, j in W.chunked(offsets, RUN):
         w = W.Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], letters=True)
         for uri in files:
-            for row, *rest in _opened(uri).leaks(w, question, answer):
-                yield i + row, *rest
+            for index in _opened(uri):
+                for row, *rest in index.leaks(w, question, answer):
+                    yield i + row, *rest
+
+
+def _runs(batches, column: str):
+    """Batches put together until their texts hold RUN bytes."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(batch.schema.get_field_index(column)).nbytes
+        if size >= RUN:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, question: float = 0.7, answer: float = 0.7) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap) of all leaks."""
     files = _shards(benchmark, threshold)
 
-    def run(batches):
-        for batch in batches:
-            found = list(_found(files, batch.column(1), question, answer))
+    def judge(batches):
+        for run in _runs(batches, "text"):
+            found = list(_found(files, run.column(1), question, answer))
             if found:
                 row, item, *rest = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(item, pa.int64()), *(pa.array(x) for x in rest)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+                yield pa.RecordBatch.from_arrays([run.column(0).take(pa.array(row)).combine_chunks(), pa.array(item, pa.int64()), *(pa.array(x) for x in rest)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(judge, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, question: float = 0.7, answer: float = 0.7) -> DataFrame:
     """The documents of ``docs`` without a leak, with all of their columns."""
     files = _shards(benchmark, threshold)
 
-    def run(batches):
-        for batch in batches:
-            keep = np.ones(batch.num_rows, dtype=bool)
-            for row, *_ in _found(files, batch.column(batch.schema.get_field_index("text")), question, answer):
+    def judge(batches):
+        for run in _runs(batches, "text"):
+            keep = np.ones(run.num_rows, dtype=bool)
+            for row, *_ in _found(files, run.column("text"), question, answer):
                 keep[row] = False
-            yield batch.filter(pa.array(keep))
+            yield from run.filter(pa.array(keep)).to_batches()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(judge, docs.schema)

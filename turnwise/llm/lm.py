@@ -19,7 +19,7 @@ it, the denominator.
   words too frequent for one shard. Pass 2 counts pairs and triples of such words.
   Of each kind at most ``4 * shards`` are frequent; none of them pass the driver.
 * Every token goes to its word's shard as (word, v, u, document), packed in one
-  blob a shard and batch; the most frequent words have short codes there. Frequent words are dealt over all shards by v, frequent
+  blob a shard and batch; the most frequent words have short codes there. shared.Counts words are dealt over all shards by v, frequent
   pairs by u, frequent triples by document.
 * A shard first writes its trie to a file from the training tokens, then maps the
   file and looks up every token in it. What is looked up comes from the files and
@@ -176,7 +176,7 @@ def _count_words(modulus: int, remainder: int):
     return run
 
 
-def _count_frequent(often: Frequent, modulus: int, remainder: int):
+def _count_frequent(often: shared.Counts, modulus: int, remainder: int):
     """Pairs (kind 0) and triples (kind 1) of frequent words; starts count as frequent."""
 
     def run(batches):
@@ -197,42 +197,10 @@ def _count_frequent(often: Frequent, modulus: int, remainder: int):
     return run
 
 
-class Frequent:
-    """Sorted n-grams of a kind and their counts, in two files that are mapped where they are used."""
-
-    def __init__(self, path: str, size: int):
-        self.path, self.size, self.found = path, size, None
-
-    def __getstate__(self):
-        return self.__dict__ | {"found": None}
-
-    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
-        if self.found is None:
-            self.found = (shared.mapped(f"{self.path}.keys").view("<u8"), shared.mapped(f"{self.path}.counts").view("<i8")) if self.size else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        return self.found
-
-    @staticmethod
-    def write(path: str, counts: DataFrame) -> Frequent:
-        """The files of ``counts`` (key, c), written by one task as rows come."""
-
-        def run(batches):
-            keys, values, n = shared.Writer(f"{path}.keys"), shared.Writer(f"{path}.counts"), 0
-            for batch in batches:
-                keys.write(batch.column(0).to_numpy().astype("<i8").tobytes())
-                values.write(batch.column(1).to_numpy().astype("<i8").tobytes())
-                n += batch.num_rows
-            keys.close()
-            values.close()
-            yield pa.RecordBatch.from_pydict({"n": [n]})
-
-        ordered = counts.select("key", "c").repartition(1).sortWithinPartitions(F.col("key") < 0, "key")  # as unsigned integers
-        return Frequent(path, sum(r.n for r in ordered.mapInArrow(run, "n long").collect()))
-
-
 class Parameters:
     """What all shards share: totals, parameters and the counts of frequent n-grams."""
 
-    def __init__(self, mu: float, tau: float, shards: int, total: int, distinct: int, starts: int, often: list[Frequent]):
+    def __init__(self, mu: float, tau: float, shards: int, total: int, distinct: int, starts: int, often: list[shared.Counts]):
         self.mu, self.tau, self.shards, self.total, self.distinct, self.starts = mu, tau, shards, total, distinct, starts
         self.often = often
         self.norm = total + 0.5 * (distinct + 1)
@@ -244,7 +212,7 @@ class Parameters:
     @staticmethod
     def read(model_dir: str) -> Parameters:
         d = json.loads(shared.read_bytes(f"{model_dir}/manifest.json").decode())
-        return Parameters(**{k: v for k, v in d.items() if k != "frequent"}, often=[Frequent(_often_file(model_dir, k), n) for k, n in enumerate(d["frequent"])])
+        return Parameters(**{k: v for k, v in d.items() if k != "frequent"}, often=[shared.Counts(_often_file(model_dir, k), n) for k, n in enumerate(d["frequent"])])
 
     def frequent(self, kind: int, x: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``counts`` with those of frequent n-grams put in, and where they are."""
@@ -685,13 +653,13 @@ def score_documents(docs: DataFrame, mu: float = 1000.0, tau: float = 0.002, mod
     total, distinct, every, starts = (int(x or 0) for x in r)
     shards = 1 << max(LEAST_SHARDS.bit_length() - 1, (every // SHARD_TOKENS - 1).bit_length())
     heavy = F.col("a") > max(every // (4 * shards), 1)  # 4 * shards at most hold for this
-    frequent = [Frequent.write(_often_file(model_dir, 0), counts.filter(heavy)), Frequent("", 0), Frequent("", 0)]
+    frequent = [shared.Counts.write(_often_file(model_dir, 0), counts.filter(heavy)), shared.Counts("", 0), shared.Counts("", 0)]
     often = _often(counts)
     shared.drop(counts)
     if frequent[0].size:
         counts = counted(_count_frequent(frequent[0], modulus, remainder), "pairs")
         for kind in (0, 1):  # 4 * shards each
-            frequent[1 + kind] = Frequent.write(_often_file(model_dir, 1 + kind), counts.filter(heavy & (F.col("kind") == kind)))
+            frequent[1 + kind] = shared.Counts.write(_often_file(model_dir, 1 + kind), counts.filter(heavy & (F.col("kind") == kind)))
         shared.drop(counts)
     par = Parameters(mu, tau, shards, total, distinct, starts, frequent)
     out = shared.Writer(f"{model_dir}/manifest.json")

@@ -24,7 +24,8 @@ one task.
 Defined cases: a null text is empty (its end id alone is packed); a text of any
 length is cut into pieces of the capacity; repeated rows are separate documents;
 pieces of equal length are placed in the order of partitions and rows; an empty
-table gives no rows; other columns are ignored.
+table gives no rows; other columns are ignored; strings of special tokens in a text
+are ordinary text unless ``special`` is set (see ``toks``).
 """
 
 from __future__ import annotations
@@ -166,14 +167,14 @@ def make_plan(histogram: dict[int, int], capacity: int) -> Plan:
     return plan
 
 
-def pieces(docs: DataFrame, tokenizer: str, mode: str, end_id: int, capacity: int) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, mode: str, end_id: int, capacity: int, special: bool = False) -> DataFrame:
     """Token pieces of whole documents: only longer ones are cut.
 
     ``rank`` counts the pieces of a length within a partition ``part``.
     """
 
     def run(batches):
-        enc, part = toks.encoder(tokenizer, mode), TaskContext.get().partitionId()
+        enc, part = toks.encoder(tokenizer, mode, special), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
             data, offsets = W.text_buffers(batch.column(1))
@@ -211,13 +212,13 @@ def pieces(docs: DataFrame, tokenizer: str, mode: str, end_id: int, capacity: in
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long")
 
 
-def best_fit_packing(docs: DataFrame, tokenizer: str, mode: str = "words", end_id: int = 1, capacity: int = 4096) -> DataFrame:
+def best_fit_packing(docs: DataFrame, tokenizer: str, mode: str = "words", end_id: int = 1, capacity: int = 4096, special: bool = False) -> DataFrame:
     """Pack ``docs`` (doc_id, text) into sequences of ``capacity`` tokens.
 
     Returns per piece doc_id, piece, start, length, ids_crc32, sequence_id and
     offset; the pieces of a sequence lie side by side from offset 0.
     """
-    cut = shared.save(pieces(docs, tokenizer, mode, end_id, capacity), "pieces")
+    cut = shared.save(pieces(docs, tokenizer, mode, end_id, capacity, special), "pieces")
     spark = cut.sparkSession
     counts = cut.groupBy("part", "length").count()
     histogram = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}  # capacity rows at most

@@ -10,8 +10,10 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -126,6 +128,38 @@ def mapped(uri: str) -> np.ndarray:
         return np.frombuffer(f.read(), dtype=np.uint8)
 
 
+class Counts:
+    """Sorted 64-bit keys and their counts, in two files that are mapped where they are used."""
+
+    def __init__(self, path: str, size: int):
+        self.path, self.size, self.found = path, size, None
+
+    def __getstate__(self):
+        return self.__dict__ | {"found": None}
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.found is None:
+            self.found = (mapped(f"{self.path}.keys").view("<u8"), mapped(f"{self.path}.counts").view("<i8")) if self.size else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        return self.found
+
+    @staticmethod
+    def write(path: str, counts: DataFrame) -> Counts:
+        """The files of ``counts`` (key, c), written by one task as rows come."""
+
+        def run(batches):
+            keys, values, n = Writer(f"{path}.keys"), Writer(f"{path}.counts"), 0
+            for batch in batches:
+                keys.write(batch.column(0).to_numpy().astype("<i8").tobytes())
+                values.write(batch.column(1).to_numpy().astype("<i8").tobytes())
+                n += batch.num_rows
+            keys.close()
+            values.close()
+            yield pa.RecordBatch.from_pydict({"n": [n]})
+
+        ordered = counts.select("key", "c").repartition(1).sortWithinPartitions(F.col("key") < 0, "key")  # as unsigned integers
+        return Counts(path, sum(r.n for r in ordered.mapInArrow(run, "n long").collect()))
+
+
 _shipped: set[str] = set()
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 

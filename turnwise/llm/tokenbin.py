@@ -15,7 +15,8 @@ Both files of a part are memory-mapped when they are read.
 Defined cases: a null text is empty and yields its end id alone; rows are
 ordered by (doc_id, text), null doc_ids first, written as -2**63; repeated rows
 are separate documents; an empty table gives no parts; other columns are
-ignored.
+ignored; strings of special tokens in a text are ordinary text unless ``special`` is set
+(see ``toks``).
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ MAGIC = b"TWTOKEN1"
 NULL_ID = -(2**63)
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, mode: str, end_id: int, id_width: int = 2) -> DataFrame:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, mode: str, end_id: int, id_width: int = 2, special: bool = False) -> DataFrame:
     """Encode ``docs`` (doc_id, text) into a token set below ``path``.
 
     Returns one row a part: ``part`` (its rank in doc_id order), ``stem`` (file
@@ -45,7 +46,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, mode: str, end_id:
     shared.make_dir(path)
     ordered = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text")
     ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    parts = ordered.mapInArrow(_writer(path, tokenizer, mode, end_id, id_width), "part int, stem string, n_docs long, n_tokens long")
+    parts = ordered.mapInArrow(_writer(path, tokenizer, mode, end_id, id_width, special), "part int, stem string, n_docs long, n_tokens long")
     rows = sorted(shared.save(parts, "tokenparts").collect())  # a row a part
     base, out = 0, []
     for r in rows:
@@ -54,13 +55,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, mode: str, end_id:
     return spark.createDataFrame(out, "part int, stem string, n_docs long, n_tokens long, base long")
 
 
-def _writer(path: str, tokenizer: str, mode: str, end_id: int, id_width: int):
+def _writer(path: str, tokenizer: str, mode: str, end_id: int, id_width: int, special: bool):
     dtype = np.dtype(f"<u{id_width}")
 
     def run(batches):
         part = TaskContext.get().partitionId()
         stem = f"part-{part:05d}-{TaskContext.get().taskAttemptId()}"
-        enc, out, ids, counts = toks.encoder(tokenizer, mode), None, [], []
+        enc, out, ids, counts = toks.encoder(tokenizer, mode, special), None, [], []
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -122,8 +123,8 @@ def read_tokens(parts: DataFrame, path: str, with_ids: bool = False) -> DataFram
     return parts.select("stem", "base").repartition(max(n, 1)).mapInArrow(run, schema)
 
 
-def token_binary(docs: DataFrame, tokenizer: str, mode: str = "spaces", end_id: int = 0, path: str | None = None) -> DataFrame:
+def token_binary(docs: DataFrame, tokenizer: str, mode: str = "spaces", end_id: int = 0, path: str | None = None, special: bool = False) -> DataFrame:
     """Write ``docs`` as a token set and read every document back from it."""
     spark: SparkSession = docs.sparkSession
     path = path or shared.fresh(spark, "tokens")
-    return read_tokens(write_tokens(docs, path, tokenizer, mode, end_id), path)
+    return read_tokens(write_tokens(docs, path, tokenizer, mode, end_id, special=special), path)

@@ -7,7 +7,15 @@ kept ("spaces"). Each distinct unit is encoded by the library once and kept in
 a bounded cache of the Python worker; the ids of all texts are then gathered by
 numpy. The cache is found by a hash of the unit, and the bytes of every unit are
 compared with those of its entry: texts with a unit that differs go through the
-library whole, as do texts that hold other Unicode white space.
+library whole, as do texts that hold other Unicode white space or a unit of more than
+``UNIT`` bytes. The cache is started anew beyond ``CACHE`` entries or ``CACHE_BYTES``
+bytes of units and ids.
+
+A text that holds the string of a special token: the recipe that comes with the
+vocabulary files sets ``encode_special_tokens``, so the string is ordinary text and gets
+ordinary ids, and no text can bring in control ids. With ``special`` the library's
+own default holds: the string becomes the id of the token. Such texts go through
+the library whole.
 """
 
 from __future__ import annotations
@@ -20,6 +28,10 @@ from turnwise.llm import words as W
 
 #: Entries kept by a worker before its cache is started anew.
 CACHE = 600_000
+#: Bytes of units and ids kept by a worker.
+CACHE_BYTES = 48_000_000
+#: Bytes of the longest unit that is kept.
+UNIT = 1000
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
 _PROBE = ["Ab  cd\n\n e's it'll.\t9 x \n", " \n lead", "été ñ <|endoftext|> z  ", "", "a\r\n\r\nb 12,5%"]
 #: What the UTF-8 of a character in _OTHER_SPACE starts with.
@@ -27,19 +39,22 @@ _ODD_BYTES = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|
 _made: dict[tuple, "Encoder"] = {}
 
 
-def encoder(path: str, mode: str) -> "Encoder":
+def encoder(path: str, mode: str, special: bool = False) -> "Encoder":
     """The worker's encoder of a vocabulary file; it is loaded once."""
-    if (path, mode) not in _made:
-        _made[path, mode] = Encoder(path, mode)
-    return _made[path, mode]
+    key = path, mode, special
+    if key not in _made:
+        _made[key] = Encoder(*key)
+    return _made[key]
 
 
 class Encoder:
-    def __init__(self, path: str, mode: str):
+    def __init__(self, path: str, mode: str, special: bool = False):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tok.encode_special_tokens = not special
+        added = [t.content for t in self.tok.get_added_tokens_decoder().values() if special or not t.special]
+        self.added = re.compile("|".join(map(re.escape, added)).encode()) if added else None
         self.tok.no_truncation()
         self.tok.no_padding()
         self.mode = mode
@@ -102,6 +117,7 @@ class Encoder:
         if self.mode == "whole":
             each = [self._whole(data[a:b].tobytes().decode()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             return np.concatenate([np.zeros(0, np.uint32), *each]), np.array([len(x) for x in each], dtype=np.int64)
+        raw = data.tobytes()
         w = W.Words(data, offsets, lower=False)
         if self.mode == "words":
             start, end, row, h = w.start, w.end, w.row, w.hash
@@ -117,15 +133,19 @@ class Encoder:
                 at = w.first[1:][tail]
                 start, end, row = np.insert(start, at, last[tail]), np.insert(end, at, offsets[1:][tail]), np.insert(row, at, tail)
             h = W.span_hash(data, start, end, False)
+        odd = self._odd(raw, offsets) | set(row[end - start > UNIT].tolist())
+        if odd:  # their units aren't learnt
+            plain = np.ones(rows, dtype=bool)
+            plain[list(odd)] = False
+            start, end, h, row = (x[plain[row]] for x in (start, end, h, row))
         keys, where, inv = np.unique(h, return_index=True, return_inverse=True)
         found = np.searchsorted(self.keys, keys)
         new = np.ones(len(keys), dtype=bool)
         ok = found < len(self.keys)
         new[ok] = self.keys[found[ok]] != keys[ok]
-        if len(self.keys) + int(new.sum()) > CACHE:
+        if len(self.keys) + int(new.sum()) > CACHE or len(self.bytes) + self.flat.nbytes > CACHE_BYTES:
             self._clear()
             new[:] = True
-        raw = data.tobytes()
         if new.any():
             at = where[new]
             self._learn(keys[new], [raw[a:b].decode() for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)])
@@ -134,7 +154,7 @@ class Encoder:
         done = np.cumsum(size)
         ids = self.flat[np.repeat(begin - (done - size), size) + np.arange(done[-1] if len(done) else 0)]
         counts = np.bincount(row, weights=size, minlength=rows).astype(np.int64)
-        odd = sorted({*self._odd(raw, offsets), *row[self._differ(data, start, end, found)].tolist()})
+        odd = sorted({*odd, *row[self._differ(data, start, end, found)].tolist()})
         if odd:
             ends = np.cumsum(counts)
             parts, at = [], 0
@@ -146,10 +166,8 @@ class Encoder:
             ids = np.concatenate([*parts, ids[at:]])
         return ids, counts
 
-    @staticmethod
-    def _odd(raw: bytes, offsets: np.ndarray) -> set[int]:
-        """Texts with white space that isn't ASCII."""
-        rows: set[int] = set()
-        for m in _ODD_BYTES.finditer(raw):
-            rows.add(int(np.searchsorted(offsets, m.start(), side="right")) - 1)
-        return {r for r in rows if _OTHER_SPACE.search(raw[offsets[r] : offsets[r + 1]].decode())}
+    def _odd(self, raw: bytes, offsets: np.ndarray) -> set[int]:
+        """Texts with white space that isn't ASCII, or with the string of an added token."""
+        row = lambda m: int(np.searchsorted(offsets, m.start(), side="right")) - 1
+        rows = {r for r in {row(m) for m in _ODD_BYTES.finditer(raw)} if _OTHER_SPACE.search(raw[offsets[r] : offsets[r + 1]].decode())}
+        return rows | ({row(m) for m in self.added.finditer(raw)} if self.added else set())
