@@ -57,12 +57,27 @@ def test_word_errors(spark, ref, hyp, want):
     assert p.select(T.word_error_rate(F.col("ref"), F.col("hyp"))).first()[0] == pytest.approx(want[3])
 
 
-def test_frame_layout():
-    assert tokens.place([([7, 8], 1, 4)], 6, 1, pad=9, end_of_text=0, in_word=5) == [0, 7, 8, 5, 5, 9]
-    assert tokens.place([], 2, 1, pad=9, end_of_text=0, zero=3) == [3, 3]
-    assert tokens.place([([7], 1, 1)], 4, 1, pad=9, end_of_text=0, in_word=5, zero=3, delay=-2) == [3, 3, 9, 9]
-    assert tokens.place([([], 1, 2), ([7], 3, 3)], 4, 1, pad=9, end_of_text=0, in_word=5) == [9, 5, 0, 7]
-    assert tokens.place([([1, 2], 0, 1), ([3], 1, 1)], 4, 1, pad=9, end_of_text=0, replace=False) == [1, 2, 3, 9]
+def laid_out(spark, said, duration, rate, **options):
+    words = spark.createDataFrame([(1, float(s), float(e), ids) for ids, s, e in said], "id long, start double, end double, ids array<int>")
+    return tokens.frame_layout(words, spark.createDataFrame([(1, float(duration))], "id long, duration double"), ["id"], rate, **options).first().codes
+
+
+def test_frame_layout(spark):
+    assert laid_out(spark, [([7, 8], 1, 4)], 6, 1, pad=9, end_of_text=0, in_word=5) == [0, 7, 8, 5, 5, 9]
+    assert laid_out(spark, [], 2, 1, pad=9, end_of_text=0, zero=3) == [3, 3]
+    assert laid_out(spark, [([7], 1, 1)], 4, 1, pad=9, end_of_text=0, in_word=5, zero=3, delay=-2) == [3, 3, 9, 9]
+    assert laid_out(spark, [([], 1, 2), ([7], 3, 3)], 4, 1, pad=9, end_of_text=0, in_word=5) == [9, 5, 0, 7]
+    assert laid_out(spark, [([1, 2], 0, 1), ([3], 1, 1)], 4, 1, pad=9, end_of_text=0, replace=False) == [1, 2, 3, 9]
+    assert laid_out(spark, [([1, 2], 9, 9)], 3, 1, pad=9, end_of_text=0, zero=3) == [9, 9, 9]  # it starts behind the end
+    assert laid_out(spark, [([1], 1, 3), ([2], 1.5, 1.5)], 4, 1, pad=9, end_of_text=0, in_word=5) == [0, 2, 9, 9]  # the last of two in a frame
+    assert laid_out(spark, [([1], 0, 0)], 0, 1, pad=9, end_of_text=0) == []
+
+
+def test_crowded_frames(spark):
+    three = [([1, 2], 0, 0.5), ([4, 5], 1, 1.5)]
+    assert laid_out(spark, three, 2, 1, pad=9, end_of_text=0, adaptive=True) == [1, 2]  # the others find no free frame
+    assert laid_out(spark, three, 10, 1, pad=9, end_of_text=0, adaptive=True) == laid_out(spark, three, 10, 1, pad=9, end_of_text=0)
+    assert laid_out(spark, [([9, 9, 9, 7], 0, 1)], 3, 1, pad=9, end_of_text=0, adaptive=True) == [0, 0, 7]  # padding takes no frame
 
 
 def test_ordered_rules(spark):

@@ -1,6 +1,7 @@
 """Sequential queries, which have no SQL, against plain Python over whole tables."""
 
 import math
+import random
 import re
 from collections import Counter
 
@@ -44,7 +45,7 @@ def test_edit_table_of_long_texts():
         assert list(T.edit_rows(list(x), list(y)))[-1][-1] == distance(x, y)
 
 
-def fold(said, duration, rate, pad, end_of_text, in_word, zero):
+def fold(said, duration, rate, pad, end_of_text, in_word, zero, replace=True):
     """Frame by frame, as the rule is written."""
     frames = math.ceil(duration * rate)
     if not said:
@@ -52,7 +53,7 @@ def fold(said, duration, rate, pad, end_of_text, in_word, zero):
     out, queue, last, left = [], [], -1, sorted(said, key=lambda w: w[1])
     for t in range(frames):
         for w in [w for w in left if w[1] * rate < t + 1]:
-            queue, last = list(w[0]), int(w[2] * rate)
+            queue, last = ([] if replace else queue) + list(w[0]), int(w[2] * rate)
             left.remove(w)
         if queue:
             if out and out[-1] in (pad, in_word):
@@ -68,18 +69,22 @@ def test_token_frames(spark, sf):
     for r in words(utterances(spark, sf)).collect():
         ids = [ord(r.word[0]) + i for i in range(int(min(len(r.word) / 3, 3)) + 1)]
         said.setdefault(r.conv_id, []).append((ids, r.w_start_ms / 1000, r.w_end_ms / 1000))
-    got = {r.conv_id: (r.duration, list(r.codes)) for r in Q.QUERIES["token_frames"](spark, sf).collect()}
+    got = {r.conv_id: (r.duration, [int(x) for x in r.codes.split(",")]) for r in Q.QUERIES["token_frames"](spark, sf).collect()}
     assert got.keys() == said.keys()
     for c, w in said.items():
         end = max(e for _, _, e in w)
         assert got[c] == (end, fold(sorted(w, key=lambda x: (x[1], x[2], x[0])), end, 12.5, 3, 0, 4, 5))
 
 
-def test_adaptive_frames():
-    three = [([1, 2], 0, 0.5), ([4, 5], 1, 1.5)]
-    assert tokens.place_adaptive(three, 2, 1, pad=9, end_of_text=0) == [1, 2]  # the others find no free frame
-    assert tokens.place_adaptive(three, 10, 1, pad=9, end_of_text=0) == tokens.place(three, 10, 1, pad=9, end_of_text=0)
-    assert tokens.place_adaptive([([9, 9, 9, 7], 0, 1)], 3, 1, pad=9, end_of_text=0) == [0, 0, 7]
+def test_queued_frames(spark):
+    """Random words, with a queue and without, frame by frame."""
+    rng = random.Random(8)
+    said = {c: [([rng.randint(1, 9) for _ in range(rng.randint(0, 4))], x := round(rng.uniform(0, 12), 2), x + rng.random()) for _ in range(rng.randint(0, 15))] for c in range(30)}
+    rows = spark.createDataFrame([(c, s, e, ids) for c, w in said.items() for ids, s, e in w], "id long, start double, end double, ids array<int>")
+    for replace in (False, True):
+        out = tokens.frame_layout(rows, spark.createDataFrame([(c, 10.0) for c in said], "id long, duration double"), ["id"], 2.5, 30, 40, 20, replace, 50)
+        for r in out.collect():
+            assert list(r.codes) == fold(sorted(said[r.id], key=lambda x: (x[1], x[2], x[0])), 10.0, 2.5, 30, 40, 20, 50, replace), (r.id, replace)
 
 
 def test_greedy_matches(spark, sf):

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnwise.stored import stored
+
+#: Functions of blocks composed at once, and the type of a way out of a block.
+FAN, WAY = 64, "struct<p: int, r: boolean, c: bigint>"
+
 
 def first_wins(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The first row of each key in the given order; null keys are one key."""
@@ -99,7 +104,8 @@ def deal_out(rows: DataFrame, order: list[Column], machines: int) -> DataFrame:
 def global_rank(rows: DataFrame, order: list[Column]) -> DataFrame:
     """Rows with their 0-based ``rank`` in the order (which must be total)."""
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
-    placed = placed.withColumn("_part", F.shiftright("_m", 33)).withColumn("_at", F.col("_m").bitwiseAND((1 << 33) - 1)).persist()
+    placed = placed.withColumn("_part", F.shiftright("_m", 33)).withColumn("_at", F.col("_m").bitwiseAND((1 << 33) - 1))
+    placed = stored(placed)
     sizes = sorted((r._part, r["count"]) for r in placed.groupBy("_part").count().collect())  # a row a partition
     base, at = [], 0
     for part, n in sizes:
@@ -110,31 +116,76 @@ def global_rank(rows: DataFrame, order: list[Column]) -> DataFrame:
 
 
 def next_fit(rows: DataFrame, group: str, size: str, order: list[str], capacity: float, most: int) -> DataFrame:
-    """Next-fit batches of ordered rows within groups (a sequential fold).
-
-    Runs streaming within a group's sorted rows, one row at a time, so a group
-    of any length needs constant memory.
+    """Next-fit batches of ordered rows within groups, as a scan over blocks of ``most`` rows.
+
+    Rows have a global rank in the order of (group, order). As a batch has at most
+    ``most`` rows, a batch that starts in a block of so many ranks is followed by one
+    that starts in the same block or the next. So a block is a function from the
+    place of its first start to that of the next block, and the number of batches
+    between. Such functions are composed level by level, ``FAN`` at a time, and the
+    starts are handed down again: no group is ever in one task, whatever its size,
+    and each level reads a ``FAN``-th of the last. An array holds 2 * ``most`` rows
+    at most.
     """
-    import pandas as pd
-
-    ordered = rows.repartition(group).sortWithinPartitions(group, *order)
-    schema = ordered.withColumn("batch", F.lit(0)).schema
-
-    def run(parts):
-        now, batch, total, n = object(), 0, 0.0, 0
-        for pdf in parts:
-            out = []
-            for g, s in zip(pdf[group], pdf[size], strict=True):
-                if g != now:
-                    now, batch, total, n = g, 0, 0.0, 0
-                elif n and (total + s > capacity or n >= most):
-                    batch, total, n = batch + 1, 0.0, 0
-                total += s
-                n += 1
-                out.append(batch)
-            yield pdf.assign(batch=pd.Series(out, index=pdf.index, dtype="int32"))
-
-    return ordered.mapInPandas(run, schema)
+    ranked = global_rank(rows, [F.col(group).asc(), *(F.col(c).asc() for c in order)])
+    row = F.struct("rank", F.struct(*rows.columns).alias("row"), F.col(group).alias("g"), F.coalesce(F.col(size).cast("double"), F.lit(0.0)).alias("s"))
+    blocks = ranked.groupBy(F.expr(f"rank div {most}").alias("b")).agg(F.array_sort(F.collect_list(row)).alias("own"))
+    blocks = stored(blocks)
+    ends = blocks.select((F.col("b") + 1).alias("b"), F.col("own")[F.size("own") - 1]["g"].alias("_g"))  # the last group of the block before
+    after = blocks.select((F.col("b") - 1).alias("b"), F.transform("own", lambda x: F.struct(x["g"].alias("g"), x["s"].alias("s"))).alias("_after"))
+    all_rows = F.concat(F.transform("own", lambda x: F.struct(x["g"].alias("g"), x["s"].alias("s"))), F.coalesce("_after", F.array().cast(after.schema["_after"].dataType)))
+    b = blocks.join(after, "b", "left").join(ends.withColumn("_known", F.lit(True)), "b", "left").withColumn("_x", all_rows).withColumn("_n", F.size("own"))
+    b = b.withColumn("_first", F.transform("own", lambda x, i: F.when(i > 0, ~F.col("own")[F.greatest(i - 1, F.lit(0))]["g"].eqNullSafe(x["g"])).otherwise(F.col("_known").isNull() | ~F.col("_g").eqNullSafe(x["g"]))))
+
+    def stop(i: Column) -> Column:
+        """Where the batch after one that starts at place i starts."""
+
+        def take(acc: Column, k: Column) -> Column:
+            x = F.get("_x", i + k)
+            full = (k == most) | (i + k >= F.size("_x")) | ~x["g"].eqNullSafe(F.get("_x", i)["g"]) | (acc["sum"] + x["s"] > capacity)
+            return F.when(acc["stop"].isNotNull(), acc).when(F.coalesce(full, F.lit(True)), F.struct(acc["sum"].alias("sum"), (i + k).alias("stop"))).otherwise(F.struct((acc["sum"] + x["s"]).alias("sum"), F.lit(None).cast("int").alias("stop")))
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(most)), F.struct(F.get("_x", i)["s"].alias("sum"), F.lit(None).cast("int").alias("stop")), take, lambda acc: acc["stop"])
+
+    b = b.withColumn("_stop", F.transform(F.sequence(F.lit(0), F.col("_n") - 1), stop))
+
+    def prepend(acc: Column, p: Column) -> Column:
+        """Puts the way out from place p before those from the places behind it."""
+        end, first = F.col("_stop")[p], F.col("_first")[p]
+        then = F.get(acc, end - p - 1)
+        inside = F.struct(then["p"].alias("p"), (first | then["r"]).alias("r"), F.when(then["r"], then["c"]).otherwise(then["c"] + F.when(first, 0).otherwise(1)).cast("long").alias("c"))
+        return F.concat(F.array(F.when(end < F.col("_n"), inside).otherwise(F.struct((end - F.col("_n")).alias("p"), first.alias("r"), F.when(first, 0).otherwise(1).cast("long").alias("c")))), acc)
+
+    ways = F.aggregate(F.reverse(F.sequence(F.lit(0), F.col("_n") - 1)), F.array().cast(f"array<{WAY}>"), prepend)
+    b = stored(b.select("b", "own", "_n", "_first", "_stop", ways.alias("f")))
+
+    def then(state: Column, f: Column) -> Column:
+        """A state (place, whether a group began, batches since) carried through a function."""
+        x = F.get(f, state["p"])
+        return F.struct(x["p"].alias("p"), (state["r"] | x["r"]).alias("r"), F.when(x["r"], x["c"]).otherwise(state["c"] + x["c"]).alias("c"))
+
+    levels = [b.select("b", "f")]
+    n = levels[0].count()
+    while n > 1:  # log n to the base FAN
+        fs = F.transform(F.array_sort(F.collect_list(F.struct("b", "f"))), lambda x: x["f"])
+        start = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda p: F.struct(p.alias("p"), F.lit(False).alias("r"), F.lit(0).cast("long").alias("c")))
+        up = levels[-1].groupBy(F.expr(f"b div {FAN}").alias("b")).agg(fs.alias("fs")).withColumn("f", F.aggregate("fs", start, lambda acc, f: F.transform(acc, lambda s: then(s, f))))
+        levels.append(stored(up))
+        n = levels[-1].count()
+    into = rows.sparkSession.range(1).select(F.col("id").alias("b"), F.struct(F.lit(0).alias("p"), F.lit(False).alias("r"), F.lit(-1).cast("long").alias("c")).alias("into"))
+    for level in reversed(levels[1:]):
+        steps = F.aggregate("fs", F.array("into"), lambda acc, f: F.concat(acc, F.array(then(F.element_at(acc, -1), f))))
+        each = level.join(into, "b").select("b", F.posexplode(F.slice(steps, 1, F.size("fs"))).alias("k", "into"))
+        into = each.select((F.col("b") * FAN + F.col("k")).alias("b"), "into")
+
+    def number(acc: Column, i: Column) -> Column:
+        starts = acc["at"] == i
+        now = F.when(starts, F.when(F.col("_first")[i], F.lit(0).cast("long")).otherwise(acc["n"] + 1)).otherwise(acc["n"])
+        return F.struct(F.when(starts, F.col("_stop")[i]).otherwise(acc["at"]).alias("at"), now.alias("n"), F.concat(acc["out"], F.array(now.cast("int"))).alias("out"))
+
+    begin = F.struct(F.col("into.p").alias("at"), F.col("into.c").alias("n"), F.array().cast("array<int>").alias("out"))
+    out = b.join(into, "b").withColumn("_batch", F.aggregate(F.sequence(F.lit(0), F.col("_n") - 1), begin, number, lambda acc: acc["out"]))
+    return out.select(F.explode(F.arrays_zip(F.col("own.row").alias("row"), F.col("_batch").alias("batch"))).alias("z")).select("z.row.*", F.col("z.batch").alias("batch"))
 
 
 def full_batches(ranked: DataFrame, size: int) -> DataFrame:

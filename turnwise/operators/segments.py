@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -178,28 +180,66 @@ def context(turns: DataFrame) -> DataFrame:
     return turns.groupBy("conv_id").agg(F.array_join(F.transform(rows, lambda x: x["text"]), " ").alias("context"))
 
 
+class Nearest:
+    """Places 0 .. n-1 in order, and the nearest free ones on both sides of a cut."""
+
+    def __init__(self, n: int):
+        self.down, self.up = list(range(n + 1)), list(range(n + 1))  # of place k: at k + 1 and at k
+
+    @staticmethod
+    def _root(links: list[int], k: int) -> int:
+        while links[k] != k:
+            links[k] = links[links[k]]
+            k = links[k]
+        return k
+
+    def take(self, k: int) -> None:
+        self.down[k + 1], self.up[k] = k, k + 1
+
+    def before(self, k: int) -> int:
+        """The last free place below ``k``, -1 without any."""
+        return self._root(self.down, k) - 1
+
+    def behind(self, k: int) -> int:
+        """The first free place from ``k`` on, n without any."""
+        return self._root(self.up, k)
+
+
 def greedy_match(detected: DataFrame, truth: DataFrame, tolerance_ms: int) -> DataFrame:
     """One-to-one matches by nearest centre, in order of detection.
 
-    Sequential within a conversation, hence a grouped function.
+    No match crosses a gap of more than the tolerance between neighbouring centres,
+    so a conversation is cut there, and each part is a task of its own. Within a
+    part the choice depends on all choices before, hence a grouped function; it
+    takes n log n.
     """
     schema = "conv_id long, pos long, matched_pos long, distance_ms double"
-
-    def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = a.sort_values(["start_ms", "pos"]), b.sort_values(["start_ms", "pos"])
-        centre = ((b.start_ms + b.end_ms) / 2).to_numpy()
-        free = [True] * len(b)
-        out = []
-        for r in a.itertuples():
-            away = [(abs((r.start_ms + r.end_ms) / 2 - c), k) for k, c in enumerate(centre) if free[k]]
-            best = min(away, default=None)
+    centre = ((F.col("start_ms") + F.col("end_ms")) / 2).alias("centre")
+    both = detected.select("conv_id", "pos", "start_ms", centre, F.lit(True).alias("found")).unionAll(truth.select("conv_id", "pos", "start_ms", centre, F.lit(False)))
+    w = Window.partitionBy("conv_id").orderBy("centre", "found", "start_ms", "pos")
+    parts = islands(both.withColumn("_far", F.col("centre") - F.lag("centre").over(w) > tolerance_ms), ["conv_id"], ["centre", "found", "start_ms", "pos"], F.col("_far"), "part")
+
+    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["start_ms", "pos"])
+        asked, known = rows[rows.found], rows[~rows.found]
+        at: dict[float, list[int]] = {}  # places of equal centres, the first one last
+        for c, p in zip(known.centre.tolist()[::-1], known.pos.tolist()[::-1], strict=True):
+            at.setdefault(c, []).append(p)
+        rank = {p: k for k, p in enumerate(known.pos.tolist())}
+        centres, out = sorted(at), []
+        free = Nearest(len(centres))
+        for c, p in zip(asked.centre.tolist(), asked.pos.tolist(), strict=True):
+            k = bisect.bisect_right(centres, c)
+            near = [(abs(c - centres[x]), rank[at[centres[x]][-1]], x) for x in (free.before(k), free.behind(k)) if 0 <= x < len(centres)]
+            best = min(near, default=None)
             if best and best[0] <= tolerance_ms:
-                free[best[1]] = False
-                out.append((key[0], r.pos, int(b.pos.iloc[best[1]]), best[0]))
+                x = best[2]
+                out.append((key[0], p, at[centres[x]].pop(), best[0]))
+                if not at[centres[x]]:
+                    free.take(x)
         return pd.DataFrame(out, columns=["conv_id", "pos", "matched_pos", "distance_ms"])
 
-    cols = ["conv_id", "pos", "start_ms", "end_ms"]
-    return detected.select(cols).groupBy("conv_id").cogroup(truth.select(cols).groupBy("conv_id")).applyInPandas(run, schema)
+    return parts.groupBy("conv_id", "part").applyInPandas(run, schema)
 
 
 def silence_points(frames: DataFrame, keys: list[str], share: float = 0.1, min_frames: int = 10) -> DataFrame:

@@ -180,7 +180,14 @@ def boundary_matches(spark, d):
     return segments.boundary_matches(u.filter("speaker = 'assistant'"), u.filter("speaker = 'user'"), 3000).select("conv_id", "pos")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {UTTERANCES_SQL}, d AS (SELECT conv_id, list({{c: (start_ms + end_ms) / 2.0::DOUBLE, pos: pos}} ORDER BY start_ms, pos) AS det FROM utterances WHERE speaker = 'assistant' GROUP BY conv_id),
+    t AS (SELECT conv_id, list({{c: (start_ms + end_ms) / 2.0::DOUBLE, pos: pos}} ORDER BY start_ms, pos) AS tru FROM utterances WHERE speaker = 'user' GROUP BY conv_id),
+    r AS (SELECT conv_id, det, tru, 0 AS i, CAST([] AS BIGINT[]) AS used, NULL::STRUCT(d DOUBLE, k BIGINT) AS best FROM d JOIN t USING (conv_id) UNION ALL
+    SELECT conv_id, det, tru, i + 1, CASE WHEN b IS NULL THEN used ELSE list_append(used, b.k) END, b FROM (SELECT conv_id, det, tru, i, used,
+    list_sort(list_filter(list_transform(range(1, len(tru) + 1), lambda k: {{d: abs(tru[k].c - det[i + 1].c), k: k}}), lambda x: x.d <= 20000 AND NOT list_contains(used, x.k)))[1] AS b FROM r WHERE i < len(det)))
+    SELECT conv_id, det[i].pos AS pos, tru[best.k].pos AS matched_pos, best.d AS distance_ms FROM r WHERE best IS NOT NULL"""
+)
 def greedy_matches(spark, d):
     u = utterances(spark, d)
     return segments.greedy_match(u.filter("speaker = 'assistant'"), u.filter("speaker = 'user'"), 20_000)
@@ -474,7 +481,13 @@ def full_batches(spark, d):
     return manifest.full_batches(ranked, 16).select("doc_id", "rank", "batch")
 
 
-@query()
+@query(
+    """WITH RECURSIVE o AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS i FROM documents),
+    r AS (SELECT source, doc_id, i, 0 AS batch, n_chars AS total, 1 AS n FROM o WHERE i = 1 UNION ALL
+    SELECT o.source, o.doc_id, o.i, CASE WHEN total + n_chars > 20000 OR n >= 32 THEN batch + 1 ELSE batch END, CASE WHEN total + n_chars > 20000 OR n >= 32 THEN n_chars ELSE total + n_chars END, CASE WHEN total + n_chars > 20000 OR n >= 32 THEN 1 ELSE n + 1 END
+    FROM r JOIN o ON o.source = r.source AND o.i = r.i + 1)
+    SELECT r.source, r.doc_id, n_chars, batch FROM r JOIN documents d ON d.doc_id = r.doc_id"""
+)
 def next_fit_batches(spark, d):
     return manifest.next_fit(read(spark, d, "documents").select("source", "doc_id", "n_chars"), "source", "n_chars", ["n_chars", "doc_id"], 20_000, 32)
 
@@ -834,12 +847,57 @@ def prompted_codes(spark, d):
     return e.select("vec_id", arrays.with_prompt(F.slice("codes", 9, 56), F.slice("codes", 1, 8)).alias("p"), arrays.word_span(F.col("codes"), 0, 2, 3).alias("span")).select("vec_id", F.array_join(F.col("p.codes").cast("array<string>"), ",").alias("codes"), F.array_join(F.transform("p.mask", lambda x: F.when(x, "t").otherwise("f")), "").alias("mask"), F.col("span.start").alias("span_start"), F.col("span.end").alias("span_end"))
 
 
-@query()
+FRAMES_SQL = (
+    WORDS_SQL
+    + """, i AS (SELECT conv_id, w_start_ms / 1000.0::DOUBLE AS s, w_end_ms / 1000.0::DOUBLE AS e, list_transform(range(CAST(floor(least(length(word) / 3.0::DOUBLE, 3)) AS BIGINT) + 1), lambda x: CAST(unicode(word) + x AS INTEGER)) AS ids FROM words),
+    o AS (SELECT conv_id, max(e) AS duration, CAST(ceil(max(e) * 12.5::DOUBLE) AS BIGINT) AS total FROM i GROUP BY conv_id),
+    a AS (SELECT i.conv_id, s, e, ids, total, CAST(floor(s * 12.5::DOUBLE) AS BIGINT) AS a FROM i JOIN o ON i.conv_id = o.conv_id WHERE floor(s * 12.5::DOUBLE) < total)"""
+)
+
+
+@query(
+    f"""WITH {FRAMES_SQL}, n AS (SELECT *, coalesce(lead(a) OVER w, total) AS b, CASE WHEN row_number() OVER w = 1 THEN 0 ELSE a END AS f, CAST(trunc(e * 12.5::DOUBLE) AS BIGINT) AS until FROM a WINDOW w AS (PARTITION BY conv_id ORDER BY s, e, ids)),
+    p AS (SELECT *, unnest(range(f, b)) AS t FROM n), c AS (SELECT conv_id, t, CASE WHEN t >= a AND t - a < len(ids) THEN ids[t - a + 1] END AS token, CASE WHEN t >= a AND t <= until THEN 4 ELSE 3 END AS filler FROM p),
+    m AS (SELECT conv_id, t, CASE WHEN lead(token) OVER (PARTITION BY conv_id ORDER BY t) IS NOT NULL AND coalesce(token, filler) IN (3, 4) THEN 0 ELSE coalesce(token, filler) END AS code FROM c)
+    SELECT conv_id, any_value(duration) AS duration, string_agg(code, ',' ORDER BY t) AS codes FROM m JOIN o USING (conv_id) GROUP BY conv_id"""
+)
 def token_frames(spark, d):
+    out = tokens.frame_layout(*_spoken_ids(spark, d), ["conv_id"], 12.5, 3, 0, in_word=4, zero=5)
+    return out.withColumn("codes", F.array_join(F.col("codes").cast("array<string>"), ","))
+
+
+def _spoken_ids(spark, d):
+    """Words of conversations as ids with times in seconds, and the conversations' durations."""
     w = words(utterances(spark, d))
     ids = F.transform(F.sequence(F.lit(0), F.least(F.length("word") / 3, F.lit(3)).cast("int")), lambda i: (F.ascii("word") + i).cast("int"))
-    rows = w.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct((F.col("w_start_ms") / 1000.0).alias("start"), (F.col("w_end_ms") / 1000.0).alias("end"), ids.alias("ids")))).alias("words"), (F.max("w_end_ms") / 1000.0).alias("duration"))
-    return tokens.frame_layout(rows, 12.5, 3, 0, in_word=4, zero=5)
+    said = w.select("conv_id", (F.col("w_start_ms") / 1000.0).alias("start"), (F.col("w_end_ms") / 1000.0).alias("end"), ids.alias("ids"))
+    return said, said.groupBy("conv_id").agg(F.max("end").alias("duration"))
+
+
+@query(
+    f"""WITH {FRAMES_SQL}, q AS (SELECT conv_id, a, total, s, e, ids, unnest(ids) AS token, generate_subscripts(ids, 1) AS j FROM a), k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY s, e, ids, j) - 1 AS k FROM q),
+    p AS (SELECT conv_id, token, total, k + max(a - k) OVER (PARTITION BY conv_id ORDER BY k) AS t FROM k)
+    SELECT conv_id, count(*) AS n_tokens, CAST(sum(token * (t % 1000)) AS BIGINT) AS placed, CAST(max(t) AS BIGINT) AS last FROM p WHERE t < total GROUP BY conv_id"""
+)
+def queued_frames(spark, d):
+    """Tokens that queue instead of replacing each other, told from padding by negative values."""
+    out = tokens.frame_layout(*_spoken_ids(spark, d), ["conv_id"], 12.5, -1, -3, in_word=-2, replace=False)
+    t = out.select("conv_id", F.posexplode("codes").alias("t", "token")).filter("token >= 0")
+    return t.groupBy("conv_id").agg(F.count("*").alias("n_tokens"), F.sum(F.col("token").cast("long") * (F.col("t") % 1000)).alias("placed"), F.max("t").cast("long").alias("last"))
+
+
+@query(
+    f"""WITH {WORDS_SQL}, i AS (SELECT conv_id, w_start_ms / 1000.0::DOUBLE AS s, w_end_ms / 1000.0::DOUBLE AS e, list_transform(range(CAST(floor(least(length(word) / 3.0::DOUBLE, 3)) AS BIGINT) + 1), lambda x: CAST(unicode(word) + x AS INTEGER)) AS ids FROM words),
+    o AS (SELECT conv_id, CAST(ceil(max(e) * 2) AS BIGINT) AS total, sum(len(ids)) AS n FROM i GROUP BY conv_id), q AS (SELECT conv_id, unnest(ids) AS token, generate_subscripts(ids, 1) AS j, s, e, ids FROM i),
+    k AS (SELECT conv_id, token, row_number() OVER (PARTITION BY conv_id ORDER BY s, e, ids, j) - 1 AS k FROM q)
+    SELECT conv_id, string_agg(token, ',' ORDER BY k) AS codes FROM k JOIN o USING (conv_id) WHERE n > total AND k < total GROUP BY conv_id"""
+)
+def crowded_frames(spark, d):
+    """Conversations with more tokens than frames (two a second): the frames go to the first tokens, as no id is padding."""
+    said, durations = _spoken_ids(spark, d)
+    crowded = said.groupBy("conv_id").agg(F.sum(F.size("ids")).alias("n"), F.ceil(F.max("end") * 2).alias("total")).filter("n > total")
+    out = tokens.frame_layout(said, durations, ["conv_id"], 2, -1, -3, adaptive=True).join(crowded, "conv_id", "left_semi")
+    return out.select("conv_id", F.array_join(F.col("codes").cast("array<string>"), ",").alias("codes"))
 
 
 @query("SELECT event_id, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k, len(props) > 2 AS filled FROM events")
