@@ -41,4 +41,4 @@ def test_query(spark, duck, sf, name):
 
 
 def test_only_sequential_queries_have_no_sql():
-    assert Q.QUERIES.keys() - Q.ORACLE_SQL.keys() == {"greedy_matches", "next_fit_batches", "token_frames", "word_errors", "word_error_kinds"}  # see test_whole.py
+    assert Q.QUERIES.keys() - Q.ORACLE_SQL.keys() == {"word_errors", "word_error_kinds"}  # see test_whole.py

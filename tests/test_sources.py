@@ -30,6 +30,77 @@ def test_cuts(spark, tmp_path):
     assert (s.conversations, s.utterances) == (2, 3)
 
 
+def test_shards_are_read_whole_or_not_at_all(spark, tmp_path):
+    line = json.dumps({"id": "c", "supervisions": [{"text": "z"}]}) + "\n"
+    good = gzip.compress(("\n" + line * 3).encode())
+    broken = {"cuts.000001.jsonl.gz": gzip.compress((line * 5000).encode())[:-40], "cuts.000002.jsonl.gz": gzip.compress((line + "{broken\n").encode()), "cuts.000003.jsonl": b"[1]\n"}
+    for name, raw in {"cuts.000000.jsonl.gz": good, "cuts.000004.jsonl.gz": good, **broken}.items():
+        (tmp_path / name).write_bytes(raw)
+    rows = cuts.check_shards(cuts.cut_shards(spark, str(tmp_path))).collect()
+    assert {r.shard for r in rows if r.error} == {1, 2, 3} and {r.lines for r in rows if not r.error} == {3} and len(rows) == 5
+    out = cuts.read_cuts(spark, str(tmp_path), whole=True).groupBy("shard").count().collect()
+    assert {(r.shard, r["count"]) for r in out} == {(0, 3), (4, 3)}
+    for machine, want in ((0, {0, 4}), (1, set())):  # every second shard in order: 0, 2, 4 and 1, 3
+        assert {r.shard for r in cuts.read_cuts(spark, str(tmp_path), machine, 2, whole=True).collect()} == want
+    assert cuts.read_cuts(spark, str(tmp_path), 7, 8).count() == 0
+
+
+def test_large_and_damaged_archives(spark, tmp_path):
+    """Members are read by their range, whatever the size of the archive; damage is reported."""
+    def archive(number, members):
+        with tarfile.open(tmp_path / f"recording.{number:06d}.tar", "w") as tar:
+            for name, data in members:
+                info = tarfile.TarInfo(name)
+                info.size = len(data)
+                tar.addfile(info, io.BytesIO(data))
+
+    data = {f"{'long/' * 40}m{k}.wav": bytes([k]) * (300_000 + k) for k in range(40)}
+    archive(1, data.items())
+    archive(2, [("x.wav", b"1"), ("y.flac", b"22"), ("no_suffix", b"3")])
+    whole = (tmp_path / "recording.000002.tar").read_bytes()
+    (tmp_path / "recording.000003.tar").write_bytes(whole[:1024] + whole[1024:1500])
+    (tmp_path / "recording.000004.tar").write_bytes(b"")
+    (tmp_path / "recording.000005.tar").write_bytes(whole[:512])  # the member's content is cut off, so it isn't listed
+    index = cuts.archive_index(spark, str(tmp_path)).collect()
+    assert {r.shard for r in index if r.error} == {3, 5} and sum(r.shard == 1 for r in index) == 40
+    out = {(r.shard, r.cut_id): bytes(r.content) for r in cuts.tar_members(spark, str(tmp_path), part_bytes=1_000_000).collect()}
+    assert {k[1]: v for k, v in out.items() if k[0] == 1} == {f"m{k}": bytes([k]) * (300_000 + k) for k in range(40)}
+    assert out[2, "x"] == b"1" and out[2, "y"] == b"22" and out[3, "x"] == b"1" and len(out) == 43
+    wanted = spark.createDataFrame([(1, "m7"), (1, "m7"), (2, "m8"), (2, "y"), (None, "x")], "shard int, cut_id string")
+    found = cuts.tar_members(spark, str(tmp_path), wanted=wanted)
+    assert {(r.shard, r.cut_id) for r in found.collect()} == {(1, "m7"), (2, "y")} and found.count() == 2
+    heard = cuts.audio_of(spark.createDataFrame([("m7", 1), ("zz", 2)], "id string, n int"), found)
+    assert {(r.id, r.content is not None) for r in heard.collect()} == {("m7", True), ("zz", False)}
+
+
+def test_runs_across_splits(spark, tmp_path):
+    import random
+
+    rng, want, lines, n = random.Random(2), [], [], 0
+    for k in range(120):
+        name, size = rng.choice(["a", "b", "c", ""]), rng.choice([1, 2, 3, 40])
+        turns = ["" if rng.random() < 0.2 else f"turn {n + i}" for i in range(size)]
+        n += size
+        lines += [(name, t) for t in turns]
+    runs = []
+    for name, t in lines:
+        if not runs or runs[-1][0] != name:
+            runs.append((name, []))
+        runs[-1][1].extend([t] if t else [])
+    want = sorted(tuple(t) for _, t in runs if len(t) >= 2)
+    (tmp_path / "e.csv").write_text("conv_id,utterance\n" + "".join(f"{a},{b}\n" for a, b in lines))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        assert spark.read.csv(str(tmp_path / "e.csv")).rdd.getNumPartitions() >= 6
+        by = {}
+        for r in corpora.csv_runs(spark, str(tmp_path / "e.csv")).collect():
+            by.setdefault(r.dialogue_id, []).append((r.pos, r.text))
+        assert sorted(tuple(t for _, t in sorted(x)) for x in by.values()) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_tar(spark, tmp_path):
     with tarfile.open(tmp_path / "recording.000001.tar", "w") as tar:
         for name, data in (("a.wav", b"123"), ("b.txt", b"x"), ("c.FLAC", b"4")):
@@ -81,7 +152,16 @@ def test_wav(spark):
         assert (w.getnchannels(), w.getnframes(), w.getframerate()) == (2, 2, 24_000)
 
 
-def test_stream_equals_batch(spark, sf, tmp_path):
+@pytest.fixture
+def state_store(spark):
+    for k, v in streams.STATE_STORE.items():
+        spark.conf.set(k, v)
+    yield
+    for k in streams.STATE_STORE:
+        spark.conf.unset(k)
+
+
+def test_stream_equals_batch(spark, sf, tmp_path, state_store):
     events = spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "value")
     events.repartition(3).write.parquet(str(tmp_path / "in"))
     stream = streams.read_stream(spark, str(tmp_path / "in"), "event_id long, ts timestamp, user_id long, value double")
@@ -99,3 +179,36 @@ def test_windows_close(spark, sf, tmp_path):
     stream = streams.read_stream(spark, str(tmp_path / "in"), "event_id long, ts timestamp, user_id long, value double")
     streams.run_available(streams.tumbling_counts(stream, "1 day", "1 hour", ["user_id"]), str(tmp_path / "out"), str(tmp_path / "c"))
     assert spark.read.parquet(str(tmp_path / "out")).count() > 0
+
+
+def test_moving_average_over_restarts(spark, tmp_path, state_store):
+    """State goes on in a new query; a key that stays away is forgotten."""
+    rows = [(k, f"2024-01-0{1 + k // 4} 00:00:0{k % 4}", "a" if k % 2 else "b", float(k)) for k in range(8)]
+    want, have = {}, {}
+    for day in (0, 1):
+        spark.createDataFrame(rows[4 * day : 4 * day + 4], "event_id long, ts string, user string, value double").selectExpr("event_id", "CAST(ts AS timestamp) AS ts", "user", "value").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = streams.read_stream(spark, str(tmp_path / "in"), "event_id long, ts timestamp, user string, value double")
+        out = streams.streaming_ema(stream, "user", 0.5)
+        for k, _, user, v in rows[4 * day : 4 * day + 4]:
+            want[user] = v if user not in want else 0.5 * v + 0.5 * want[user]
+        q = out.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).foreachBatch(lambda df, _: have.update({r.user: (r.n, r.ema) for r in df.collect()})).start()
+        q.awaitTermination()
+        assert have == {u: (2 * (day + 1), pytest.approx(v)) for u, v in want.items()}
+
+
+def test_sessions_and_first_arrivals(spark, tmp_path):
+    at = [("a", "00:00"), ("a", "00:04"), ("a", "00:30"), ("b", "00:01"), ("a", "03:00"), ("b", "03:00"), ("z", "09:00")]
+    rows = [(k, f"2024-01-01 {t}:00", u) for k, (u, t) in enumerate(at)]
+    df = spark.createDataFrame(rows, "event_id long, ts string, user string").selectExpr("event_id", "CAST(ts AS timestamp) AS ts", "user", "1D AS value")
+    for k in range(len(rows)):  # one file a row, in order
+        df.filter(f"event_id = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    read = lambda: streams.read_stream(spark, str(tmp_path / "in"), "event_id long, ts timestamp, user string, value double", 1)
+    streams.run_available(streams.sessions(read(), "10 minutes", "1 minute", ["user"]), str(tmp_path / "s"), str(tmp_path / "sc"))
+    got = {(r.user, str(r.start)[11:16], str(r.end)[11:16], r.n) for r in spark.read.parquet(str(tmp_path / "s")).collect()}
+    assert {("a", "00:00", "00:14", 2), ("a", "00:30", "00:40", 1), ("b", "00:01", "00:11", 1)} <= got
+    streams.run_available(streams.first_arrivals(read(), "user", "1 hour"), str(tmp_path / "f"), str(tmp_path / "fc"))
+    first = [(r.user, r.event_id) for r in spark.read.parquet(str(tmp_path / "f")).collect()]
+    assert {("a", 0), ("b", 3), ("z", 6)} <= set(first) and ("a", 1) not in first  # once within the watermark
+    streams.run_available(streams.hopping_counts(read(), "20 minutes", "10 minutes", "1 minute", ["user"]), str(tmp_path / "h"), str(tmp_path / "hc"))
+    hops = {(r.user, str(r.start)[11:16], r.n) for r in spark.read.parquet(str(tmp_path / "h")).collect()}
+    assert {("a", "00:00", 2), ("a", "00:20", 1), ("a", "00:30", 1), ("b", "00:00", 1)} <= hops

@@ -20,6 +20,25 @@ def tokenizer_column(encode: Callable[[str], list[int]]) -> Callable[[Column], C
     return run
 
 
+def line_tokenizer_column(encode: Callable[[str], list[int]], newline: int, bos: int | None = None) -> Callable[[Column], Column]:
+    """A column function of token ids, line by line with ``newline`` between lines, behind ``bos``.
+
+    For subword sampling hand in an ``encode`` that samples. A null text is empty.
+    """
+
+    @F.pandas_udf(ArrayType(LongType()))
+    def run(text: pd.Series) -> pd.Series:
+        def one(t: str | None) -> list[int]:
+            out = [] if bos is None else [bos]
+            for k, line in enumerate((t or "").split("\n")):
+                out += ([newline] if k else []) + list(encode(line))
+            return out
+
+        return text.map(one)
+
+    return run
+
+
 def signal_column(f: Callable[[list[float]], list[float]]) -> Callable[[Column], Column]:
     """A column function over sample arrays (resampling, trimming, codecs)."""
 

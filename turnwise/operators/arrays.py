@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -158,3 +162,48 @@ def stereo(left: Column, right: Column, rate: int) -> Column:
 def pad_window(samples: Column, length: int) -> Column:
     """Samples of a window, the last one filled up with zeros."""
     return F.concat(samples.cast("array<double>"), F.array_repeat(F.lit(0.0), F.greatest(F.lit(length) - F.size(samples), F.lit(0))))
+
+
+def sinc_filters(old: int, new: int, zeros: int = 6, rolloff: float = 0.99) -> tuple[np.ndarray, int]:
+    """Windowed-sinc filters of the ``new`` phases of a reduced ratio, and how far they reach before a sample.
+
+    Output n lies at old * n / new input samples. The filter is a sinc cut off at
+    ``rolloff`` times the lower Nyquist frequency, under a Hann window of ``zeros``
+    zero crossings a side.
+    """
+    band = min(old, new) * rolloff
+    reach = math.ceil(zeros * old / band)
+    at = np.arange(-reach, reach + old)[None, :] / old - np.arange(new)[:, None] / new
+    t = at * band
+    return np.where(abs(t) < zeros, np.sinc(t) * np.cos(np.pi * t / (2 * zeros)) ** 2, 0.0) * (band / old), reach
+
+
+def resample(samples: Column, rate: int, to: int) -> Column:
+    """Samples at another rate by a polyphase filter; ceil(n * to / rate) of them.
+
+    Every output is a dot product over the few inputs around it, an Arrow batch at a
+    time. Null stays null, empty stays empty.
+    """
+    shared = math.gcd(rate, to)
+    old, new = rate // shared, to // shared
+
+    @F.pandas_udf("array<double>")
+    def run(column: pd.Series) -> pd.Series:
+        filters, reach = sinc_filters(old, new)
+        taps = filters.shape[1]
+
+        def one(a):
+            if a is None:
+                return None
+            x = np.asarray(a, dtype=float)
+            if old == new or not len(x):
+                return x
+            blocks = -(-len(x) // old)
+            padded = np.zeros(blocks * old + taps)
+            padded[reach : reach + len(x)] = x
+            views = np.lib.stride_tricks.sliding_window_view(padded, taps)[:: old][:blocks]
+            return (views @ filters.T).ravel()[: -(-len(x) * new // old)]
+
+        return column.map(one)
+
+    return run(samples)

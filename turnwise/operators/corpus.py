@@ -60,3 +60,19 @@ def weighted_pick(rows: DataFrame, weight: str, key: str, seed: int) -> DataFram
     u = (seeded_share(seed, key, "item") * F.lit(2.0**32) + 0.5) / F.lit(2.0**32)
     r = F.row_number().over(Window.partitionBy(key).orderBy(-F.log(u) / F.col(weight), "item"))
     return rows.withColumn("_r", r).filter("_r = 1").drop("_r")
+
+
+def weighted_start(regions: DataFrame, keys: list[str], length: int, seed: int) -> DataFrame:
+    """(keys, start): where a clip of ``length`` starts, all places in the regions (keys, start, end) alike.
+
+    A region has end - start - length steps to start after its first place, so it is
+    chosen in proportion to its length. Without any such step the first region's
+    start stands.
+    """
+    order = Window.partitionBy(*keys).orderBy("start", "end")
+    room = regions.select(*keys, "start", "end").withColumn("_n", F.greatest(F.col("end") - F.col("start") - length, F.lit(0)))
+    room = room.withColumn("_to", F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("_n").over(Window.partitionBy(*keys)))
+    at = F.floor(seeded_share(seed, *keys) * (F.col("_all") + 1))
+    room = room.withColumn("_at", at).filter((F.col("_to") >= F.col("_at")) | (F.col("_all") <= 0))
+    first = room.groupBy(*keys).agg(F.min_by(F.struct("start", "_n", "_to", "_at", "_all"), F.struct("start", "end")).alias("r"))
+    return first.select(*keys, F.when(F.col("r._all") <= 0, F.col("r.start")).otherwise(F.col("r.start") + F.col("r._at") - (F.col("r._to") - F.col("r._n"))).cast("long").alias("start"))

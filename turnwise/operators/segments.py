@@ -46,6 +46,22 @@ def reference_regions(utts: DataFrame, max_gap_ms: int = 500, min_ms: int = 3000
     return regions.withColumn("end_ms", F.least("end_ms", F.col("start_ms") + max_ms)).select("conv_id", "speaker", "start_ms", "end_ms")
 
 
+def region_texts(regions: DataFrame, said: DataFrame, keys: list[str], slot_ms: int = 10_000) -> DataFrame:
+    """Regions with ``text``: the words that overlap them, in order of time, joined by spaces.
+
+    ``said``: keys, word, w_start_ms, w_end_ms and the order of simultaneous words, ``turn``
+    and ``k``. Regions and words meet by slots of time, so a long conversation is
+    joined in many tasks; a pair counts in the first slot that both have.
+    """
+    slots = lambda start, end: F.explode(F.sequence(F.expr(f"{start} div {slot_ms}"), F.greatest(F.expr(f"{end} div {slot_ms}"), F.expr(f"{start} div {slot_ms}"))))
+    r = regions.select(*keys, "start_ms", "end_ms", slots("start_ms", "end_ms").alias("_slot"))
+    w = said.select(*keys, "turn", "k", "word", "w_start_ms", "w_end_ms", slots("w_start_ms", "w_end_ms").alias("_slot"))
+    first = F.greatest(F.expr(f"start_ms div {slot_ms}"), F.expr(f"w_start_ms div {slot_ms}"))
+    hit = r.join(w, [*keys, "_slot"]).filter((F.col("_slot") == first) & (F.col("w_end_ms") > F.col("start_ms")) & (F.col("w_start_ms") < F.col("end_ms")))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("w_start_ms", "turn", "k", "word"))), lambda x: x["word"]), " ")
+    return regions.join(hit.groupBy(*keys, "start_ms").agg(text.alias("text")), [*keys, "start_ms"], "left").na.fill("", ["text"])
+
+
 def pick_region(regions: DataFrame, seed: int = 0) -> DataFrame:
     """One region a speaker, by the least md5 of seed and place."""
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("conv_id").cast("string"), "speaker", F.col("start_ms").cast("string")))

@@ -45,6 +45,36 @@ def backchannels(timed: DataFrame, tokens: dict[str, float], seed: int, p: float
     return long.withColumn("at", at).withColumn("token", pick).filter(F.col("at") < F.col("end") - margin).select("conv_id", "pos", "at", "token")
 
 
+def question_turns(ids: DataFrame, templates: DataFrame, seed: int, style: str = "formal") -> DataFrame:
+    """(id, category, turns): a question and an answer for every id, by seeded choice.
+
+    ``templates``: category, questions, and answers as a map from style to texts;
+    a category without the style answers in style ``base``. The templates are a
+    small dimension table: one row a category.
+    """
+    n = templates.count()
+    ranked = templates.withColumn("_k", F.row_number().over(Window.orderBy("category")) - 1)
+    pick = lambda texts, k: F.element_at(texts, (F.floor(seeded_share(seed + k, "id") * F.size(texts)) + 1).cast("int"))
+    answers = F.coalesce(F.try_element_at("answers", F.lit(style)), F.try_element_at("answers", F.lit("base")))
+    j = ids.withColumn("_k", F.floor(seeded_share(seed, "id") * n).cast("int")).join(F.broadcast(ranked) if n <= 100_000 else ranked, "_k").withColumn("_a", answers)
+    turn = lambda speaker, text: F.struct(F.lit(speaker).alias("speaker"), text.alias("text"))
+    return j.select("id", "category", F.array(turn("user", pick(F.col("questions"), 1)), turn("assistant", pick(F.col("_a"), 2))).alias("turns"))
+
+
+def with_questions(dialogues: DataFrame, templates: DataFrame, seed: int, p: float = 0.15, latest: int = 3, style: str = "formal") -> DataFrame:
+    """Dialogues (id, turns) of which a share ``p`` gets a question and answer among its first turns.
+
+    The place is one of 0 .. min(latest, number of turns), all alike. Only the chosen
+    dialogues are joined with the templates.
+    """
+    chosen = dialogues.filter(seeded_share(seed, "id") < p)
+    asked = question_turns(chosen.select("id"), templates, seed + 1, style).select("id", F.col("turns").alias("_new"))
+    at = F.floor(seeded_share(seed + 10, "id") * (F.least(F.lit(latest), F.size("turns")) + 1)).cast("int")
+    spliced = F.concat(F.slice("turns", F.lit(1), at), F.col("_new"), F.slice("turns", at + 1, F.greatest(F.size("turns") - at, F.lit(0))))
+    out = chosen.join(asked, "id").withColumn("turns", spliced).drop("_new")
+    return dialogues.filter(F.coalesce(seeded_share(seed, "id") >= p, F.lit(True))).unionByName(out)
+
+
 def inject(dialogues: DataFrame, inserts: DataFrame, seed: int, p: float = 0.15, latest: int = 3) -> DataFrame:
     """Puts an insert's turns into some dialogues (id, turns) at an early place."""
     n = inserts.count()

@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnwise.functions import korean as K
+from turnwise.functions import seams
 from turnwise.functions import text as T
 from turnwise.operators import arrays, corpus, filters, manifest, metrics, segments, speakers, statistics, synthesis, tokens, windows
 from turnwise.plans.views import UTTERANCES_SQL, WORDS_SQL, read, utterances, words
+from turnwise.sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 WINDOW_MS = 20_000
+SHARE_SQL = "(('0x' || substr(md5({}), 1, 8))::BIGINT / 4294967296.0)"
 
 
 def query(sql: str | None = None):
@@ -147,6 +150,85 @@ def reference_regions(spark, d):
     return segments.reference_regions(utterances(spark, d), 4000)
 
 
+@query(
+    f"""WITH {WORDS_SQL}, b AS (SELECT *, CASE WHEN lag(end_ms) OVER w IS NULL OR start_ms - lag(end_ms) OVER w > 4000 THEN 1 ELSE 0 END AS brk FROM utterances WINDOW w AS (PARTITION BY conv_id, speaker ORDER BY start_ms, pos)),
+    i AS (SELECT *, sum(brk) OVER (PARTITION BY conv_id, speaker ORDER BY start_ms, pos) AS island FROM b), g AS (SELECT conv_id, speaker, island, min(start_ms) AS s, max(end_ms) AS e FROM i GROUP BY ALL),
+    k AS (SELECT *, max(e - s) OVER (PARTITION BY conv_id, speaker) AS top, row_number() OVER (PARTITION BY conv_id, speaker ORDER BY e - s DESC, s) AS r FROM g),
+    p AS (SELECT conv_id, speaker, s AS start_ms, least(e, s + 10000) AS end_ms FROM k WHERE e - s >= 3000 OR (top < 3000 AND r = 1))
+    SELECT p.conv_id, p.speaker, p.start_ms, p.end_ms, coalesce(string_agg(word, ' ' ORDER BY w_start_ms, turn, k), '') AS text FROM p LEFT JOIN words w ON w.conv_id = p.conv_id AND w.speaker = p.speaker AND w_end_ms > p.start_ms AND w_start_ms < p.end_ms GROUP BY p.conv_id, p.speaker, p.start_ms, p.end_ms"""
+)
+def region_texts(spark, d):
+    u = utterances(spark, d)
+    return segments.region_texts(segments.reference_regions(u, 4000), words(u), ["conv_id", "speaker"])
+
+
+@query(
+    f"""WITH {UTTERANCES_SQL}, n AS (SELECT conv_id, speaker, start_ms, end_ms, greatest(end_ms - start_ms - 3000, 0) AS n FROM utterances),
+    c AS (SELECT *, CAST(sum(n) OVER (PARTITION BY conv_id, speaker ORDER BY start_ms, end_ms ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto, CAST(sum(n) OVER (PARTITION BY conv_id, speaker) AS BIGINT) AS every FROM n),
+    s AS (SELECT *, CAST(floor({SHARE_SQL.format("'7:' || conv_id || ':' || speaker")} * (every + 1)) AS BIGINT) AS spot FROM c)
+    SELECT conv_id, speaker, CAST(CASE WHEN arg_min(every, start_ms) <= 0 THEN min(start_ms) ELSE arg_min(start_ms + spot - (upto - n), start_ms) END AS BIGINT) AS start FROM s WHERE upto >= spot OR every <= 0 GROUP BY conv_id, speaker"""
+)
+def weighted_starts(spark, d):
+    u = utterances(spark, d).select("conv_id", "speaker", F.col("start_ms").alias("start"), F.col("end_ms").alias("end"))
+    return corpus.weighted_start(u, ["conv_id", "speaker"], 3000, 7)
+
+
+@query(
+    """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS a FROM embeddings), n AS (SELECT vec_id, a, unnest(range(CAST(ceil(len(a) * 2 / 3) AS BIGINT))) AS n FROM e),
+    m AS (SELECT vec_id, n, a[m + 1] AS x, 1.98::DOUBLE * (m / 3.0::DOUBLE - n / 2.0::DOUBLE) AS t FROM (SELECT *, unnest(range(len(a))) AS m FROM n)),
+    y AS (SELECT vec_id, n, sum(CASE WHEN abs(t) >= 6 THEN 0.0 WHEN abs(t) < 1e-12 THEN x ELSE x * sin(pi() * t) / (pi() * t) * pow(cos(pi() * t / 12), 2) END) * 1.98 / 3 AS y FROM m GROUP BY vec_id, n)
+    SELECT vec_id, count(*) AS n, round(sum(y), 6) AS total, round(sum((n + 1) * y), 5) AS weighted, round(sum(y * y), 6) AS power FROM y GROUP BY vec_id"""
+)
+def resampled_signals(spark, d):
+    """Signals taken from 24 kHz to 16 kHz."""
+    r = read(spark, d, "embeddings").select("vec_id", arrays.resample(F.col("embedding").cast("array<double>"), 24_000, 16_000).alias("y"))
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v)
+    return r.select("vec_id", F.size("y").cast("long").alias("n"), F.round(total(F.col("y")), 6).alias("total"), F.round(total(F.transform("y", lambda v, i: (i + 1) * v)), 5).alias("weighted"), F.round(total(F.transform("y", lambda v: v * v)), 6).alias("power"))
+
+
+@query("SELECT doc_id, length(text) + 1 AS n_tokens, CAST(1 + list_sum(list_transform(string_split(text, ''), lambda c: CASE WHEN c = chr(10) THEN 2 WHEN c = '' THEN 0 ELSE 3 + unicode(c) END)) AS BIGINT) AS total FROM documents WHERE text <> ''")
+def line_tokens(spark, d):
+    """Lines as code points with a newline token between them, behind a first token."""
+    encode = seams.line_tokenizer_column(lambda line: [3 + ord(c) for c in line], 2, 1)
+    t = read(spark, d, "documents").filter("text <> ''").select("doc_id", encode(F.col("text")).alias("t"))
+    return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query(
+    """WITH p AS (SELECT page_id, 'audio/' || page_id || '.wav' AS a, 'one/' || page_id || '.json' AS b, 'two/' || page_id || '.json' AS c, round(length(html) / 7.0::DOUBLE, 3) AS d, 'c' || page_id AS e, CASE WHEN page_id % 3 > 0 THEN 'all/' || page_id || '.json' END AS f FROM pages)
+    SELECT page_id, CAST(to_json({audio: a, alignment_speaker01: b, alignment_speaker02: c, duration: d, speakers: 2}) AS VARCHAR) AS basic,
+    CAST(CASE WHEN f IS NULL THEN to_json({audio: a, alignment_speaker01: b, alignment_speaker02: c, duration: d, speakers: 2, conversation_id: e}) ELSE to_json({audio: a, alignment_speaker01: b, alignment_speaker02: c, duration: d, speakers: 2, conversation_id: e, alignment: f}) END AS VARCHAR) AS extended FROM p"""
+)
+def manifest_entries(spark, d):
+    name = lambda folder, end: F.concat(F.lit(f"{folder}/"), F.col("page_id").cast("string"), F.lit(end))
+    p = read(spark, d, "pages").select("page_id", name("audio", ".wav").alias("audio"), name("one", ".json").alias("alignment_speaker01"), name("two", ".json").alias("alignment_speaker02"), (F.length("html") / F.lit(7.0)).alias("duration"), F.lit(None).cast("int").alias("speakers"), F.concat(F.lit("c"), F.col("page_id").cast("string")).alias("conversation_id"), F.when(F.col("page_id") % 3 > 0, name("all", ".json")).otherwise("").alias("alignment"), F.lit("").alias("alignment_extended"))
+    return p.select("page_id", F.to_json(sinks.basic_entry()).alias("basic"), F.to_json(sinks.extended_entry()).alias("extended"))
+
+
+QUESTIONS = {
+    "ability": (["What can you do?", "Can you help me plan?"], {"base": ["I can talk things through with you."], "formal": ["I can assist with plans and questions.", "I am able to discuss most subjects."]}),
+    "maker": (["Who made you?", "Where do you come from?", "Who trained you?"], {"base": ["A group of engineers built me.", "I was built as an open project."]}),
+    "name": (["What is your name?"], {"base": ["Call me what you like."], "casual": ["Just call me Turn."], "formal": ["You may call me Turn."]}),
+}
+_TEXTS = lambda texts: "[" + ", ".join(f"'{t}'" for t in texts) + "]"
+QUESTIONS_SQL = ", ".join(f"({k}, {_TEXTS(q)}, {_TEXTS(a.get('formal', a['base']))})" for k, (q, a) in enumerate(QUESTIONS[c] for c in sorted(QUESTIONS)))
+
+
+@query(
+    f"""WITH q(k, questions, answers) AS (VALUES {QUESTIONS_SQL}), t AS (SELECT conv_id AS id, list({{speaker: role, text: text}} ORDER BY turn) AS turns FROM conversations GROUP BY conv_id),
+    s AS (SELECT *, {SHARE_SQL.format("'5:' || id")} < 0.4 AS chosen, CAST(floor({SHARE_SQL.format("'6:' || id")} * 3) AS INTEGER) AS k, CAST(floor({SHARE_SQL.format("'15:' || id")} * (least(3, len(turns)) + 1)) AS BIGINT) AS spot FROM t),
+    j AS (SELECT id, chosen, spot, turns, [{{speaker: 'user', text: questions[CAST(floor({SHARE_SQL.format("'7:' || id")} * len(questions)) AS BIGINT) + 1]}}, {{speaker: 'assistant', text: answers[CAST(floor({SHARE_SQL.format("'8:' || id")} * len(answers)) AS BIGINT) + 1]}}] AS new FROM s JOIN q USING (k)),
+    r AS (SELECT id, chosen, CASE WHEN chosen THEN list_concat(list_concat(turns[1:spot], new), turns[spot + 1:]) ELSE turns END AS turns FROM j)
+    SELECT id AS conv_id, CAST(len(turns) AS INTEGER) AS n_turns, array_to_string(list_transform(turns, lambda x: x.speaker || ': ' || x.text), chr(10)) AS dialogue FROM r"""
+)
+def identity_questions(spark, d):
+    templates = spark.createDataFrame([(c, q, a) for c, (q, a) in QUESTIONS.items()], "category string, questions array<string>, answers map<string, array<string>>")
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.struct(x["role"].alias("speaker"), x["text"].alias("text")))
+    dialogues = read(spark, d, "conversations").groupBy(F.col("conv_id").alias("id")).agg(turns.alias("turns"))
+    out = synthesis.with_questions(dialogues, templates, 5, 0.4)
+    return out.select(F.col("id").alias("conv_id"), F.size("turns").alias("n_turns"), F.array_join(F.transform("turns", lambda x: F.concat_ws(": ", x["speaker"], x["text"])), "\n").alias("dialogue"))
+
+
 @query(
     f"""WITH {UTTERANCES_SQL}, t AS (SELECT conv_id, start_ms AS t0, end_ms AS t1 FROM utterances WHERE turn = 2)
     SELECT u.conv_id, u.pos, u.start_ms, u.end_ms FROM utterances u JOIN t ON u.conv_id = t.conv_id WHERE u.end_ms <= t0 - 500 OR u.start_ms >= t1 + 500"""
@@ -349,7 +431,6 @@ def role_swap(spark, d):
     return out.select("conv_id", F.col("window").alias("win"), "swapped", "main_words", "user_words", "main_ms", "user_ms")
 
 
-SHARE_SQL = "(('0x' || substr(md5({}), 1, 8))::BIGINT / 4294967296.0)"
 
 
 @query(
@@ -736,11 +817,11 @@ def throughput(spark, d):
     return out.select("user_id", "event_id", F.round("wps", 6).alias("wps"), F.round("avg_wps", 6).alias("avg_wps"), F.round("eta", 4).alias("eta"))
 
 
-@query("SELECT i AS step, round(CASE WHEN i < 100 THEN 0.001 * i / 100 ELSE 0.001 * 0.5 * (1 + cos(pi() * (i - 100) / 900)) END, 12) AS cosine, round(CASE WHEN i < 100 THEN 0.001 * i / 100 ELSE 0.001 * greatest(0.0, (1000 - i) / 900) END, 12) AS linear FROM range(1000) t(i)")
+@query("SELECT event_id, event_id % 1000 AS step, round(CASE WHEN event_id % 1000 < 100 THEN 0.001 * (event_id % 1000) / 100 ELSE 0.001 * 0.5 * (1 + cos(pi() * (event_id % 1000 - 100) / 900)) END, 12) AS cosine, round(CASE WHEN event_id % 1000 < 100 THEN 0.001 * (event_id % 1000) / 100 ELSE 0.001 * greatest(0.0, (1000 - event_id % 1000) / 900) END, 12) AS linear FROM events")
 def schedules(spark, d):
     s = F.col("step").cast("double")
-    r = spark.range(1000).withColumnRenamed("id", "step")
-    return r.select("step", F.round(metrics.warmup_cosine(s, 100, 1000, 0.001), 12).alias("cosine"), F.round(metrics.warmup_linear(s, 100, 1000, 0.001), 12).alias("linear"))
+    r = read(spark, d, "events").select("event_id", (F.col("event_id") % 1000).alias("step"))
+    return r.select("event_id", "step", F.round(metrics.warmup_cosine(s, 100, 1000, 0.001), 12).alias("cosine"), F.round(metrics.warmup_linear(s, 100, 1000, 0.001), 12).alias("linear"))
 
 
 @query("SELECT l_linenumber, round(sum(l_quantity * l_discount) / sum(l_quantity), 6) AS loss FROM lineitem GROUP BY l_linenumber")
@@ -998,10 +1079,10 @@ def training_columns(spark, d):
     return statistics.training_columns(e).select("event_id", *(F.round(c, 6).alias(c) for c in ("real_share", "percent_done", "gb")))
 
 
-@query("SELECT count(*) AS duplicates, (SELECT list(t ORDER BY t) FROM (SELECT substr(text, 1, 20) AS t FROM (SELECT text, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1 ORDER BY n DESC, text LIMIT 5))) AS examples FROM (SELECT text FROM documents GROUP BY text HAVING count(*) > 1)")
+@query("SELECT count(*) AS duplicates, (SELECT list(t ORDER BY t) FROM (SELECT text AS t FROM (SELECT text, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1 ORDER BY n DESC, text LIMIT 5))) AS examples FROM (SELECT text FROM documents GROUP BY text HAVING count(*) > 1)")
 def duplicate_report(spark, d):
     out = statistics.duplicate_report(read(spark, d, "documents"), "text")
-    return out.select("duplicates", F.array_sort(F.transform("examples", lambda t: F.substring(t, 1, 20))).alias("examples"))
+    return out.select("duplicates", F.array_sort("examples").alias("examples"))
 
 
 @query(
@@ -1139,12 +1220,17 @@ def sync_scores(spark, d):
 
 
 @query(
-    """WITH b AS (SELECT CAST(range AS BIGINT) AS byte, range BETWEEN 33 AND 126 OR range BETWEEN 161 AND 172 OR range BETWEEN 174 AND 255 AS own FROM range(256))
-    SELECT byte, CASE WHEN own THEN chr(CAST(byte AS INTEGER)) ELSE chr(CAST(255 + row_number() OVER (PARTITION BY own ORDER BY byte) AS INTEGER)) END AS letter, '<0x' || printf('%02X', byte) || '>' AS piece FROM b"""
+    """WITH o AS (SELECT unnest(list_distinct(regexp_extract_all(hex(encode(text)), '..'))) AS o FROM documents), n AS (SELECT CAST('0x' || o AS BIGINT) AS byte, count(*) AS n_docs FROM o GROUP BY o),
+    b AS (SELECT CAST(range AS BIGINT) AS byte, range BETWEEN 33 AND 126 OR range BETWEEN 161 AND 172 OR range BETWEEN 174 AND 255 AS own FROM range(256)),
+    l AS (SELECT byte, CASE WHEN own THEN chr(CAST(byte AS INTEGER)) ELSE chr(CAST(255 + row_number() OVER (PARTITION BY own ORDER BY byte) AS INTEGER)) END AS letter, '<0x' || printf('%02X', byte) || '>' AS piece FROM b)
+    SELECT byte, n_docs, letter, piece FROM l JOIN n USING (byte)"""
 )
 def byte_letters(spark, d):
-    b = spark.range(256).select(F.col("id").alias("byte"), tokens.byte_letter(F.col("id")).alias("letter"))
-    return b.select("byte", "letter", tokens.letter_byte(F.col("letter")).alias("piece"))
+    """The letters of all bytes that documents hold, with the number of documents of each."""
+    octets = F.array_distinct(F.regexp_extract_all(F.hex(F.encode("text", "UTF-8")), F.lit(".."), F.lit(0)))
+    n = read(spark, d, "documents").select(F.explode(octets).alias("o")).groupBy("o").agg(F.count("*").alias("n_docs"))
+    b = n.select(F.conv("o", 16, 10).cast("long").alias("byte"), "n_docs")
+    return b.select("byte", "n_docs", tokens.byte_letter(F.col("byte")).alias("letter"), tokens.letter_byte(tokens.byte_letter(F.col("byte"))).alias("piece"))
 
 
 WORD_TABLE_SQL = "v AS (SELECT role, unnest(string_split(text, ' ')) AS w FROM conversations), n AS (SELECT w AS token, bool_or(role = 'assistant') AS merged FROM v GROUP BY w)"
@@ -1177,7 +1263,7 @@ def tokenizer_comparison(spark, d):
 @query(
     """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS a FROM embeddings),
     s AS (SELECT vec_id, a, list_max(list_transform(a, lambda x: abs(x))) AS top, sqrt(list_sum(list_transform(a, lambda x: x * x)) / len(a)) AS rms, list_sum(list_transform(a[1:32], lambda x: x * x)) / 32 AS p, list_sum(list_transform(a[33:], lambda x: x * x)) / (len(a) - 32) AS n FROM e)
-    SELECT vec_id, round(greatest(-1.0, least(1.0, a[1] * (0.95 / top) * (pow(10, -23.0 / 20) / (rms * 0.95 / top)))), 6) AS first, round(10 * log10(p / n), 4) AS snr,
+    SELECT vec_id, round(list_sum(list_transform(range(len(a)), lambda i: (i + 1) * greatest(-1.0, least(1.0, a[i + 1] * (0.95 / top) * (pow(10, -23.0 / 20) / (rms * 0.95 / top)))))), 5) AS levelled, round(10 * log10(p / n), 4) AS snr,
     round(list_sum(list_transform(range(len(a)), lambda i: CASE WHEN (i >= 4 AND i < 12) OR (i >= 40 AND i < 48) THEN a[i + 1] ELSE 0 END)), 6) AS kept,
     round(list_sum(list_transform(range(32), lambda i: (a[i + 1] + a[i + 33]) / 2)), 6) AS mono_sum,
     CAST(CASE WHEN vec_id % 20 > 8 THEN 1 ELSE 0 END + CASE WHEN len(a) - vec_id % 20 - 30 > 8 THEN 1 ELSE 0 END AS INTEGER) AS free FROM s"""
@@ -1190,7 +1276,7 @@ def prepared_voices(spark, d):
     free = arrays.free_regions(F.size(a), start, start + 30, 8)
     return read(spark, d, "embeddings").select(
         "vec_id",
-        F.round(arrays.loudness_normalised(a)[0], 6).alias("first"),
+        F.round(total(F.transform(arrays.loudness_normalised(a), lambda x, i: (i + 1) * x)), 5).alias("levelled"),
         F.round(arrays.signal_to_noise(F.slice(a, 1, 32), F.slice(a, 33, 1000)), 4).alias("snr"),
         F.round(total(arrays.masked(a, spans, 4.0)), 6).alias("kept"),
         F.round(total(arrays.mono(F.slice(a, 1, 32), F.slice(a, 33, 32))), 6).alias("mono_sum"),
@@ -1198,10 +1284,10 @@ def prepared_voices(spark, d):
     )
 
 
-@query("SELECT vec_id, array_to_string(list_transform(embedding[1:3], lambda x: CAST(trunc(x * 1000) AS INTEGER)), ',') || ';' || array_to_string(list_transform(embedding[4:6], lambda x: CAST(trunc(x * 1000) AS INTEGER)), ',') || ';-1,-1,-1;-1,-1,-1' AS books FROM embeddings")
+@query("WITH c AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(trunc(x * 1000) AS INTEGER)) AS c FROM embeddings) SELECT vec_id, array_to_string(c[1:16], ',') || ';' || array_to_string(c[17:32], ',') || ';' || array_to_string(c[33:48], ',') || ';' || array_to_string(c[49:64], ',') || repeat(';' || array_to_string(list_transform(c[1:16], lambda x: -1), ','), 2) AS books FROM c")
 def padded_codebooks(spark, d):
     codes = F.transform("embedding", lambda x: (x * F.lit(1000)).cast("int"))
-    books = arrays.pad_codebooks(F.array(F.slice(codes, 1, 3), F.slice(codes, 4, 3)), 4, -1)
+    books = arrays.pad_codebooks(F.array(*(F.slice(codes, 16 * k + 1, 16) for k in range(4))), 6, -1)
     return read(spark, d, "embeddings").select("vec_id", F.array_join(F.transform(books, lambda b: F.array_join(b.cast("array<string>"), ",")), ";").alias("books"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -12,6 +12,22 @@ def write_manifest(rows: DataFrame, path: str, append: bool = False, by_machine:
     (out.partitionBy("machine_id") if by_machine else out).json(path)
 
 
+def basic_entry() -> Column:
+    """The basic form of a manifest entry: two alignments, duration in milliseconds' precision, speakers."""
+    return F.struct("audio", "alignment_speaker01", "alignment_speaker02", F.round("duration", 3).alias("duration"), F.coalesce("speakers", F.lit(2)).alias("speakers"))
+
+
+def extended_entry() -> Column:
+    """The basic form with the conversation and, where there are any, the combined and the extended alignment."""
+    known = lambda c: F.nullif(F.col(c), F.lit("")).alias(c)
+    return F.struct("audio", "alignment_speaker01", "alignment_speaker02", F.round("duration", 3).alias("duration"), F.coalesce("speakers", F.lit(2)).alias("speakers"), F.coalesce("conversation_id", F.lit("")).alias("conversation_id"), known("alignment"), known("alignment_extended"))
+
+
+def write_entries(entries: DataFrame, path: str, extended: bool = False, append: bool = False) -> None:
+    """A manifest of entries in one of the two forms, one JSON object a line."""
+    write_manifest(entries.select((extended_entry() if extended else basic_entry()).alias("e")).select("e.*"), path, append)
+
+
 def write_documents(rows: DataFrame, path: str) -> DataFrame:
     """One JSON document a row; returns ids and sizes in bytes."""
     doc = rows.select("conv_id", F.to_json(F.struct(*(c for c in rows.columns if c != "conv_id"))).alias("document"))
