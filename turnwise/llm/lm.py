@@ -81,7 +81,7 @@ SHARD_TOKENS = 1_000_000
 #: Shards of a small corpus, a power of two.
 LEAST_SHARDS = 16
 #: Tokens and documents gathered before they are packed into blobs.
-FLUSH_TOKENS, FLUSH_DOCS = 2_500_000, 500_000
+FLUSH_TOKENS, FLUSH_DOCS = 2_000_000, 500_000
 #: Most words with a short code in blobs (8 bytes each are sent to the workers); others are spelt out.
 VOCABULARY = 400_000
 #: Documents whose partial sums a shard task keeps before it returns them.
@@ -482,7 +482,10 @@ def _blobs(par: Parameters, often: np.ndarray, modulus: int, remainder: int):
         flags = np.packbits(~held_out_ids(ids, modulus, remainder)).tobytes()
         shard = par.shard(token, v, u, doc + base)
         order = np.argsort(shard.astype(np.uint16) if par.shards <= 1 << 16 else shard, kind="stable")
-        token, v, u, doc = (x[order] for x in (token, v, u, doc))
+        token = token[order]  # one by one, so that the arrays before go
+        v = v[order]
+        u = u[order]
+        doc = doc[order]
         codes = [vocabulary.code(x, short) for x, short in ((token, False), (v, True), (u, True))]
         cut = np.append(0, np.cumsum(np.bincount(shard, minlength=par.shards)))
         rows = [{"shard": base % par.shards, "base": base, "docs": len(ids), "ids": ids.tobytes(), "sizes": sizes.astype("<u4").tobytes()}]
@@ -511,7 +514,9 @@ def _blobs(par: Parameters, often: np.ndarray, modulus: int, remainder: int):
             shift = np.cumsum([0, *(len(x[0]) for x in held)])
             doc = np.concatenate([x[1][3] + s for x, s in zip(held, shift[:-1], strict=True)])
             ids = np.concatenate([x[0] for x in held])
-            return pack(vocabulary, base, ids, np.bincount(doc, minlength=len(ids)), *(np.concatenate([x[1][k] for x in held]) for k in range(3)), doc)
+            columns = [np.concatenate([x[1][k] for x in held]) for k in range(3)]
+            held.clear()
+            return pack(vocabulary, base, ids, np.bincount(doc, minlength=len(ids)), *columns, doc)
 
         for ids, tokens in _chunks(batches, modulus, remainder):
             held.append((ids, tokens))

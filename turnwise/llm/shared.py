@@ -66,6 +66,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+#: Bytes of files that a partition of a range sort takes.
+RANGE_BYTES = 128 << 20
+
+
+def range_parts(df: DataFrame) -> int:
+    """Partitions for a sort of ``df`` by ranges: shuffle partitions, or more for more bytes of files.
+
+    Bytes are those that the optimizer knows from the files' sizes; where it knows
+    none (rows of the driver, for one) the setting stands.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-size // RANGE_BYTES)) if size < 1 << 60 else least
+
+
 def _at(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("/") else uri.replace("file:", "file://", 1))
 

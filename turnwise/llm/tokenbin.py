@@ -45,7 +45,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, mode: str, end_id:
     spark = docs.sparkSession
     shared.make_dir(path)
     ordered = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text")
-    ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = ordered.repartitionByRange(shared.range_parts(docs), "doc_id").sortWithinPartitions("doc_id", "text")
     parts = ordered.mapInArrow(_writer(path, tokenizer, mode, end_id, id_width, special), "part int, stem string, n_docs long, n_tokens long")
     rows = sorted(shared.save(parts, "tokenparts").collect())  # a row a part
     base, out = 0, []
