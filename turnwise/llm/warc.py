@@ -124,7 +124,7 @@ def typed(pages: DataFrame) -> DataFrame:
     if many.count() <= BROADCAST_ROWS:
         joined = rows.join(F.broadcast(many), "_d", "left")
     else:  # pages that can't repeat stay where they are; few payloads repeat often, so these are broadcast
-        limit = max(OFTEN, many.agg(F.sum("_n")).first()[0] // BROADCAST_ROWS)  # fewer than BROADCAST_ROWS payloads have more rows
+        limit = max(OFTEN, many.agg(F.sum("_n")).first()[0] // max(BROADCAST_ROWS, 1))  # at most BROADCAST_ROWS payloads have more rows
         often = many.filter(F.col("_n") > limit)
         rest = rows.filter("_d IS NOT NULL").join(F.broadcast(often), "_d", "left")
         known = rest.filter("_first IS NOT NULL").unionByName(rows.filter("_d IS NULL").withColumn("_first", F.lit(None).cast("long")).withColumn("_n", F.lit(None).cast("long")))
