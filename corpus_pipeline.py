@@ -90,7 +90,9 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
         docs = shared.save(stage(spark, docs, sf_dir), f"stage-{name}")
+        shared.drop(*before)  # no later plan reads it
+        before = [docs]
     return docs
