@@ -27,15 +27,19 @@ import numpy as np
 from turnwise.llm import words as W
 
 #: Entries kept by a worker before its cache is started anew.
-CACHE = 600_000
+CACHE = 1_500_000
 #: Bytes of units and ids kept by a worker.
 CACHE_BYTES = 48_000_000
 #: Bytes of the longest unit that is kept.
 UNIT = 1000
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
 _PROBE = ["Ab  cd\n\n e's it'll.\t9 x \n", " \n lead", "été ñ <|endoftext|> z  ", "", "a\r\n\r\nb 12,5%"]
-#: What the UTF-8 of a character in _OTHER_SPACE starts with.
-_ODD_BYTES = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2[\x80\x81]|\xe3\x80\x80|\xef\xbb\xbf")
+#: Which two bytes the UTF-8 of a character in _OTHER_SPACE may start with; the first four are one byte long.
+_ODD_PAIRS = np.zeros((256, 256), dtype=bool)
+_ODD_PAIRS[0x1C:0x20] = True
+for _pair in (0xC285, 0xC2A0, 0xE19A, 0xE1A0, 0xE280, 0xE281, 0xE380, 0xEFBB):
+    _ODD_PAIRS[_pair >> 8, _pair & 255] = True
+_ODD_FIRST = _ODD_PAIRS.any(axis=1)
 _made: dict[tuple, "Encoder"] = {}
 
 
@@ -133,7 +137,7 @@ class Encoder:
                 at = w.first[1:][tail]
                 start, end, row = np.insert(start, at, last[tail]), np.insert(end, at, offsets[1:][tail]), np.insert(row, at, tail)
             h = W.span_hash(data, start, end, False)
-        odd = self._odd(raw, offsets) | set(row[end - start > UNIT].tolist())
+        odd = self._odd(data, raw, offsets) | set(row[end - start > UNIT].tolist())
         if odd:  # their units aren't learnt
             plain = np.ones(rows, dtype=bool)
             plain[list(odd)] = False
@@ -166,8 +170,10 @@ class Encoder:
             ids = np.concatenate([*parts, ids[at:]])
         return ids, counts
 
-    def _odd(self, raw: bytes, offsets: np.ndarray) -> set[int]:
+    def _odd(self, data: np.ndarray, raw: bytes, offsets: np.ndarray) -> set[int]:
         """Texts with white space that isn't ASCII, or with the string of an added token."""
-        row = lambda m: int(np.searchsorted(offsets, m.start(), side="right")) - 1
-        rows = {r for r in {row(m) for m in _ODD_BYTES.finditer(raw)} if _OTHER_SPACE.search(raw[offsets[r] : offsets[r + 1]].decode())}
-        return rows | ({row(m) for m in self.added.finditer(raw)} if self.added else set())
+        at = np.flatnonzero(_ODD_FIRST[data])
+        at = at[_ODD_PAIRS[data[at], data[np.minimum(at + 1, len(data) - 1)]]]
+        maybe = np.unique(np.searchsorted(offsets, at, side="right") - 1).tolist()
+        rows = {r for r in maybe if _OTHER_SPACE.search(raw[offsets[r] : offsets[r + 1]].decode())}
+        return rows | ({int(np.searchsorted(offsets, m.start(), side="right")) - 1 for m in self.added.finditer(raw)} if self.added else set())
