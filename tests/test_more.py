@@ -138,7 +138,7 @@ def test_corrupt_shard(spark, tmp_path):
     line = json.dumps({"id": "x", "duration": 1.0}) + "\n"
     (tmp_path / "cuts.000001.jsonl.gz").write_bytes(gzip.compress(line.encode()))
     (tmp_path / "cuts.000002.jsonl.gz").write_bytes(b"no gzip at all")
-    assert [r.shard for r in cuts.read_cuts(spark, str(tmp_path), skip_corrupt=True).collect()] == [1]
+    assert [r.shard for r in cuts.read_cuts(spark, str(tmp_path), whole=True).collect()] == [1]
     with pytest.raises(Exception, match="(?i)gzip|FAILED_READ_FILE"):
         cuts.read_cuts(spark, str(tmp_path)).collect()
 
