@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 
 from turnwise.functions import text as T
-from turnwise.operators import metrics, tokens
+from turnwise.operators import manifest, metrics, tokens
 from turnwise.plans import queries as Q
 from turnwise.plans.views import utterances, words
 
@@ -115,6 +115,25 @@ def test_next_fit_batches(spark, sf):
     assert {r.doc_id: r.batch for r in Q.QUERIES["next_fit_batches"](spark, sf).collect()} == want
 
 
+@pytest.mark.parametrize("most, capacity", [(1, 50), (3, 20), (5, 1000), (7, 30)])
+def test_next_fit_of_any_groups(spark, most, capacity):
+    """One group with most of the rows, single rows, a null group, sizes above the capacity, null sizes."""
+    rng = random.Random(most)
+    rows = [(rng.choice(["hot"] * 8 + ["a", "b", None]), k, rng.choice([None, 0.0, 1.0, 4.0, 9.0, 60.0])) for k in range(400)] + [("zz", 400, 1.0)]
+    want, by = {}, {}
+    for g, k, n in rows:
+        by.setdefault(g, []).append((k, n or 0.0))
+    for items in by.values():
+        batch, load, size = 0, 0.0, 0
+        for k, n in items:
+            if size and (load + n > capacity or size >= most):
+                batch, load, size = batch + 1, 0.0, 0
+            want[k], load, size = batch, load + n, size + 1
+    df = spark.createDataFrame(rows, "g string, k long, n double").repartition(3)
+    assert {r.k: r.batch for r in manifest.next_fit(df, "g", "n", ["k"], capacity, most).collect()} == want
+    assert manifest.next_fit(df.limit(0), "g", "n", ["k"], capacity, most).count() == 0
+
+
 def test_queries_tell_rows_apart(spark, sf):
     n = utterances(spark, sf).filter("speaker = 'assistant'").count()
     assert 0 < Q.QUERIES["boundary_matches"](spark, sf).count() < n

@@ -235,7 +235,7 @@ def greedy_match(detected: DataFrame, truth: DataFrame, tolerance_ms: int) -> Da
     w = Window.partitionBy("conv_id").orderBy("centre", "found", "start_ms", "pos")
     parts = islands(both.withColumn("_far", F.col("centre") - F.lag("centre").over(w) > tolerance_ms), ["conv_id"], ["centre", "found", "start_ms", "pos"], F.col("_far"), "part")
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["start_ms", "pos"])
         asked, known = rows[rows.found], rows[~rows.found]
         at: dict[float, list[int]] = {}  # places of equal centres, the first one last
