@@ -178,32 +178,28 @@ def sinc_filters(old: int, new: int, zeros: int = 6, rolloff: float = 0.99) -> t
     return np.where(abs(t) < zeros, np.sinc(t) * np.cos(np.pi * t / (2 * zeros)) ** 2, 0.0) * (band / old), reach
 
 
+def resampled(x: np.ndarray, rate: int, to: int) -> np.ndarray:
+    """A signal at another rate; every output is a dot product over the few inputs around it."""
+    shared = math.gcd(rate, to)
+    old, new = rate // shared, to // shared
+    if old == new or not len(x):
+        return x
+    filters, reach = sinc_filters(old, new)
+    taps, blocks = filters.shape[1], -(-len(x) // old)
+    padded = np.zeros(blocks * old + taps)
+    padded[reach : reach + len(x)] = x
+    views = np.lib.stride_tricks.sliding_window_view(padded, taps)[::old][:blocks]
+    return (views @ filters.T).ravel()[: -(-len(x) * new // old)]
+
+
 def resample(samples: Column, rate: int, to: int) -> Column:
     """Samples at another rate by a polyphase filter; ceil(n * to / rate) of them.
 
-    Every output is a dot product over the few inputs around it, an Arrow batch at a
-    time. Null stays null, empty stays empty.
+    Runs on Arrow batches. Null stays null, empty stays empty.
     """
-    shared = math.gcd(rate, to)
-    old, new = rate // shared, to // shared
 
     @F.pandas_udf("array<double>")
     def run(column: pd.Series) -> pd.Series:
-        filters, reach = sinc_filters(old, new)
-        taps = filters.shape[1]
-
-        def one(a):
-            if a is None:
-                return None
-            x = np.asarray(a, dtype=float)
-            if old == new or not len(x):
-                return x
-            blocks = -(-len(x) // old)
-            padded = np.zeros(blocks * old + taps)
-            padded[reach : reach + len(x)] = x
-            views = np.lib.stride_tricks.sliding_window_view(padded, taps)[:: old][:blocks]
-            return (views @ filters.T).ravel()[: -(-len(x) * new // old)]
-
-        return column.map(one)
+        return column.map(lambda a: None if a is None else resampled(np.asarray(a, dtype=float), rate, to))
 
     return run(samples)

@@ -212,17 +212,21 @@ def sentence_bleu(pairs: DataFrame, order: int = 4) -> DataFrame:
 
 
 def corpus_bleu(pairs: DataFrame, order: int = 4) -> DataFrame:
-    """Corpus BLEU 1..order of (id, ref words, hyp words), with brevity penalty."""
-    grams = None
-    for side in ("ref", "hyp"):
-        for n in range(1, order + 1):
-            part = pairs.select("id", F.lit(n).alias("n"), F.lit(side).alias("side"), F.explode(_ngrams(side, n)).alias("gram"))
-            grams = part if grams is None else grams.unionAll(part)
-    each = grams.groupBy("id", "n", "gram").agg(F.count_if(F.col("side") == "ref").alias("r"), F.count_if(F.col("side") == "hyp").alias("h"))
-    by = each.groupBy("n").agg(F.sum(F.least("r", "h")).alias("hit"), F.sum("h").alias("all"))
-    sizes = pairs.agg(F.sum(F.size("ref")).alias("ref_len"), F.sum(F.size("hyp")).alias("hyp_len"))
-    logs = by.agg(*(F.sum(F.when(F.col("n") == n, F.log(F.col("hit") / F.col("all")))).alias(f"p{n}") for n in range(1, order + 1)))
-    both = logs.join(F.broadcast(sizes))  # one row each
-    bp = F.when(F.col("hyp_len") >= F.col("ref_len"), 1.0).otherwise(F.exp(1 - F.col("ref_len") / F.col("hyp_len")))
+    """Corpus BLEU 1..order of (id, ref words, hyp words), with brevity penalty.
+
+    Pairs are dealt out by ``id``, so the n-grams of a pair, all of one explode, are
+    counted where they are made; only sums by n are shuffled. Without any word on
+    both sides all values are null.
+    """
+    of = lambda side, n: F.transform(_ngrams(side, n), lambda g: F.struct(F.lit(n).alias("n"), F.lit(side == "hyp").alias("hyp"), g.alias("gram")))
+    every = F.concat(*(of(side, n) for side in ("ref", "hyp") for n in range(1, order + 1)))
+    grams = pairs.repartition("id").select("id", F.explode(every).alias("g")).select("id", "g.*")
+    each = grams.groupBy("id", "n", "gram").agg(F.count_if(~F.col("hyp")).alias("r"), F.count_if("hyp").alias("h"))
+    by = each.groupBy("n").agg(F.sum(F.least("r", "h")).alias("hit"), F.sum("h").alias("all"), F.sum("r").alias("said"))
+    at = lambda n, c: F.sum(F.when(F.col("n") == n, c))
+    logs = [at(n, F.log(F.col("hit") / F.nullif(F.col("all"), F.lit(0)))).alias(f"p{n}") for n in range(1, order + 1)]
+    both = by.agg(*logs, at(1, F.col("said")).alias("ref_len"), at(1, F.col("all")).alias("hyp_len"))
+    ratio = F.col("hyp_len") / F.nullif(F.col("ref_len"), F.lit(0))
+    bp = F.when(F.col("hyp_len") >= F.col("ref_len"), 1.0).otherwise(F.exp(1 - F.col("ref_len") / F.nullif(F.col("hyp_len"), F.lit(0))))
     means = [F.round(bp * F.exp(sum((F.col(f"p{k}") for k in range(1, n + 1)), F.lit(0.0)) / n), 6).alias(f"bleu{n}") for n in range(1, order + 1)]
-    return both.select(*means, F.round(bp, 6).alias("brevity"), F.round(F.col("hyp_len") / F.col("ref_len"), 6).alias("length_ratio"))
+    return both.select(*means, F.round(bp, 6).alias("brevity"), F.round(ratio, 6).alias("length_ratio"))

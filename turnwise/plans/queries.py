@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from turnwise.functions import korean as K
 from turnwise.functions import seams
 from turnwise.functions import text as T
-from turnwise.operators import arrays, corpus, filters, manifest, metrics, segments, speakers, statistics, synthesis, tokens, windows
+from turnwise.operators import arrays, audio, corpus, filters, manifest, metrics, segments, speakers, statistics, synthesis, tokens, windows
 from turnwise.plans.views import UTTERANCES_SQL, WORDS_SQL, read, utterances, words
 from turnwise.sources import sinks
 
@@ -885,6 +885,43 @@ def neighbour_cosine(spark, d):
     return e.join(b, "vec_id").select("vec_id", F.round(arrays.cosine(F.col("embedding"), F.col("other")), 5).alias("cosine"))
 
 
+@query(
+    """WITH RECURSIVE p AS (SELECT a.vec_id, a.embedding AS x, b.embedding AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1), t AS (SELECT *, unnest(range(64)) AS t FROM p),
+    k AS (SELECT vec_id, list(CASE WHEN abs(t // 8 - t % 8) <= 2 THEN sqrt(list_sum(list_transform(range(2, 9), lambda i: pow(CAST(x[t // 8 * 8 + i] AS DOUBLE) - y[t % 8 * 8 + i], 2)))) END ORDER BY t) AS c FROM t GROUP BY vec_id),
+    d AS (SELECT vec_id, c, 1 AS t, [2 * c[1]] AS d FROM k UNION ALL SELECT vec_id, c, t + 1, list_append(d, least(CASE WHEN t >= 8 THEN d[t - 7] + c[t + 1] END, CASE WHEN t % 8 > 0 THEN d[t] + c[t + 1] END, CASE WHEN t >= 8 AND t % 8 > 0 THEN d[t - 8] + 2 * c[t + 1] END)) FROM d WHERE t < 64)
+    SELECT vec_id, round(10 * sqrt(2) / ln(10) * d[64] / 16, 5) AS distortion FROM d WHERE t = 64"""
+)
+def cepstral_distances(spark, d):
+    """Signals of 8 frames of 8 coefficients against the next one, warped by up to 2 frames."""
+    frames = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.slice(F.col("embedding").cast("array<double>"), k * 8 + 1, F.lit(8)))
+    e = read(spark, d, "embeddings").select("vec_id", frames.alias("x"))
+    b = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("y"))
+    return e.join(b, "vec_id").select("vec_id", F.round(audio.cepstral_distance(F.col("x"), F.col("y"), 2), 5).alias("distortion"))
+
+
+@query(
+    """WITH s AS (SELECT vec_id // 64 AS signal, vec_id % 64 * 64 + i - 1 AS t, CAST(embedding[i] AS DOUBLE) AS x FROM (SELECT *, unnest(range(1, 65)) AS i FROM embeddings)),
+    v AS (SELECT *, CASE WHEN abs(x) >= 0.1 THEN x ELSE 0.0 END AS y, (count(*) OVER (PARTITION BY signal) - 256) // 128 AS top FROM s),
+    f0 AS (SELECT *, unnest([t // 128 - 1, t // 128]) AS f FROM v), w0 AS (SELECT signal, f, t - 128 * f AS t, 0.5 - 0.5 * cos(2 * pi() * (t - 128 * f + 1) / 257) AS w, x, y FROM f0 WHERE f BETWEEN 0 AND top),
+    e AS (SELECT signal, f, sum(pow(w * x, 2)) AS e FROM w0 GROUP BY ALL), kept AS (SELECT signal, f, row_number() OVER (PARTITION BY signal ORDER BY f) - 1 AS k FROM (SELECT *, max(e) OVER (PARTITION BY signal) AS most FROM e) WHERE e > most * 0.0001),
+    o AS (SELECT signal, 128 * k + t AS t, sum(w * x) AS x, sum(w * y) AS y FROM w0 JOIN kept USING (signal, f) GROUP BY ALL),
+    n AS (SELECT *, max(t) OVER (PARTITION BY signal) // 128 - 1 AS top FROM o), f1 AS (SELECT *, unnest([t // 128 - 1, t // 128]) AS f FROM n),
+    w1 AS (SELECT signal, f, t - 128 * f AS t, (0.5 - 0.5 * cos(2 * pi() * (t - 128 * f + 1) / 257)) * x AS x, (0.5 - 0.5 * cos(2 * pi() * (t - 128 * f + 1) / 257)) * y AS y FROM f1 WHERE f BETWEEN 0 AND top),
+    bands AS (SELECT j, unnest(range(CAST(round(150 * pow(2, (2 * j - 1) / 6.0) * 512 / 10000) AS BIGINT), CAST(round(150 * pow(2, (2 * j + 1) / 6.0) * 512 / 10000) AS BIGINT))) AS b FROM (SELECT unnest(range(15)) AS j)),
+    z AS (SELECT signal, f, j, b, sum(x * cos(pi() * b * t / 256)) AS xr, sum(x * sin(pi() * b * t / 256)) AS xi, sum(y * cos(pi() * b * t / 256)) AS yr, sum(y * sin(pi() * b * t / 256)) AS yi FROM w1, bands GROUP BY ALL),
+    p AS (SELECT signal, f, j, sqrt(sum(xr * xr + xi * xi)) AS x, sqrt(sum(yr * yr + yi * yi)) AS y, max(f) OVER (PARTITION BY signal) AS top FROM z GROUP BY signal, f, j),
+    m AS (SELECT signal, j, x, y, top, unnest(range(greatest(f - 29, 0), f + 1)) AS m FROM p), q AS (SELECT *, y * sqrt(sum(x * x) OVER g / sum(y * y) OVER g) AS c FROM m WHERE m <= top - 29 WINDOW g AS (PARTITION BY signal, m, j)),
+    r AS (SELECT signal, m, j, corr(x, least(c, x * (1 + pow(10, 0.75)))) AS r FROM q GROUP BY ALL), a AS (SELECT signal, avg(r) AS r FROM r GROUP BY signal)
+    SELECT g.signal, round(r, 5) AS score FROM (SELECT DISTINCT signal FROM s) g LEFT JOIN a ON g.signal = a.signal"""
+)
+def signal_intelligibility(spark, d):
+    """Runs of 64 vectors as signals of 10 kHz, against themselves without their quiet samples."""
+    rows = F.array_sort(F.collect_list(F.struct("vec_id", F.col("embedding").cast("array<double>").alias("x"))))
+    s = read(spark, d, "embeddings").groupBy(F.expr("vec_id div 64").alias("signal")).agg(F.flatten(F.transform(rows, lambda r: r["x"])).alias("x"))
+    y = F.transform("x", lambda v: F.when(F.abs(v) >= 0.1, v).otherwise(0.0))
+    return s.select("signal", F.round(audio.intelligibility(F.col("x"), y, 10_000), 5).alias("score"))
+
+
 @query(
     """SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)) / len(embedding)), 5) AS rms, round(len(list_filter(embedding, lambda x: abs(x) >= 0.2)) / len(embedding), 6) AS clipped, embedding[1:3] AS first FROM embeddings"""
 )
