@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnwise.llm import chat, decontam, licenses, lm, ngram_join, packing, quality, shared, tokenbin, toxicity, warc
+from turnwise.llm import words as W
 from turnwise.llm.components import components
 from turnwise.llm.queries import vocabulary
 
@@ -480,9 +481,42 @@ def test_license_versions_and_whole_texts():
     line = "This work is licensed under the GNU {}Public License, version {}"
     assert names("Licensed under CC BY-SA 4.0") == ["CC-BY-SA-4.0-short"] and names("Licensed under CC BY 4.0") == ["CC-BY-4.0-short"]
     assert names(line.format("General ", 2)) == ["GPL-2.0"] and names(line.format("Lesser General ", 3)) == ["LGPL-3.0"]
+    for text, name in {
+        "licensed under the GNU General Public License, version 2": "GPL-2.0",
+        "Released under the terms of the GNU General Public License version 2.": "GPL-2.0",
+        "This code is licensed under the GNU General Public License v2.0 only": "GPL-2.0-short",
+        "distributed under the GNU Affero General Public License, version 3": "AGPL-3.0",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": "CC-BY-SA-4.0",
+        "Text is available under Creative Commons Attribution 3.0 Unported": "CC-BY-3.0-long",
+        "licensed under the Apache License 2.0": "Apache-2.0-short",
+        "Licensed under the MIT license": "MIT",
+    }.items():
+        assert names("a b c " + text + " d e f") == [name]
     assert names(line.format("General ", 4)) == [] and names("Licensed under CC BY-XX 4.0") == []
 
 
+def test_license_scan_against_every_window():
+    """The scan finds a template where, and only where, some window of the text aligns with it."""
+    rng = random.Random(11)
+    short = {n: t for n, t in licenses.TEMPLATES.items() if len(t.split()) < 60}
+    made = {f"made{k}": " ".join(rng.choices([f"v{x}" for x in range(12)], k=rng.randint(6, 40))) for k in range(12)}
+    for name, template in [*rng.sample(sorted(short.items()), 12), *made.items()]:
+        scanner = licenses.Scanner({name: template}, 0.8, licenses.PHRASES)
+        said, texts = template.split(), []
+        for _ in range(40):
+            words = [w for w in said if rng.random() > 0.12]
+            for _ in range(rng.randint(0, len(said) // 5)):
+                words.insert(rng.randint(0, len(words)), rng.choice(["xx", "yy", rng.choice(said)]))
+            around = [rng.choices(["zz", "the", *said[:2]], k=rng.randint(0, 30)) for _ in range(2)]
+            texts.append(" ".join(around[0] + words + around[1]))
+        data, offsets = toxicity._column(texts)
+        found = {x[0] for x in scanner.scan(data, offsets)}
+        w = W.Words(data, offsets, letters=True)
+        starts = np.isin(w.hash, scanner.words[0])  # a window begins with a word of the template
+        every = {r for r in range(len(texts)) if any(starts[k] and scanner._best(w.hash[k : w.first[r + 1]].tolist(), 0) for k in range(int(w.first[r]), int(w.first[r + 1])))}
+        assert found == every, (name, [texts[r] for r in found ^ every])
+
+
 def test_shards_of_the_benchmark_do_not_matter(spark, monkeypatch):
     rng = random.Random(5)
     vocab = [f"w{k}" for k in range(80)]

@@ -5,6 +5,9 @@ places worth aligning: a numpy pass marks words of a template that are rare
 among all templates, and a window of the text around them is aligned only if the
 distinct words it shares with the template could reach the coverage asked for.
 
+Every window of the template's length over the coverage that begins with a word of
+the template is a place, unless one of these bounds rules it out.
+
 Alignment: words occurring once in the window and once in the template are
 anchors; the longest increasing subsequence of their positions is kept, and the
 gaps between kept anchors are aligned recursively; where a gap has no anchor,
@@ -14,6 +17,8 @@ words is kept (ties: greater coverage, then the name).
 
 A template may have a distinguishing phrase (a name with its version); it must
 stand in the matched span word for word, so versions aren't taken for each other.
+Notices of a line are the words that every form of them has: what may stand before
+("This work is") or behind ("International License") is no part of the match.
 
 Defined cases: null, empty and wordless texts have no match; repeated rows are
 scanned each; an empty table gives no rows; other columns are ignored.
@@ -45,9 +50,9 @@ TEMPLATES: dict[str, str] = {
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
     ),
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
-    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
+    "CC-BY-SA-4.0": "Licensed under Creative Commons Attribution-ShareAlike 4.0",
+    "CC-BY-4.0": "Licensed under Creative Commons Attribution 4.0",
+    "GPL-3.0": "Licensed under the GNU General Public License, version 3",
     "GPL-3.0-header": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
         "the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
@@ -118,17 +123,19 @@ for _v in ("1.0", "2.0"):
     _add(f"EPL-{_v}-line", f"Licensed under the Eclipse Public License, version {_v}", f"Eclipse Public License, version {_v}")
 _add("CC0-1.0", "Licensed under CC0 1.0", "CC0 1.0")
 for _kind, _long in (("BY", ""), ("BY-SA", "-ShareAlike"), ("BY-NC", "-NonCommercial"), ("BY-ND", "-NoDerivatives"), ("BY-NC-SA", "-NonCommercial-ShareAlike"), ("BY-NC-ND", "-NonCommercial-NoDerivatives")):
-    for _v, _port in (("2.0", "Generic"), ("2.5", "Generic"), ("3.0", "Unported"), ("4.0", "International")):
+    for _v in ("2.0", "2.5", "3.0", "4.0"):
         _name = f"CC-{_kind}-{_v}"
         if _name != "CC-BY-NC-4.0":
             _add(_name + "-short", f"Licensed under CC {_kind} {_v}", f"CC {_kind} {_v}")
         if _name not in ("CC-BY-4.0", "CC-BY-SA-4.0"):
-            _add(_name + "-long", f"This work is licensed under a Creative Commons Attribution{_long} {_v} {_port} License", f"Commons Attribution{_long} {_v}")
+            _add(_name + "-long", f"Licensed under Creative Commons Attribution{_long} {_v}", f"Commons Attribution{_long} {_v}")
+_add("Apache-2.0-short", "Licensed under the Apache License 2.0", "Apache License 2.0")
 for _short, _full, _versions in (("GPL", "General", "1 2 3"), ("LGPL", "Library General", "2"), ("LGPL", "Lesser General", "2.1 3"), ("AGPL", "Affero General", "3")):
     for _v in _versions.split():
         _name = f"{_short}-{_v if '.' in _v else _v + '.0'}"
+        _add(_name + "-short", f"Licensed under the GNU {_full} Public License v{_v}", f"GNU {_full} Public License v{_v}")
         if _name != "GPL-3.0":
-            _add(_name, f"This work is licensed under the GNU {_full} Public License, version {_v}", f"GNU {_full} Public License, version {_v}")
+            _add(_name, f"Licensed under the GNU {_full} Public License, version {_v}", f"GNU {_full} Public License, version {_v}")
             _by = f"GNU {_full} Public License as published by the Free Software Foundation, either version {_v}"
             _add(_name + "-header", f"This program is free software: you can redistribute it and/or modify it under the terms of the {_by} of the License, or (at your option) any later version.", _by)
 #: Titles of the whole texts.
@@ -272,8 +279,8 @@ class Scanner:
                         continue
                 words = known[a : min(a + span, b)]
                 shared = int(np.minimum(np.bincount(words[words >= 0], minlength=len(self.vocabulary)), self.counts[t]).sum())
-                if shared < least:  # each word further on brings one more at most
-                    last = a + least - shared
+                if shared < least:  # each word further on brings one more at most, within this text
+                    last = min(a + least - shared, int(w.first[r + 1]))
                     continue
                 got = self._best(w.hash[a:b].tolist(), t)
                 if got is None:
