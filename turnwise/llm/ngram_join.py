@@ -12,7 +12,8 @@ among the first ``x - t + k`` of the one and ``y - t + k`` of the other. Hence
 * the boundary is the cheapest by a cost over the histogram of sizes and the
   mean length of a list.
 
-The order puts shingles in long lists last, so that a passage which many
+The order puts shingles that many texts have last (all shingles are counted, first
+by hash bucket, then those of full buckets one by one), so that a passage which many
 documents share is looked up by nobody who has rarer shingles.
 
 Only components are wanted, so the members of a list are first compared with
@@ -51,12 +52,16 @@ U64 = np.uint64
 #: 64-bit words of the parity bitmap of a set.
 PARITY = 16
 _BITS = "bits struct<" + ", ".join(f"b{k}: bigint" for k in range(PARITY)) + ">"
-#: Share of the hash range in which shingles are counted to order them.
-COUNTED = 0.25
+#: Hash buckets in which all shingles are counted to find frequent ones (a power of two;
+#: 4 bytes each a task), and how many of them a row of counts has.
+BUCKETS = 1 << 22
+BLOCK_OF = 1 << 12
 #: Most shingles that are ordered last (8 bytes each are sent to the workers).
 FREQUENT = 1_000_000
 #: Rows of a list in one task after which a new block of the list is begun.
 BLOCK = 10_000
+#: Pairs of one document that are verified in one task.
+HUB = 2_000
 #: Counters of rows by key that a task keeps (4 bytes each).
 COUNTERS = 1 << 20
 #: Candidate documents up to which their ids are broadcast to fetch the texts.
@@ -115,11 +120,44 @@ def _scan(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id long, n long, sig binary, {_BITS}")
 
 
-def _counts(docs: DataFrame, size: int) -> DataFrame:
-    """How many texts hold each shingle in the counted range."""
-    limit = U64(int(COUNTED * 2**64))
+def _hot_buckets(docs: DataFrame, size: int, least: int) -> np.ndarray:
+    """Hash buckets that hold at least ``least`` shingles; every other one has only rarer shingles.
+
+    A task counts all its shingles in one array, sent in blocks which are added up.
+    """
+    bits = U64(64 - BUCKETS.bit_length() + 1)
+
+    def count(batches):
+        n = np.zeros(BUCKETS, dtype=np.int32)
+        for batch in batches:
+            data, offsets = W.text_buffers(batch.column(1))
+            for s in sets(data, offsets, size):
+                np.add.at(n, (s >> bits).astype(np.int64), 1)
+        blocks = n.reshape(-1, BLOCK_OF)
+        used = np.flatnonzero(blocks.any(axis=1))
+        if len(used):
+            yield pa.RecordBatch.from_pydict({"block": pa.array(used), "counts": pa.array([blocks[k].tobytes() for k in used], pa.binary())})
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                total[k] = total.get(k, 0) + np.frombuffer(v.as_buffer(), np.int32).astype(np.int64)
+        for k, v in total.items():
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(k * BLOCK_OF + np.flatnonzero(v >= least))})
+
+    parts = docs.select("doc_id", "text").mapInArrow(count, "block long, counts binary").repartition("block")
+    return np.sort(np.array([r.bucket for r in parts.mapInArrow(add, "bucket long").collect()], dtype=np.int64))
+
+
+def _counts(docs: DataFrame, size: int, hot: np.ndarray) -> DataFrame:
+    """How many texts hold each shingle of the buckets ``hot``."""
+    sent = docs.sparkSession.sparkContext.broadcast(hot)
+    bits = U64(64 - BUCKETS.bit_length() + 1)
 
     def run(batches):
+        wanted = np.zeros(BUCKETS, dtype=bool)
+        wanted[sent.value] = True
         held, n = [], 0
 
         def flush():
@@ -129,7 +167,7 @@ def _counts(docs: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             data, offsets = W.text_buffers(batch.column(1))
             for s in sets(data, offsets, size):
-                held.append(s[: np.searchsorted(s, limit)])
+                held.append(s[wanted[(s >> bits).astype(np.int64)]])
                 n += len(held[-1])
                 if n > 2_000_000:
                     yield flush()
@@ -290,9 +328,20 @@ def _verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
             yield pa.RecordBatch.from_pydict({"a": batch.column(0).filter(pa.array(keep)), "b": batch.column(1).filter(pa.array(keep))})
 
     held = chosen.select("doc_id", "text").mapInArrow(collect, "id long, set binary")
-    left = held.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
-    right = held.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
-    joined = pairs.join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b")
+
+    def attach(rows: DataFrame, side: str, other: str) -> DataFrame:
+        """The set of ``side``; documents with many pairs have copies of it, each for a part of their pairs."""
+        hubs = pairs.groupBy(side).agg(F.ceil(F.count("*") / HUB).alias("copies")).filter("copies > 1")
+        if hubs.isEmpty():
+            return rows.join(held.select(F.col("id").alias(side), F.col("set").alias(f"set_{side}")), side)
+        hubs = F.broadcast(hubs) if hubs.count() <= BROADCAST_IDS else hubs
+        copies = F.coalesce("copies", F.lit(1).cast("long"))
+        dealt = rows.join(hubs, side, "left").withColumn("copy", F.pmod(F.xxhash64(other), copies)).drop("copies")
+        made = held.select(F.col("id").alias(side), F.col("set").alias(f"set_{side}")).join(hubs, side, "left")
+        made = made.select(side, f"set_{side}", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)).alias("copy"))
+        return dealt.join(made, [side, "copy"]).drop("copy")
+
+    joined = attach(attach(pairs, "b", "a"), "a", "b").select("a", "b", "set_a", "set_b")
     out = shared.save(joined.mapInArrow(check, "a long, b long"), "verified")
     shared.drop(ids)
     return out
@@ -306,9 +355,10 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     classes = shared.save(rows.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "classes")
     ided = rows.join(classes.select("sig", "class_id"), "sig", "left")
 
-    counts = shared.save(_counts(texts, size).filter("c > 1"), "counts")
-    mean = counts.agg(F.sum(F.col("c") * F.col("c")) / F.sum("c"), F.sum("c")).first()
-    many = max(32, (mean[1] or 0) // FREQUENT)
+    every = rows.agg(F.sum("n")).first()[0] or 0
+    many = max(32, every // FREQUENT)
+    counts = shared.save(_counts(texts, size, _hot_buckets(texts, size, many)).filter("c > 1"), "counts")
+    mean = counts.agg(F.sum(F.col("c") * F.col("c")) / F.sum("c")).first()
     frequent = np.sort(np.array([r.key for r in counts.filter(F.col("c") >= many).select("key").collect()], dtype=np.int64).view(np.uint64))
     shared.drop(counts)
     sizes = {r.n: r["count"] for r in classes.filter("n <= 64").groupBy("n").count().collect()}  # 64 rows at most
