@@ -543,38 +543,6 @@ def test_lists_in_blocks(docs, texts, block, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_classes(docs).collect()} == want
 
 
-def test_hubs_are_verified_by_parts(spark, docs, texts, monkeypatch):
-    monkeypatch.setattr(ngram_join, "HUB", 2)
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_classes(docs).collect()} == plain_classes(texts)
-    monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 0)
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_classes(docs).collect()} == plain_classes(texts)
-
-
-def test_frequent_shingles_are_found_by_buckets(spark, monkeypatch):
-    rng = random.Random(3)
-    shared_words = [f"p{k}" for k in range(30)]
-    texts = [" ".join((shared_words if k % 3 else []) + [f"q{rng.randrange(10**9)}" for _ in range(8)]) for k in range(300)]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
-    monkeypatch.setattr(ngram_join, "BUCKETS", 1 << 14)
-    hot = ngram_join._hot_buckets(df, 5, 150)
-    counts = {r.key: r.c for r in ngram_join._counts(df, 5, hot).collect()}
-    assert sorted(c for c in counts.values() if c >= 150) == [200] * 26 and len(counts) < 300
-    assert len(ngram_join._hot_buckets(df, 5, 201 + 300)) == 0
-
-
-def test_texts_that_share_a_passage_meet_in_no_list(spark, monkeypatch):
-    """Nine tenths of each text is a passage of all; their own words come first, so no candidates arise."""
-    rng = random.Random(4)
-    passage = [f"p{k}" for k in range(84)]
-    texts = [" ".join(passage + [f"q{rng.randrange(10**9)}" for _ in range(20)]) for _ in range(400)]
-    asked = []
-    verify = ngram_join._verify
-    monkeypatch.setattr(ngram_join, "_verify", lambda pairs, *rest: asked.append(pairs.count()) or verify(pairs, *rest))
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    assert all(r.doc_id == r.component_id for r in ngram_join.jaccard_classes(df).collect())
-    assert sum(asked) < 400
-
-
 def test_lists_stream(spark):
     """Centres of lists that run over several batches."""
     rng = random.Random(5)
