@@ -139,6 +139,41 @@ def test_jaccard_at_any_boundary(spark, monkeypatch, boundary):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_classes(df).collect()} == plain_classes(texts)
 
 
+def test_shared_passages_make_no_candidates(spark):
+    """Texts that share seven tenths of their words, but don't link, meet in no list."""
+    rng = random.Random(9)
+    passage = " ".join(f"p{k}" for k in range(140))
+    texts = {i: passage + " " + " ".join(f"w{rng.randrange(10**9)}" for _ in range(60)) for i in range(400)}
+    texts |= {400 + i: texts[i] + " more" for i in range(5)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    shared.ship(spark)
+    common, mean = ngram_join.common_shingles(df, 5)
+    assert len(common) == 136 and mean > 1
+    met = ngram_join._in_lists(ngram_join._keys(df, 5, 80, 0, common), 4)
+    assert {r.doc_id % 400 for r in met.collect()} == set(range(5))
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_classes(df).collect()}
+    assert got == {i: i % 400 for i in texts}
+
+
+def test_counts_of_shingles(spark, monkeypatch):
+    """Exact in the lowest part of the hash range, elsewhere at most one a part too low."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choices("abcde", k=rng.randint(5, 40)))) for i in range(200)]
+    shared.ship(spark)
+    want = collections.Counter(s for _, t in rows for s in {" ".join(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)})
+    monkeypatch.setattr(ngram_join, "PART", 500)
+    got = {r.key % 2**64: r.c for r in ngram_join._counts(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), 5).collect()}
+    keys = {}
+    for gram in want:
+        raw = gram.encode()
+        (s,) = ngram_join.sets(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), 5)
+        keys[int(s[0])] = want[gram]
+    parts = sum(keys.values()) // 500 + 2
+    low = {k for k in keys if k < 2**64 * ngram_join.EXACT}
+    assert low and all(got[k] == keys[k] for k in low)
+    assert all(keys[k] - parts <= got.get(k, 0) <= keys[k] for k in keys) and set(got) <= set(keys)
+
+
 def test_one_of_each(spark):
     a = " ".join("abcdefgh")
     rows = [(1, a, 1), (1, a, 2), (2, a, 3), (None, a, 4), (3, "", 5), (4, None, 6)]

@@ -198,6 +198,14 @@ def test_resampling(docs, texts, items, spark, how):
     assert got == plain_resampling(texts, [t for _, t in items], **how)
 
 
+def test_rank_within_a_hot_score(spark, monkeypatch):
+    """Half of all rows have one score: these are ranked by doc_id over all partitions."""
+    monkeypatch.setattr(resampling, "noise", lambda seed: F.when(F.col("doc_id") % 2 == 0, 7).otherwise(F.col("doc_id") % 5).cast("long"))
+    df = spark.createDataFrame([(i, "a b c " * 7) for i in range(1000)], "doc_id long, text string").repartition(6)
+    got = {r.doc_id: r["rank"] for r in resampling.resampling_scores(df, df.limit(0), percent=30).collect()}
+    assert {i: k for i, k in got.items() if k} == {2 * k: k + 1 for k in range(300)} and len(got) == 1000
+
+
 def test_drawn_documents(docs, spark, items):
     bench = spark.createDataFrame([(t,) for _, t in items], "text string")
     ranked = {r.doc_id for r in resampling.resampling_scores(docs, bench, percent=30).collect() if r["rank"] is not None}

@@ -13,7 +13,8 @@ among the first ``x - t + k`` of the one and ``y - t + k`` of the other. Hence
   mean length of a list.
 
 The order puts shingles in long lists last, so that a passage which many
-documents share is looked up by nobody who has rarer shingles.
+documents share is looked up by nobody who has rarer shingles: texts that share less
+than ``percent`` of their shingles with many others are no candidates of each other.
 
 Only components are wanted, so the members of a list are first compared with
 one centre of the list (a candidate a member, however long the list is). A task
@@ -51,8 +52,10 @@ U64 = np.uint64
 #: 64-bit words of the parity bitmap of a set.
 PARITY = 16
 _BITS = "bits struct<" + ", ".join(f"b{k}: bigint" for k in range(PARITY)) + ">"
-#: Share of the hash range in which shingles are counted to order them.
-COUNTED = 0.25
+#: Shingles that a task counts at a time.
+PART = 4_000_000
+#: Share of the hash range in which a shingle is passed on if it is met once in a part, too.
+EXACT = 1 / 16
 #: Most shingles that are ordered last (8 bytes each are sent to the workers).
 FREQUENT = 1_000_000
 #: Rows of a list in one task after which a new block of the list is begun.
@@ -116,22 +119,30 @@ def _scan(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _counts(docs: DataFrame, size: int) -> DataFrame:
-    """How many texts hold each shingle in the counted range."""
-    limit = U64(int(COUNTED * 2**64))
+    """How many texts hold a shingle (key, c), over all texts.
+
+    A task counts ``PART`` shingles at a time. In the lowest ``EXACT`` of the hash
+    range these counts are exact; elsewhere a shingle met once in a part isn't passed
+    on, which takes one a part off its count at most and spares the many shingles
+    that one text alone has. Counts order the shingles and choose the boundary, so
+    they bear on the work done only, never on the links found.
+    """
+    limit = U64(int(EXACT * 2**64))
 
     def run(batches):
         held, n = [], 0
 
         def flush():
             k, c = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_pydict({"key": pa.array(k.view(np.int64)), "c": pa.array(c)})
+            keep = (c > 1) | (k < limit)
+            return pa.RecordBatch.from_pydict({"key": pa.array(k[keep].view(np.int64)), "c": pa.array(c[keep])})
 
         for batch in batches:
             data, offsets = W.text_buffers(batch.column(1))
             for s in sets(data, offsets, size):
-                held.append(s[: np.searchsorted(s, limit)])
-                n += len(held[-1])
-                if n > 2_000_000:
+                held.append(s)
+                n += len(s)
+                if n > PART:
                     yield flush()
                     held, n = [], 0
         if held:
@@ -140,6 +151,17 @@ def _counts(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
 
+def common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, float]:
+    """The most frequent shingles (at most ``FREQUENT``, sorted), and the mean length of a list."""
+    counts = shared.save(_counts(docs, size).filter("c > 1"), "counts")
+    exact = F.col("key").between(0, int(EXACT * 2**64) - 1)
+    mean, every = counts.agg(F.sum(F.when(exact, F.col("c") * F.col("c"))) / F.sum(F.when(exact, F.col("c"))), F.sum("c")).first()
+    many = max(32, -(-(every or 0) // FREQUENT))
+    keys = np.array([r.key for r in counts.filter(F.col("c") >= many).select("key").collect()], dtype=np.int64)
+    shared.drop(counts)
+    return np.sort(keys.view(np.uint64)), mean or 1.0
+
+
 def choose_boundary(sizes: dict[int, int], list_length: float, percent: int, most: int = 48) -> int:
     """Size up to which enumerating 2-subsets costs less than scanning lists."""
     best, cheapest = 0, math.inf
@@ -306,13 +328,9 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     classes = shared.save(rows.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "classes")
     ided = rows.join(classes.select("sig", "class_id"), "sig", "left")
 
-    counts = shared.save(_counts(texts, size).filter("c > 1"), "counts")
-    mean = counts.agg(F.sum(F.col("c") * F.col("c")) / F.sum("c"), F.sum("c")).first()
-    many = max(32, (mean[1] or 0) // FREQUENT)
-    frequent = np.sort(np.array([r.key for r in counts.filter(F.col("c") >= many).select("key").collect()], dtype=np.int64).view(np.uint64))
-    shared.drop(counts)
+    frequent, mean = common_shingles(texts, size)
     sizes = {r.n: r["count"] for r in classes.filter("n <= 64").groupBy("n").count().collect()}  # 64 rows at most
-    boundary = choose_boundary(sizes, mean[0] or 1.0, percent)
+    boundary = choose_boundary(sizes, mean, percent)
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     lists = shared.save(_in_lists(_keys(texts, size, percent, boundary, frequent), parts), "lists")

@@ -11,8 +11,8 @@ array of ``element_at`` in it, so scoring has neither join nor shuffle.
 Scores are weights plus seeded Gumbel noise, so the highest scores are a draw
 without replacement. Scores are integers in a range that doesn't grow with the
 corpus (gains and noise are both logarithms), so a histogram of scores gives the
-cut and the rank at which each score starts; only drawn rows are then numbered
-within their score.
+cut; rows at or above it are then numbered by ranges of (score, doc_id), so that
+a score which many rows share goes to as many tasks as it takes.
 
 Defined cases: a null text has no words; a document without features has weight
 0; equal scores go by ascending doc_id (null first), repeated rows are separate
@@ -26,10 +26,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnwise.llm import shared
+from turnwise.llm.sharding import number_rows
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -86,18 +87,15 @@ def resampling_scores(docs: DataFrame, target: DataFrame, percent: int = 10, lea
     long_enough = F.col("n_words") >= least_words
     heights = sorted(scored.filter(long_enough).groupBy("score").count().collect(), reverse=True)  # a row a score: a bounded range of integers
     wanted = percent * sum(r[1] for r in heights) // 100
-    before, starts = 0, []
+    cut, before = None, 0
     for score, n in heights:
         if before >= wanted:
             break
-        starts.append((score, before))
-        before += n
-    cut = starts[-1][0] if starts else 0
-    reached = (long_enough & (F.col("score") >= cut)) if starts else F.lit(False)
-    starts = F.broadcast(docs.sparkSession.createDataFrame(starts, "score long, _before long"))
-    within = F.row_number().over(Window.partitionBy("score").orderBy("doc_id", "n_features", "weight"))
-    first = scored.filter(reached).join(starts, "score").withColumn("rank", F.col("_before") + within)
-    first = first.withColumn("rank", F.when(F.col("rank") <= wanted, F.col("rank")))
+        cut, before = score, before + n
+    reached = F.lit(False) if cut is None else long_enough & (F.col("score") >= cut)
+    # drawn rows and those of the cut's own score, numbered by ranges: many rows may share a score
+    first, _ = number_rows(scored.filter(reached).withColumn("_down", -F.col("score")), ("_down", "doc_id", "n_features", "weight"))
+    first = first.withColumn("rank", F.when(F.col("row") < wanted, F.col("row") + 1))
     others = scored.filter(~reached).withColumn("rank", F.lit(None).cast("long"))
     columns = ["doc_id", "n_features", "weight", "score", "rank"]
     return first.select(*columns).unionAll(others.select(*columns))
