@@ -53,7 +53,7 @@ U64 = np.uint64
 PARITY = 16
 _BITS = "bits struct<" + ", ".join(f"b{k}: bigint" for k in range(PARITY)) + ">"
 #: Shingles that a task counts at a time.
-PART = 4_000_000
+PART = 2_000_000
 #: Share of the hash range in which a shingle is passed on if it is met once in a part, too.
 EXACT = 1 / 16
 #: Most shingles that are ordered last (8 bytes each are sent to the workers).
@@ -133,9 +133,13 @@ def _counts(docs: DataFrame, size: int) -> DataFrame:
         held, n = [], 0
 
         def flush():
-            k, c = np.unique(np.concatenate(held), return_counts=True)
-            keep = (c > 1) | (k < limit)
-            return pa.RecordBatch.from_pydict({"key": pa.array(k[keep].view(np.int64)), "c": pa.array(c[keep])})
+            every = np.concatenate(held)
+            held.clear()
+            every.sort()
+            first = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+            c = np.diff(first, append=len(every))
+            keep = (c > 1) | (every[first] < limit)
+            return pa.RecordBatch.from_pydict({"key": pa.array(every[first[keep]].view(np.int64)), "c": pa.array(c[keep])})
 
         for batch in batches:
             data, offsets = W.text_buffers(batch.column(1))
@@ -144,8 +148,8 @@ def _counts(docs: DataFrame, size: int) -> DataFrame:
                 n += len(s)
                 if n > PART:
                     yield flush()
-                    held, n = [], 0
-        if held:
+                    n = 0
+        if n:
             yield flush()
 
     return docs.select("doc_id", "text").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
