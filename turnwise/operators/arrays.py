@@ -144,6 +144,11 @@ def with_prompt(codes: Column, prompt: Column) -> Column:
     return F.struct(F.concat(prompt, codes).alias("codes"), mask.alias("mask"))
 
 
+def scaled_codes(a: Column, scale: int) -> Column:
+    """Integer codes of values: scaled in single precision (a float times an integer is a double in Spark), then cut towards zero."""
+    return F.transform(a, lambda x: (x.cast("float") * F.lit(scale).cast("float")).cast("int"))
+
+
 def pad_codebooks(codes: Column, rows: int, pad: int) -> Column:
     """An array of codebooks padded to ``rows`` of them."""
     empty = F.transform(codes[0], lambda _: F.lit(pad).cast("int"))

@@ -1323,7 +1323,7 @@ def prepared_voices(spark, d):
 
 @query("WITH c AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(trunc(x * 1000) AS INTEGER)) AS c FROM embeddings) SELECT vec_id, array_to_string(c[1:16], ',') || ';' || array_to_string(c[17:32], ',') || ';' || array_to_string(c[33:48], ',') || ';' || array_to_string(c[49:64], ',') || repeat(';' || array_to_string(list_transform(c[1:16], lambda x: -1), ','), 2) AS books FROM c")
 def padded_codebooks(spark, d):
-    codes = F.transform("embedding", lambda x: (x * F.lit(1000)).cast("int"))
+    codes = arrays.scaled_codes(F.col("embedding"), 1000)
     books = arrays.pad_codebooks(F.array(*(F.slice(codes, 16 * k + 1, 16) for k in range(4))), 6, -1)
     return read(spark, d, "embeddings").select("vec_id", F.array_join(F.transform(books, lambda b: F.array_join(b.cast("array<string>"), ",")), ";").alias("books"))
 
