@@ -20,3 +20,10 @@ def test_padded_codebooks_scale_in_single_precision(spark, near_whole):
     got = {r.vec_id: r.books.split(";") for r in Q.QUERIES["padded_codebooks"](spark, d).collect()}
     for k, row in enumerate(rows):
         assert [int(x) for b in got[k][:4] for x in b.split(",")] == np.trunc(row * np.float32(1000)).astype(int).tolist()
+
+
+def test_prompted_codes_scale_in_single_precision(spark, near_whole):
+    d, rows = near_whole
+    got = {r.vec_id: r.codes for r in Q.QUERIES["prompted_codes"](spark, d).collect()}
+    for k, row in enumerate(rows):
+        assert [int(x) for x in got[k].split(",")] == np.trunc(abs(row) * np.float32(1000)).astype(int).tolist()

@@ -960,7 +960,7 @@ def deterministic_spans(spark, d):
     CAST(CASE WHEN len(ix) <= 3 OR len(ix) < 5 THEN 0 ELSE greatest(ix[3] - 2, 0) END AS INTEGER) AS span_start, CAST(CASE WHEN len(ix) <= 3 OR len(ix) < 5 THEN len(c) ELSE least(ix[5] + 3, len(c)) END AS INTEGER) AS span_end FROM w"""
 )
 def prompted_codes(spark, d):
-    codes = F.transform("embedding", lambda x: (F.abs(x) * 1000).cast("int"))
+    codes = arrays.scaled_codes(F.transform("embedding", F.abs), 1000)
     e = read(spark, d, "embeddings").select("vec_id", codes.alias("codes"))
     return e.select("vec_id", arrays.with_prompt(F.slice("codes", 9, 56), F.slice("codes", 1, 8)).alias("p"), arrays.word_span(F.col("codes"), 0, 2, 3).alias("span")).select("vec_id", F.array_join(F.col("p.codes").cast("array<string>"), ",").alias("codes"), F.array_join(F.transform("p.mask", lambda x: F.when(x, "t").otherwise("f")), "").alias("mask"), F.col("span.start").alias("span_start"), F.col("span.end").alias("span_end"))
 
