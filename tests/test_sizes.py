@@ -40,3 +40,7 @@ def test_token_times_join_nothing(spark, sf):
 def test_greedy_matches_start_no_group_of_its_own(spark, sf):
     p = plan(Q.QUERIES["greedy_matches"](spark, sf))
     assert "FlatMapGroups" not in p and "MapInArrow" in p
+
+
+def test_corpus_bleu_explodes_no_grams(spark, sf):
+    assert "Generate" not in plan(Q.QUERIES["corpus_bleu"](spark, sf))

@@ -186,20 +186,32 @@ def _ngrams(words: str, n: int) -> Column:
     return F.when(F.size(words) >= n, made).otherwise(F.array().cast("array<string>"))
 
 
+def _matched(n: int) -> Column:
+    """Number of n-grams of ``hyp`` that ``ref`` has, each as often as there at most.
+
+    In one sorted array those of ``ref`` stand before equal ones of ``hyp``, which
+    take one each while any is left.
+    """
+    of = lambda side, k: F.transform(_ngrams(side, n), lambda g: F.struct(g.alias("gram"), F.lit(k).alias("k")))
+    start = F.struct(F.lit(None).cast("string").alias("gram"), F.lit(0).alias("left"), F.lit(0).alias("hit"))
+
+    def step(acc: Column, x: Column) -> Column:
+        left = F.when(acc["gram"].eqNullSafe(x["gram"]), acc["left"]).otherwise(0)
+        taken = F.when((x["k"] == 1) & (left > 0), 1).otherwise(0)
+        return F.struct(x["gram"].alias("gram"), F.when(x["k"] == 0, left + 1).otherwise(left - taken).alias("left"), (acc["hit"] + taken).alias("hit"))
+
+    return F.aggregate(F.sort_array(F.concat(of("ref", 0), of("hyp", 1))), start, step, lambda acc: acc["hit"])
+
+
 def sentence_bleu(pairs: DataFrame, order: int = 4) -> DataFrame:
     """BLEU of each (id, ref words, hyp words), 0..100: exponential smoothing, orders up to the hypothesis's length.
 
     The k-th order in a row without a hit counts 1 / 2^k of a hit.
     """
 
-    def matched(n: int) -> Column:
-        r, h = _ngrams("ref", n), _ngrams("hyp", n)
-        count = lambda a, g: F.size(F.filter(a, lambda x: x == g))
-        return F.aggregate(F.array_distinct(h), F.lit(0), lambda acc, g: acc + F.least(count(h, g), count(r, g)))
-
     out = pairs
     for n in range(1, order + 1):
-        out = out.withColumn(f"_m{n}", matched(n)).withColumn(f"_n{n}", F.greatest(F.size("hyp") - n + 1, F.lit(0)))
+        out = out.withColumn(f"_m{n}", _matched(n)).withColumn(f"_n{n}", F.greatest(F.size("hyp") - n + 1, F.lit(0)))
     missed, logs, used = F.lit(0), F.lit(0.0), F.lit(0)
     for n in range(1, order + 1):
         here = F.col(f"_n{n}") > 0
@@ -214,18 +226,15 @@ def sentence_bleu(pairs: DataFrame, order: int = 4) -> DataFrame:
 def corpus_bleu(pairs: DataFrame, order: int = 4) -> DataFrame:
     """Corpus BLEU 1..order of (id, ref words, hyp words), with brevity penalty.
 
-    Pairs are dealt out by ``id``, so the n-grams of a pair, all of one explode, are
-    counted where they are made; only sums by n are shuffled. Without any word on
-    both sides all values are null.
+    Matches are counted within the row (see ``_matched``), so only sums are shuffled.
+    Without any word on both sides all values are null.
     """
-    of = lambda side, n: F.transform(_ngrams(side, n), lambda g: F.struct(F.lit(n).alias("n"), F.lit(side == "hyp").alias("hyp"), g.alias("gram")))
-    every = F.concat(*(of(side, n) for side in ("ref", "hyp") for n in range(1, order + 1)))
-    grams = pairs.repartition("id").select("id", F.explode(every).alias("g")).select("id", "g.*")
-    each = grams.groupBy("id", "n", "gram").agg(F.count_if(~F.col("hyp")).alias("r"), F.count_if("hyp").alias("h"))
-    by = each.groupBy("n").agg(F.sum(F.least("r", "h")).alias("hit"), F.sum("h").alias("all"), F.sum("r").alias("said"))
-    at = lambda n, c: F.sum(F.when(F.col("n") == n, c))
-    logs = [at(n, F.log(F.col("hit") / F.nullif(F.col("all"), F.lit(0)))).alias(f"p{n}") for n in range(1, order + 1)]
-    both = by.agg(*logs, at(1, F.col("said")).alias("ref_len"), at(1, F.col("all")).alias("hyp_len"))
+    many = lambda side, n: F.coalesce(F.greatest(F.size(side) - n + 1, F.lit(0)), F.lit(0))
+    sums = [x for n in range(1, order + 1) for x in (F.sum(_matched(n)).alias(f"m{n}"), F.sum(many("hyp", n)).alias(f"n{n}"))]
+    total = pairs.agg(*sums, F.sum(many("ref", 1)).alias("r"))
+    none = F.col("r") + F.col("n1") == 0
+    logs = [F.log(F.col(f"m{n}") / F.nullif(F.col(f"n{n}"), F.lit(0))).alias(f"p{n}") for n in range(1, order + 1)]
+    both = total.select(*logs, F.when(~none, F.col("r")).alias("ref_len"), F.when(~none, F.col("n1")).alias("hyp_len"))
     ratio = F.col("hyp_len") / F.nullif(F.col("ref_len"), F.lit(0))
     bp = F.when(F.col("hyp_len") >= F.col("ref_len"), 1.0).otherwise(F.exp(1 - F.col("ref_len") / F.nullif(F.col("hyp_len"), F.lit(0))))
     means = [F.round(bp * F.exp(sum((F.col(f"p{k}") for k in range(1, n + 1)), F.lit(0.0)) / n), 6).alias(f"bleu{n}") for n in range(1, order + 1)]
