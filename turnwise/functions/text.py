@@ -7,7 +7,7 @@ distance of arrays, which Spark lacks: these are Arrow UDFs.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -111,10 +111,23 @@ def apply_rules(c: str | Column, rules: list[tuple[str, str]]) -> Column:
     return out
 
 
+def _from_first(c: Column, rules: list[tuple[str, str]], f: Callable[[Column], Column]) -> Column:
+    """``f`` of the text from the first character on that begins a rule's match, which is cut once a row however often ``f`` names it.
+
+    Rules other than literal texts (at most anchored to the end) may match anywhere, so their text stays whole.
+    """
+    import re
+
+    plain = [re.sub(r"\\[?.]|\$$", "", p) for p, _ in rules]
+    literal = all(x and p[0] == x[0] and not re.search(r"[\\^$.|?*+()\[\]{}]", x) for x, (p, _) in zip(plain, rules, strict=True))
+    starts = "".join(re.escape(x) for x in sorted({p[0] for p, _ in rules}))
+    return F.transform(F.array(F.regexp_extract(c, rf"(?s)[{starts}].*", 0) if literal else c), f)[0]
+
+
 def rule_confidence(c: str | Column, rules: list[tuple[str, str]]) -> Column:
     """min(0.7 + 0.05 * rules that match, 0.9)."""
-    hits = sum((F.when(F.regexp_like(_col(c), F.lit(p)), 1).otherwise(0) for p, _ in rules), F.lit(0))
-    return F.least(F.lit(0.7) + 0.05 * hits, F.lit(0.9))
+    hits = lambda x: sum((F.when(F.regexp_like(x, F.lit(p)), 1).otherwise(0) for p, _ in rules), F.lit(0))
+    return F.least(F.lit(0.7) + 0.05 * _from_first(_col(c), rules, hits), F.lit(0.9))
 
 
 def seeded_share(seed: int, *keys: str | Column) -> Column:
@@ -167,7 +180,12 @@ def format_size(size: str | Column) -> Column:
 
 
 def spoken(c: str | Column) -> Column:
-    """Written Korean to spoken, blank texts as they are."""
+    """Written Korean to spoken, blank texts as they are.
+
+    No rule matches before the first character that one begins with, and none makes
+    such a match, so only the text from there on goes through all of them.
+    """
     from turnwise.functions.korean import SPOKEN_RULES
 
-    return F.when(F.trim(_col(c)) == "", _col(c)).otherwise(apply_rules(c, SPOKEN_RULES))
+    after = _from_first(_col(c), SPOKEN_RULES, lambda x: F.concat(F.substr(_col(c), F.lit(1), F.length(_col(c)) - F.length(x)), apply_rules(x, SPOKEN_RULES)))
+    return F.when(F.trim(_col(c)) == "", _col(c)).otherwise(after)
