@@ -2,20 +2,40 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType
 
 
+#: Ids that a tokenizer column holds before it hands them on: a batch has thousands of texts of any length.
+HELD_IDS = 1_000_000
+
+
+def _encoded(texts: Iterator[pd.Series], one: Callable[[str | None], list[int]], held: int = HELD_IDS) -> Iterator[pd.Series]:
+    """Ids of each text as an array, in pieces of about ``held`` ids."""
+    for batch in texts:
+        out: list[np.ndarray] = []
+        n = 0
+        for t in batch:
+            out.append(np.array(one(t), dtype=np.int64))
+            n += len(out[-1])
+            if n >= held:
+                yield pd.Series(out, dtype=object)
+                out, n = [], 0
+        if out:
+            yield pd.Series(out, dtype=object)
+
+
 def tokenizer_column(encode: Callable[[str], list[int]]) -> Callable[[Column], Column]:
     """A column function of token ids from a text encoder."""
 
     @F.pandas_udf(ArrayType(LongType()))
-    def run(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: [] if t is None else list(encode(t)))
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return _encoded(texts, lambda t: [] if t is None else list(encode(t)))
 
     return run
 
@@ -26,15 +46,15 @@ def line_tokenizer_column(encode: Callable[[str], list[int]], newline: int, bos:
     For subword sampling hand in an ``encode`` that samples. A null text is empty.
     """
 
+    def one(t: str | None) -> list[int]:
+        out = [] if bos is None else [bos]
+        for k, line in enumerate((t or "").split("\n")):
+            out += ([newline] if k else []) + list(encode(line))
+        return out
+
     @F.pandas_udf(ArrayType(LongType()))
-    def run(text: pd.Series) -> pd.Series:
-        def one(t: str | None) -> list[int]:
-            out = [] if bos is None else [bos]
-            for k, line in enumerate((t or "").split("\n")):
-                out += ([newline] if k else []) + list(encode(line))
-            return out
-
-        return text.map(one)
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return _encoded(texts, one)
 
     return run
 
